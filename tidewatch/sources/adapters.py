@@ -32,84 +32,65 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _k() -> Column:
-    return F.regexp_extract("props", r"(\d+)", 1).cast("int")
+_K = r"cast(regexp_extract(props, '([0-9]+)', 1) as int)"
 
 
-def _seconds(base: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds.cast("int"), base)
-
-
-def workspace_label(n: Column) -> Column:
-    return F.concat(F.lit("NATION_"), n.cast("string"), pick(ENV_SUFFIXES, n % 5))
+def _labels(values: list[str], index: str) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), cast({index} as int) + 1)"
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
-    eid, uid, k = F.col("event_id"), F.col("user_id"), F.col("k")
-    failed = F.col("event_type") == "error"
-    duration = F.when(eid % 9 != 0, F.floor(F.col("value") * 10).cast("double"))
-    user = (
-        F.when(uid % 10 == 0, F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(uid.cast("string"), 12, "0")))
-        .when(uid % 10 == 1, F.concat(F.lit("svc_app_"), uid.cast("string")))
-        .otherwise(F.concat(F.lit("user."), uid.cast("string"), F.lit("@corp"), (uid % 3).cast("string"), F.lit(".com")))
-    )
-    status = (
-        F.when(failed, "Failed")
-        .when((F.col("event_type") == "purchase") & (eid % 11 == 0), "Cancelled")
-        .when((F.col("event_type") == "signup") & (eid % 13 == 0), "InProgress")
-        .when(F.col("event_type") == "view", "Completed")
-        .otherwise("Succeeded")
-    )
-    operation = (
-        F.when(failed, "ExecuteNotebook")
-        .when(F.col("event_type") == "purchase", "RunArtifact")
-        .when(F.col("event_type") == "signup", "ReadLakehouse")
-        .when(F.col("event_type") == "view", "ViewReport")
-        .otherwise("CustomClick")
-    )
-    return e.select(
-        eid.cast("string").alias("event_id"),
-        F.concat(F.lit("act_"), eid.cast("string")).alias("activity_id"),
-        operation.alias("activity_type"),
-        F.when(eid % 50 != 7, F.concat(F.lit("item_"), k.cast("string"))).alias("item_id"),
-        F.concat(F.lit("Item "), k.cast("string")).alias("item_name"),
-        pick(ITEM_TYPES, k % 8).alias("item_type"),
-        F.when(eid % 40 != 11, F.concat(F.lit("ws_"), (k % 25).cast("string"))).alias("workspace_id"),
-        workspace_label(k % 25).alias("workspace_name"),
-        F.when(eid % 60 != 13, user).alias("submitted_by"),
-        F.concat(F.lit("user."), ((uid * 7) % 50).cast("string")).alias("created_by"),
-        F.concat(F.lit("user."), ((uid * 3) % 20).cast("string")).alias("last_updated_by"),
-        pick(DOMAINS, k % 5).alias("domain"),
-        pick(LOCATIONS, k % 3).alias("location"),
-        F.lit(None).cast("string").alias("object_url"),
-        status.alias("status"),
-        F.col("ts").alias("start_time"),
-        _seconds(F.col("ts"), duration).alias("end_time"),
-        duration.alias("duration_seconds"),
-        pick(["Scheduled", "Manual", "OnDemand"], eid % 3).alias("invoke_type"),
-        F.when(failed & (eid % 6 != 0), pick(REASONS, eid % 6 - 1)).alias("failure_reason"),
-        F.lit(None).cast("string").alias("error_message"),
-        F.when(failed, F.concat(F.lit("E"), (eid % 4).cast("string"))).alias("error_code"),
-        F.when(eid % 8 != 5, F.concat(F.lit("root_"), F.floor(eid / 3).cast("string"))).alias("root_activity_id"),
+    """Events as activities, with null items, workspaces, users, ends and reasons among them."""
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr("*", f"{_K} as k", "if(event_id % 9 <> 0, cast(floor(value * 10) as double), null) as duration_seconds")
+        .selectExpr(
+            "cast(event_id as string) as event_id",
+            "concat('act_', event_id) as activity_id",
+            "case event_type when 'error' then 'ExecuteNotebook' when 'purchase' then 'RunArtifact' when 'signup' then 'ReadLakehouse' "
+            "when 'view' then 'ViewReport' else 'CustomClick' end as activity_type",
+            "if(event_id % 50 <> 7, concat('item_', k), null) as item_id",
+            "concat('Item ', k) as item_name",
+            f"{_labels(ITEM_TYPES, 'k % 8')} as item_type",
+            "if(event_id % 40 <> 11, concat('ws_', k % 25), null) as workspace_id",
+            f"concat('NATION_', k % 25, {_labels(ENV_SUFFIXES, '(k % 25) % 5')}) as workspace_name",
+            "if(event_id % 60 <> 13, case user_id % 10 when 0 then concat('00000000-0000-0000-0000-', lpad(user_id, 12, '0')) "
+            "when 1 then concat('svc_app_', user_id) else concat('user.', user_id, '@corp', user_id % 3, '.com') end, null) as submitted_by",
+            "concat('user.', (user_id * 7) % 50) as created_by",
+            "concat('user.', (user_id * 3) % 20) as last_updated_by",
+            f"{_labels(DOMAINS, 'k % 5')} as domain",
+            f"{_labels(LOCATIONS, 'k % 3')} as location",
+            "cast(null as string) as object_url",
+            "case when event_type = 'error' then 'Failed' when event_type = 'purchase' and event_id % 11 = 0 then 'Cancelled' "
+            "when event_type = 'signup' and event_id % 13 = 0 then 'InProgress' when event_type = 'view' then 'Completed' else 'Succeeded' end as status",
+            "ts as start_time",
+            "timestampadd(SECOND, cast(duration_seconds as int), ts) as end_time",
+            "duration_seconds",
+            f"{_labels(['Scheduled', 'Manual', 'OnDemand'], 'event_id % 3')} as invoke_type",
+            f"if(event_type = 'error' and event_id % 6 <> 0, {_labels(REASONS, 'event_id % 6 - 1')}, null) as failure_reason",
+            "cast(null as string) as error_message",
+            "if(event_type = 'error', concat('E', event_id % 4), null) as error_code",
+            "if(event_id % 8 <> 5, concat('root_', event_id div 3), null) as root_activity_id",
+        )
     )
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase and error events as job runs that start up to 400 s around the event."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error")).withColumn("k", _k())
-    eid = F.col("event_id")
-    start = _seconds(F.col("ts"), (eid * 37) % 800 - 400)
-    bad = eid % 5 == 0
-    return e.select(
-        F.concat(F.lit("job_"), eid.cast("string")).alias("job_instance_id"),
-        F.concat(F.lit("item_"), F.col("k").cast("string")).alias("item_id"),
-        start.alias("job_start_time"),
-        F.when(eid % 7 != 0, _seconds(start, eid % 1000)).alias("job_end_time"),
-        F.when(bad, "Failed").otherwise("Completed").alias("job_status"),
-        F.when(bad, F.concat(F.lit("Job failed: "), (eid % 4).cast("string"))).alias("job_failure_reason"),
-        pick(["RunNotebook", "Refresh"], eid % 2).alias("job_type"),
-        F.concat(F.lit("svc_"), (F.col("user_id") % 10).cast("string")).alias("job_invoker"),
+    start = "timestampadd(SECOND, cast((event_id * 37) % 800 - 400 as int), ts)"
+    return (
+        table(spark, sf_dir, "events")
+        .filter(F.col("event_type").isin("purchase", "error"))
+        .selectExpr(
+            "concat('job_', event_id) as job_instance_id",
+            f"concat('item_', {_K}) as item_id",
+            f"{start} as job_start_time",
+            f"if(event_id % 7 <> 0, timestampadd(SECOND, cast(event_id % 1000 as int), {start}), null) as job_end_time",
+            "if(event_id % 5 = 0, 'Failed', 'Completed') as job_status",
+            "if(event_id % 5 = 0, concat('Job failed: ', event_id % 4), null) as job_failure_reason",
+            "if(event_id % 2 = 0, 'RunNotebook', 'Refresh') as job_type",
+            "concat('svc_', user_id % 10) as job_invoker",
+        )
     )
 
 
