@@ -31,20 +31,16 @@ def decode_payload(c: Column | str) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
-def _json_text(c: Column) -> Column:
-    """JSON as it is; a Python literal with its quotes and None replaced."""
-    literal = F.replace(F.replace(c, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null"))
-    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(
-        F.when(F.try_parse_json(literal).isNotNull(), literal)
-    )
-
-
 def parse_connection(c: Column | str) -> Column:
-    """Struct of :data:`CONNECTION_TYPE`; the first element of a list; null when unparsable."""
-    text = _json_text(F.trim(col(c)))
-    one = F.from_json(text, CONNECTION_TYPE)
-    many = F.from_json(text, f"array<{CONNECTION_TYPE}>")
-    return F.when(text.startswith("["), F.try_element_at(many, F.lit(1))).when(text.startswith("{"), one)
+    """Struct of :data:`CONNECTION_TYPE`; the first element of a list; null when unparsable.
+
+    The JSON reader accepts single quotes, so a Python literal only needs its None, True and
+    False in JSON spelling."""
+    text = F.trim(col(c))
+    for word, plain in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"([:\[,]\s*){word}\b", f"$1{plain}")
+    # An array schema reads a single object as an array of one and broken text as null.
+    return F.try_element_at(F.from_json(text, f"array<{CONNECTION_TYPE}>"), F.lit(1))
 
 
 def _nz(c: Column) -> Column:

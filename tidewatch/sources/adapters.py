@@ -169,7 +169,7 @@ def lineage_graph(spark: SparkSession, sf_dir: str) -> Graph:
         edge(part, F.col("p_brand"), "CONTAINS", s("p", p))
         .unionByName(edge(cust.filter(F.col("c_acctbal") >= 0), F.col("c_mktsegment"), "CONTAINS", s("c", c)))
         .unionByName(edge(inner, s("p", p), "DEPENDS_ON", s("p", F.floor(p / 2))))
-        .unionByName(edge(inner.filter(p >= 2), s("p", p), "DEPENDS_ON", s("p", F.floor(p / 3))))
+        .unionByName(edge(inner.filter(F.floor(p / 3) != F.floor(p / 2)), s("p", p), "DEPENDS_ON", s("p", F.floor(p / 3))))
         .unionByName(edge(cust.filter("c_mktsegment = 'BUILDING'"), s("c", c), "DEPENDS_ON", s("p", c)))
         .unionByName(edge(used, s("p", F.col("l_partkey")), "CONSUMES", s("s", F.col("l_suppkey"))))
         .unionByName(edge(part, s("p", p), "PROVIDES_TABLE", s("t_", table_key)))
