@@ -93,7 +93,7 @@ LABELS = """
 lab AS (SELECT coalesce(workspace_name, workspace_id, 'Unknown') AS workspace, coalesce(item_name,'Unknown') AS item_name,
   coalesce(item_type,'Unknown') AS item_type, start_time, duration_seconds,
   CASE WHEN submitted_by LIKE 'user.%' THEN 'User '||regexp_extract(submitted_by,'user.([0-9]+)',1)
-   WHEN submitted_by LIKE 'svc%' THEN upper(substr(submitted_by,1,1))||substr(submitted_by,2) ELSE submitted_by END AS user_name,
+   WHEN submitted_by LIKE 'svc%' THEN 'Svc_App_'||substr(submitted_by,9) ELSE submitted_by END AS user_name,
   coalesce(failure_reason, error_message, error_code, 'Unknown Error') AS error_message, error_code, event_id
  FROM act WHERE status='Failed')
 """

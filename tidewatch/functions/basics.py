@@ -75,6 +75,12 @@ def surrogate_key(prefix: str, *cols: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(2147483647)
 
 
+def title_case(c: Column | str) -> Column:
+    """Every run of letters capitalised, whatever separates the runs."""
+    runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"))
+    return F.array_join(F.transform(runs, F.initcap), "")
+
+
 def truncate(c: Column | str, n: int, ellipsis: str = "") -> Column:
     cut = F.concat(F.substring(col(c), 1, n), F.lit(ellipsis))
     return F.when(F.length(col(c)) > n, cut).otherwise(col(c))

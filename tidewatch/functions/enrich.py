@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.functions.basics import blank_to_null, col, first_non_empty, round_half_even, safe_timestamp
+from tidewatch.functions.basics import blank_to_null, col, first_non_empty, round_half_even, safe_timestamp, title_case
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -57,7 +57,7 @@ def normalize_status(is_success: Column | str | None, status: Column | str) -> C
     text = F.trim(col(status))
     named = F.when(
         text.isNull() | F.lower(text).isin("", "none", "nan", "null"), F.lit("Succeeded")
-    ).otherwise(F.initcap(text))
+    ).otherwise(title_case(text))
     if is_success is None:
         return named
     flag = col(is_success)
@@ -67,6 +67,8 @@ def normalize_status(is_success: Column | str | None, status: Column | str) -> C
 def match_rules(name: Column | str, rules: Rules, default: str, whole_word: bool = False) -> Column:
     """First rule with a keyword inside the lower-cased name. Substrings count unless
     ``whole_word`` is set."""
+    if not rules:
+        return F.lit(default)
     text = F.lower(col(name))
     chain = F
     for label, words in rules:
@@ -143,7 +145,7 @@ def display_name(upn: Column | str) -> Column:
 
 def display_user(c: Column | str) -> Column:
     """Local part with dots as spaces, in title case."""
-    return F.initcap(F.replace(F.substring_index(col(c), "@", 1), F.lit("."), F.lit(" ")))
+    return title_case(F.replace(F.substring_index(col(c), "@", 1), F.lit("."), F.lit(" ")))
 
 
 def is_platform_activity(source="source", kind="item_type", operation="activity_type") -> Column:

@@ -124,45 +124,51 @@ def table_from_path(c: Column | str) -> Column:
 
 
 def tables_from_connection(conn: Column | str) -> Column:
-    """Array (0 or 1 entries) of tables that a parsed connection refers to."""
+    """Array (0 or 1 entries) of tables that a parsed connection refers to.
+
+    The steps are bound one after the other by ``transform``, so that no expression is
+    repeated in the generated code."""
     c = col(conn)
     kind = c["type"]
-    snow = c["snowflake"]
-    snow_table = F.coalesce(snow["table"], snow["tableName"])
+    snow, s3 = c["snowflake"], c["amazonS3"]
+    is_blob = kind.isin("AdlsGen2", "AzureBlob")
     blob = F.coalesce(c["azureBlob"], c["adlsGen2"])
-    blob_path = F.coalesce(blob["path"], blob["name"])
-    s3_key = F.coalesce(c["amazonS3"]["key"], c["amazonS3"]["path"])
-
-    def joined(head: Column, tail: Column) -> Column:
-        return F.concat_ws("/", blank_to_null(head), tail)
+    snow_table = F.coalesce(snow["table"], snow["tableName"])
+    found = F.struct(
+        kind.alias("kind"),
+        F.when(kind == "OneLake", c["oneLake"]["path"])
+        .when(kind == "Snowflake", snow_table)
+        .when(is_blob, F.coalesce(blob["path"], blob["name"]))
+        .when(kind == "AmazonS3", F.coalesce(s3["key"], s3["path"]))
+        .alias("path"),
+        F.when(kind == "Snowflake", snow["database"]).when(is_blob, blob["container"]).when(kind == "AmazonS3", s3["bucket"]).alias("database"),
+        F.when(kind == "Snowflake", blank_to_null(snow["schema"])).alias("schema"),
+        c["oneLake"]["itemId"].alias("item"),
+    )
 
-    full_path = (
-        F.when(kind == "OneLake", blank_to_null(c["oneLake"]["path"]))
-        .when(
-            (kind == "Snowflake") & (snow_table != ""),
-            F.concat_ws("/", _nz(snow["database"]), blank_to_null(snow["schema"]), snow_table),
+    def placed(x: Column) -> Column:
+        database = F.when(x["kind"] == "Snowflake", _nz(x["database"])).otherwise(blank_to_null(x["database"]))
+        return F.struct(x.alias("x"), F.concat_ws("/", database, x["schema"], x["path"]).alias("full_path"))
+
+    def split(y: Column) -> Column:
+        x = y["x"]
+        parts = F.when(
+            x["kind"] == "Snowflake", F.struct(x["schema"].alias("schema_name"), x["path"].alias("table_name"))
+        ).otherwise(table_from_path(y["full_path"]))
+        return F.struct(x.alias("x"), y["full_path"].alias("full_path"), parts.alias("parts"))
+
+    def row(z: Column) -> Column:
+        x = z["x"]
+        lake = x["kind"] == "OneLake"
+        database = F.when(x["kind"] == "Snowflake", blank_to_null(x["database"])).otherwise(x["database"])
+        return F.struct(
+            z["parts"]["table_name"].alias("table_name"), z["parts"]["schema_name"].alias("schema_name"), database.alias("database"),
+            z["full_path"].alias("full_path"), F.when(lake, "shortcut").otherwise("external").alias("table_type"),
+            F.when(lake, x["item"]).alias("source_item_id"),
         )
-        .when(kind.isin("AdlsGen2", "AzureBlob") & (blob_path != ""), joined(blob["container"], blob_path))
-        .when((kind == "AmazonS3") & (s3_key != ""), joined(c["amazonS3"]["bucket"], s3_key))
-    )
-    parts = F.when(
-        kind == "Snowflake",
-        F.struct(blank_to_null(snow["schema"]).alias("schema_name"), snow_table.alias("table_name")),
-    ).otherwise(table_from_path(full_path))
-    database = (
-        F.when(kind == "Snowflake", blank_to_null(snow["database"]))
-        .when(kind.isin("AdlsGen2", "AzureBlob"), blob["container"])
-        .when(kind == "AmazonS3", c["amazonS3"]["bucket"])
-    )
-    row = F.struct(
-        parts["table_name"].alias("table_name"),
-        parts["schema_name"].alias("schema_name"),
-        database.alias("database"),
-        full_path.alias("full_path"),
-        F.when(kind == "OneLake", "shortcut").otherwise("external").alias("table_type"),
-        F.when(kind == "OneLake", c["oneLake"]["itemId"]).alias("source_item_id"),
-    )
-    return F.when(full_path.isNotNull() & parts.isNotNull(), F.array(row)).otherwise(F.slice(F.array(row), 1, 0))
+
+    named = F.transform(F.filter(F.array(found), lambda x: x["path"] != ""), placed)
+    return F.transform(F.filter(F.transform(named, split), lambda z: z["parts"].isNotNull()), row)
 
 
 def base_type(c: Column | str) -> Column:
