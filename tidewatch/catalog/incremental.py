@@ -11,12 +11,11 @@ from tidewatch.sources.adapters import activities as A, jobs as J, table
 from tidewatch.streaming import incremental as I
 
 MID = "2024-01-15 12:00:00"
-NTZ = F.lit(MID).cast("timestamp_ntz")
 
 
 @query("above_high_water_mark", act(f"SELECT event_id FROM act WHERE start_time > TIMESTAMP '{MID}'"))
 def _(s, d):
-    return I.above_hwm(A(s, d), NTZ).select("event_id")
+    return I.above_hwm(A(s, d), F.lit(MID).cast("timestamp_ntz")).select("event_id")
 
 
 @query("high_water_mark", act("SELECT max(start_time) AS high_water_mark FROM act"))

@@ -13,7 +13,8 @@ from tidewatch.functions.labels import FAILURE_BUCKETS, duration_bucket, is_fail
 from tidewatch.operators.quantiles import exact_quantiles, quantile_columns
 from tidewatch.operators.ranking import grand_total, top_k
 
-N = F.count(F.lit(1))
+def rows_n() -> Column:
+    return F.count(F.lit(1))
 
 
 def _n(name: str = "activity_count") -> Column:
@@ -50,7 +51,7 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def status_breakdown(df: DataFrame) -> DataFrame:
-    total = grand_total(df, N)
+    total = grand_total(df, rows_n())
     counts = df.groupBy(F.coalesce("status", F.lit("Unknown")).alias("status")).agg(_n())
     return counts.withColumn("share_percent", percent(F.col("activity_count"), total))
 
@@ -81,7 +82,7 @@ def user_activity(df: DataFrame, k: int = 20, by: str = "activity_count") -> Dat
 
 def failure_reasons(df: DataFrame, k: int = 15) -> DataFrame:
     failed = df.filter(is_failed() & F.col("failure_reason").isNotNull())
-    total = grand_total(failed, N)
+    total = grand_total(failed, rows_n())
     counts = failed.groupBy("failure_reason").agg(_n("failure_count"))
     return top_k(
         counts.withColumn("share_percent", percent(F.col("failure_count"), total)), [F.desc("failure_count"), "failure_reason"], k
@@ -115,7 +116,7 @@ def job_analysis(jobs: DataFrame, k: int = 5) -> dict[str, DataFrame]:
     return {
         "summary": jobs.agg(
             _n("total_runs"), F.count_if(failed).alias("failed_runs"),
-            percent(N - F.count_if(failed), N).alias("success_percent"),
+            percent(rows_n() - F.count_if(failed), rows_n()).alias("success_percent"),
             F.avg(minutes).alias("avg_minutes"), F.max(minutes).alias("max_minutes"),
         ),
         "top_items": top_k(_drop_null(bad, "item_id").groupBy("item_id").agg(_n("failure_count")), [F.desc("failure_count"), "item_id"], k),
@@ -131,7 +132,7 @@ def _kpis() -> list[Column]:
     return [
         _n("total_activities"),
         _failed("failed_activities"),
-        percent(N - F.count_if(is_failed()), N).alias("success_rate"),
+        percent(rows_n() - F.count_if(is_failed()), rows_n()).alias("success_rate"),
         (F.avg("duration_seconds") / 60).alias("avg_duration_minutes"),
         (F.sum("duration_seconds") / 3600).alias("total_duration_hours"),
     ]
@@ -316,8 +317,8 @@ def executive_metrics(df: DataFrame) -> DataFrame:
         F.countDistinct("user_name").alias("unique_users"),
         F.countDistinct("item_name").alias("unique_items"),
         days.alias("analysis_period_days"),
-        F.try_divide(N, days).alias("daily_avg_failures"),
-        F.coalesce(percent(F.count(d), N), F.lit(0.0)).alias("duration_coverage"),
+        F.try_divide(rows_n(), days).alias("daily_avg_failures"),
+        F.coalesce(percent(F.count(d), rows_n()), F.lit(0.0)).alias("duration_coverage"),
         F.avg(d).alias("avg_failure_duration"),
         F.max(d).alias("max_failure_duration"),
     ).withColumn("median_failure_duration", median)
@@ -349,7 +350,7 @@ def worst_performers(df: DataFrame) -> DataFrame:
 
 
 def top_with_share(df: DataFrame, by: Sequence[str], k: int = 20) -> DataFrame:
-    total = grand_total(df, N)
+    total = grand_total(df, rows_n())
     counts = df.groupBy(*by).agg(_n("failure_count")).withColumn("share_percent", percent(F.col("failure_count"), total))
     return top_k(counts, [F.desc("failure_count"), *by], k)
 

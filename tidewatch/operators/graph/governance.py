@@ -10,7 +10,6 @@ from tidewatch.operators.graph.stats import count_related, lacks_edge
 from tidewatch.operators.graph.tables import consumption, matches, sources, tables
 from tidewatch.operators.ranking import top_k, top_k_per_group
 
-ONE = F.lit(1)
 
 
 def orphans(g: Graph, with_mirrors: bool = False) -> DataFrame:
@@ -39,7 +38,7 @@ def cross_workspace(g: Graph, view: str = "edges", minimum: int = 3, k: int = 20
     if view == "edges":
         name = lambda end, p: items(g).select(F.col("item_id").alias(end), F.col("item_name").alias(f"{p}_item"), F.col("item_type").alias(f"{p}_type"))
         return x.join(name("src", "source"), "src").join(name("dst", "target"), "dst").drop("source_ws", "target_ws")
-    counts = x.groupBy(*pair).agg(F.count(ONE).alias("dependency_count"))
+    counts = x.groupBy(*pair).agg(F.count(F.lit(1)).alias("dependency_count"))
     if view == "matrix":
         return counts
     if view == "clusters":
@@ -63,7 +62,7 @@ def duplicate_groups(all_items: DataFrame) -> DataFrame:
     whatever the group sizes."""
     n = F.col("items")
     return (
-        all_items.filter("item_name is not null").groupBy(F.lower("item_name").alias("name")).agg(F.count(ONE).alias("items"), F.min("item_id").alias("first_id"))
+        all_items.filter("item_name is not null").groupBy(F.lower("item_name").alias("name")).agg(F.count(F.lit(1)).alias("items"), F.min("item_id").alias("first_id"))
         .filter("items > 1").withColumn("pairs", (n * (n - 1) / 2).cast("bigint"))
     )
 
@@ -113,11 +112,11 @@ def workspace_details(g: Graph, name: str) -> DataFrame:
 def flow_summary(g: Graph) -> DataFrame:
     """Consumers per source kind, and consuming items per type as leaf or intermediate."""
     per_kind = consumption(g).join(sources(g).select("source_id", "source_type"), "source_id").select("source_type", "item_id").distinct()
-    by_source = per_kind.groupBy(F.col("source_type").alias("name")).agg(F.count(ONE).alias("count")).select(F.lit("consumers").alias("section"), "name", "count")
+    by_source = per_kind.groupBy(F.col("source_type").alias("name")).agg(F.count(F.lit(1)).alias("count")).select(F.lit("consumers").alias("section"), "name", "count")
     depended = rel(g, "DEPENDS_ON").select(F.col("dst").alias("item_id"), F.lit(True).alias("_d")).distinct()
     consuming = consumption(g).select("item_id").distinct().join(items(g), "item_id").join(depended, "item_id", "left")
     position = F.when(F.col("_d"), "intermediate").otherwise("leaf")
-    by_item = consuming.groupBy(position.alias("section"), F.col("item_type").alias("name")).agg(F.count(ONE).alias("count"))
+    by_item = consuming.groupBy(position.alias("section"), F.col("item_type").alias("name")).agg(F.count(F.lit(1)).alias("count"))
     return by_source.unionByName(by_item)
 
 

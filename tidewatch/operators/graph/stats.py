@@ -12,11 +12,10 @@ from tidewatch.functions.basics import round_half_even
 from tidewatch.operators.graph.model import Graph, item_workspace, items, label, rel, with_workspace, workspaces
 from tidewatch.operators.ranking import top_k, top_k_per_group
 
-ONE = F.lit(1)
 
 
 def count_edges(edges: DataFrame, by: str, key: str, alias: str) -> DataFrame:
-    return edges.groupBy(F.col(by).alias(key)).agg(F.count(ONE).alias(alias))
+    return edges.groupBy(F.col(by).alias(key)).agg(F.count(F.lit(1)).alias(alias))
 
 
 def add_counts(df: DataFrame, key: str, *counts: DataFrame) -> DataFrame:
@@ -43,21 +42,21 @@ def sample_names(df: DataFrame, keys: Sequence[str], name: str, k: int, alias: s
 
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per label and relation, and the two totals; each count is independent."""
-    kinds = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count(ONE).alias("count"))
-    rels = edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).agg(F.count(ONE).alias("count"))
+    kinds = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    rels = edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).agg(F.count(F.lit(1)).alias("count"))
     both = kinds.unionByName(rels)
     totals = both.groupBy("kind").agg(F.sum("count").alias("count")).select("kind", F.lit("total").alias("name"), "count")
     return both.unionByName(totals)
 
 
 def count_by_type(g: Graph, kind: str = "Item") -> DataFrame:
-    return label(g, kind).groupBy("type").agg(F.count(ONE).alias("count"))
+    return label(g, kind).groupBy("type").agg(F.count(F.lit(1)).alias("count"))
 
 
 def degrees(g: Graph, *relations: str) -> DataFrame:
     """id, incoming, outgoing over the named relations (all when none is named)."""
     edges = rel(g, *relations) if relations else g.edges.select("src", "dst")
-    ends = F.inline(F.array(F.struct(F.col("src").alias("id"), ONE.alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), ONE.alias("i"))))
+    ends = F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     return edges.select(ends).groupBy("id").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing"))
 
 
@@ -65,7 +64,7 @@ def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     d = degrees(Graph(nodes, edges)).select("id", (F.col("incoming") + F.col("outgoing")).alias("connections"))
     return (
         nodes.select("id", "label").join(d, "id", "left").na.fill(0, ["connections"]).groupBy("label")
-        .agg(F.count(ONE).alias("node_count"), F.avg("connections").alias("avg_connections"), F.min("connections").alias("min_connections"), F.max("connections").alias("max_connections"))
+        .agg(F.count(F.lit(1)).alias("node_count"), F.avg("connections").alias("avg_connections"), F.min("connections").alias("min_connections"), F.max("connections").alias("max_connections"))
     )
 
 
@@ -77,26 +76,26 @@ def _per_workspace(g: Graph, *per_item: DataFrame) -> DataFrame:
 def workspace_stats(g: Graph) -> DataFrame:
     ranked = _per_workspace(
         g, count_edges(rel(g, "DEPENDS_ON"), "src", "item_id", "internal"), count_edges(rel(g, "CONSUMES"), "src", "item_id", "external")
-    ).groupBy("workspace_id").agg(F.count(ONE).alias("item_count"), F.sum("internal").alias("internal_deps"), F.sum("external").alias("external_deps"))
+    ).groupBy("workspace_id").agg(F.count(F.lit(1)).alias("item_count"), F.sum("internal").alias("internal_deps"), F.sum("external").alias("external_deps"))
     return workspaces(g).withColumnRenamed("workspace", "workspace_name").join(ranked, "workspace_id", "left").na.fill(0)
 
 
 def workspace_summary(g: Graph, k: int = 20) -> DataFrame:
-    dependent = rel(g, "DEPENDS_ON").select(F.col("src").alias("item_id"), ONE.alias("has")).distinct()
+    dependent = rel(g, "DEPENDS_ON").select(F.col("src").alias("item_id"), F.lit(1).alias("has")).distinct()
     stats = add_counts(item_workspace(g), "item_id", dependent).groupBy("workspace_id", "workspace").agg(
-        F.count(ONE).alias("item_count"), F.sum("has").alias("items_with_dependencies")
+        F.count(F.lit(1)).alias("item_count"), F.sum("has").alias("items_with_dependencies")
     )
     stats = stats.withColumn("standalone_items", F.col("item_count") - F.col("items_with_dependencies"))
     return top_k(stats, [F.desc("item_count"), "workspace_id"], k)
 
 
 def type_distribution(g: Graph) -> DataFrame:
-    return item_workspace(g).join(items(g), "item_id").groupBy("workspace", "item_type").agg(F.count(ONE).alias("count"))
+    return item_workspace(g).join(items(g), "item_id").groupBy("workspace", "item_type").agg(F.count(F.lit(1)).alias("count"))
 
 
 def complexity(g: Graph, k: int = 20) -> DataFrame:
     d = degrees(g, "DEPENDS_ON", "CONSUMES", "MIRRORS").select(F.col("id").alias("item_id"), (F.col("incoming") + F.col("outgoing")).alias("n"))
-    stats = _per_workspace(g, d).groupBy("workspace").agg(F.count(ONE).alias("items"), F.sum("n").alias("total_relationships"))
+    stats = _per_workspace(g, d).groupBy("workspace").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("total_relationships"))
     stats = stats.withColumn("avg_relationships_per_item", round_half_even(F.col("total_relationships") / F.col("items")))
     return top_k(stats, [F.desc("total_relationships"), "workspace"], k)
 
@@ -112,7 +111,7 @@ def isolated_workspaces(g: Graph) -> DataFrame:
     )
     consuming = rel(g, "CONSUMES").select(F.col("src").alias("item_id"))
     calm = item_workspace(g).join(crossing.unionByName(consuming).distinct(), "item_id", "left_anti")
-    return calm.groupBy(F.col("workspace").alias("isolated_workspace")).agg(F.count(ONE).alias("item_count"))
+    return calm.groupBy(F.col("workspace").alias("isolated_workspace")).agg(F.count(F.lit(1)).alias("item_count"))
 
 
 def top_connected(g: Graph, k: int = 10) -> DataFrame:
@@ -181,13 +180,13 @@ def bridges(g: Graph, k: int = 20) -> DataFrame:
 
 def density(g: Graph, k: int = 20) -> DataFrame:
     home = item_workspace(g)
-    n = home.groupBy("workspace_id", "workspace").agg(F.count(ONE).alias("nodes"))
+    n = home.groupBy("workspace_id", "workspace").agg(F.count(F.lit(1)).alias("nodes"))
     ids = home.select("item_id", "workspace_id")
     inner = (
         rel(g, "DEPENDS_ON")
         .join(ids.select(F.col("item_id").alias("src"), F.col("workspace_id").alias("a")), "src")
         .join(ids.select(F.col("item_id").alias("dst"), F.col("workspace_id").alias("b")), "dst")
-        .filter("a = b").groupBy(F.col("a").alias("workspace_id")).agg(F.count(ONE).alias("edges"))
+        .filter("a = b").groupBy(F.col("a").alias("workspace_id")).agg(F.count(F.lit(1)).alias("edges"))
     )
     value = F.when(F.col("nodes") > 1, round_half_even(2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 4)).otherwise(0.0)
     return top_k(add_counts(n, "workspace_id", inner).withColumn("density", value).drop("workspace_id"), [F.desc("density"), "workspace"], k)
@@ -199,15 +198,15 @@ def type_cooccurrence(g: Graph, k: int = 30) -> DataFrame:
         rel(g, "DEPENDS_ON")
         .join(kinds.select(F.col("item_id").alias("src"), F.col("item_type").alias("source_type")), "src")
         .join(kinds.select(F.col("item_id").alias("dst"), F.col("item_type").alias("target_type")), "dst")
-        .groupBy("source_type", "target_type").agg(F.count(ONE).alias("occurrence_count"))
+        .groupBy("source_type", "target_type").agg(F.count(F.lit(1)).alias("occurrence_count"))
     )
     return top_k(pairs, [F.desc("occurrence_count"), "source_type", "target_type"], k)
 
 
 def maturity(g: Graph, k: int = 20) -> DataFrame:
-    flag = lambda r, name: rel(g, r).select(F.col("src").alias("item_id"), ONE.alias(name)).distinct()
+    flag = lambda r, name: rel(g, r).select(F.col("src").alias("item_id"), F.lit(1).alias(name)).distinct()
     per_item = add_counts(item_workspace(g), "item_id", flag("DEPENDS_ON", "d"), flag("CONSUMES", "c"))
-    stats = per_item.groupBy("workspace").agg(F.count(ONE).alias("item_count"), F.sum("d").alias("items_with_deps"), F.sum("c").alias("items_with_sources"))
+    stats = per_item.groupBy("workspace").agg(F.count(F.lit(1)).alias("item_count"), F.sum("d").alias("items_with_deps"), F.sum("c").alias("items_with_sources"))
     score = round_half_even(100.0 * (F.col("items_with_deps") + F.col("items_with_sources")) / (2 * F.col("item_count")), 1)
     return top_k(stats.withColumn("maturity_score", score), [F.desc("maturity_score"), "workspace"], k)
 
@@ -219,7 +218,7 @@ def source_diversity(g: Graph, k: int = 20) -> DataFrame:
         rel(g, "CONSUMES").join(kinds, "dst").select(F.col("src").alias("item_id"), "type").distinct()
         .join(item_workspace(g), "item_id").select("workspace", "type").distinct()
     )
-    stats = pairs.groupBy("workspace").agg(F.count(ONE).alias("source_type_count"), F.array_sort(F.collect_list("type")).alias("source_types"))
+    stats = pairs.groupBy("workspace").agg(F.count(F.lit(1)).alias("source_type_count"), F.array_sort(F.collect_list("type")).alias("source_types"))
     return top_k(stats, [F.desc("source_type_count"), "workspace"], k)
 
 
@@ -263,7 +262,7 @@ def lineage_statistics(records: DataFrame) -> DataFrame:
     rows = [totals.unpivot([], totals.columns, "name", "count").withColumn("section", F.lit("totals"))]
 
     def section(df: DataFrame, name: str, key: Column) -> None:
-        rows.append(df.groupBy(key.alias("name")).agg(F.count(ONE).alias("count")).withColumn("section", F.lit(name)))
+        rows.append(df.groupBy(key.alias("name")).agg(F.count(F.lit(1)).alias("count")).withColumn("section", F.lit(name)))
 
     section(p.filter("item_id is not null"), "items_by_type", base_type("raw_type"))
     section(p.filter(~lake & named), "sources_by_type", F.col("kind"))

@@ -13,7 +13,6 @@ from tidewatch.operators.graph.model import Graph, item_workspace, items, label,
 from tidewatch.operators.graph.stats import add_counts, count_edges, sample_names
 from tidewatch.operators.ranking import page, top_k
 
-ONE = F.lit(1)
 TABLE_RELATIONS = ("MIRRORS", "USES_TABLE", "PROVIDES_TABLE")
 
 
@@ -41,7 +40,7 @@ def matches(c: str, text: str):
 def source_usage(g: Graph, view: str = "summary", k: int = 20, samples: int = 5) -> DataFrame:
     """``summary``, ``most_used``, ``unused``, ``by_workspace`` or ``by_item``."""
     used = consumption(g)
-    counts = used.groupBy("source_id").agg(F.count(ONE).alias("used_by_items"))
+    counts = used.groupBy("source_id").agg(F.count(F.lit(1)).alias("used_by_items"))
     if view == "summary":
         return add_counts(sources(g).select("source_id", "source_name", "source_type"), "source_id", counts)
     if view == "unused":
@@ -52,10 +51,10 @@ def source_usage(g: Graph, view: str = "summary", k: int = 20, samples: int = 5)
         return best.join(sources(g).select("source_id", "source_name", "source_type"), "source_id").join(sample_names(names, ["source_id"], "item_name", samples, "sample_consumers"), "source_id", "left")
     if view == "by_workspace":
         pairs = used.join(item_workspace(g), "item_id").select("workspace", "source_id").distinct().join(sources(g), "source_id")
-        counted = pairs.groupBy("workspace", "source_type").agg(F.count(ONE).alias("source_count"))
+        counted = pairs.groupBy("workspace", "source_type").agg(F.count(F.lit(1)).alias("source_count"))
         return counted.join(sample_names(pairs, ["workspace", "source_type"], "source_name", 3, "sample_sources"), ["workspace", "source_type"])
     if view == "by_item":
-        per_item = used.groupBy("item_id").agg(F.count(ONE).alias("source_count"))
+        per_item = used.groupBy("item_id").agg(F.count(F.lit(1)).alias("source_count"))
         return top_k(per_item, [F.desc("source_count"), "item_id"], k).join(items(g), "item_id")
     raise ValueError(f"unknown view {view}")
 
@@ -100,7 +99,7 @@ def table_flows(g: Graph) -> DataFrame:
 
 def table_summary(g: Graph) -> DataFrame:
     return tables(g).agg(
-        F.count(ONE).alias("total_tables"), F.count_if(F.col("table_type") == "shortcut").alias("shortcut_tables"),
+        F.count(F.lit(1)).alias("total_tables"), F.count_if(F.col("table_type") == "shortcut").alias("shortcut_tables"),
         F.count("database").alias("mirrored_tables"),
     )
 
@@ -138,10 +137,10 @@ def schema_dependencies(g: Graph, schema: str) -> DataFrame:
 def tables_per(g: Graph, by: str = "database") -> DataFrame:
     """``database`` (database and schema), ``item`` (mirroring items with 5 samples) or ``path``."""
     if by == "database":
-        return tables(g).groupBy("database", "schema").agg(F.count(ONE).alias("table_count"))
+        return tables(g).groupBy("database", "schema").agg(F.count(F.lit(1)).alias("table_count"))
     if by == "item":
         pairs = table_edges(g, "MIRRORS").join(tables(g).select("table_id", "table_name"), "table_id")
-        counts = pairs.groupBy("item_id").agg(F.count(ONE).alias("table_count"))
+        counts = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("table_count"))
         return counts.join(sample_names(pairs, ["item_id"], "table_name", 5, "sample_tables"), "item_id").join(items(g), "item_id")
     return tables(g).select("table_id", "full_path", "database", "schema", "table_name")
 
@@ -179,9 +178,9 @@ def tables_overview(g: Graph, view: str = "relations", minimum: int = 5, min_wor
     if view == "source_kind":
         provided = table_edges(g, "PROVIDES_TABLE").join(items(g).filter(F.col("item_type").isin("Lakehouse", "MirroredDatabase")), "item_id").select("table_id", "item_type")
         kind = F.when(F.col("item_type") == "Lakehouse", "Lakehouse").when((F.col("item_type") == "MirroredDatabase") | F.col("database").isNotNull(), "Snowflake").otherwise("Unknown")
-        return tables(g).join(provided, "table_id", "left").groupBy(kind.alias("source_kind")).agg(F.count(ONE).alias("count"))
+        return tables(g).join(provided, "table_id", "left").groupBy(kind.alias("source_kind")).agg(F.count(F.lit(1)).alias("count"))
     if view == "relations":
-        return table_edges(g).groupBy("rel").agg(F.count(ONE).alias("count"))
+        return table_edges(g).groupBy("rel").agg(F.count(F.lit(1)).alias("count"))
     if view == "orphans":
         return tables(g).join(used.select("table_id").distinct(), "table_id", "left_anti")
     if view == "high_dependency":

@@ -21,12 +21,13 @@ def join_dims(fact: DataFrame, dims: dict[str, DataFrame], how: str = "inner") -
     return fact
 
 
-_ACTIVITIES = F.sum("record_count").alias("activity_count")
-_FAILED = F.sum("is_failed").alias("failed")
-_USERS = F.countDistinct("user_sk").alias("unique_users")
-_ITEMS = F.countDistinct("item_sk").alias("unique_items")
-_SPACES = F.countDistinct("workspace_sk").alias("unique_workspaces")
-_DURATION = F.sum("duration_seconds").alias("total_duration")
+def _m(*names: str) -> list:
+    """The named measures of the fact as aggregates."""
+    made = {
+        "activity_count": F.sum("record_count"), "failed": F.sum("is_failed"), "unique_users": F.countDistinct("user_sk"),
+        "unique_items": F.countDistinct("item_sk"), "unique_workspaces": F.countDistinct("workspace_sk"), "total_duration": F.sum("duration_seconds"),
+    }
+    return [made[n].alias(n) for n in names]
 
 
 def _failure_rate():
@@ -38,14 +39,14 @@ def _by(fact: DataFrame, key: str, *aggs) -> DataFrame:
 
 
 def top_workspaces(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
-    stats = top_k(_by(fact, "workspace_sk", _ACTIVITIES, _USERS, _DURATION, _FAILED), [F.desc("activity_count"), "workspace_sk"], k)
+    stats = top_k(_by(fact, "workspace_sk", *_m("activity_count", "unique_users", "total_duration", "failed")), [F.desc("activity_count"), "workspace_sk"], k)
     named = join_dims(stats, {"workspace_sk": dims.workspace.select("workspace_sk", "workspace_name", "environment")}, "left")
     return named.withColumns({"duration_hrs": round_half_even(F.col("total_duration") / 3600), "failure_rate": _failure_rate()})
 
 
 def activity_types(fact: DataFrame, dims: Dims, k: int = 15) -> dict[str, DataFrame]:
     stats = join_dims(
-        _by(fact, "activity_type_sk", _ACTIVITIES, _FAILED),
+        _by(fact, "activity_type_sk", *_m("activity_count", "failed")),
         {"activity_type_sk": F.broadcast(dims.activity_type.select("activity_type_sk", "activity_type", "activity_category"))},
     ).withColumn("success_rate", round_half_even(100 * (1 - F.col("failed") / F.col("activity_count"))))
     return {
@@ -80,25 +81,25 @@ def failure_overview(fact: DataFrame, dims: Dims, k: int = 5) -> dict[str, DataF
 
 
 def top_items(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
-    stats = _by(fact, "item_sk", _ACTIVITIES, _USERS, _DURATION, _FAILED)
+    stats = _by(fact, "item_sk", *_m("activity_count", "unique_users", "total_duration", "failed"))
     named = join_dims(stats, {"item_sk": dims.item.select("item_sk", "item_name", "item_type", "item_category")})
     return top_k(named, [F.desc("activity_count"), "item_sk"], k)
 
 
 def by_hour(fact: DataFrame, dim_time: DataFrame) -> DataFrame:
-    slots = _by(fact, "time_sk", _ACTIVITIES)
+    slots = _by(fact, "time_sk", *_m("activity_count"))
     named = join_dims(slots, {"time_sk": F.broadcast(dim_time.select("time_sk", "hour_24", "time_period"))})
     return named.groupBy("hour_24", "time_period").agg(F.sum("activity_count").alias("total_activities"))
 
 
 def top_users(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
-    stats = _by(fact, "user_sk", _ACTIVITIES, _ITEMS, _SPACES, _FAILED)
+    stats = _by(fact, "user_sk", *_m("activity_count", "unique_items", "unique_workspaces", "failed"))
     named = join_dims(stats, {"user_sk": dims.user.select("user_sk", "user_principal_name", "domain", "user_type")})
     return top_k(named, [F.desc("activity_count"), "user_sk"], k)
 
 
 def by_weekday(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
-    days = _by(fact, "date_sk", _ACTIVITIES, _USERS, _FAILED)
+    days = _by(fact, "date_sk", *_m("activity_count", "unique_users", "failed"))
     named = join_dims(days, {"date_sk": dim_date.select("date_sk", "day_of_week", "day_of_week_name", "is_weekend")})
     return named.groupBy("day_of_week", "day_of_week_name", "is_weekend").agg(
         F.sum("activity_count").alias("activity_count"), F.avg("unique_users").alias("unique_users"), F.sum("failed").alias("failed")
@@ -108,13 +109,13 @@ def by_weekday(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
 def by_environment(fact: DataFrame, dims: Dims) -> DataFrame:
     """Distinct users and items need the event rows, so these join before aggregating."""
     env = dims.workspace.select("workspace_sk", "environment").distinct()
-    stats = join_dims(fact, {"workspace_sk": env}).groupBy("environment").agg(_ACTIVITIES, _USERS, _ITEMS, _SPACES, _DURATION, _FAILED)
+    stats = join_dims(fact, {"workspace_sk": env}).groupBy("environment").agg(*_m("activity_count", "unique_users", "unique_items", "unique_workspaces", "total_duration", "failed"))
     return stats.withColumns({"duration_hrs": round_half_even(F.col("total_duration") / 3600), "failure_rate": _failure_rate()})
 
 
 def by_category(fact: DataFrame, dims: Dims) -> DataFrame:
     cat = dims.item.select("item_sk", "item_category").distinct()
-    stats = join_dims(fact, {"item_sk": cat}).groupBy("item_category").agg(_ACTIVITIES, _ITEMS, _USERS, _FAILED)
+    stats = join_dims(fact, {"item_sk": cat}).groupBy("item_category").agg(*_m("activity_count", "unique_items", "unique_users", "failed"))
     return stats.withColumn("failure_rate", _failure_rate())
 
 
@@ -132,7 +133,7 @@ def long_running(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
 
 
 def collaboration(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
-    stats = _by(fact, "workspace_sk", _USERS, _ITEMS, _ACTIVITIES)
+    stats = _by(fact, "workspace_sk", *_m("unique_users", "unique_items", "activity_count"))
     named = join_dims(stats, {"workspace_sk": dims.workspace.select("workspace_sk", "workspace_name", "environment")})
     best = top_k(named, [F.desc("unique_users"), "workspace_sk"], k)
     return best.withColumn("activities_per_user", round_half_even(F.try_divide("activity_count", "unique_users"), 1))
@@ -140,7 +141,7 @@ def collaboration(fact: DataFrame, dims: Dims, k: int = 10) -> DataFrame:
 
 def monthly(fact: DataFrame, dim_date: DataFrame, k: int = 12) -> DataFrame:
     dated = join_dims(fact, {"date_sk": dim_date.select("date_sk", "year", "month_number", "month_name")})
-    stats = dated.groupBy("year", "month_number", "month_name").agg(_ACTIVITIES, _USERS, _ITEMS, _FAILED)
+    stats = dated.groupBy("year", "month_number", "month_name").agg(*_m("activity_count", "unique_users", "unique_items", "failed"))
     return top_k(stats, [F.desc("year"), F.desc("month_number")], k).withColumn("failure_rate", _failure_rate())
 
 

@@ -16,32 +16,34 @@ from tidewatch import constants as K
 from tidewatch.functions.labels import failure_colour, rate_colour, trend_colour, trend_mark
 from tidewatch.operators.ranking import dense_rank_desc, peak_hour as _peak_hour, top_k
 
-ROWS = F.col("record_count")
-
-
 def _sum(condition: Column | None = None) -> Column:
     """Sum of the record count under a condition; null when nothing matches."""
-    return F.sum(ROWS if condition is None else F.when(condition, ROWS))
+    rows = F.col("record_count")
+    return F.sum(rows if condition is None else F.when(condition, rows))
 
 
 def _pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.try_divide(part, whole) * 100)
 
 
-TOTAL = _sum()
-FAILED = _sum(F.col("is_failed") == 1)
+def total() -> Column:
+    return _sum()
+
+
+def failed() -> Column:
+    return _sum(F.col("is_failed") == 1)
 
 
 def totals(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return fact.groupBy(*by).agg(
-        TOTAL.alias("total_activities"), FAILED.alias("failed_activities"),
+        total().alias("total_activities"), failed().alias("failed_activities"),
         _sum(F.col("is_failed") == 0).alias("successful_activities"),
     )
 
 
 def rates(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    failed = F.coalesce(FAILED, F.lit(0))
-    return fact.groupBy(*by).agg(_pct(TOTAL - failed, TOTAL).alias("success_rate"), _pct(FAILED, TOTAL).alias("failure_rate"))
+    bad = F.coalesce(failed(), F.lit(0))
+    return fact.groupBy(*by).agg(_pct(total() - bad, total()).alias("success_rate"), _pct(failed(), total()).alias("failure_rate"))
 
 
 def _distinct_with_blank(c: str) -> Column:
@@ -69,7 +71,7 @@ def durations(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def long_running_rate(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     slow = _sum(F.col("is_long_running") == 1)
-    return fact.groupBy(*by).agg(slow.alias("long_running_activities"), _pct(slow, TOTAL).alias("long_running_rate"))
+    return fact.groupBy(*by).agg(slow.alias("long_running_activities"), _pct(slow, total()).alias("long_running_rate"))
 
 
 # ---- time intelligence -------------------------------------------------------------
@@ -146,7 +148,7 @@ def by_environment_values(fact: DataFrame, dim_workspace: DataFrame, by: Sequenc
     """Counts are pre-aggregated per workspace, then the environment is attached.
 
     A blank environment is not production, so it counts on the non-production side."""
-    per_ws = fact.groupBy(*by, "workspace_sk").agg(TOTAL.alias("n"), F.coalesce(FAILED, F.lit(0)).alias("f"))
+    per_ws = fact.groupBy(*by, "workspace_sk").agg(total().alias("n"), F.coalesce(failed(), F.lit(0)).alias("f"))
     env = per_ws.join(dim_workspace.select("workspace_sk", "environment"), "workspace_sk", "left")
     n = lambda e: F.sum(F.when(F.col("environment") == e, F.col("n")))
     prd_failed = F.sum(F.when(F.col("environment") == "PRD", F.col("f")))
@@ -160,7 +162,7 @@ def by_environment_values(fact: DataFrame, dim_workspace: DataFrame, by: Sequenc
 def by_category_values(fact: DataFrame, dim_activity_type: DataFrame, cats: Sequence[str] = tuple(K.MEASURE_CATEGORIES), by: Sequence[str] = (), attribute: str = "activity_category", key: str = "activity_type_sk") -> DataFrame:
     """One column per category. Pass the item dimension with ``attribute='item_type'`` and
     ``key='item_sk'`` to filter on item types instead."""
-    per_key = fact.groupBy(*by, key).agg(TOTAL.alias("n"))
+    per_key = fact.groupBy(*by, key).agg(total().alias("n"))
     named = per_key.join(dim_activity_type.select(key, attribute), key, "left")
     return named.groupBy(*by).agg(
         *[F.sum(F.when(F.col(attribute) == c, F.col("n"))).alias(f"{c.lower()}_activities") for c in cats]
@@ -168,7 +170,7 @@ def by_category_values(fact: DataFrame, dim_activity_type: DataFrame, cats: Sequ
 
 
 def per_member_avg(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    zero = lambda c: F.coalesce(F.try_divide(TOTAL, c), F.lit(0.0))
+    zero = lambda c: F.coalesce(F.try_divide(total(), c), F.lit(0.0))
     return fact.groupBy(*by).agg(
         zero(_distinct_with_blank("user_sk")).alias("activities_per_user"),
         zero(_distinct_with_blank("workspace_sk")).alias("activities_per_workspace"),
@@ -176,7 +178,7 @@ def per_member_avg(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def top_user_value(fact: DataFrame, dim_user: DataFrame) -> DataFrame:
-    per_user = fact.filter("user_sk is not null").groupBy("user_sk").agg(TOTAL.alias("total_activities"))
+    per_user = fact.filter("user_sk is not null").groupBy("user_sk").agg(total().alias("total_activities"))
     return per_user.join(dim_user.select("user_sk", "user_principal_name"), "user_sk").select("user_principal_name", "total_activities")
 
 
@@ -185,14 +187,14 @@ def user_rank(fact: DataFrame, dim_user: DataFrame) -> DataFrame:
 
 
 def workspace_rank(fact: DataFrame, dim_workspace: DataFrame) -> DataFrame:
-    per_ws = fact.filter("workspace_sk is not null").groupBy("workspace_sk").agg(TOTAL.alias("n"))
+    per_ws = fact.filter("workspace_sk is not null").groupBy("workspace_sk").agg(total().alias("n"))
     named = per_ws.join(dim_workspace.select("workspace_sk", "workspace_name"), "workspace_sk")
     by_name = named.groupBy("workspace_name").agg(F.sum("n").alias("total_activities"))
     return dense_rank_desc(by_name, "total_activities", "workspace_rank")
 
 
 def hours_split(fact: DataFrame, dim_time: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    per_slot = fact.groupBy(*by, "time_sk").agg(TOTAL.alias("n"))
+    per_slot = fact.groupBy(*by, "time_sk").agg(total().alias("n"))
     named = per_slot.join(F.broadcast(dim_time.select("time_sk", "is_business_hours")), "time_sk", "left")
     return named.groupBy(*by).agg(
         F.sum(F.when(F.col("is_business_hours"), F.col("n"))).alias("business_hours_activities"),
@@ -201,22 +203,22 @@ def hours_split(fact: DataFrame, dim_time: DataFrame, by: Sequence[str] = ()) ->
 
 
 def peak_hour(fact: DataFrame, dim_time: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    per_slot = fact.filter("time_sk is not null").groupBy(*by, "time_sk").agg(TOTAL.alias("n"))
+    per_slot = fact.filter("time_sk is not null").groupBy(*by, "time_sk").agg(total().alias("n"))
     hourly = per_slot.join(F.broadcast(dim_time.select("time_sk", "hour_24")), "time_sk").groupBy(*by, "hour_24").agg(F.sum("n").alias("total_activities"))
     return _peak_hour(hourly, by=by)
 
 
 def daily_series(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Every calendar day, null where nothing happened."""
-    daily = fact.groupBy("date_sk").agg(TOTAL.alias("total_activities"))
+    daily = fact.groupBy("date_sk").agg(total().alias("total_activities"))
     return dim_date.select("date_sk", "full_date").join(daily, "date_sk", "left")
 
 
 def run_counts(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ok = _sum(F.col("is_success") == 1)
     return fact.groupBy(*by).agg(
-        _sum(F.col("invoke_type") == "Scheduled").alias("scheduled_runs"), _pct(F.coalesce(ok, F.lit(0)), TOTAL).alias("completed_rate"),
-        TOTAL.alias("total_activities"),
+        _sum(F.col("invoke_type") == "Scheduled").alias("scheduled_runs"), _pct(F.coalesce(ok, F.lit(0)), total()).alias("completed_rate"),
+        total().alias("total_activities"),
     )
 
 
@@ -251,8 +253,8 @@ def period_leaders(fact: DataFrame, dims: dict[str, DataFrame], as_of, by: str,
 def scorecard(fact: DataFrame, as_of, by: Sequence[str]) -> DataFrame:
     """Rates with their colours and trend marks."""
     table = fact.groupBy(*by).agg(
-        _pct(TOTAL - F.coalesce(FAILED, F.lit(0)), TOTAL).alias("success_rate"),
-        F.coalesce(FAILED, F.lit(0)).alias("failed_activities"),
+        _pct(total() - F.coalesce(failed(), F.lit(0)), total()).alias("success_rate"),
+        F.coalesce(failed(), F.lit(0)).alias("failed_activities"),
         *[Periods(as_of).value(n) for n in ("activities_today", "activities_yesterday")],
     ).withColumn("dod_change_pct", _change("activities_today", "activities_yesterday"))
     return table.withColumns(

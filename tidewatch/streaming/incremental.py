@@ -83,12 +83,15 @@ def recompute_daily(facts: DataFrame, daily: DataFrame, touched: DataFrame) -> D
 
 
 def append_facts(spark: SparkSession, new: DataFrame, fact_path: str, daily_path: str) -> None:
-    """Append unseen facts and bring the daily aggregate up to date; safe to repeat."""
-    existing = spark.read.parquet(fact_path)
+    """Append unseen facts and bring the daily aggregate up to date; safe to repeat, and
+    good for a first load into empty folders."""
+    existing = spark.read.schema(new.schema).parquet(fact_path)
     added = new_facts(new, existing)
     staged = _stage(added)
     staged.write.mode("append").partitionBy("activity_date").parquet(fact_path)
-    daily = recompute_daily(spark.read.parquet(fact_path), spark.read.parquet(daily_path), staged)
+    facts = spark.read.schema(new.schema).parquet(fact_path)
+    before = spark.read.schema(daily_metrics(new).schema).parquet(daily_path)
+    daily = recompute_daily(facts, before, staged)
     overwrite_safely(daily, daily_path)
 
 
