@@ -76,7 +76,7 @@ def test_trailing_average_over_calendar_days(df):
 
 def test_first_per_key_prefers_present_times(df):
     d = df([("k", None, "late"), ("k", 5, "five"), ("k", 3, "three"), (None, 1, "x")], "k string, t int, v string")
-    assert rows(RK.first_per_key(d, "k", ["t"]), "k", "v") == [("k", "three")]
+    assert rows(RK.first_per_key(d, "k", "t"), "k", "v") == [("k", "three")]
 
 
 def test_cooccurrence_counts_distinct_pairs_once_per_window(df):

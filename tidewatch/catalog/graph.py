@@ -119,9 +119,10 @@ reg("consumers_of_source_type", "SELECT item_id, source_id, source_name, source_
 reg("items_using_table", """SELECT item_id, table_id, rel AS relationship, table_name, schema, database, item_name, item_type, workspace_id, workspace FROM te JOIN tabs USING (table_id) JOIN items USING (item_id) LEFT JOIN home USING (item_id)
  WHERE rel IN ('MIRRORS','USES_TABLE') AND lower(table_name) LIKE '%tbl_1%'""".replace("'%tbl_1%'", "'%tbl\\_1%' ESCAPE '\\'"), lambda s, d: GT.items_using_table(G(s, d), "TBL_1"))
 reg("table_lineage", """SELECT tabs.*, r.item_id, r.relationship, r.item_name FROM tabs LEFT JOIN (SELECT table_id, item_id, rel AS relationship, item_name FROM te JOIN items USING (item_id)) r USING (table_id)""", lambda s, d: GT.table_lineage(G(s, d)))
-reg("table_flows", """SELECT p.table_id, p.item_id AS source_id, pi.item_name AS source_item, ph.workspace AS source_workspace, u.item_id AS target_id, ui.item_name AS target_item, uh.workspace AS target_workspace, table_name, schema
- FROM te p JOIN te u ON p.table_id=u.table_id AND p.rel='PROVIDES_TABLE' AND u.rel='USES_TABLE' JOIN items pi ON pi.item_id=p.item_id JOIN items ui ON ui.item_id=u.item_id JOIN home ph ON ph.item_id=p.item_id
- JOIN home uh ON uh.item_id=u.item_id JOIN tabs ON tabs.table_id=p.table_id""", lambda s, d: GT.table_flows(G(s, d)))
+reg("table_flows", """, pr AS (SELECT p.table_id, count(*) AS flow_count, count(*) FILTER (WHERE ph.workspace_id<>uh.workspace_id) AS crossing_count FROM te p JOIN te u ON p.table_id=u.table_id AND p.rel='PROVIDES_TABLE' AND u.rel='USES_TABLE'
+ JOIN home ph ON ph.item_id=p.item_id JOIN home uh ON uh.item_id=u.item_id GROUP BY 1)
+ SELECT table_id, item_id, CASE WHEN rel='PROVIDES_TABLE' THEN 'source' ELSE 'target' END AS role, workspace, item_name, flow_count, crossing_count, table_name, schema
+ FROM te JOIN home USING (item_id) JOIN items USING (item_id) JOIN pr USING (table_id) JOIN tabs USING (table_id) WHERE rel<>'MIRRORS'""", lambda s, d: GT.table_flows(G(s, d)))
 reg("table_summary", "SELECT count(*) AS total_tables, count(*) FILTER (WHERE table_type='shortcut') AS shortcut_tables, count(database) AS mirrored_tables FROM tabs", lambda s, d: GT.table_summary(G(s, d)))
 reg("table_dependencies", """SELECT tabs.*, r.relationship, r.item_name, r.item_type, r.workspace FROM tabs LEFT JOIN (SELECT DISTINCT table_id, rel AS relationship, item_name, item_type, workspace FROM te JOIN items USING (item_id) LEFT JOIN home USING (item_id)) r
  USING (table_id) WHERE contains(lower(table_name), 'tbl_2')""", lambda s, d: GT.table_dependencies(G(s, d), "tbl_2"))

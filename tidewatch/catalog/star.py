@@ -74,7 +74,7 @@ FACT_COLS = """event_id, activity_id, date_sk, time_sk, activity_date, workspace
 @query("fact_activity", fact(f"SELECT {FACT_COLS} FROM fact"))
 def _(s, d):
     a = A(s, d)
-    return FA.fact_activity(a, FA.build_dims(a, as_of=DAY))
+    return FA.fact_activity(a, FA.stored(FA.build_dims(a, as_of=DAY)))
 
 
 @query("fact_from_log", fact(f"SELECT {FACT_COLS} FROM fact"))

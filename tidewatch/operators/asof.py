@@ -54,7 +54,7 @@ def asof_join(
     l = left.filter(usable).select(  # noqa: E741
         F.col(by).alias("_k"),
         epoch_micros(left_on).alias("_t"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
+        F.struct("*").alias("_l"),
     ).withColumn("_cell", F.floor(F.col("_t") / width))
 
     hit = F.struct("_t", "_tie", "_r")
@@ -111,7 +111,7 @@ def asof_join(
     merged = (
         matched.filter("_side = 1")
         .withColumn("_best", best["_r"])
-        .select(*[F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_best.{named[c]}") for c in payload])
+        .select("_l.*", "_best.*")
     )
     aside = left.filter(~F.coalesce(usable, F.lit(False))).select(
         "*", *[F.lit(None).cast(right.schema[c].dataType).alias(named[c]) for c in payload]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 from tidewatch.functions.basics import first_non_empty
+from tidewatch.operators.ranking import first_per_key
 
 MAX_REQUIREMENTS = 1000
 
@@ -69,7 +70,8 @@ def member_roles(members: DataFrame, principals: Sequence[str] | None = None, or
     if principals is not None:
         who = who.filter(F.col("principal").isin([p.lower() for p in principals]))
     role = first_non_empty(["groupUserAccessRight", "role"])
-    return who.filter("principal is not null").groupBy("workspace_id", "principal").agg(F.min_by(role, F.col(order)).alias("current_role"))
+    named = who.filter("principal is not null and workspace_id is not null").select("workspace_id", "principal", role.alias("current_role"), order)
+    return first_per_key(named, ["workspace_id", "principal"], order, ["current_role"])
 
 
 def assess_access(ws: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:

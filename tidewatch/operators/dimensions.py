@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +101,7 @@ def _optional(df: DataFrame, name: str, default: str | None) -> Column:
     return F.col(name) if name in df.columns else F.lit(default).cast("string").alias(name)
 
 
-FIRST_SEEN = ("start_time", "event_id")
-
-
-def dim_workspace(acts: DataFrame, existing: DataFrame | None = None, as_of=None, order: Sequence[str] = FIRST_SEEN) -> DataFrame:
+def dim_workspace(acts: DataFrame, existing: DataFrame | None = None, as_of=None, order: str = "start_time") -> DataFrame:
     """One member per workspace id, described by its earliest event."""
     src = acts.filter("workspace_id <> ''").select(
         "workspace_id", "workspace_name",
@@ -114,7 +109,7 @@ def dim_workspace(acts: DataFrame, existing: DataFrame | None = None, as_of=None
         _optional(acts, "capacity_id", None).alias("capacity_id"),
         _optional(acts, "domain", "General").alias("domain"),
         _optional(acts, "location", "Global").alias("location"),
-        *order,
+        order,
     )
     members = first_per_key(src, "workspace_id", order, ["workspace_name", "workspace_type", "capacity_id", "domain", "location"])
     name = F.coalesce(F.when(F.col("workspace_name") != "", F.col("workspace_name")), F.lit("Unknown"))
@@ -123,8 +118,8 @@ def dim_workspace(acts: DataFrame, existing: DataFrame | None = None, as_of=None
     return dim if existing is None else upkeep(dim, existing, "workspace_id")
 
 
-def dim_item(acts: DataFrame, lineage: DataFrame | None = None, existing: DataFrame | None = None, as_of=None, order: Sequence[str] = FIRST_SEEN) -> DataFrame:
-    src = acts.filter("item_id <> ''").select("item_id", "item_name", "item_type", "workspace_id", "workspace_name", *order)
+def dim_item(acts: DataFrame, lineage: DataFrame | None = None, existing: DataFrame | None = None, as_of=None, order: str = "start_time") -> DataFrame:
+    src = acts.filter("item_id <> ''").select("item_id", "item_name", "item_type", "workspace_id", "workspace_name", order)
     members = first_per_key(src, "item_id", order, ["item_name", "item_type", "workspace_id", "workspace_name"])
     known = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("Unknown"))
     dim = members.withColumns({"item_name": known("item_name"), "item_type": known("item_type")}).withColumns(
@@ -148,12 +143,8 @@ def attach_lineage(items: DataFrame, lineage: DataFrame, order: str = "seq") ->
     present = [
         (F.col(f"`{c}`") if c in lineage.columns else F.lit(None)).cast("string").alias(n) for n, c in fields.items()
     ]
-    last = (
-        lineage.filter(F.col("`Item ID`") != "")
-        .groupBy(F.col("`Item ID`").alias("item_id"))
-        .agg(F.max_by(F.struct(*present), F.col(order)).alias("_l"))
-        .select("item_id", "_l.*")
-    )
+    named = lineage.filter(F.col("`Item ID`") != "").select(F.col("`Item ID`").alias("item_id"), *present, F.col(order).alias("_seq"))
+    last = first_per_key(named, "item_id", "_seq", list(fields), last=True)
     return items.join(last, "item_id", "left")
 
 

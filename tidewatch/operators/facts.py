@@ -12,6 +12,7 @@ from tidewatch.functions.basics import percent, round_half_even, surrogate_key
 from tidewatch.functions.labels import date_time_keys, fact_flags
 from tidewatch.operators import dimensions as D
 from tidewatch.operators.ranking import trailing_avg
+from tidewatch.session import cut_lineage
 
 
 class Dims(NamedTuple):
@@ -30,6 +31,14 @@ def build_dims(acts: DataFrame, lineage: DataFrame | None = None, as_of=None) ->
     )
 
 
+def stored(dims: Dims) -> Dims:
+    """The growing dimensions as written tables, so that joins to them are planned by their
+    true size: broadcast when small, shuffled otherwise."""
+    return dims._replace(
+        workspace=cut_lineage(dims.workspace, "dim_workspace"), item=cut_lineage(dims.item, "dim_item"), user=cut_lineage(dims.user, "dim_user")
+    )
+
+
 def _current(dim: DataFrame) -> DataFrame:
     return dim.filter("is_current") if "is_current" in dim.columns else dim
 
@@ -48,9 +57,10 @@ def resolve_keys(df: DataFrame, dims: Dims) -> DataFrame:
     user = _current(dims.user).select(F.col("user_principal_name").alias("submitted_by"), "user_sk")
     kinds = F.broadcast(dims.activity_type.select("activity_type", F.col("activity_type_sk").alias("_type")))
     states = F.broadcast(dims.status.select(F.col("status_code").alias("_code"), F.col("status_sk").alias("_status")))
+    unresolved = F.when(F.col("_ws_by_id").isNull(), F.col("workspace_name"))
     joined = (
         df.join(by_id, "workspace_id", "left")
-        .join(by_name, "workspace_name", "left")
+        .join(by_name.withColumnRenamed("workspace_name", "_name"), unresolved == F.col("_name"), "left")
         .join(item, "item_id", "left")
         .join(user, "submitted_by", "left")
         .join(kinds, "activity_type", "left")
@@ -62,40 +72,37 @@ def resolve_keys(df: DataFrame, dims: Dims) -> DataFrame:
             "activity_type_sk": F.coalesce("_type", F.lit(K.UNKNOWN_ACTIVITY_TYPE_SK)),
             "status_sk": F.coalesce("_status", F.lit(K.UNKNOWN_STATUS_SK)),
         }
-    ).drop("_ws_by_id", "_ws_by_name", "_type", "_code", "_status")
+    ).drop("_ws_by_id", "_ws_by_name", "_name", "_type", "_code", "_status")
 
 
 def hashed_keys(df: DataFrame) -> DataFrame:
     """The keys of :func:`resolve_keys` for dimensions built from these same activities.
 
     Growing-dimension keys are hashes of natural keys, so for such a fact the lookups are
-    expressions and need no join. Only rows without a workspace id look their name up.
+    expressions and need no join: the bulk of the rows never moves. Only rows without a
+    workspace id, kept apart, look their name up.
     """
-    present = F.col("workspace_id") != ""
+    present = F.coalesce(F.col("workspace_id") != "", F.lit(False))
+    type_sk = F.create_map(*[F.lit(x) for i, t in enumerate(K.ACTIVITY_TYPES, 1) for x in (t[0], i)])
+    status_sk = F.create_map(*[F.lit(x) for i, s in enumerate(K.STATUSES, 1) for x in (s[0], i)])
+    find = lambda m, c, default: F.coalesce(F.try_element_at(m, F.coalesce(c, F.lit(""))), F.lit(default))
+    keyed = df.withColumns(
+        {
+            "item_sk": F.when(F.col("item_id") != "", surrogate_key("item", "item_id")),
+            "user_sk": F.when(F.col("submitted_by") != "", surrogate_key("user", "submitted_by")),
+            "activity_type_sk": find(type_sk, F.col("activity_type"), K.UNKNOWN_ACTIVITY_TYPE_SK),
+            "status_sk": find(status_sk, F.coalesce("status", F.lit("Unknown")), K.UNKNOWN_STATUS_SK),
+        }
+    )
     by_name = (
         df.filter(present)
         .select("workspace_id", "workspace_name")
         .distinct()
-        .groupBy(F.col("workspace_name").alias("_name"))
-        .agg(F.max(surrogate_key("workspace", "workspace_id")).alias("_ws_by_name"))
-    )
-    asked = F.when(~F.coalesce(present, F.lit(False)), F.col("workspace_name"))
-    type_sk = F.create_map(*[F.lit(x) for i, t in enumerate(K.ACTIVITY_TYPES, 1) for x in (t[0], i)])
-    status_sk = F.create_map(*[F.lit(x) for i, s in enumerate(K.STATUSES, 1) for x in (s[0], i)])
-    find = lambda m, c, default: F.coalesce(F.try_element_at(m, F.coalesce(c, F.lit(""))), F.lit(default))
-    return (
-        df.join(by_name, asked == F.col("_name"), "left")
-        .withColumns(
-            {
-                "workspace_sk": F.coalesce(F.when(present, surrogate_key("workspace", "workspace_id")), "_ws_by_name"),
-                "item_sk": F.when(F.col("item_id") != "", surrogate_key("item", "item_id")),
-                "user_sk": F.when(F.col("submitted_by") != "", surrogate_key("user", "submitted_by")),
-                "activity_type_sk": find(type_sk, F.col("activity_type"), K.UNKNOWN_ACTIVITY_TYPE_SK),
-                "status_sk": find(status_sk, F.coalesce("status", F.lit("Unknown")), K.UNKNOWN_STATUS_SK),
-            }
-        )
-        .drop("_name", "_ws_by_name")
+        .groupBy("workspace_name")
+        .agg(F.max(surrogate_key("workspace", "workspace_id")).alias("workspace_sk"))
     )
+    direct = keyed.filter(present).withColumn("workspace_sk", surrogate_key("workspace", "workspace_id"))
+    return direct.unionByName(keyed.filter(~present).join(by_name, "workspace_name", "left"))
 
 
 def fact_from_log(acts: DataFrame, extracted_at: Column | None = None) -> DataFrame:
@@ -208,7 +215,7 @@ class StarSchema(NamedTuple):
 
 
 def build_schema(acts: DataFrame, lineage: DataFrame | None = None, incremental: bool = False, existing: Dims | None = None, hwm=None, as_of=None) -> StarSchema:
-    """The whole model as lazy frames; ``incremental`` extends ``existing`` dimensions and
+    """The whole model; dimensions are written first, facts stay lazy. ``incremental`` extends ``existing`` dimensions and
     takes only events above ``hwm``."""
     spark: SparkSession = acts.sparkSession
     dims = build_dims(acts, lineage, as_of)
@@ -218,6 +225,7 @@ def build_schema(acts: DataFrame, lineage: DataFrame | None = None, incremental:
             item=D.upkeep(dims.item, existing.item, "item_id"),
             user=D.upkeep(dims.user, existing.user, "user_principal_name"),
         )
+    dims = stored(dims)
     fact = fact_activity(acts, dims, hwm if incremental else None)
     return StarSchema(D.dim_date_for(acts), D.dim_time(spark), dims, fact, daily_metrics(fact), user_metrics(fact))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch import constants as K
 from tidewatch.functions.lineage import base_type, parse_connection, source_details, source_id, table_id
 from tidewatch.operators.graph.model import Graph
+from tidewatch.operators.ranking import first_per_key
 from tidewatch.session import cut_lineage
 
 DEFINITION_DDL = """struct<properties: struct<
@@ -52,8 +53,7 @@ def parsed(records: DataFrame) -> DataFrame:
 
 
 def _first(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    row = F.min_by(F.struct(*cols), F.col("seq"))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(row.alias("_r")).select(key, "_r.*")
+    return first_per_key(df.select(key, *cols, "seq"), key, "seq", cols)
 
 
 def split_dependencies(p: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -83,18 +83,20 @@ def table_lineage(g: Graph) -> DataFrame:
 
 
 def table_flows(g: Graph) -> DataFrame:
-    """Provider to user through a shared table, with both workspaces.
+    """Tables that are both provided and used: one row per provider (``source``) and user
+    (``target``), with the number of flows through the table and of those that cross
+    workspaces.
 
-    Names are attached to each side before the join on the table, which is by key; its
-    output is the flow list itself.
+    A flow is any (source, target) pair of a table. Pairs are counted, not listed: a table
+    with many of both would give their product. Rows are linear in the edges.
     """
-    side = lambda r, item, ws: (
-        table_edges(g, r).join(items(g).select("item_id", F.col("item_name").alias(item)), "item_id")
-        .join(item_workspace(g).select("item_id", F.col("workspace").alias(ws)), "item_id").drop("rel")
-    )
-    source = side("PROVIDES_TABLE", "source_item", "source_workspace").withColumnRenamed("item_id", "source_id")
-    target = side("USES_TABLE", "target_item", "target_workspace").withColumnRenamed("item_id", "target_id")
-    return source.join(target, "table_id").join(tables(g).select("table_id", "table_name", "schema"), "table_id")
+    sides = table_edges(g, "PROVIDES_TABLE", "USES_TABLE").join(item_workspace(g), "item_id")
+    source, target = F.col("rel") == "PROVIDES_TABLE", F.col("rel") == "USES_TABLE"
+    per_ws = sides.groupBy("table_id", "workspace_id").agg(F.count_if(source).alias("p"), F.count_if(target).alias("u"))
+    flows = per_ws.groupBy("table_id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum(F.col("p") * F.col("u")).alias("same"))
+    flows = flows.filter("p > 0 and u > 0").select("table_id", (F.col("p") * F.col("u")).alias("flow_count"), (F.col("p") * F.col("u") - F.col("same")).alias("crossing_count"))
+    named = sides.select("table_id", "item_id", F.when(source, "source").otherwise("target").alias("role"), "workspace").join(items(g).select("item_id", "item_name"), "item_id")
+    return named.join(flows, "table_id").join(tables(g).select("table_id", "table_name", "schema"), "table_id")
 
 
 def table_summary(g: Graph) -> DataFrame:

@@ -20,17 +20,27 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.withColumn("_rn", rank).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """First row per key in the given order, with map-side combining; null keys are dropped."""
+def first_per_key(df: DataFrame, key: str | Sequence[str], order: str, columns: Sequence[str] | None = None, last: bool = False) -> DataFrame:
+    """The row of the least (or greatest) ``order`` per key; null keys are dropped, a null
+    order comes last, and equal orders are settled by the columns themselves.
+
+    Picking a row with min_by holds text in the aggregation buffer, which makes Spark sort
+    its whole input. So rows are first reduced to distinct descriptions with a fixed-width
+    minimum, a hash aggregation combined on the map side, and only those are compared.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in (columns or df.columns) if c not in keys]
+    rest = [c for c in (columns or df.columns) if c not in keys and c != order]
     kept = df
     for k in keys:
         kept = kept.filter(F.col(k).isNotNull())
-    # Nulls order last: a missing time never beats a present one.
-    rank = F.struct(*[x for o in order for x in (F.col(o).isNull(), F.col(o))])
-    best = kept.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    edge = F.max(order) if last else F.min(order)
+    described = kept.groupBy(*keys, *rest).agg(edge.alias("_o"))
+    row = F.struct(*rest)
+    if last:
+        best = F.max_by(row, F.struct(F.col("_o").isNotNull(), F.col("_o"), row))
+    else:
+        best = F.min_by(row, F.struct(F.col("_o").isNull(), F.col("_o"), row))
+    return described.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*")
 
 
 def nearest_row(df: DataFrame, key: str, dist: Column | str, tie: Sequence[Column | str] = ()) -> DataFrame:
