@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.operators import compliance as C
@@ -40,6 +41,24 @@ def test_jobs_from_json_skip_bad_file(spark, tmp_path):
     assert got["j1"]["job_start_time"] == dt.datetime(2024, 1, 1)
 
 
+def test_landed_files_to_star_schema(spark, tmp_path):
+    from tidewatch.operators.asof import enrich_errors, smart_merge
+    from tidewatch.operators.facts import build_schema
+
+    put(tmp_path / "daily", "fabric_activities_1.csv", "Id,ItemId,ItemType,WorkspaceId,WorkspaceName,SubmittedBy,Status,Activity,StartTime\ne1,i,Notebook,w,DEV x,ann@x.y,Completed,RunArtifact,2024-01-01T10:00:00Z\ne2,i,Notebook,w,DEV x,ann@x.y,Completed,RunArtifact,2024-01-01T12:00:00Z\n")
+    put(tmp_path / "jobs", "a.json", json.dumps([{"id": "j1", "itemId": "i", "startTimeUtc": "2024-01-01T10:01:00Z", "endTimeUtc": "2024-01-01T10:03:00Z", "status": "Failed", "failureReason": {"message": "m", "errorCode": "c"}}]))
+    acts = RD.load_activities(spark, str(tmp_path)).withColumns({c: F.lit(None).cast("string") for c in ("failure_reason", "error_code")})
+    merged = smart_merge(acts, RD.load_jobs(spark, str(tmp_path / "jobs")))
+    by = {r["event_id"]: r for r in merged.collect()}
+    assert (by["e1"]["status"], by["e1"]["duration_seconds"], json.loads(by["e1"]["failure_reason"])["message"]) == ("Failed", 180.0, "m")
+    assert (by["e2"]["status"], by["e2"]["job_instance_id"], by["e2"]["duration_seconds"]) == ("Completed", None, 0.0)
+    errors = {r["event_id"]: r["error_code"] for r in enrich_errors(merged, nested_reason=True).collect()}
+    assert errors == {"e1": "c", "e2": None}
+    star = build_schema(merged)
+    assert rows(star.fact_daily_metrics, "total_activities", "failed_activities", "unique_items") == [(2, 1, 1)]
+    assert star.dim_date.count() == 1
+
+
 def test_lineage_json_and_csv(spark, tmp_path):
     put(tmp_path, "l.json", json.dumps({"lineage": [{"Item ID": "a", "Mirrored Tables": [{"tableName": "t"}]}, {"Item ID": "b"}]}))
     put(tmp_path, "l.csv", 'Item ID,Source Connection\na,"{\'type\': \'X\', \'k\': 1}"\n')

@@ -140,14 +140,15 @@ def resolve_merge(df: DataFrame, missing_end: Column | None = None) -> DataFrame
     """Settle conflicts between an activity and its matched job.
 
     A failed job fails the activity; reason, message, user and end time are filled from the
-    job. Durations are recomputed only when some end time is missing in the whole input.
+    job (a structured reason as its JSON text). Durations are recomputed only when some end time is missing in the whole input.
     ``missing_end`` answers that question when the caller has it; otherwise a scalar
     subquery over the input does.
     """
     if missing_end is None:
         missing_end = any_missing_end(df)
     job_failed = F.coalesce(F.col("job_status") == "Failed", F.lit(False))
-    reason = F.coalesce("failure_reason", "job_failure_reason")
+    nested = df.schema["job_failure_reason"].dataType.typeName() == "struct"
+    reason = F.coalesce("failure_reason", F.to_json("job_failure_reason") if nested else F.col("job_failure_reason"))
     end = F.coalesce("end_time", F.col("job_end_time").cast(df.schema["end_time"].dataType))
     spent = F.coalesce(
         F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", F.col("start_time"), end) / 1e6), F.lit(0.0)

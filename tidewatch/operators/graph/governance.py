@@ -120,6 +120,11 @@ def flow_summary(g: Graph) -> DataFrame:
     return by_source.unionByName(by_item)
 
 
+def append(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Old rows and new rows by column name; columns of one side only become null in the other."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 def union_distinct(*dfs: DataFrame) -> DataFrame:
     out = dfs[0]
     for d in dfs[1:]:
