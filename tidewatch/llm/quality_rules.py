@@ -30,12 +30,12 @@ MAX_REPEAT_PCT = 50
 #: Share of rows that an estimate is concentrated on.
 CORE = 0.75
 STEPS = 4
-#: Squared distance beyond which a row is an outlier: the chi-square quantile of 5 degrees at about 1 - 1e-9.
-CUTOFF = 50.0
+#: Squared distance beyond which a row is an outlier: the chi-square quantile of 5 degrees at about 1 - 1e-11.
+CUTOFF = 60.0
 #: Chi-square quantiles of 5 degrees at 0.5 and 0.975, and the scatter's correction when cut at the latter.
 HALF, NEAR, CUT = 4.351, 12.833, 1.055
 #: Measurement scales of the transformed statistics: differences below them mean nothing. In the order of vector().
-SCALES = (0.5, 0.08, 0.08, 0.35, 0.08)
+SCALES = (0.5, 0.1, 0.08, 1.0, 0.3)
 #: Rows that the measurement scales weigh as in every estimate.
 PRIOR_ROWS = 10.0
 P = len(SCALES)
