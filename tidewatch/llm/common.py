@@ -25,6 +25,14 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Bounds the rows of a batch that Python workers get, as texts and hash sets are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -7,12 +7,17 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import line_dedup, mixing, quality_rules
+from tidewatch.llm import jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.query,
+    "op3_token_counts": token_counts.query,
+    "op4_language_id": language_id.query,
+    "op5_packing": packing.query,
     "op7_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
+    "op10_jaccard_join": jaccard_join.query,
     "pipeline": corpus_pipeline.run,
 }
 
