@@ -12,8 +12,9 @@ than S - D - 1, for otherwise one of the equal segments has a shingle.
 
 Equal sets are one class from the start. Pairs of classes that share a segment are tested first against the Hamming
 bound, then exactly on the shingle hashes. Only components are asked for, so each segment's classes are first linked to
-one of them (a star), and only segments whose classes are still in different components after two stars with
-different centres have their remaining cross pairs tested: groups of near copies never meet pair by pair.
+one of them (a star). Segments whose classes are still in different components after two stars with different centres are
+compared in blocks of bounded size inside tasks: only pairs of different components whose parity sketches of a fixed
+number of bits are near enough become rows. Groups of near copies never come out pair by pair.
 
 Defined cases: null and blank texts have an empty set and link with nothing; texts with fewer words than a shingle have
 one shingle, the whole sequence; repeated rows are in one class; rows without id are left out, as they cannot be named;
@@ -38,6 +39,8 @@ RATIO = 2.0
 #: Segments beyond D + 1, as a share of D + 1 and as a number.
 SLACK, SLACK_MIN = 0.1, 2
 SHINGLE, PCT = 3, 90
+#: Bits of the parity sketch that is compared in blocks, and members of a segment in a block.
+BITS, BLOCK = 2048, 1024
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -177,11 +180,67 @@ def _sketches(k: int, pct: int):
     return run
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Each shingle flips one of BITS bits: the Hamming distance of two such sketches is at most the sets' difference."""
+    return np.packbits((np.bincount((mix64(h + _M2) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), k).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"])
+            found = [shingle_set(t.as_py(), k) for t in batch.column(1)]
+            sets = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
+            bits = pa.array([parity_bits(h) for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets, pa.array([len(h) for h in found], pa.int64()), bits], ["node", "hashes", "n", "bits"])
+
+    return run
+
+
+def near_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block in different components whose sizes and sketches allow a link; ``side`` 0 meets 1, or 2 meets itself."""
+    words = bits.view(np.uint64)
+    rows, cols = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+    out_a, out_b = [], []
+    for i in rows.tolist():
+        j = cols[cols > i] if side[i] == 2 else cols
+        j = j[comp[j] != comp[i]]
+        low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+        j = j[low * 100 >= high * pct]
+        if len(j):
+            far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+            j = j[far * (100 + pct) <= (n[j] + n[i]) * (100 - pct)]
+            out_a.append(np.minimum(node[i], node[j]))
+            out_b.append(np.maximum(node[i], node[j]))
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (node[:0], node[:0])
+
+
+def _blocks(pct: int):
+    """Rows come sorted by (key, x, y): each such block is compared as soon as it is complete."""
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        col = {c: t[c].to_numpy() for c in ("node", "comp", "n", "side")}
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint8).reshape(len(t), BITS // 8)
+        a, b = near_pairs(col["node"], col["comp"], col["n"], bits, col["side"], pct)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch[c].to_numpy() for c in ("key", "x", "y")], axis=1)
+            edges = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+                here = tuple(ids[begin].tolist())
+                if held and here != last:
+                    yield flush(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = here
+        if held:
+            yield flush(held)
 
     return run
 
@@ -232,14 +291,14 @@ def _links(slim: DataFrame, shared: DataFrame, nodes: DataFrame, k: int, pct: in
     """Verified links between the smallest ids of classes, enough to connect every component."""
     named = cut_lineage(shared.join(nodes, "class").select("key", "node"), "shared-nodes")
     wanted = named.select(F.col("node").alias("id")).distinct()
-    sets = cut_lineage(slim.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "node long, hashes array<long>"), "sets")
+    sets = cut_lineage(slim.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "node long, hashes array<long>, n long, bits binary"), "sets")
     found, tested = None, None
     for turn in ("low", "high", "all"):
         current = named if found is None else _relabel(named, components(found, "jaccard-star"))
         if found is not None and current.isEmpty():
             break
         if turn == "all":
-            pairs = _cross_pairs(current)
+            pairs = _cross_pairs(current, sets, pct)
         else:
             pairs = _star_pairs(current, turn)
         pairs = pairs.distinct()
@@ -268,10 +327,18 @@ def _star_pairs(members: DataFrame, turn: str) -> DataFrame:
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one key in different components."""
-    other = members.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    return members.join(other, "key").where("comp <> comp_b and node < b").select(F.col("node").alias("a"), "b")
+def _cross_pairs(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs of members of one key in different components that may be links.
+
+    A key with more members than a block is dealt over blocks, and every two of them meet in a task of their own.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    full = members.join(sizes, "key").join(sets.select("node", "n", "bits"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = full.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "node", "comp", "n", "bits")
+    return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(_blocks(pct), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, pct: int = 80) -> DataFrame:

@@ -5,8 +5,8 @@ ones, and undoes digit and symbol substitutions; the letters l and i are one, as
 are whole words or word beginnings. An entry counts where it begins a word (and ends one, if it is whole), unless an
 exception phrase covers it. The score is a logistic function of the weighted hits divided by the text's length in words.
 
-The lexicon is a short fixed list, and what is learned from labelled rows: words and word beginnings whose share
-of toxic documents can't be chance, weighted by their log odds; phrases of two words in which an entry is harmless become
+The lexicon is a short fixed list, and what is learned from labelled rows: words and word beginnings that toxic documents
+have after more different words than chance allows, weighted by their log odds; phrases of two words in which an entry is harmless become
 exceptions. Learning uses a bounded sample: of the rows that may be learned from, the ``TRAIN_TOXIC`` toxic and
 ``TRAIN_CLEAN`` other ones with the smallest hashes. Scoring reads every whole text.
 
@@ -136,6 +136,23 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"f": rest, "t": [0] * len(rest), "n": [clean[x] for x in rest]})
 
 
+def _varied(names: set[str]):
+    """Candidates of toxic documents with the word before: copies of one document say the same thing once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str]] = set()
+        for rows in batches:
+            for text in rows["text"]:
+                before = ""
+                for w in _WORD.findall(fold(text)):
+                    own = (f"{w}.", *(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1)))
+                    seen.update((f, before) for f in own if f in names)
+                    before = w
+        yield pd.DataFrame(list(seen), columns=["f", "before"])
+
+    return run
+
+
 def _choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, n_features: int) -> list[tuple[str, bool, float]]:
     """Entries by evidence, without those that say what a stronger one has said."""
     odds = lambda t, n: math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
@@ -189,7 +206,9 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if toxic and clean:
         counts = rows.mapInPandas(_counted, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         strong = counts.where(f"t >= 3 and t * {clean} > 8 * n * {toxic}").orderBy(F.desc("t"), "n", "f").limit(20 * MOST_ENTRIES)
-        got = [(r["f"], r["t"], r["n"]) for r in strong.collect()]
+        got = {r["f"]: r["n"] for r in strong.collect()}
+        varied = rows.where("toxic = 1").mapInPandas(_varied(set(got)), "f string, before string").distinct().groupBy("f").count()
+        got = [(r["f"], min(r["count"], toxic), got[r["f"]]) for r in varied.collect()]
         entries = _choose(got, toxic, clean, 30 * (toxic + clean))
         model["entries"] = entries + [s for s in seeds if s[0] not in {e[0] for e in entries}]
         found = rows.mapInPandas(_harmless(model["entries"]), "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
