@@ -33,6 +33,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     return spark
 
 
+def bounded_sample(df: DataFrame, hash: Column, bound: int, *ties: str) -> DataFrame:
+    """The rows with the smallest hashes, at most ``bound``.
+
+    Rows are counted first, and only hashes in the range that twice the bound needs are sorted, so that a task sends
+    its share of the bound and not the whole of it.
+    """
+    n = df.count()
+    h = free_name(df, "hash")
+    keyed = df.withColumn(h, F.shiftrightunsigned(hash, 1))
+    if n > 2 * bound:
+        keyed = keyed.where(F.col(h) < int(2.0 * bound / n * 2**63))
+    return keyed.orderBy(h, *ties).limit(bound).drop(h)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

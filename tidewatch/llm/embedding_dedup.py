@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, small_batches, table
+from tidewatch.llm.common import bounded_sample, components, small_batches, table
 from tidewatch.session import cut_lineage
 
 THRESHOLD = 0.93
@@ -184,7 +184,7 @@ def _pairs(classes: DataFrame, dim: int, rows: int, threshold: float) -> DataFra
     """Counts and joining edges of the classes of one vector length: (node, links, src, dst), -1 where a column is not meant."""
     spark = classes.sparkSession
     own = classes.where(F.size("embedding") == dim)
-    some = own.orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("label", "embedding").toPandas()
+    some = bounded_sample(own, F.xxhash64("node"), FIT_ROWS, "node").select("label", "embedding").toPandas()
     index = Index(_normalised(_matrix(some["embedding"])), some["label"].to_numpy(), rows, threshold)
     shared = spark.sparkContext.broadcast(index)
     schema = "label bigint, cell bigint, home bigint, resident boolean, node bigint, members bigint, embedding array<double>"

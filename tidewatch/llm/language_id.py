@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_batches, table
+from tidewatch.llm.common import bounded_sample, small_batches, table
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WORDS = 3000, 2000, 120_000
 HIDDEN, STEPS, BATCH, RATE = 20, 1600, 256, 0.01
@@ -205,9 +205,9 @@ class Predictor:
 
 def training_rows(docs: DataFrame, id: str, text: str, lang: str, bound: int = TRAIN_DOCS) -> list:
     """A bounded sample of the rows that may be learned from: those whose remainder is not 1."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id)))
-    some = known.select(F.substring(F.col(text), 1, TRAIN_CHARS).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(id)).alias("h"))
-    return some.orderBy("h", "t").limit(bound).select("t", "l").collect()
+    known = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    some = bounded_sample(known, F.xxhash64("i"), bound, "t")
+    return some.select(F.substring("t", 1, TRAIN_CHARS).alias("t"), "l").collect()
 
 
 def held_out(id: Column) -> Column:

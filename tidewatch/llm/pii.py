@@ -47,7 +47,7 @@ _PATTERNS = {
     rf"|(?<=(?:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\x22']?)(?<![\w+/=-])[\w+/=-]{{6,}}",
     "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\w.])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?!\w)",
+    "card": r"(?<!\w)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)",
     "family": rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_NAMES}|{'|'.join(TITLES)})\.? )\p{{Lu}}[\p{{L}}'-]+(?!\p{{L}})",

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_batches, table
+from tidewatch.llm.common import bounded_sample, small_batches, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 4000, 8000
 SHORTEST, LONGEST, MOST_ENTRIES = 4, 8, 1000
@@ -197,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     model = {"entries": seeds, "exceptions": [fold(p) for p in EXCEPTIONS], "a": -3.0, "b": 4.0}
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("k"), (F.col("toxic") != 0).cast("int").alias("toxic"))
     known = known.groupBy("k").agg(F.max("toxic").alias("toxic"))
-    chosen = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("k"), "k").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    chosen = [bounded_sample(known.where(F.col("toxic") == y), F.xxhash64("k"), n, "k") for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     some = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("k"), F.col(text).alias("text")).join(some, "k").select("text", "toxic")
     rows = rows.persist()
