@@ -7,13 +7,15 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import jaccard_join, language_id, line_dedup, mixing, packing, quality_rules, token_counts, toxicity
+from tidewatch.llm import embedding_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.query,
     "op2_toxicity": toxicity.query,
     "op3_token_counts": token_counts.query,
     "op4_language_id": language_id.query,
     "op5_packing": packing.query,
+    "op6_embedding_dedup": embedding_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,

@@ -35,7 +35,7 @@ LIMIT = 4096
 SPACE = "▁"
 CHUNK = 256
 BLOCK = 2_000_000
-MAX_CELLS = 24_000_000
+MAX_CELLS = 32_000_000
 #: Classes of characters: padding, a space mark that follows another character, then 1 to 4 bytes outside the vocabulary.
 _PAD, _RESET, _BYTES = 0, 1, 1
 _FIRST_CLASS = 6
@@ -68,26 +68,31 @@ class Transducer:
     def _clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.memory: list[tuple] = []
-        width = 1 << (max(64, _FIRST_CLASS + len(self.chars)) - 1).bit_length()
-        self.next = np.full((1024, width), -1, dtype=np.int32)
-        self.emit = np.zeros((1024, width), dtype=np.int8)
-        for key in (("wait",), ("", ((None, 0),))):
-            self._state(key)
+        self.width = -(-(_FIRST_CLASS + len(self.chars) + 8) // 16) * 16
+        self.next, self.emit = self._rows(0, 1024)
+        self._state(("wait", ()))
+        self._state(("", ((0, None, 0),)))
+        self.next[_WAIT] = _WAIT
+        self.next[_WAIT, _RESET] = -1
+        self.next[_WAIT, _BYTES + 1 : _BYTES + 5] = _ROOT
+
+    def _rows(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of new states: padding stays, bytes lead to the root, all else is not compiled yet."""
+        to, out = np.full((n, self.width), -1, dtype=np.int32), np.zeros((n, self.width), dtype=np.int8)
+        to[:, _PAD] = np.arange(first, first + n)
+        to[:, _BYTES + 1 : _BYTES + 5] = _ROOT
+        out[:, _BYTES + 1 : _BYTES + 5] = (1, 2, 3, 4)
+        return to, out
 
     def _state(self, key: tuple) -> int:
-        if key not in self.states:
-            if len(self.memory) == len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
-            s = self.states[key] = len(self.memory)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = len(self.memory)
+            if found == len(self.next):
+                more = self._rows(found, max(1024, found // 2))
+                self.next, self.emit = np.concatenate([self.next, more[0]]), np.concatenate([self.emit, more[1]])
             self.memory.append(key)
-            self.next[s, _PAD] = s
-            if s == _WAIT:
-                self.next[s] = _WAIT
-            self.next[s, _RESET] = -1
-            self.next[s, _BYTES + 1 : _BYTES + 5] = _ROOT
-            self.emit[s, _BYTES + 1 : _BYTES + 5] = (1, 2, 3, 4)
-        return self.states[key]
+        return found
 
     def encode(self, text: str) -> list[str]:
         """Plain byte-pair encoding of a short text, the best-ranked pair first, leftmost among equals."""
@@ -100,25 +105,35 @@ class Transducer:
         return parts
 
     def _compatible(self, before: str | None, token: str) -> bool:
+        """Whether the token stands by itself, and stays when the one before it is joined to it."""
         key = (before, token)
-        if key not in self.fits:
-            if len(self.fits) > 2_000_000:
+        found = self.fits.get(key)
+        if found is None:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            self.fits[key] = self.encode((before or "") + token) == ([token] if before is None else [before, token])
-        return self.fits[key]
+            found = self.encode(token) == [token] and (before is None or self.encode(before + token) == [before, token])
+            self.fits[key] = found
+        return found
 
     def _compile(self, state: int, cls: int) -> None:
-        """Fills in one transition. A state's key: the open text, and (last token, count so far) at each place where an open token may begin."""
+        """Fills in one transition.
+
+        A state's key is the text that open tokens may begin in, and for each place where one may begin: where it
+        is, the last token that ends there, and the count there less the count so far.
+        """
         char = SPACE if cls == _RESET else self.chars[cls - _FIRST_CLASS]
         text, places = self.memory[_ROOT if cls == _RESET else state]
-        starts = [n for n in range(len(text)) if text[n:] in self.open] + [len(text)]
-        token, count = next(
-            (text[n:] + char, c + 1) for n, (before, c) in zip(starts, places, strict=True)
-            if text[n:] + char in self.rank and self._compatible(None, text[n:] + char) and self._compatible(before, text[n:] + char)
-        )
-        kept = [(n, p) for n, p in zip(starts, places, strict=True) if text[n:] + char in self.open]
-        rest = (text + char)[kept[0][0] :] if kept else ""
-        key = (rest, (*((before, c - count) for _, (before, c) in kept), (token, 0)))
+        text += char
+        token, count, kept = None, 0, []
+        for place in places:
+            n, before, c = place
+            rest = text[n:]
+            if token is None and rest in self.rank and self._compatible(before, rest):
+                token, count = rest, c + 1
+            if rest in self.open:
+                kept.append(place)
+        shift = kept[0][0] if kept else len(text)
+        key = (text[shift:], (*[(n - shift, before, c - count) for n, before, c in kept], (len(text) - shift, token, 0)))
         target = self._state(key)
         self.next[state, cls] = target
         self.emit[state, cls] = count
@@ -130,7 +145,7 @@ class Transducer:
             for c in np.unique(codes[found < 0]).tolist():
                 self.char_class[c] = _FIRST_CLASS + len(self.chars)
                 self.chars.append(chr(c))
-            if _FIRST_CLASS + len(self.chars) > self.next.shape[1]:
+            if _FIRST_CLASS + len(self.chars) > self.width:
                 self._clear()
             found = self.char_class[codes]
         space = self.char_class[ord(SPACE)]
@@ -141,7 +156,7 @@ class Transducer:
         return found
 
     def _step(self, state: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = self.next.shape[1]
+        width = self.width
         at = state * width + cls
         to = self.next.ravel().take(at)
         if to.min(initial=0) < 0:
