@@ -127,7 +127,7 @@ def bands_of(n: int, pct: int) -> list[int]:
 def keys(h: np.ndarray, pct: int) -> np.ndarray:
     """64-bit join keys (band, segment, word). Bands in which nothing may differ need none: equal sets are one class."""
     out = []
-    for band in bands_of(len(h), pct):
+    for band in bands_of(len(h), pct) if len(h) else ():
         d, s = band_plan(band, pct)
         if not d:
             continue

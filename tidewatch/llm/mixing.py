@@ -92,7 +92,8 @@ def calibrate(weights: DataFrame, budget: float = BUDGET) -> DataFrame:
         if scale is not None and new <= scale * (1 + 1e-12):
             break
         scale, full = new, F.col("weight") * new >= F.col("tokens")
-    return weights.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(float(scale or 0.0)) / F.col("tokens")))
+    rate = F.col("weight") * F.lit(float(scale or 0.0)) / F.col("tokens")
+    return weights.withColumn("probability", F.least(F.lit(1.0), F.round(rate, 12)))  # sums of doubles depend on their order
 
 
 def mix(
