@@ -41,24 +41,42 @@ SECRET_PREFIXES = ("AKIA", "ghp_", "sk-")
 # End of the fixed values.
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
+_ASSIGNED = rf"(?:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\x22']?"
+_FAMILY = r"\p{Lu}[\p{L}'-]+(?!\p{L})"
+_CALLED = rf"(?:{'|'.join(TITLES)})\.? "
+#: All begin where no word character goes before; the cheap look at the first character comes first.
 _PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@[\w-]{1,63}+(?:\.[\w-]{1,63}+)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128})(?![A-Za-z0-9])"
-    rf"|(?<=(?:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\x22']?)(?<![\w+/=-])[\w+/=-]{{6,}}",
-    "ipv4": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<!\w)[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?!\w)",
-    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)",
-    "family": rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}])(?:{_NAMES}|{'|'.join(TITLES)})\.? )\p{{Lu}}[\p{{L}}'-]+(?!\p{{L}})",
-    "given": rf"(?<!\p{{L}})(?:{_NAMES})(?=\.? \p{{Lu}})(?!\p{{L}})",
+    "secret": r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|(?=[0-9a-f]{32})[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "assigned": rf"{_ASSIGNED}[\w+/=-]{{6,}}",
+    "email": r"\w[\w.%+-]{0,63}+@[\w-]{1,63}+(?:\.[\w-]{1,63}+)+",
+    "ipv4": r"(?=[0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?=[0-9]{4})[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?!\w)",
+    "ssn": r"(?=[0-9]{3}-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "phone": r"(?=[+(0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w))",
+    "name": rf"(?=\p{{Lu}})(?:(?:{_NAMES}) (?!(?:{_NAMES})\b){_FAMILY}|{_CALLED}(?:(?:{_NAMES}) )?{_FAMILY}|(?:{_NAMES})(?= \p{{Lu}}))",
 }
-PATTERN = "|".join(_PATTERNS.values())
+PATTERN = rf"(?<![\w\p{{L}}])(?:{'|'.join(_PATTERNS.values())})"
+
+
+def _parts(e: Column) -> Column:
+    """A found string as (what stays before it, entity) pairs: names and assigned secrets have parts that stay."""
+    pair = lambda before, entity: F.struct(before.alias("before"), entity.alias("e"))
+    assigned = F.regexp_extract(e, rf"^{_ASSIGNED}", 0)
+    title = F.regexp_extract(e, rf"^{_CALLED}", 0)
+    rest = F.substr(e, F.length(title) + 1)
+    given = F.regexp_extract(rest, rf"^(?:{_NAMES})(?= |$)", 0)
+    family = F.substr(rest, F.length(given) + 2)
+    named = F.filter(F.array(pair(title, given), pair(F.when(given == "", title).otherwise(" "), F.when(given == "", rest).otherwise(family))), lambda x: x["e"] != "")
+    return (
+        F.when(e.rlike(rf"^{_ASSIGNED}[\w+/=-]{{6,}}$"), F.array(pair(assigned, F.substr(e, F.length(assigned) + 1))))
+        .when(e.rlike(rf"^(?:{_PATTERNS['name']})$") | e.rlike(rf"^(?:{_NAMES})$"), named).otherwise(F.array(pair(F.lit(""), e)))
+    )
 
 
 def _kind(e: Column) -> Column:
     """Kind of a found string: the first pattern that it fits as a whole."""
-    alone = {k: p for k, p in _PATTERNS.items() if k not in ("secret", "family", "given")}
+    alone = _PATTERNS
     given = reduce(lambda c, g: c.when(e.isin(*GIVEN[g]), f"given_{g}"), GIVEN, F.when(e.isNull(), None))
     for k in ("email", "ipv4"):
         given = given.when(e.rlike(f"^(?:{alone[k]})$"), k)
@@ -185,14 +203,17 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities:
     mark, own, new = (free_name(docs, x) for x in ("mark", "key", "new"))
     has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
     found = docs.where(has).select(F.col(text).alias("t")).select(F.md5("t").alias("k"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("all"))
-    each = found.groupBy("k").agg(F.first("all").alias("all")).select("k", F.posexplode("all").alias("i", "e"))
+    each = found.groupBy("k").agg(F.first("all").alias("all")).select("k", F.posexplode("all").alias("i", "span"))
+    each = each.select("k", "i", F.posexplode(_parts(F.col("span"))).alias("j", "x")).select("k", "i", "j", "x.before", "x.e")
     each = cut_lineage(each.withColumn("kind", _kind(F.col("e"))).withColumn("norm", _norm(F.col("kind"), F.col("e"))), "entities")
     pairs = assign(each.select("kind", "norm").distinct(), key)
-    ready = each.join(pairs, ["kind", "norm"]).select("k", F.struct("i", _rendered(F.col("kind"), F.col("e"), F.col("surrogate")).alias("s")).alias("x"))
+    shown = F.concat("before", _rendered(F.col("kind"), F.col("e"), F.col("surrogate")))
+    ready = each.join(pairs, ["kind", "norm"]).select("k", F.struct("i", "j", shown.alias("s")).alias("x"))
     lists = ready.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias(new)).withColumnRenamed("k", own)
     hit = docs.where(has).withColumn(mark, F.md5(F.col(text))).join(lists, F.col(mark) == F.col(own))
     gaps = F.split(F.col(text), PATTERN, -1)
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(new), i)["s"], F.lit("")))), "")
+    here = lambda i: F.array_join(F.transform(F.filter(F.col(new), lambda x: x["i"] == i), lambda x: x["s"]), "")
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, here(i))), "")
     count = {n_entities: F.size(new).cast("long")} if n_entities else {}
     hit = hit.withColumns({**count, text: joined}).drop(mark, own, new)
     rest = docs.where(~has)
