@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog.base import query
 from tidewatch.catalog.graph import GR
 from tidewatch.operators.graph import traverse as T
+from tidewatch.operators.graph.model import Graph
 from tidewatch.sources.adapters import lineage_graph as G, table
 
 
@@ -73,7 +74,7 @@ def _(s, d):
     return T.source_failure_reach(G(s, d))
 
 
-@query("item_impact", f"""WITH RECURSIVE {GR}, w AS (SELECT 'p12' AS id, 0 AS depth UNION SELECT src, depth+1 FROM w JOIN dep ON dst=id WHERE depth < 10),
+@query("item_impact", f"""WITH RECURSIVE {GR}, w AS (SELECT 'p12' AS id, 0 AS depth UNION SELECT src, depth+1 FROM w JOIN dep ON dst=id),
  r AS (SELECT 'uses' AS relationship, dst AS id, 0 AS depth FROM edges WHERE rel='USES_TABLE' AND src='p12' UNION ALL SELECT 'provides', dst, 0 FROM edges WHERE rel='PROVIDES_TABLE' AND src='p12'
  UNION ALL SELECT 'downstream', id, min(depth) FROM w WHERE depth > 0 GROUP BY 2) SELECT r.*, label, name, type FROM r JOIN nodes ON nodes.id=r.id""")
 def _(s, d):
@@ -95,8 +96,8 @@ def _(s, d):
     return T.table_impact_summary(T.table_impact(G(s, d), "tbl_17"))
 
 
-UPW = "u AS (SELECT DISTINCT src AS id, 1 AS d FROM dep UNION SELECT src, d+1 FROM u JOIN dep ON dst=id WHERE d < 10)"
-DNW = "v AS (SELECT DISTINCT dst AS id, 1 AS d FROM dep UNION SELECT dst, d+1 FROM v JOIN dep ON src=id WHERE d < 10)"
+UPW = "u AS (SELECT DISTINCT src AS id, 1 AS d FROM dep UNION SELECT src, d+1 FROM u JOIN dep ON dst=id)"
+DNW = "v AS (SELECT DISTINCT dst AS id, 1 AS d FROM dep UNION SELECT dst, d+1 FROM v JOIN dep ON src=id)"
 
 
 @query("node_depths", f"""WITH RECURSIVE {GR}, {UPW}, {DNW} SELECT items.*, coalesce(a,0) AS upstream_depth, coalesce(b,0) AS downstream_depth, coalesce(a,0)+coalesce(b,0) AS total_chain_depth FROM items
@@ -110,7 +111,7 @@ def _(s, d):
     return T.dependency_depth(G(s, d))
 
 
-CH = f"""WITH RECURSIVE {GR}, w AS (SELECT src AS id, 1 AS depth FROM dep WHERE dst NOT IN (SELECT src FROM dep) UNION ALL SELECT src, depth+1 FROM w JOIN dep ON dst=id WHERE depth < 10),
+CH = f"""WITH RECURSIVE {GR}, w AS (SELECT src AS id, 1 AS depth FROM dep WHERE dst NOT IN (SELECT src FROM dep) UNION ALL SELECT src, depth+1 FROM w JOIN dep ON dst=id),
  ln AS (SELECT depth, count(*) AS count FROM w WHERE depth >= 2 GROUP BY 1)"""
 
 
@@ -124,7 +125,7 @@ def _(s, d):
     return T.chain_stats(G(s, d))
 
 
-@query("deep_chains", f"""WITH RECURSIVE {GR}, w AS (SELECT item_id AS id, [item_id] AS path FROM items WHERE item_id NOT IN (SELECT dst FROM dep) UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN dep ON src=id WHERE len(path) <= 10),
+@query("deep_chains", f"""WITH RECURSIVE {GR}, w AS (SELECT item_id AS id, [item_id] AS path FROM items WHERE item_id NOT IN (SELECT dst FROM dep) UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN dep ON src=id),
  b AS (SELECT path[1] AS terminal_id, id AS origin_id, len(path)-1 AS depth, path FROM w WHERE len(path) > 3 ORDER BY len(path) DESC, path LIMIT 50)
  SELECT terminal_id, origin_id, depth, array_to_string(path,'>') AS path, a.item_name AS terminal_name, a.item_type AS terminal_type, ah.workspace AS terminal_workspace, o.item_name AS origin_name, o.item_type AS origin_type, oh.workspace AS origin_workspace
  FROM b JOIN items a ON a.item_id=terminal_id JOIN items o ON o.item_id=origin_id LEFT JOIN home ah ON ah.item_id=terminal_id LEFT JOIN home oh ON oh.item_id=origin_id""")
@@ -132,6 +133,38 @@ def _(s, d):
     return T.deep_chains(G(s, d)).withColumn("path", F.array_join("path", ">"))
 
 
+# Chains of 25 parts, and in each a pair of parts that use each other: longer than any bound, and cyclic.
+LOOPS = """e AS (SELECT 'p'||p_partkey AS src, 'p'||(p_partkey+1) AS dst FROM part WHERE p_partkey % 25 <> 24 AND p_partkey+1 IN (SELECT p_partkey FROM part)
+ UNION SELECT 'p'||(p_partkey+1), 'p'||p_partkey FROM part WHERE p_partkey % 25 = 10 AND p_partkey+1 IN (SELECT p_partkey FROM part)),
+ t AS (SELECT src AS s, dst AS id, 1 AS depth, [src||'|'||dst] AS used FROM e UNION ALL SELECT s, dst, depth+1, list_append(used, src||'|'||dst) FROM t JOIN e ON src=id WHERE NOT list_contains(used, src||'|'||dst))"""
+
+
+def loops(s, d):
+    part = table(s, d, "part").select("p_partkey")
+    node = lambda k: F.concat(F.lit("p"), F.col("p_partkey") + k)
+    after = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey")), "p_partkey", "left_semi")
+    on = after.filter("p_partkey % 25 <> 24").select(node(0).alias("src"), node(1).alias("dst"))
+    back = after.filter("p_partkey % 25 = 10").select(node(1).alias("src"), node(0).alias("dst"))
+    edges = on.union(back).withColumn("rel", F.lit("DEPENDS_ON"))
+    g = G(s, d)
+    extra = {c: F.lit(None).cast(g.nodes.schema[c].dataType) for c in g.nodes.columns}
+    nodes = part.select(*[{"id": node(0), "label": F.lit("Item"), "name": node(0)}.get(c, e).alias(c) for c, e in extra.items()])
+    return Graph(nodes, edges)
+
+
+@query("node_depths_cyclic", f"""WITH RECURSIVE {LOOPS}, r AS (SELECT s AS a, id AS b, depth FROM t), u AS (SELECT a AS item_id, max(depth) AS x FROM r GROUP BY 1),
+ b AS (SELECT src AS s, src AS z, dst AS q, 1 AS depth, [src||'|'||dst] AS used FROM e UNION ALL SELECT e.src, z, q, depth+1, list_append(used, e.src||'|'||e.dst) FROM b JOIN e ON e.dst=b.s WHERE NOT list_contains(used, e.src||'|'||e.dst)),
+ v AS (SELECT q AS item_id, max(depth) AS y FROM b GROUP BY 1)
+ SELECT 'p'||p_partkey AS item_id, coalesce(x,0) AS upstream_depth, coalesce(y,0) AS downstream_depth FROM part LEFT JOIN u ON u.item_id='p'||p_partkey LEFT JOIN v ON v.item_id='p'||p_partkey""")
+def _(s, d):
+    return T.node_depths(loops(s, d)).select("item_id", "upstream_depth", "downstream_depth")
+
+
+@query("chain_lengths_cyclic", f"WITH RECURSIVE {LOOPS} SELECT depth, count(*) AS count FROM t WHERE depth >= 2 AND id NOT IN (SELECT src FROM e) GROUP BY 1")
+def _(s, d):
+    return T.chain_lengths(loops(s, d))
+
+
 @query("cycles", """WITH RECURSIVE e AS (SELECT DISTINCT 'n'||c_nationkey AS src, 'n'||((c_nationkey*2+1) % 25) AS dst FROM customer UNION SELECT DISTINCT 'n'||s_nationkey, 'n'||((s_nationkey+7) % 25) FROM supplier),
  w AS (SELECT src AS s, dst AS id, [src, dst] AS path, [src||'|'||dst] AS used FROM e UNION ALL SELECT s, dst, list_append(path, dst), list_append(used, src||'|'||dst) FROM w JOIN e ON src=id
  WHERE len(used) < 5 AND NOT list_contains(used, src||'|'||dst)) SELECT array_to_string(path,'>') AS cycle_nodes, len(used) AS cycle_length FROM w WHERE id=s AND len(used) >= 2 ORDER BY len(used), path LIMIT 20""")

@@ -2,8 +2,9 @@
 
 Seeded traversals expand a frontier step by step; each step is one distributed join whose
 result is written to the shared checkpoint folder, so plans stay short and a lost executor
-costs one step. Depth and chain measures over all items need no seeds: they are computed
-by a fixed chain of joins that carries one row per item, never one per (item, item) pair.
+costs one step. Depth and chain measures over all items need no seeds: rounds of joins over
+edges stored once carry one row per item, never one per (item, item) pair, until nothing grows
+any more. Only items that can reach a cycle have their trails followed one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from tidewatch.operators.graph.model import Graph, item_workspace, items, rel, w
 from tidewatch.operators.ranking import top_k, top_k_per_group
 from tidewatch.session import cut_lineage
 
-MAX_DEPTH = 10
+#: Rounds of a depth computation that share one plan before its state is written.
+ROUNDS_A_STEP = 4
 
 
 def steps(g: Graph, direction: str, relations: tuple[str, ...] = ("DEPENDS_ON",)) -> DataFrame:
@@ -32,7 +34,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = MAX_DEPTH, mode: str = "shortest") -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, mode: str = "shortest") -> DataFrame:
     """Rows (seed, id, depth) below the seeds; ``seeds`` has seed and node.
 
     ``shortest`` keeps the least depth per (seed, id) and drops visited nodes; ``reach``
@@ -60,14 +62,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = MAX_DEPTH, mod
     return _union(found).withColumnRenamed("node", "id")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """Rows (seed, id, depth, path) for every trail from the seeds: no edge is used twice.
 
     The number of trails is the answer's own size; for reachability use :func:`reach`.
+    Trails end by themselves, so ``depth=None`` follows all of them to their end.
     """
     frontier = seeds.select("seed", "node", F.array("node").alias("path"), F.array().cast("array<string>").alias("used")).distinct()
     found: list[DataFrame] = []
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         key = F.concat_ws("\u0001", "node", "next")
         nxt = (
             frontier.join(edges, "node")
@@ -193,7 +198,7 @@ def source_failure_reach(g: Graph) -> DataFrame:
 
 
 # ---- item and table impact ---------------------------------------------------------
-def item_impact(g: Graph, item_id: str, depth: int = MAX_DEPTH) -> DataFrame:
+def item_impact(g: Graph, item_id: str, depth: int | None = None) -> DataFrame:
     """Tables used, tables provided and items downstream of one item, as rows."""
     t = lambda r, name: (
         g.edges.filter((F.col("rel") == r) & (F.col("src") == item_id))
@@ -226,88 +231,130 @@ def table_impact_summary(impact: DataFrame) -> DataFrame:
 
 
 # ---- depth over all items ----------------------------------------------------------
-def longest_walks(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, d): the longest walk from each node, at most ``depth``. Nodes without a next
-    one are absent. One row per node and round; nothing is collected."""
-    d = edges.groupBy("node").agg(F.lit(1).alias("d"))
-    for _ in range(depth - 1):
-        known = d.select(F.col("node").alias("next"), "d")
-        d = edges.join(known, "next", "left").groupBy("node").agg((F.max(F.coalesce("d", F.lit(0))) + 1).alias("d"))
-    return d
-
-
-def trail_depths(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """As :func:`longest_walks`, but no edge twice. Needed only where cycles exist."""
+def walk_depths(edges: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, d), the longest walk from each node that reaches no cycle, and (node) of those that do.
+
+    In round k the nodes of depth k are those with a walk of k edges. These sets shrink; once one is
+    empty all depths are known, and once one stays as it is, its nodes reach a cycle. ``depth`` cuts
+    walks off, and then every node has one. Nodes without a next one are absent.
+    """
+    edges = cut_lineage(edges, "depth-edges")
+    d, k = edges.groupBy("node").agg(F.lit(1).alias("d")), 1
+    while True:
+        for _ in range(ROUNDS_A_STEP if depth is None else min(ROUNDS_A_STEP, depth - k)):
+            known = d.select(F.col("node").alias("next"), "d")
+            d, k = edges.join(known, "next", "left").groupBy("node").agg((F.max(F.coalesce("d", F.lit(0))) + 1).alias("d")), k + 1
+        d = cut_lineage(d, "depths")
+        if depth is not None and k >= depth:
+            return d, d.filter(F.lit(False)).select("node")
+        growing, ended = d.agg(F.count_if(F.col("d") == k), F.count_if(F.col("d") == k - 1)).first()
+        if not growing:
+            return d, d.filter(F.lit(False)).select("node")
+        if not ended:
+            return d.filter(F.col("d") < k), d.filter(F.col("d") == k).select("node")
+
+
+def longest_walks(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, d): the longest chain from each node. Nodes that reach a cycle have their longest trail."""
+    edges = cut_lineage(edges, "chain-edges")
+    plain, cyclic = walk_depths(edges, depth)
+    return plain if cyclic.isEmpty() else plain.unionByName(_trail_depths(edges, cyclic))
+
+
+def _trail_depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    seeds = starts.select(F.col("node").alias("seed"), "node")
+    return paths(edges, seeds).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("d"))
+
+
+def trail_depths(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, d) by following every trail from every node: only for graphs that are all cycles."""
     seeds = edges.select(F.col("node").alias("seed"), "node").distinct()
     return paths(edges, seeds, depth).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("d"))
 
 
-def node_depths(g: Graph, depth: int = MAX_DEPTH, mode: str = "walk") -> DataFrame:
-    """Longest upstream and downstream chain per item. ``mode='trail'`` for cyclic graphs."""
+def node_depths(g: Graph, depth: int | None = None, mode: str = "walk") -> DataFrame:
+    """Longest upstream and downstream chain per item, cycles or not. ``mode='trail'`` follows every trail."""
     measure = longest_walks if mode == "walk" else trail_depths
-    up = measure(steps(g, "up"), depth).select(F.col("node").alias("item_id"), F.col("d").alias("upstream_depth"))
-    down = measure(steps(g, "down"), depth).select(F.col("node").alias("item_id"), F.col("d").alias("downstream_depth"))
+    stored = cut_lineage(steps(g, "up"), "edges")
+    down_edges = stored.select(F.col("next").alias("node"), F.col("node").alias("next"))
+    up = measure(stored, depth).select(F.col("node").alias("item_id"), F.col("d").alias("upstream_depth"))
+    down = measure(down_edges, depth).select(F.col("node").alias("item_id"), F.col("d").alias("downstream_depth"))
     out = items(g).join(up, "item_id", "left").join(down, "item_id", "left").na.fill(0, ["upstream_depth", "downstream_depth"])
     return out.withColumn("total_chain_depth", F.col("upstream_depth") + F.col("downstream_depth"))
 
 
-def dependency_depth(g: Graph, k: int = 20, depth: int = MAX_DEPTH) -> DataFrame:
+def dependency_depth(g: Graph, k: int = 20, depth: int | None = None) -> DataFrame:
     """Items by longest chain to a root."""
     d = longest_walks(steps(g, "up"), depth).select(F.col("node").alias("item_id"), F.col("d").alias("dependency_depth"))
     best = top_k(d, [F.desc("dependency_depth"), "item_id"], k)
     return with_workspace(best.join(items(g), "item_id"), g).drop("workspace_id")
 
 
-def chain_lengths(g: Graph, depth: int = MAX_DEPTH) -> DataFrame:
-    """(depth, count) of chains of two or more edges that end at a root.
+def chain_lengths(g: Graph, depth: int | None = None) -> DataFrame:
+    """(depth, count) of chains of two or more edges that end at a root, however long.
 
-    Chains are counted, not listed: column c_j of a node is its number of chains of length
-    j, the sum of c_(j-1) over its upstream nodes.
+    Chains are counted, not listed: a round has one row per node, its number of chains of that
+    length, the sum over its upstream nodes of theirs in the round before. Trails from nodes that
+    reach a cycle are followed and counted apart.
     """
-    edges = steps(g, "up")
+    edges = cut_lineage(steps(g, "up"), "chain-edges")
     has_next = edges.select("node").distinct()
     root_edge = edges.join(has_next.select(F.col("node").alias("next")), "next", "left_anti")
-    c = root_edge.groupBy("node").agg(F.count(F.lit(1)).alias("c1"))
-    for j in range(2, depth + 1):
-        prior = c.withColumnRenamed("node", "next")
-        later = edges.join(prior, "next").groupBy("node").agg(*[F.sum(f"c{i}").alias(f"c{i + 1}") for i in range(1, j)])
-        c = _merge_first(later, root_edge, j)
-    total = c.agg(*[F.coalesce(F.sum(f"c{j}"), F.lit(0)).alias(str(j)) for j in range(2, depth + 1)])
-    long = total.unpivot([], [str(j) for j in range(2, depth + 1)], "depth", "count")
-    return long.filter("count > 0").select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count"))
-
-
-def _merge_first(later: DataFrame, root_edge: DataFrame, j: int) -> DataFrame:
-    """Put the one-edge chains back beside the longer ones, in one aggregation."""
-    names = [f"c{i}" for i in range(1, j + 1)]
-    first = root_edge.groupBy("node").agg(F.count(F.lit(1)).alias("c1"))
-    return first.unionByName(later, allowMissingColumns=True).groupBy("node").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    _, cyclic = walk_depths(edges)
+    looped = not cyclic.isEmpty()
+    plain = cut_lineage(edges.join(cyclic, "node", "left_anti"), "plain-edges") if looped else edges
+    counts = root_edge.groupBy("node").agg(F.count(F.lit(1)).alias("count"))
+    if looped:
+        counts = counts.join(cyclic, "node", "left_anti")
+    counts, j = counts.withColumn("depth", F.lit(1)), 1
+    found: list[DataFrame] = []
+    while depth is None or j < depth:
+        rounds = [counts]
+        for _ in range(ROUNDS_A_STEP if depth is None else min(ROUNDS_A_STEP, depth - j)):
+            prior, j = rounds[-1].select(F.col("node").alias("next"), "count"), j + 1
+            rounds.append(plain.join(prior, "next").groupBy("node").agg(F.sum("count").alias("count")).withColumn("depth", F.lit(j)))
+        step = cut_lineage(_union(rounds[1:]), "chain-counts")
+        found.append(step.groupBy("depth").agg(F.sum("count").alias("count")))
+        counts = step.filter(F.col("depth") == j)
+        if counts.isEmpty():
+            break
+    if looped:
+        seeds = cyclic.select(F.col("node").alias("seed"), "node")
+        ends = paths(edges, seeds, depth).join(has_next.select(F.col("node").alias("id")), "id", "left_anti")
+        found.append(ends.filter("depth >= 2").groupBy("depth").agg(F.count(F.lit(1)).alias("count")))
+    if not found:
+        return counts.select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count")).filter(F.lit(False))
+    total = _union(found).groupBy("depth").agg(F.sum("count").alias("count"))
+    return total.select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count"))
 
 
-def chain_stats(g: Graph, depth: int = MAX_DEPTH) -> DataFrame:
+def chain_stats(g: Graph, depth: int | None = None) -> DataFrame:
     lengths = chain_lengths(g, depth)
     return lengths.agg(
         F.max("depth").alias("max_depth"), (F.sum(F.col("depth") * F.col("count")) / F.sum("count")).alias("avg_depth"), F.sum("count").alias("chain_count")
     )
 
 
-def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int = MAX_DEPTH) -> DataFrame:
+def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int | None = None) -> DataFrame:
     """The k deepest upstream chains of items that nothing depends on, ids breaking ties.
 
     Chains are not enumerated. Knowing how far each node still reaches, a prefix is kept
     only if it can be completed to its target length, so the first k prefixes per length
-    hold the first k chains: at most k rows per length at any step. Assumes no cycles.
+    hold the first k chains: at most k rows per length at any step. Only starts that reach a
+    cycle have their trails listed.
     """
-    edges = steps(g, "up")
-    far = longest_walks(edges, depth)
+    edges = cut_lineage(steps(g, "up"), "chain-edges")
+    far, cyclic = walk_depths(edges, depth)
+    looped = not cyclic.isEmpty()
+    longest = far.agg(F.max("d")).first()[0] or 0
     ahead = edges.join(far.select(F.col("node").alias("next"), F.col("d").alias("far")), "next", "left").na.fill(0, ["far"])
     ahead = cut_lineage(ahead, "ahead").select(F.col("node").alias("at"), "next", "far")
-    top = rel(g, "DEPENDS_ON").select(F.col("dst").alias("node")).distinct()
+    top = edges.select(F.col("next").alias("node")).distinct()
     start = far.join(top, "node", "left_anti")
-    lengths = F.explode(F.array(*[F.lit(n) for n in range(min_depth, depth + 1)]))
+    lengths = F.explode(F.sequence(F.lit(min_depth), F.lit(max(longest, min_depth))))
     frontier = start.select("node", "d", lengths.alias("goal")).filter("d >= goal").select("goal", "node", F.array("node").alias("path"))
     frontier = top_k_per_group(frontier, ["goal"], ["path"], k)
-    for i in range(1, depth + 1):
+    for i in range(1, longest + 1):
         grown = frontier.join(ahead, (F.col("node") == F.col("at")) & (F.col("goal") >= i), "left")
         grown = grown.filter((F.col("goal") < i) | (F.col("far") >= F.col("goal") - i))
         frontier = grown.select(
@@ -318,6 +365,10 @@ def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int = MAX_DEPT
         frontier = top_k_per_group(frontier, ["goal"], ["path"], k)
         if i % 4 == 0:
             frontier = cut_lineage(frontier, "chains")
+    if looped:
+        seeds = cyclic.join(top, "node", "left_anti").select(F.col("node").alias("seed"), "node")
+        trails = paths(edges, seeds, depth).filter(F.col("depth") >= min_depth).select(F.col("depth").alias("goal"), F.col("id").alias("node"), "path")
+        frontier = frontier.unionByName(trails)
     best = top_k(frontier, [F.desc("goal"), "path"], k)
     out = best.select(F.element_at("path", 1).alias("terminal_id"), F.col("node").alias("origin_id"), F.col("goal").alias("depth"), "path")
     home = item_workspace(g)
@@ -329,15 +380,15 @@ def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int = MAX_DEPT
 
 
 # ---- cycles ------------------------------------------------------------------------
-def cyclic_core(edges: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """Edges left after dropping, again and again, nodes with no way in or no way out."""
-    core = edges
-    for _ in range(rounds):
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges left after dropping, until none goes, nodes with no way in or no way out."""
+    core = cut_lineage(edges, "core")
+    before = core.count()
+    while before:
         kept = core.join(core.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
-        kept = cut_lineage(kept.join(kept.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", "next"), "core")
-        before, after = core.count(), kept.count()
-        core = kept
-        if before == after or after == 0:
+        core = cut_lineage(kept.join(kept.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", "next"), "core")
+        before, last = core.count(), before
+        if before == last:
             break
     return core
 
