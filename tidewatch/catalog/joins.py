@@ -29,7 +29,8 @@ def merged_cte(tol=300):
   CASE WHEN j.job_status='Failed' THEN 'Failed' ELSE coalesce(a.status,'Unknown') END AS status,
   coalesce(a.failure_reason, j.job_failure_reason) AS failure_reason, coalesce(a.error_message, a.failure_reason, j.job_failure_reason) AS error_message,
   coalesce(a.submitted_by, j.job_invoker) AS submitted_by, coalesce(a.end_time, j.job_end_time) AS end_time,
-  coalesce(greatest(0.0, CAST(date_diff('microsecond', a.start_time, coalesce(a.end_time, j.job_end_time)) AS DOUBLE)/1000000), 0.0) AS duration_seconds,
+  CASE WHEN a.end_time IS NULL OR a.duration_seconds IS NULL
+   THEN coalesce(greatest(0.0, CAST(date_diff('microsecond', a.start_time, coalesce(a.end_time, j.job_end_time)) AS DOUBLE)/1000000), 0.0) ELSE a.duration_seconds END AS duration_seconds,
   a.workspace_name, a.root_activity_id, a.invoke_type FROM act a LEFT JOIN near n ON a.event_id = n.event_id AND n.gap <= {tol * 1000000} LEFT JOIN jobs j ON n.jid = j.job_instance_id)"""
 
 

@@ -1,12 +1,15 @@
 """Nearest-in-time joins.
 
-The join is two-level. Time is cut into narrow cells per key; each cell keeps only its
-first and last right row, and a window over these summaries (one row per cell, not per
-event) tells every left cell which right row precedes it and which follows it. Those two
-carried rows then enter the cell as ordinary right rows, and a window inside the cell does
-the matching. No right row is replicated, any tolerance works with any cell width, and a
-hot key is spread over as many tasks as it has cells. Both windows only look backwards in
-their sort order, so each is one linear pass.
+With a tolerance, time is cut into cells per key that are a few tolerances wide. Each right row is
+given to the one or two cells that it can reach, and a window inside each cell does the matching:
+both inputs are read once and meet in one exchange on (key, cell), so a hot key is spread over its
+cells. Left rows without key or time travel in cells of their own, dealt by hash.
+
+Without a tolerance the join is two-level. Each cell keeps only its first and last right row, and a
+window over these summaries (one row per cell, not per event) tells every left cell which right row
+precedes it and which follows it. Those two carried rows then enter the cell as ordinary right rows.
+No right row is replicated. All windows only look backwards in their sort order, so each is one
+linear pass.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from tidewatch import constants as K
 from tidewatch.functions.basics import col, epoch_micros
 
 CELL_SECONDS = 60
+#: Width of a cell in tolerances, and cells for left rows that can't match.
+CELL_TOLERANCES, LOOSE_CELLS = 4, 1 << 20
 
 
 def asof_join(
@@ -41,36 +46,54 @@ def asof_join(
     """
     payload = [c for c in right.columns if c != by]
     named = {c: (f"{c}_job" if c in left.columns else c) for c in payload}
-    width = cell_seconds * 1_000_000
-    tie_col = col(tie).cast("string") if tie else F.lit("")
+    reach = None if tolerance is None else int(tolerance * 1_000_000)
+    width = max(cell_seconds * 1_000_000, CELL_TOLERANCES * (reach or 0))
+    tie_col = F.coalesce(col(tie).cast("string"), F.lit("")) if tie else F.lit("")
 
     r = right.filter(F.col(by).isNotNull() & F.col(right_on).isNotNull()).select(
-        F.col(by).alias("_k"),
-        epoch_micros(right_on).alias("_t"),
-        F.coalesce(tie_col, F.lit("")).alias("_tie"),
-        F.struct(*[F.col(c).alias(named[c]) for c in payload]).alias("_r"),
-    ).withColumn("_cell", F.floor(F.col("_t") / width))
-    usable = F.col(by).isNotNull() & F.col(left_on).isNotNull()
-    l = left.filter(usable).select(  # noqa: E741
-        F.col(by).alias("_k"),
-        epoch_micros(left_on).alias("_t"),
-        F.struct("*").alias("_l"),
-    ).withColumn("_cell", F.floor(F.col("_t") / width))
+        F.col(by).alias("_k"), epoch_micros(right_on).alias("_t"), tie_col.alias("_tie"), F.struct(*[F.col(c).alias(named[c]) for c in payload]).alias("_r")
+    )
+    usable = F.coalesce(F.col(by).isNotNull() & F.col(left_on).isNotNull(), F.lit(False))
+    l = left.select(  # noqa: E741
+        F.when(usable, F.col(by)).alias("_k"), F.when(usable, epoch_micros(left_on)).alias("_t"), F.struct("*").alias("_l")
+    ).withColumn("_cell", F.coalesce(F.floor(F.col("_t") / width), F.pmod(F.xxhash64("_l"), F.lit(LOOSE_CELLS))))
+    if reach is None:
+        r = _carried(r.withColumn("_cell", F.floor(F.col("_t") / width)), l.filter("_k is not null").select("_k", "_cell").distinct())
+    else:
+        first = F.floor((F.col("_t") - (reach if direction == "nearest" else 0)) / width)
+        r = r.withColumn("_cell", F.explode(F.sequence(first, F.floor((F.col("_t") + reach) / width))))
 
     hit = F.struct("_t", "_tie", "_r")
-    order = F.struct("_t", "_tie")
-    right_cells = r.groupBy("_k", "_cell").agg(
-        F.max_by(hit, order).alias("_last"), F.min_by(hit, order).alias("_first")
+    no_left = F.lit(None).cast(l.schema["_l"].dataType)
+    no_hit = F.lit(None).cast(r.select(hit.alias("h")).schema["h"].dataType)
+    rows = r.select("_k", "_cell", "_t", F.lit(0).alias("_side"), "_tie", no_left.alias("_l"), hit.alias("_hit")).unionByName(
+        l.select("_k", "_cell", "_t", F.lit(1).alias("_side"), F.lit("").alias("_tie"), "_l", no_hit.alias("_hit"))
     )
-    left_cells = l.select("_k", "_cell").distinct()
+    cell = W.partitionBy("_k", "_cell")
+    back = cell.orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    matched = rows.withColumn("_p", F.last("_hit", ignorenulls=True).over(back))
+    if direction == "nearest":
+        down = cell.orderBy(F.desc("_t"), "_side", F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
+        matched = matched.withColumn("_n", F.last("_hit", ignorenulls=True).over(down))
+    else:
+        matched = matched.withColumn("_n", no_hit)
+    take_prev = F.col("_n").isNull() | (F.col("_t") - F.col("_p._t") <= F.col("_n._t") - F.col("_t"))
+    best = F.when(F.col("_p").isNotNull() & take_prev, F.col("_p")).otherwise(F.col("_n"))
+    if reach is not None:
+        best = F.when(F.abs(best["_t"] - F.col("_t")) <= reach, best)
+    return matched.filter("_side = 1").withColumn("_best", best["_r"]).select("_l.*", "_best.*")
+
+
+def _carried(r: DataFrame, left_cells: DataFrame) -> DataFrame:
+    """Right rows, and for each cell that is asked for, the last one before it and the first one after it."""
+    hit, order = F.struct("_t", "_tie", "_r"), F.struct("_t", "_tie")
+    right_cells = r.groupBy("_k", "_cell").agg(F.max_by(hit, order).alias("_last"), F.min_by(hit, order).alias("_first"))
     empty = F.lit(None).cast(right_cells.schema["_last"].dataType)
     cells = (
         right_cells.withColumn("_asked", F.lit(False))
         .unionByName(left_cells.select("_k", "_cell", empty.alias("_last"), empty.alias("_first"), F.lit(True).alias("_asked")))
         .groupBy("_k", "_cell")
-        .agg(F.max_by("_last", F.col("_last").isNotNull()).alias("_last"),
-             F.max_by("_first", F.col("_first").isNotNull()).alias("_first"),
-             F.bool_or("_asked").alias("_asked"))
+        .agg(F.max_by("_last", F.col("_last").isNotNull()).alias("_last"), F.max_by("_first", F.col("_first").isNotNull()).alias("_first"), F.bool_or("_asked").alias("_asked"))
     )
     before = W.partitionBy("_k").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     after = W.partitionBy("_k").orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
@@ -82,41 +105,7 @@ def asof_join(
         .filter("_h is not null")
         .select("_k", "_cell", F.col("_h._t").alias("_t"), F.col("_h._tie").alias("_tie"), F.col("_h._r").alias("_r"))
     )
-    no_left = F.lit(None).cast(l.schema["_l"].dataType)
-    no_right = F.lit(None).cast(r.schema["_r"].dataType)
-    rows = (
-        r.unionByName(carried)
-        .select("_k", "_cell", "_t", F.lit(0).alias("_side"), "_tie", no_left.alias("_l"), hit.alias("_hit"))
-        .unionByName(
-            l.select("_k", "_cell", "_t", F.lit(1).alias("_side"), F.lit("").alias("_tie"), "_l",
-                     F.lit(None).cast(right_cells.schema["_last"].dataType).alias("_hit"))
-        )
-    )
-    cell = W.partitionBy("_k", "_cell")
-    matched = rows.withColumn(
-        "_p", F.last("_hit", ignorenulls=True).over(cell.orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0))
-    )
-    if direction == "nearest":
-        down = cell.orderBy(F.desc("_t"), "_side", F.desc("_tie")).rowsBetween(W.unboundedPreceding, 0)
-        matched = matched.withColumn("_n", F.last("_hit", ignorenulls=True).over(down))
-    else:
-        matched = matched.withColumn("_n", F.lit(None).cast(right_cells.schema["_last"].dataType))
-    gap_back = F.col("_t") - F.col("_p._t")
-    gap_fwd = F.col("_n._t") - F.col("_t")
-    take_prev = F.col("_n").isNull() | (gap_back <= gap_fwd)
-    best = F.when(F.col("_p").isNotNull() & take_prev, F.col("_p")).otherwise(F.col("_n"))
-    if tolerance is not None:
-        gap = F.abs(best["_t"] - F.col("_t"))
-        best = F.when(gap <= int(tolerance * 1_000_000), best)
-    merged = (
-        matched.filter("_side = 1")
-        .withColumn("_best", best["_r"])
-        .select("_l.*", "_best.*")
-    )
-    aside = left.filter(~F.coalesce(usable, F.lit(False))).select(
-        "*", *[F.lit(None).cast(right.schema[c].dataType).alias(named[c]) for c in payload]
-    )
-    return merged.unionByName(aside)
+    return r.unionByName(carried)
 
 
 def asof_nearest(l: DataFrame, r: DataFrame, on: tuple[str, str] = ("start_time", "job_start_time"), by: str = "item_id", tol: float | None = K.ASOF_TOLERANCE_SECONDS, tie: str | None = "job_instance_id") -> DataFrame:  # noqa: E741
@@ -140,12 +129,12 @@ def resolve_merge(df: DataFrame, missing_end: Column | None = None) -> DataFrame
     """Settle conflicts between an activity and its matched job.
 
     A failed job fails the activity; reason, message, user and end time are filled from the
-    job (a structured reason as its JSON text). Durations are recomputed only when some end time is missing in the whole input.
-    ``missing_end`` answers that question when the caller has it; otherwise a scalar
-    subquery over the input does.
+    job (a structured reason as its JSON text). A duration is recomputed where the end time was
+    missing. ``missing_end`` sets another rule: with :func:`any_missing_end`, one missing end time
+    anywhere recomputes all durations, which makes a row depend on the batch it comes in.
     """
     if missing_end is None:
-        missing_end = any_missing_end(df)
+        missing_end = F.col("end_time").isNull() | F.col("duration_seconds").isNull()
     job_failed = F.coalesce(F.col("job_status") == "Failed", F.lit(False))
     nested = df.schema["job_failure_reason"].dataType.typeName() == "struct"
     reason = F.coalesce("failure_reason", F.to_json("job_failure_reason") if nested else F.col("job_failure_reason"))
@@ -171,12 +160,8 @@ def any_missing_end(df: DataFrame) -> Column:
 
 
 def smart_merge(activities: DataFrame, jobs: DataFrame, tolerance: float = K.ASOF_TOLERANCE_SECONDS) -> DataFrame:
-    """As-of match of activities to jobs by item and start time, then conflict resolution.
-
-    The missing-end question is asked of the activities alone: one narrow scan, not a
-    second as-of join."""
-    merged = asof_nearest(activities, jobs, tol=tolerance)
-    return resolve_merge(merged, any_missing_end(activities))
+    """As-of match of activities to jobs by item and start time, then conflict resolution."""
+    return resolve_merge(asof_nearest(activities, jobs, tol=tolerance))
 
 
 def enrich_errors(df: DataFrame, nested_reason: bool = False) -> DataFrame:
