@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,6 @@ from tidewatch import constants as K
 from tidewatch.functions.basics import first_non_empty
 from tidewatch.operators.ranking import first_per_key
 
-MAX_REQUIREMENTS = 1000
-
 
 def is_premium(capacity: str = "capacityId", dedicated: str = "isOnDedicatedCapacity") -> Column:
     has = (F.col(capacity) != "") & (F.col(capacity) != K.EMPTY_CAPACITY_ID)
@@ -77,24 +76,17 @@ def member_roles(members: DataFrame, principals: Sequence[str] | None = None, or
 def assess_access(ws: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:
     """One row per workspace and requirement, with the current role if any.
 
-    Requirements are configuration (``objectId``, ``displayName``, ``role``) of checked
-    size; each workspace row is expanded by them as a literal array, so there is no join
-    until memberships are looked up by (workspace, principal).
+    Requirements are configuration (``objectId``, ``displayName``, ``role``), of any number;
+    the answer has a row for each of them and workspace. They travel as one JSON literal that
+    each workspace row is expanded by, so there is no join until memberships, restricted to
+    the required principals, are looked up by (workspace, principal).
     """
-    if len(requirements) > MAX_REQUIREMENTS:
-        raise ValueError(f"more than {MAX_REQUIREMENTS} requirements; split the configuration")
-    literal = F.array(
-        *[
-            F.struct(
-                F.lit(r.get("displayName", r["objectId"])).alias("group"),
-                F.lit(r["objectId"].lower()).alias("principal"),
-                F.lit(r.get("role", "Admin")).alias("target_role"),
-            )
-            for r in requirements
-        ]
-    )
+    listed = [
+        {"group": r.get("displayName", r["objectId"]), "principal": r["objectId"].lower(), "target_role": r.get("role", "Admin")} for r in requirements
+    ]
+    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<group: string, principal: string, target_role: string>>")
     wanted = ws.select("*", F.inline(literal))
-    roles = member_roles(members, [r["objectId"] for r in requirements]).withColumnRenamed("workspace_id", "id")
+    roles = member_roles(members, sorted({r["objectId"] for r in requirements})).withColumnRenamed("workspace_id", "id")
     return wanted.join(roles, ["id", "principal"], "left")
 
 
@@ -107,7 +99,7 @@ def requirement_status(ws: DataFrame, requirements: Sequence[dict], members: Dat
 def access_summary(ws: DataFrame, rules: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:
     """One row per workspace: status, whether action is needed, and the joined action text.
 
-    The text gathers at most one entry per requirement, a checked number.
+    The text gathers one entry per requirement of the configuration.
     """
     status = workspace_status(ws, rules)
     entry = F.struct("group", F.concat_ws(": ", "group", "action").alias("text"))
