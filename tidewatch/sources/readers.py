@@ -98,7 +98,7 @@ def load_jobs(spark: SparkSession, directory: str, keep_bad: bool = False) -> Da
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{directory}/*.json")
     if keep_bad:
         return raw
-    return normalise_jobs(raw.filter("_corrupt_record is null and id is not null").drop("_corrupt_record"))
+    return normalise_jobs(raw.filter("_corrupt_record is null").drop("_corrupt_record"))
 
 
 def normalise_jobs(raw: DataFrame) -> DataFrame:
