@@ -84,8 +84,14 @@ def test_item_classes(df):
 
 
 def test_surrogate_key_matches_definition(df):
-    want = int.from_bytes(hashlib.md5(b"workspace|abc").digest()[:4], "big") % (2**31 - 1)
-    assert apply(df, "abc", lambda c: B.surrogate_key("workspace", c)) == want
+    digest = hashlib.md5(b"workspace|abc")
+    assert apply(df, "abc", lambda c: B.surrogate_key("workspace", c)) == int(digest.hexdigest()[:15], 16)
+    assert apply(df, "abc", lambda c: B.export_key("workspace", c)) == int.from_bytes(digest.digest()[:4], "big") % (2**31 - 1)
+
+
+def test_key_collisions_are_reported(df):
+    dim = df([(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, None)], "k int, natural string")
+    assert rows(B.key_collisions(dim, "k", "natural")) == [(2, 2)]
 
 
 def test_rename_coalesce_and_ensure(df):

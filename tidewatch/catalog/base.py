@@ -36,6 +36,10 @@ def r2(expr: str, digits: int = 2) -> str:
 
 
 def sk(prefix: str, col: str) -> str:
+    return f"('0x'||substr(md5('{prefix}|'||{col}),1,15))::BIGINT"
+
+
+def export_sk(prefix: str, col: str) -> str:
     return f"(('0x'||substr(md5('{prefix}|'||{col}),1,8))::BIGINT % 2147483647)"
 
 

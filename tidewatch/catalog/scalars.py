@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.base import ENV_CASE, act, query, r2, sk
+from tidewatch.catalog.base import ENV_CASE, act, export_sk, query, r2, sk
 from tidewatch.functions import basics as B
 from tidewatch.functions import enrich as E
 from tidewatch.functions import labels as L
@@ -76,9 +76,14 @@ def _(s, d):
     return A(s, d).select("event_id", E.object_url("workspace_id", "item_id", "item_type").alias("url"))
 
 
-@query("surrogate_keys", f"SELECT c_custkey, {sk('customer', 'c_name')} AS one, (('0x'||substr(md5('part|'||c_custkey||'|'||c_mktsegment),1,8))::BIGINT % 2147483647) AS two FROM customer")
+@query("surrogate_keys", f"SELECT c_custkey, {sk('customer', 'c_name')} AS one, {export_sk('part', "c_custkey||'|'||c_mktsegment")} AS two FROM customer")
 def _(s, d):
-    return t(s, d, "customer", "c_custkey", B.surrogate_key("customer", "c_name").alias("one"), B.surrogate_key("part", "c_custkey", "c_mktsegment").alias("two"))
+    return t(s, d, "customer", "c_custkey", B.surrogate_key("customer", "c_name").alias("one"), B.export_key("part", "c_custkey", "c_mktsegment").alias("two"))
+
+
+@query("key_collisions", f"SELECT {export_sk('customer', 'c_mktsegment')} % 3 AS k, count(DISTINCT c_mktsegment) AS members FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+def _(s, d):
+    return B.key_collisions(t(s, d, "customer", "c_mktsegment", (B.export_key("customer", "c_mktsegment") % 3).alias("k")), "k", "c_mktsegment")
 
 
 @query("derived_durations", r"""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN round_even(CAST(o_totalprice AS DOUBLE)/1000.0*1000.0,0)/1000.0 WHEN o_orderkey % 4 = 1 THEN CAST(o_orderkey % 5000 AS DOUBLE) END AS seconds FROM orders""")
