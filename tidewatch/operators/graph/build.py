@@ -82,9 +82,16 @@ def dependency_edges(records: DataFrame, known: DataFrame | None = None) -> Data
 
 
 def source_nodes(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    deps = split_dependencies(parsed(records), known).filter("not is_internal")
-    rows = deps.select("seq", source_id("kind", "conn").alias("id"), "kind", source_details("kind", "conn").alias("d"))
-    return _first(rows.select("seq", "id", "kind", "d.*"), "id", "kind", "display_name", "location", "container", "database").withColumnRenamed("kind", "type")
+    """External sources of dependencies, and the ones that mirrored databases copy from."""
+    p = parsed(records)
+    deps = split_dependencies(p, known).filter("not is_internal")
+    rows = deps.select("seq", source_id("kind", "conn").alias("id"), "kind", source_details("kind", "conn").alias("d")).select("seq", "id", "kind", "d.*")
+    mirrored = _mirror_sources(p).select(
+        "seq", "id", F.lit("Snowflake").alias("kind"), F.coalesce("connection", "database", F.lit("Snowflake")).alias("display_name"),
+        F.col("connection").alias("location"), F.lit(None).cast("string").alias("container"), "database",
+    )
+    every = rows.select("seq", "id", "kind", "display_name", "location", "container", "database").unionByName(mirrored)
+    return _first(every, "id", "kind", "display_name", "location", "container", "database").withColumnRenamed("kind", "type")
 
 
 def shortcut_tables(records: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,9 +112,7 @@ def shortcut_tables(records: DataFrame, known: DataFrame | None = None) -> tuple
 
 def mirrored_tables(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Table nodes of mirrored databases, from status lists and mounted-table definitions."""
-    p = parsed(records).filter(
-        (F.col("raw_type") == "MirroredDatabase") & ~F.col("kind").isin(K.EXTERNAL_SOURCE_TYPES) & ~((F.col("kind") == "OneLake") & F.col("conn").isNotNull())
-    )
+    p = _mirrored_databases(parsed(records))
     db = F.when(F.coalesce(F.col("source_database"), F.lit("Unknown")).isin("", "Unknown"), F.col("item_name")).otherwise(F.col("source_database"))
     listed = p.select("seq", "item_id", db.alias("database"), F.explode("mirrored").alias("m")).filter("m.tableName <> ''").select(
         "seq", "item_id", "database",
@@ -129,15 +134,26 @@ def mirrored_tables(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, dedupe_edges(edges)
 
 
-def mirror_source_edges(records: DataFrame) -> DataFrame:
-    """CONSUMES edges from mirrored databases to the Snowflake source of their definition."""
-    p = parsed(records).filter(F.col("raw_type") == "MirroredDatabase")
+def _mirrored_databases(p: DataFrame) -> DataFrame:
+    """Records of mirrored databases that are no dependency themselves."""
+    dependency = F.col("kind").isin(K.EXTERNAL_SOURCE_TYPES) | ((F.col("kind") == "OneLake") & F.col("conn").isNotNull())
+    return p.filter((F.col("raw_type") == "MirroredDatabase") & ~dependency)
+
+
+def _mirror_sources(p: DataFrame) -> DataFrame:
+    """(seq, item_id, id, connection, database): the Snowflake source in a mirrored database's definition."""
     s = F.from_json("definition", DEFINITION_DDL)["properties"]["source"]
-    rows = p.select("item_id", s.alias("s")).filter("s.type = 'Snowflake'")
-    signature = F.concat_ws("|", F.lit("Snowflake"), F.nullif(F.col("s.typeProperties.connection"), F.lit("")), F.nullif(F.col("s.typeProperties.database"), F.lit("")))
-    return dedupe_edges(
-        rows.select(F.col("item_id").alias("src"), F.concat(F.lit("src_"), F.substring(F.md5(signature), 1, 12)).alias("dst"), F.lit("CONSUMES").alias("rel"))
+    rows = _mirrored_databases(p).select("seq", "item_id", s.alias("s")).filter("s.type = 'Snowflake'").select(
+        "seq", "item_id", F.nullif(F.col("s.typeProperties.connection"), F.lit("")).alias("connection"), F.nullif(F.col("s.typeProperties.database"), F.lit("")).alias("database")
     )
+    signature = F.concat_ws("|", F.lit("Snowflake"), "connection", "database")
+    return rows.withColumn("id", F.concat(F.lit("src_"), F.substring(F.md5(signature), 1, 12)))
+
+
+def mirror_source_edges(records: DataFrame) -> DataFrame:
+    """CONSUMES edges from mirrored databases to the Snowflake source of their definition."""
+    rows = _mirror_sources(parsed(records)).filter("item_id is not null")
+    return dedupe_edges(rows.select(F.col("item_id").alias("src"), F.col("id").alias("dst"), F.lit("CONSUMES").alias("rel")))
 
 
 def report_edges(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
