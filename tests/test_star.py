@@ -138,6 +138,34 @@ def test_incremental_append_is_idempotent(df, spark, tmp_path):
     assert rows(spark.read.parquet(dp), *FA.daily_metrics(facts).columns) == rows(FA.daily_metrics(facts))
 
 
+def test_a_load_that_stopped_between_its_writes_is_completed(df, spark, tmp_path, monkeypatch):
+    facts = FA.fact_from_log(acts(df))
+    fp, dp = f"{tmp_path}/fact", f"{tmp_path}/daily"
+    facts.limit(0).write.partitionBy("activity_date").parquet(fp)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(I, "replace_daily", stop)
+        try:
+            I.append_facts(spark, facts, fp, dp)
+        except RuntimeError:
+            pass
+    assert spark.read.schema(facts.schema).parquet(fp).count() == 4
+    I.append_facts(spark, facts, fp, dp)
+    assert spark.read.schema(facts.schema).parquet(fp).count() == 4
+    assert rows(spark.read.parquet(dp), *FA.daily_metrics(facts).columns) == rows(FA.daily_metrics(facts))
+
+
+def test_a_load_reads_its_days_only(df, spark, tmp_path):
+    facts = FA.fact_from_log(acts(df))
+    facts.write.partitionBy("activity_date").parquet(f"{tmp_path}/fact")
+    stored = spark.read.schema(facts.schema).parquet(f"{tmp_path}/fact")
+    plan = I.new_facts(facts, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan.split("tmp_path")[0].split("Scan parquet")[-1]
+
+
 def test_load_state(spark, tmp_path):
     state = I.LoadState(spark, f"{tmp_path}/state")
     assert state.get_hwm("facts") is None and state.history().count() == 0

@@ -47,7 +47,7 @@ def _(s, d):
     path = scratch_path(s, "facts")
     facts = X(s, d)
     facts.filter("activity_date < date'2024-01-15'").write.partitionBy("activity_date").parquet(f"{path}/fact")
-    FA.daily_metrics(s.read.parquet(f"{path}/fact")).write.parquet(f"{path}/daily")
+    I.replace_daily(s, s.read.parquet(f"{path}/fact"), f"{path}/daily")
     I.append_facts(s, facts, f"{path}/fact", f"{path}/daily")
     I.append_facts(s, facts, f"{path}/fact", f"{path}/daily")
     return s.read.parquet(f"{path}/fact")
@@ -58,9 +58,9 @@ def _(s, d):
     path = scratch_path(s, "daily")
     facts = X(s, d)
     facts.filter("activity_date < date'2024-01-15'").write.partitionBy("activity_date").parquet(f"{path}/fact")
-    FA.daily_metrics(s.read.parquet(f"{path}/fact")).write.parquet(f"{path}/daily")
-    I.append_facts(s, facts, f"{path}/fact", f"{path}/daily")
-    return s.read.parquet(f"{path}/daily")
+    I.replace_daily(s, s.read.parquet(f"{path}/fact"), f"{path}/daily")
+    I.append_facts(s, facts.filter("activity_date >= date'2024-01-10'"), f"{path}/fact", f"{path}/daily")
+    return s.read.parquet(f"{path}/daily").select(FA.daily_metrics(facts).columns)
 
 
 def _members(s, d, changed):
@@ -121,9 +121,57 @@ def _(s, d):
     return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "activity_type", "r.*")
 
 
-@query("stream_facts", fact("SELECT event_id, date_sk, workspace_sk, item_sk, is_failed, duration_seconds FROM fact WHERE workspace_sk IS NOT NULL"))
+@query("stream_facts", fact("SELECT event_id, date_sk, workspace_sk, item_sk, is_failed, duration_seconds FROM fact"))
 def _(s, d):
+    """Four files in as many batches, latest first; the earliest third of the events lands again at last, a month late."""
     path, schema = _landed(s, d)
+    s.read.parquet(path).filter("start_time < timestamp'2024-01-10'").coalesce(1).write.mode("append").parquet(path)
     out, ckpt = scratch_path(s, "stream"), scratch_path(s, "ckpt")
-    I.stream_facts(s, path, schema, FA.fact_from_log, out, ckpt, lateness="60 days")
-    return s.read.parquet(out).filter("workspace_sk is not null").select("event_id", "date_sk", "workspace_sk", "item_sk", "is_failed", "duration_seconds")
+    names = cut_lineage(FA.workspace_names(A(s, d)), "names")
+    I.stream_facts(s, path, schema, lambda batch: FA.fact_from_log(batch, names=names), out, ckpt, files_per_trigger=1)
+    return s.read.parquet(out).select("event_id", "date_sk", "workspace_sk", "item_sk", "is_failed", "duration_seconds")
+
+
+@query("late_stream_rows", act("SELECT event_id FROM act"))
+def _(s, d):
+    """Every second event lands first, the others, all older than what was seen, in a second run of the stream."""
+    path, out, ckpt = (scratch_path(s, x) for x in ("late", "stream", "ckpt"))
+    a = A(s, d).drop("object_url", "error_message").withColumns({c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")})
+    odd = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 1
+    names = cut_lineage(FA.workspace_names(A(s, d)), "names")
+    for part in (a.filter(odd), a.filter(~odd)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        I.stream_facts(s, path, a.schema, lambda batch: FA.fact_from_log(batch, names=names), out, ckpt)
+    return s.read.parquet(out).select("event_id")
+
+
+@query("load_history", act("SELECT entity, max(start_time) AS high_water_mark, count(*) AS records_processed FROM (SELECT 'facts' AS entity, start_time FROM act UNION ALL SELECT 'errors', start_time FROM act WHERE status='Failed') GROUP BY 1"))
+def _(s, d):
+    """Two loads an entity; the second one's mark and count are asked for."""
+    state = I.LoadState(s, scratch_path(s, "state"))
+    a = A(s, d).withColumn("start_time", F.col("start_time").cast("timestamp"))
+    for entity, rows in (("facts", a), ("errors", a.filter("status = 'Failed'"))):
+        for part in (rows.filter(f"start_time <= timestamp'{MID}'"), rows):
+            hwm, n = part.agg(F.max("start_time"), F.count("*")).first()
+            state.record_load(entity, hwm, n, 1.0)
+    last = state.history().groupBy("entity").agg(F.max("high_water_mark").alias("high_water_mark"), F.max("records_processed").alias("records_processed"))
+    return last.withColumn("high_water_mark", F.col("high_water_mark").cast("timestamp_ntz"))
+
+
+@query("build_schema_full", fact("SELECT (SELECT count(*) FROM fact) AS facts, (SELECT count(*) FROM dim_ws) AS workspaces, (SELECT count(*) FROM dim_item) AS items, (SELECT count(*) FROM dim_user) AS users, (SELECT count(*) FROM days) AS days"))
+def _(s, d):
+    return _model_counts(FA.build_schema(A(s, d)))
+
+
+@query("build_schema_incremental", fact(f"SELECT (SELECT count(*) FROM act WHERE start_time > TIMESTAMP '{MID}') AS facts, (SELECT count(*) FROM dim_ws) AS workspaces, (SELECT count(*) FROM dim_item) AS items, (SELECT count(*) FROM dim_user) AS users, (SELECT count(*) FROM days) AS days"))
+def _(s, d):
+    """The first half builds the dimensions, the whole log extends them; only events above the mark become facts."""
+    a = A(s, d)
+    first = FA.build_schema(a.filter(F.col("start_time") <= F.lit(MID).cast("timestamp_ntz")))
+    return _model_counts(FA.build_schema(a, incremental=True, existing=first.dims, hwm=F.lit(MID).cast("timestamp_ntz")))
+
+
+def _model_counts(m):
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    tables = {"facts": m.fact_activity, "workspaces": m.dims.workspace, "items": m.dims.item, "users": m.dims.user, "days": m.dim_date}
+    return m.fact_activity.sparkSession.range(1).select(*[one(df, name).scalar().alias(name) for name, df in tables.items()])

@@ -75,12 +75,12 @@ def resolve_keys(df: DataFrame, dims: Dims) -> DataFrame:
     ).drop("_ws_by_id", "_ws_by_name", "_name", "_type", "_code", "_status")
 
 
-def hashed_keys(df: DataFrame) -> DataFrame:
+def hashed_keys(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The keys of :func:`resolve_keys` for dimensions built from these same activities.
 
     Growing-dimension keys are hashes of natural keys, so for such a fact the lookups are
     expressions and need no join: the bulk of the rows never moves. Only rows without a
-    workspace id, kept apart, look their name up.
+    workspace id, kept apart, look their name up: in ``names``, or else in these activities.
     """
     present = F.coalesce(F.col("workspace_id") != "", F.lit(False))
     type_sk = F.create_map(*[F.lit(x) for i, t in enumerate(K.ACTIVITY_TYPES, 1) for x in (t[0], i)])
@@ -94,20 +94,28 @@ def hashed_keys(df: DataFrame) -> DataFrame:
             "status_sk": find(status_sk, F.coalesce("status", F.lit("Unknown")), K.UNKNOWN_STATUS_SK),
         }
     )
-    by_name = (
-        df.filter(present)
+    by_name = workspace_names(df) if names is None else names
+    direct = keyed.filter(present).withColumn("workspace_sk", surrogate_key("workspace", "workspace_id"))
+    return direct.unionByName(keyed.filter(~present).join(by_name, "workspace_name", "left"))
+
+
+def workspace_names(acts: DataFrame) -> DataFrame:
+    """(workspace_name, workspace_sk) of all rows that name a workspace and have its id."""
+    return (
+        acts.filter(F.col("workspace_id") != "")
         .select("workspace_id", "workspace_name")
         .distinct()
         .groupBy("workspace_name")
         .agg(F.max(surrogate_key("workspace", "workspace_id")).alias("workspace_sk"))
     )
-    direct = keyed.filter(present).withColumn("workspace_sk", surrogate_key("workspace", "workspace_id"))
-    return direct.unionByName(keyed.filter(~present).join(by_name, "workspace_name", "left"))
 
 
-def fact_from_log(acts: DataFrame, extracted_at: Column | None = None) -> DataFrame:
-    """:func:`fact_activity` over hashed keys: a scan, a projection and one small lookup."""
-    return shape_fact(hashed_keys(acts), extracted_at)
+def fact_from_log(acts: DataFrame, extracted_at: Column | None = None, names: DataFrame | None = None) -> DataFrame:
+    """:func:`fact_activity` over hashed keys: a scan, a projection and one small lookup.
+
+    ``names`` are stored workspace names; a stream needs them, as its batches do not name all workspaces.
+    """
+    return shape_fact(hashed_keys(acts, names), extracted_at)
 
 
 def _text(df: DataFrame, name: str) -> Column:

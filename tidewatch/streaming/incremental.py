@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewatch.operators.facts import daily_metrics
-from tidewatch.sources.sinks import overwrite_safely
 
 HISTORY_LENGTH = 100
 STATE_SCHEMA = "entity string, high_water_mark timestamp, records_processed bigint, duration_seconds double, loaded_at timestamp"
@@ -68,11 +67,21 @@ class LoadState:
 
 
 # ---- I3: facts ---------------------------------------------------------------------
+def in_days(days: list, column: str = "activity_date") -> Column:
+    """Rows of the listed days, null among them: a literal filter that prunes partitions."""
+    known = [d for d in days if d is not None]
+    hit = F.col(column).isin(known) if known else F.lit(False)
+    return F.coalesce(hit, F.lit(False)) | F.col(column).isNull() if len(known) < len(days) else hit
+
+
+def days_of(df: DataFrame, column: str = "activity_date") -> list:
+    """The distinct days of a load; a calendar's worth at most."""
+    return [r[0] for r in df.select(column).distinct().collect()]
+
+
 def new_facts(new: DataFrame, existing: DataFrame, key: str = "event_id") -> DataFrame:
-    """Facts whose event is not loaded yet, each once. Only the loaded days that the new
-    rows touch are compared."""
-    days = new.select("activity_date").distinct()
-    near = existing.join(days, existing["activity_date"].eqNullSafe(days["activity_date"]), "left_semi").select(key)
+    """Facts whose event is not loaded yet, each once. Only the partitions of their days are read."""
+    near = existing.filter(in_days(days_of(new))).select(key)
     return new.dropDuplicates([key]).join(near, key, "left_anti")
 
 
@@ -83,16 +92,22 @@ def recompute_daily(facts: DataFrame, daily: DataFrame, touched: DataFrame) -> D
 
 
 def append_facts(spark: SparkSession, new: DataFrame, fact_path: str, daily_path: str) -> None:
-    """Append unseen facts and bring the daily aggregate up to date; safe to repeat, and
-    good for a first load into empty folders."""
+    """Append unseen facts and compute the daily aggregate of the load's days again.
+
+    Facts are partitioned by ``activity_date``, the aggregate by ``date_sk``; only the load's days are
+    read and replaced. Whatever a stopped run has left, running it again with the same rows completes
+    it: facts that are there are not added, and the days are computed from the stored facts.
+    """
+    staged = _stage(new)
+    touched = in_days(days_of(staged))
     existing = spark.read.schema(new.schema).parquet(fact_path)
-    added = new_facts(new, existing)
-    staged = _stage(added)
-    staged.write.mode("append").partitionBy("activity_date").parquet(fact_path)
-    facts = spark.read.schema(new.schema).parquet(fact_path)
-    before = spark.read.schema(daily_metrics(new).schema).parquet(daily_path)
-    daily = recompute_daily(facts, before, staged)
-    overwrite_safely(daily, daily_path)
+    new_facts(staged, existing).write.mode("append").partitionBy("activity_date").parquet(fact_path)
+    replace_daily(spark, spark.read.schema(new.schema).parquet(fact_path).filter(touched), daily_path)
+
+
+def replace_daily(spark: SparkSession, facts: DataFrame, daily_path: str) -> None:
+    """Replace the partitions of the aggregate for the days that ``facts`` holds completely."""
+    daily_metrics(facts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_sk").parquet(daily_path)
 
 
 def _stage(df: DataFrame) -> DataFrame:
@@ -159,8 +174,33 @@ def batch_overwriting_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def stream_facts(spark: SparkSession, path: str, schema, to_fact: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, lateness: str = "2 hours", files_per_trigger: int | None = None) -> StreamingQuery:
-    """Landed activities to facts as a stream that stops when it has caught up."""
-    events = deduplicated(read_stream(spark, path, schema, files_per_trigger), lateness)
+def unseen_sink(path: str, to_fact: Callable[[DataFrame], DataFrame], key: str = "event_id") -> Callable[[DataFrame, int], None]:
+    """Facts of a batch that no other batch holds, in the batch's own folder.
+
+    Rows are compared with the stored ones of their days, so nothing is late: there is no watermark and
+    no state. A batch that runs twice leaves itself out of the comparison and replaces its folder.
+    """
+    sink = batch_overwriting_sink(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        facts = _stage(to_fact(batch).dropDuplicates([key]))
+        if batch_id:
+            stored = batch.sparkSession.read.option("basePath", path).schema(f"{key} string, activity_date date, batch_id int").parquet(path)
+            near = stored.filter((F.col("batch_id") != batch_id) & in_days(days_of(facts))).select(key)
+            facts = facts.join(near, key, "left_anti")
+        sink(facts, batch_id)
+
+    return write
+
+
+def stream_facts(spark: SparkSession, path: str, schema, to_fact: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, lateness: str | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Landed activities to facts as a stream that stops when it has caught up.
+
+    Each event is stored once, however late it comes. With ``lateness`` duplicates are found in the
+    stream's state instead, which drops rows that are later than that.
+    """
+    events = read_stream(spark, path, schema, files_per_trigger)
+    if lateness is None:
+        return run_available(events, unseen_sink(out, to_fact), checkpoint)
     sink = batch_overwriting_sink(out)
-    return run_available(events, lambda batch, i: sink(to_fact(batch), i), checkpoint)
+    return run_available(deduplicated(events, lateness), lambda batch, i: sink(to_fact(batch), i), checkpoint)
