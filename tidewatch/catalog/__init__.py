@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewatch.catalog import base
 
-MODULES = ["scalars", "joins", "reports", "analysis", "star", "measures", "graph", "traversal", "governance", "incremental", "landing"]
+MODULES = ["scalars", "joins", "reports", "analysis", "star", "measures", "graph", "traversal", "governance", "incremental", "landing", "coverage"]
 
 
 def load() -> dict[str, base.Entry]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
         raise FileNotFoundError(f"no CSV file matches {glob}")
     frames = []
     for g in groups:
-        names = [n.strip().strip('"') for n in g["header"].lstrip("﻿").split(",")]
+        names = next(csv.reader([g["header"].lstrip("\ufeff")], skipinitialspace=True))
         schema = StructType([StructField(n, StringType()) for n in names])
         frames.append(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(sorted(g["paths"])))
     out = frames[0]
@@ -92,10 +93,10 @@ def standardise_events(df: DataFrame, drop_empty: bool = True) -> DataFrame:
 
 
 def load_jobs(spark: SparkSession, directory: str, keep_bad: bool = False) -> DataFrame:
-    """Job history: JSON array files, one job per element. A file that does not parse gives
-    one row with its text in ``_corrupt_record``, which is dropped unless ``keep_bad``."""
+    """Job history: JSON array files of a folder (or a glob), one job per element. A file that does
+    not parse gives one row with its text in ``_corrupt_record``, which is dropped unless ``keep_bad``."""
     schema = StructType.fromDDL(JOB_JSON + ", _corrupt_record string")
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{directory}/*.json")
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(directory if "*" in directory else f"{directory}/*.json")
     if keep_bad:
         return raw
     return normalise_jobs(raw.filter("_corrupt_record is null").drop("_corrupt_record"))
@@ -155,14 +156,14 @@ def load_lineage(spark: SparkSession, path: str) -> DataFrame:
 
     schema = table_schemas()["lineage_records"]
     if path.endswith(".csv"):
-        flat = StructType([f for f in schema.fields if f.name != "Mirrored Tables"])
-        names = spark.read.option("header", True).csv(path).columns
-        text = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        keep = [c for c in (f.name for f in flat.fields) if c in names]
-        return text.select(*[F.col(f"`{c}`") for c in keep]).withColumn("seq", F.monotonically_increasing_id())
+        text = read_csv_union(spark, path)
+        return text.withColumn("seq", F.monotonically_increasing_id())
     wrapped = StructType([StructField("lineage", ArrayType(schema))])
     rows = spark.read.schema(wrapped).option("multiLine", True).json(path)
-    return rows.select(F.posexplode("lineage").alias("_pos", "r")).select("r.*", F.col("_pos").cast("bigint").alias("seq"))
+    # Records keep their order inside a file; files follow each other by a hash of their name, the same in every run.
+    first = F.shiftleft(F.crc32(F.col("_metadata.file_path").cast("binary")), 31)
+    placed = rows.select(first.alias("_first"), "lineage").select("_first", F.posexplode("lineage").alias("_pos", "r"))
+    return placed.select("r.*", (F.col("_first") + F.col("_pos")).alias("seq"))
 
 
 def rebuild_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:

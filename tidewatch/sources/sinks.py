@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,7 +117,12 @@ def retained(df: DataFrame, as_of, days: int = K.RETENTION_DAYS, column: str = "
 
 
 def apply_retention(spark: SparkSession, path: str, days: int = K.RETENTION_DAYS, as_of=None, column: str = "date") -> None:
-    """Drop old data of a table partitioned by day."""
-    day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-    df = spark.read.parquet(path)
-    overwrite_safely(df.filter(F.col(column).isNull() | (F.col(column) >= F.date_sub(day, days))), path, column)
+    """Drop the day partitions of a table that are older than ``days``; no row is read or written."""
+    today = datetime.date.fromisoformat(str(as_of)) if as_of else datetime.datetime.now(datetime.timezone.utc).date()
+    keep_from = (today - datetime.timedelta(days=days)).isoformat()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root):
+        day = entry.getPath().getName().removeprefix(f"{column}=")
+        if entry.isDirectory() and re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) and day < keep_from:
+            fs.delete(entry.getPath(), True)
