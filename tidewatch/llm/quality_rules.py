@@ -184,12 +184,15 @@ def reject_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     Texts are read twice rather than shuffled: once for the estimates, once to apply them.
     """
     slim = docs.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.col(text).alias("text"))
+    stats = cut_lineage(statistics(slim).drop("text"), "quality-statistics")
     z = vector()
-    rows = statistics(slim).where(~base_failed()).select("g_lang", "g_source", *(z[i].alias(f"z{i}") for i in range(P)))
-    shapes = estimates(cut_lineage(rows, "quality-vectors"))
-    whole = free_name(docs, "row")
+    shapes = estimates(stats.where(~base_failed()).select("g_lang", "g_source", *(z[i].alias(f"z{i}") for i in range(P))))
+    whole, fence = free_name(docs, "row"), free_name(docs, "fence")
     packed = docs.select(F.struct(*docs.columns).alias(whole), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return judge(statistics(packed), shapes=shapes).where("kept").select(f"{whole}.*")
+    # Filters don't move below a column that isn't deterministic; otherwise the statistics would be computed inside
+    # the filter, once for each place that names them.
+    judged = judge(statistics(packed).withColumn(fence, F.monotonically_increasing_id()), shapes=shapes)
+    return judged.where(F.col("kept") & (F.col(fence) >= 0)).select(f"{whole}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
