@@ -12,9 +12,9 @@ than S - D - 1, for otherwise one of the equal segments has a shingle.
 
 Equal sets are one class from the start. Pairs of classes that share a segment are tested first against the Hamming
 bound, then exactly on the shingle hashes. Only components are asked for, so each segment's classes are first linked to
-one of them (a star). Segments whose classes are still in different components after two stars with different centres are
-compared in blocks of bounded size inside tasks: only pairs of different components whose parity sketches of a fixed
-number of bits are near enough become rows. Groups of near copies never come out pair by pair.
+one of them (a star), if their sizes and parity sketches of a fixed number of bits allow it. Segments whose classes are still in different components after two stars with different centres are
+compared in blocks of bounded size inside tasks: only pairs of different components whose parity sketches are near
+enough become rows. Groups of near copies never come out pair by pair.
 
 Defined cases: null and blank texts have an empty set and link with nothing; texts with fewer words than a shingle have
 one shingle, the whole sequence; repeated rows are in one class; rows without id are left out, as they cannot be named;
@@ -245,6 +245,21 @@ def _blocks(pct: int):
     return run
 
 
+def _near(pct: int):
+    """Pairs whose sizes and parity sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch[c].to_numpy() for c in ("a_n", "b_n"))
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in ("a_bits", "b_bits"))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * pct) & (far * (100 + pct) <= (n + m) * (100 - pct))
+            kept = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
+
+    return run
+
+
 def _verify(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,8 +320,12 @@ def _links(slim: DataFrame, shared: DataFrame, nodes: DataFrame, k: int, pct: in
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
+        close = pairs
+        if turn != "all":
+            x, y = (sets.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col("bits").alias(f"{n}_bits")) for n in "ab")
+            close = cut_lineage(pairs.join(x, "a").join(y, "b").mapInArrow(_near(pct), "a long, b long"), "near-pairs")
         x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_h")) for n in "ab")
-        full = pairs.join(x, "a").join(y, "b").select("a", "b", "a_h", "b_h")
+        full = close.join(x, "a").join(y, "b").select("a", "b", "a_h", "b_h")
         good = cut_lineage(full.mapInArrow(_verify(pct), "src long, dst long"), "links")
         found = good if found is None else found.unionByName(good)
         tested = pairs if tested is None else tested.unionByName(pairs)
