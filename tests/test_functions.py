@@ -1,5 +1,8 @@
 import datetime as dt
 import hashlib
+import os
+import subprocess
+import sys
 
 import pytest
 from conftest import rows
@@ -188,3 +191,18 @@ def test_title_case_and_display_user(df):
 def test_platform_activity_predicate(df):
     d = df([("JobHistory", None, None), ("x", "Notebook", None), ("x", "Odd", "RunArtifact"), ("x", None, None), (None, "Odd", "Other")], "source string, item_type string, activity_type string")
     assert [r[0] for r in d.select(E.is_platform_activity()).collect()] == [True, True, True, False, False]
+
+
+def test_scratch_is_removed(tmp_path):
+    """In a process of its own, as the folder of this one is in use."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from tidewatch.session import build_session, clear_scratch, cut_lineage
+s = build_session("scratch", "local[1]", spark__ui__enabled="false", spark__checkpoint__dir={str(tmp_path)!r})
+assert cut_lineage(s.range(5)).count() == 5
+clear_scratch(s)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []

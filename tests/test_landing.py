@@ -33,6 +33,16 @@ def test_gated_csv(spark, tmp_path):
     assert rows(RD.load_gated_csv(spark, f"{tmp_path}/*.csv", ["x", "y"])) == [("1", "2"), ("5", "6")]
 
 
+def test_quoted_header_with_a_comma(spark, tmp_path):
+    put(tmp_path, "a.csv", '"name, long",k\n"x, y",1\n')
+    assert rows(RD.read_csv_union(spark, f"{tmp_path}/*.csv"), "`name, long`", "k") == [("x, y", "1")]
+
+
+def test_jobs_without_id_are_kept(spark, tmp_path):
+    put(tmp_path, "a.json", json.dumps([{"id": "j1", "itemId": "i"}, {"itemId": "i", "status": "Failed"}]))
+    assert rows(RD.load_jobs(spark, str(tmp_path)), "job_instance_id", "item_id") == [("j1", "i"), (None, "i")]
+
+
 def test_jobs_from_json_skip_bad_file(spark, tmp_path):
     put(tmp_path, "a.json", json.dumps([{"id": "j1", "itemId": "i", "startTimeUtc": "2024-01-01T00:00:00Z", "status": "Failed", "failureReason": {"message": "m", "errorCode": "c"}}, {"id": "j2", "failureReason": "text"}]))
     put(tmp_path, "b.json", "{not json")
@@ -62,7 +72,11 @@ def test_landed_files_to_star_schema(spark, tmp_path):
 def test_lineage_json_and_csv(spark, tmp_path):
     put(tmp_path, "l.json", json.dumps({"lineage": [{"Item ID": "a", "Mirrored Tables": [{"tableName": "t"}]}, {"Item ID": "b"}]}))
     put(tmp_path, "l.csv", 'Item ID,Source Connection\na,"{\'type\': \'X\', \'k\': 1}"\n')
-    assert rows(RD.load_lineage(spark, f"{tmp_path}/l.json"), "`Item ID`", "seq") == [("a", 0), ("b", 1)]
+    one = RD.load_lineage(spark, f"{tmp_path}/l.json").orderBy("seq").collect()
+    assert [r["Item ID"] for r in one] == ["a", "b"] and one[1]["seq"] == one[0]["seq"] + 1
+    put(tmp_path, "m.json", json.dumps({"lineage": [{"Item ID": "c"}, {"Item ID": "d"}]}))
+    both = [r["seq"] for r in RD.load_lineage(spark, f"{tmp_path}/*.json").collect()]
+    assert len(set(both)) == 4, "records of two files have places of their own"
     assert RD.load_lineage(spark, f"{tmp_path}/l.csv").first()["Source Connection"].startswith("{'type'")
 
 

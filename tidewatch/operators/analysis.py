@@ -12,6 +12,7 @@ from tidewatch.functions.basics import percent
 from tidewatch.functions.labels import FAILURE_BUCKETS, duration_bucket, is_failed
 from tidewatch.operators.quantiles import exact_quantiles, quantile_columns
 from tidewatch.operators.ranking import grand_total, top_k
+from tidewatch.session import cut_lineage
 
 def rows_n() -> Column:
     return F.count(F.lit(1))
@@ -261,8 +262,7 @@ def factor_correlation(df: DataFrame, cats: Sequence[str], value: str = "duratio
     """Pearson correlation of a number with alphabetically encoded categories.
 
     Codes come from the distinct values alone (joined back by value); the correlation is an
-    algebraic aggregate. Distinct values are numbered by range: each range is counted, and
-    the numbering inside a range starts after the ranges before it.
+    algebraic aggregate.
     """
     out = df.filter(F.col(value).isNotNull())
     for c in cats:
@@ -271,15 +271,19 @@ def factor_correlation(df: DataFrame, cats: Sequence[str], value: str = "duratio
 
 
 def encode_labels(df: DataFrame, c: str) -> DataFrame:
-    """(value, value_code): the alphabetical position of each distinct value, from 0."""
+    """(value, value_code): the alphabetical position of each distinct value, from 0.
+
+    The distinct values are sorted by range and written with the number of their range and their place in
+    it; ranges are counted, and a range starts where those before it end.
+    """
     from pyspark.sql import Window as W
 
-    values = df.select(c).filter(F.col(c).isNotNull()).distinct().withColumn("_head", F.substring(c, 1, 4))
-    heads = values.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.orderBy("_head").rowsBetween(W.unboundedPreceding, -1)
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_head").orderBy(c)) - 1
-    return values.withColumn("_i", inside).join(heads, "_head").select(c, (F.col("_before") + F.col("_i")).cast("double").alias(f"{c}_code"))
+    values = df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).withColumn("_id", F.monotonically_increasing_id())
+    placed = cut_lineage(values, "labels").select(c, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(starts, "_range").select(c, (F.col("_before") + F.col("_i")).cast("double").alias(f"{c}_code"))
 
 
 def bipartite_weights(df: DataFrame, a: str = "workspace", b: str = "item_type", min_w: int = 1) -> DataFrame:

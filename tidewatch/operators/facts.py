@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,24 +194,20 @@ def user_metrics(fact: DataFrame, days: int = 7) -> DataFrame:
 def key_completeness(fact: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Per dimension: fact rows without a key, and with a key the dimension lacks.
 
-    Keys are counted before the anti-join, so it compares distinct keys only.
+    One scan of the fact: its keys are unpivoted and counted before the join, which compares distinct
+    keys only.
     """
-    rows = []
-    for name, (dim, key) in dims.items():
-        per_key = fact.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        orphans = per_key.filter(F.col(key).isNotNull()).join(dim.select(key).distinct(), key, "left_anti")
-        missing = per_key.agg(
-            F.sum("n").alias("fact_rows"), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("null_keys")
-        )
-        rows.append(
-            missing.withColumn("orphan_rows", F.coalesce(orphans.agg(F.sum("n")).scalar(), F.lit(0))).select(
-                F.lit(name).alias("dimension"), "fact_rows", "null_keys", "orphan_rows"
-            )
-        )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(key).cast("bigint").alias("key")) for n, (_, key) in dims.items()]))
+    counted = fact.select(keys.alias("k")).groupBy("k.dimension", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(
+        DataFrame.unionByName,
+        [dim.select(F.lit(n).alias("dimension"), F.col(key).cast("bigint").alias("key")) for n, (dim, key) in dims.items()],
+    ).distinct().withColumn("known", F.lit(True))
+    orphan = F.col("key").isNotNull() & F.col("known").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return counted.join(known, ["dimension", "key"], "left").groupBy("dimension").agg(
+        F.sum("n").alias("fact_rows"), total(F.col("key").isNull()).alias("null_keys"), total(orphan).alias("orphan_rows")
+    )
 
 
 class StarSchema(NamedTuple):

@@ -156,14 +156,17 @@ def register_views(fact: DataFrame, dims: Dims, dim_date: DataFrame, dim_time: D
 
 
 def failure_rate_sql(spark: SparkSession, as_of: str, days: int = 7) -> DataFrame:
+    """Only the days asked for are read, and they are summed per key before a name is looked up."""
     return spark.sql(
         """
-        SELECT w.workspace_name, sum(f.is_failed) AS failures, sum(f.record_count) AS total,
-               sum(f.is_failed) * 100.0D / sum(f.record_count) AS failure_rate
-        FROM fact_activity f
+        SELECT w.workspace_name, sum(f.failures) AS failures, sum(f.total) AS total, sum(f.failures) * 100.0D / sum(f.total) AS failure_rate
+        FROM (
+          SELECT workspace_sk, sum(is_failed) AS failures, sum(record_count) AS total
+          FROM fact_activity
+          WHERE activity_date >= date_sub(to_date(:as_of), :days)
+          GROUP BY workspace_sk
+        ) f
         JOIN dim_workspace w ON f.workspace_sk = w.workspace_sk
-        JOIN dim_date d ON f.date_sk = d.date_sk
-        WHERE d.full_date >= date_sub(to_date(:as_of), :days)
         GROUP BY w.workspace_name
         """,
         args={"as_of": as_of, "days": days},
@@ -173,9 +176,12 @@ def failure_rate_sql(spark: SparkSession, as_of: str, days: int = 7) -> DataFram
 def longest_items_sql(spark: SparkSession, k: int = 10) -> DataFrame:
     return spark.sql(
         """
-        SELECT i.item_name, i.item_type, w.workspace_name, sum(f.duration_seconds) / 3600 AS total_hours,
-               avg(f.duration_seconds) / 60 AS avg_minutes
-        FROM fact_activity f
+        SELECT i.item_name, i.item_type, w.workspace_name, sum(f.seconds) / 3600 AS total_hours, sum(f.seconds) / sum(f.timed) / 60 AS avg_minutes
+        FROM (
+          SELECT item_sk, workspace_sk, sum(duration_seconds) AS seconds, count(duration_seconds) AS timed
+          FROM fact_activity
+          GROUP BY item_sk, workspace_sk
+        ) f
         JOIN dim_item i ON f.item_sk = i.item_sk
         JOIN dim_workspace w ON f.workspace_sk = w.workspace_sk
         GROUP BY i.item_name, i.item_type, w.workspace_name

@@ -43,8 +43,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidewatch-"))
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written to the shared folder. Frames that read it end here."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
