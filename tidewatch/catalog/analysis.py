@@ -305,6 +305,35 @@ def _(s, d):
 
 
 
+_HEALTH = f"""{JOBS}, ran AS (SELECT item_id, count(*) AS runs, count(*) FILTER (WHERE job_start_time >= TIMESTAMP '2024-01-25') AS recent FROM jobs GROUP BY 1),
+ it AS (SELECT 'item_'||p_partkey AS item_id, p_brand AS workspace_id FROM part WHERE p_size > 2),
+ f AS (SELECT w.workspace_id, w.workspace_id AS workspace_name, count(it.item_id) AS total_items, count(runs) AS monitorable_items, CAST(coalesce(sum(recent),0) AS BIGINT) AS recent_jobs
+  FROM (SELECT DISTINCT p_brand AS workspace_id FROM part UNION SELECT DISTINCT p_type FROM part) w LEFT JOIN it USING (workspace_id) LEFT JOIN ran USING (item_id) GROUP BY 1),
+ h AS (SELECT *, CAST(CASE WHEN total_items=0 THEN 0 WHEN monitorable_items=0 THEN 1 ELSE 2 END + (recent_jobs > 0)::INT AS INTEGER) AS health_score FROM f),
+ hh AS (SELECT *, health_score/3*100 AS health_percent, CASE WHEN total_items=0 THEN 'no items' WHEN monitorable_items=0 THEN 'no items with jobs' END AS issue FROM h)"""
+
+
+def _health(s, d):
+    import datetime
+
+    part = table(s, d, "part")
+    spaces = part.selectExpr("p_brand as workspace_id").union(part.selectExpr("p_type")).distinct().withColumn("workspace_name", F.col("workspace_id"))
+    items = part.filter("p_size > 2").selectExpr("concat('item_', p_partkey) as item_id", "p_brand as workspace_id")
+    return N.workspace_health(spaces, items, J(s, d), datetime.datetime(2024, 1, 25))
+
+
+@query("workspace_health", f"WITH {_HEALTH} SELECT * FROM hh")
+def _(s, d):
+    return _health(s, d)
+
+
+@query("health_recommendations", f"""WITH {_HEALTH} SELECT 'activity' AS type, 'high' AS priority, count(*) AS affected, count(*) AS total FROM hh HAVING sum(recent_jobs)=0
+ UNION ALL SELECT 'coverage', 'medium', CAST(sum(monitorable_items) AS BIGINT), CAST(sum(total_items) AS BIGINT) FROM hh HAVING sum(monitorable_items) < sum(total_items)*0.5
+ UNION ALL SELECT 'health', 'medium', count(*) FILTER (WHERE health_percent < 50), count(*) FROM hh HAVING count(*) FILTER (WHERE health_percent < 50) > 0""")
+def _(s, d):
+    return N.health_recommendations(_health(s, d))
+
+
 @query("duration_buckets", act("""SELECT CASE WHEN duration_seconds < 60 THEN '< 1 min' WHEN duration_seconds < 300 THEN '1-5 min' WHEN duration_seconds < 900 THEN '5-15 min'
  WHEN duration_seconds < 3600 THEN '15-60 min' ELSE '> 1 hour' END AS bucket, count(*) AS activity_count FROM act WHERE duration_seconds IS NOT NULL GROUP BY 1"""))
 def _(s, d):

@@ -147,6 +147,15 @@ def _(s, d):
     return T.shortest_path(G(s, d), "c1", "s7", 4).select("path_length")
 
 
+@query("shortest_path_steps", f"""WITH RECURSIVE {GR}, b AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges), w AS (SELECT 'c1' AS id, ['c1'] AS path UNION ALL SELECT y, list_append(path, y) FROM w JOIN b ON x=id WHERE len(path) <= 3 AND NOT list_contains(path, y)),
+ p AS (SELECT path FROM w WHERE id='s7' ORDER BY len(path), path LIMIT 1), st AS (SELECT unnest(range(len(path))) AS step, unnest(path) AS id, path FROM p)
+ SELECT CAST(step AS INTEGER) AS step, st.id, name, label, type, (SELECT string_agg(DISTINCT rel, ',' ORDER BY rel) FROM edges WHERE (src=st.id AND dst=path[step]) OR (dst=st.id AND src=path[step])) AS relations FROM st JOIN nodes USING (id)""")
+def _(s, d):
+    g = G(s, d)
+    steps = T.path_steps(g, T.shortest_path(g, "c1", "s7"))
+    return steps.withColumn("relations", F.array_join("relations", ","))
+
+
 @query("chain_report_sections", f"""WITH RECURSIVE {GR}, w AS (SELECT src AS id, 1 AS depth FROM dep WHERE dst NOT IN (SELECT src FROM dep) UNION ALL SELECT src, depth+1 FROM w JOIN dep ON dst=id),
  n AS (SELECT depth, count(*) AS c FROM w WHERE depth >= 2 GROUP BY 1) SELECT 'nodes' AS section, count(*) AS rows FROM items UNION ALL SELECT 'distribution', count(*) FROM n UNION ALL SELECT 'stats', 1""")
 def _(s, d):

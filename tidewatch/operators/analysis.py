@@ -387,6 +387,42 @@ def inventory_health(items: DataFrame, jobs: DataFrame, recent_since) -> DataFra
     return facts.withColumn("health_score", score).withColumn("health_percent", F.col("health_score") / 3 * 100)
 
 
+def workspace_health(workspaces: DataFrame, items: DataFrame, jobs: DataFrame, recent_since) -> DataFrame:
+    """Per workspace: items, items with jobs, recent jobs, a score of 0-3 and what is amiss.
+
+    Two points for items with jobs, one for items without, and one more for a recent job. ``workspaces`` has
+    workspace_id and workspace_name, ``items`` item_id and workspace_id.
+    """
+    ran = jobs.filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(_n("runs"), F.count_if(F.col("job_start_time") >= F.lit(recent_since)).alias("recent"))
+    counts = items.select("workspace_id", "item_id").distinct().join(ran, "item_id", "left").groupBy("workspace_id").agg(
+        _n("total_items"), F.count("runs").alias("monitorable_items"), F.coalesce(F.sum("recent"), F.lit(0)).alias("recent_jobs")
+    )
+    out = workspaces.join(counts, "workspace_id", "left").na.fill(0, ["total_items", "monitorable_items", "recent_jobs"])
+    none, idle = F.col("total_items") == 0, F.col("monitorable_items") == 0
+    base = F.when(none, 0).when(idle, 1).otherwise(2)
+    return out.withColumn("health_score", base + F.when(F.col("recent_jobs") > 0, 1).otherwise(0)).withColumns({
+        "health_percent": F.col("health_score") / 3 * 100,
+        "issue": F.when(none, "no items").when(idle, "no items with jobs"),
+    })
+
+
+def health_recommendations(health: DataFrame) -> DataFrame:
+    """(type, priority, affected, total) for what the workspaces' health calls for: activity, coverage, health."""
+    h = health.agg(
+        F.sum("recent_jobs").alias("jobs"), F.sum("monitorable_items").alias("covered"), F.sum("total_items").alias("items"),
+        F.count_if(F.col("health_percent") < 50).alias("low"), _n("workspaces"),
+    )
+    row = lambda due, kind, priority, affected, total: F.when(
+        due, F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.col(affected).cast("bigint").alias("affected"), F.col(total).cast("bigint").alias("total"))
+    )
+    rows = F.array(
+        row(F.coalesce("jobs", F.lit(0)) == 0, "activity", "high", "workspaces", "workspaces"),
+        row(F.col("covered") < F.col("items") * 0.5, "coverage", "medium", "covered", "items"),
+        row(F.col("low") > 0, "health", "medium", "low", "workspaces"),
+    )
+    return h.select(F.inline(F.filter(rows, lambda x: x.isNotNull())))
+
+
 def merge_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """What a merge repaired: end times, durations and the match rate, from two aggregates."""
     zero = F.coalesce(F.col("duration_seconds"), F.lit(-1.0)) == 0

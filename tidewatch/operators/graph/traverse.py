@@ -160,6 +160,16 @@ def shortest_path(g: Graph, a: str, b: str, depth: int = 15) -> DataFrame:
     return frontier.filter(F.lit(False)).select((F.size("path") - 1).alias("path_length"), "path")
 
 
+def path_steps(g: Graph, path: DataFrame) -> DataFrame:
+    """A path's steps: (step, id, name, label, type, relations), the relations being those to the node before it."""
+    at = path.select(F.posexplode("path").alias("step", "id"), "path")
+    at = at.select("step", "id", F.get("path", F.col("step") - 1).alias("prev"))
+    e = g.edges.select(F.col("src").alias("id"), F.col("dst").alias("prev"), "rel")
+    near = e.unionByName(e.select(F.col("prev").alias("id"), F.col("id").alias("prev"), "rel"))
+    known = at.filter("prev is not null").join(near, ["id", "prev"]).groupBy("step").agg(F.sort_array(F.collect_set("rel")).alias("relations"))
+    return at.join(g.nodes.select("id", "name", "label", "type"), "id", "left").join(known, "step", "left").drop("prev")
+
+
 def shortest_between_names(g: Graph, a: str, b: str, depth: int = 15, k: int = 5) -> DataFrame:
     """The k shortest pairs among items whose names contain the two texts."""
     edges = cut_lineage(steps(g, "any", ()), "undirected")

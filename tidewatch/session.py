@@ -51,10 +51,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage. Frames that read it end here."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove what this application has written to the shared folder. Frames that read it end here."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    """Remove what this application has written to the shared folder."""
+    remove_path(spark, _scratch_root(spark))
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
