@@ -6,9 +6,10 @@ Hamming distance of two sketches, in segments, is a lower bound of the symmetric
 
 At similarity t, sets of a <= b shingles differ in at most a (1 - t) / t places. Sets are put into size bands by a fixed
 ratio; in the band of the smaller set no more than D segments can differ, so of S > D segments at least S - D are
-equal (pigeonhole). Each set is joined on its segments within its band, and also within the band below if its partner may
-be there. Segments without a shingle would be shared by strangers: a set gives them out only when it has more of them
-than S - D - 1, for otherwise one of the equal segments has a shingle.
+equal (pigeonhole). Each set is joined within its band, and also within the band below if its partner may be there.
+Segments without a shingle would be shared by strangers. A set with a shingle in f > D segments shares f - D of these
+with a partner or more, the first of which is among its first D + 1: it gives out only those. The few sets with less
+give out all segments.
 
 Equal sets are one class from the start. Pairs of classes that share a segment are tested first against the Hamming
 bound, then exactly on the shingle hashes. Only components are asked for, so each segment's classes are first linked to
@@ -25,6 +26,7 @@ taken for equal with a chance of about 3 in 10^10 a set.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewatch.llm.common import components, free_name, small_batches, table
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, remove_path, scratch_path
 
 RATIO = 2.0
-#: Segments beyond D + 1, as a share of D + 1 and as a number.
-SLACK, SLACK_MIN = 0.1, 2
 SHINGLE, PCT = 3, 90
 #: Bits of the parity sketch that is compared in blocks, and members of a segment in a block.
-BITS, BLOCK = 2048, 1024
+BITS, BLOCK = 1024, 1024
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,11 +97,19 @@ def _band_edges(ratio: float = RATIO) -> np.ndarray:
 _EDGES = _band_edges()
 
 
+@cache
 def band_plan(band: int, pct: int) -> tuple[int, int]:
-    """(D, S) of a band: the most segments that can differ, and the segments there are."""
-    widest = int(_EDGES[band + 1]) - 1
+    """(D, S) of a band: the most segments that can differ, and the segments there are.
+
+    There are so many that even the smallest set of the band has a shingle in D + 1 of them but for a rare one
+    (three standard deviations).
+    """
+    least, widest = int(_EDGES[band]), int(_EDGES[band + 1]) - 1
     d = widest * (100 - pct) // pct
-    return d, d + 1 + max(SLACK_MIN, int(SLACK * (d + 1)))
+    s = d + 3
+    while s < 4 * (d + 3) and s * (1 - np.exp(-least / s)) - 3 * np.sqrt(s * np.exp(-least / s)) < d + 1:
+        s += 1 + s // 50
+    return d, s
 
 
 def segments(h: np.ndarray, band: int, pct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +140,9 @@ def keys(h: np.ndarray, pct: int) -> np.ndarray:
         if not d:
             continue
         word, full = segments(h, band, pct)
-        use = np.arange(s) if s - full.sum() > s - d - 1 else np.flatnonzero(full)
+        # With f segments that have a shingle, a linked set has f - D of them in common or more. The first of these in
+        # order is among the first D + 1, for either set. Sets with too few also give out segments without one.
+        use = np.flatnonzero(full)[: d + 1] if full.sum() > d else np.arange(s)
         out.append(mix64(word[use] + mix64(use.astype(np.uint64) + np.uint64((band << 40) + 1))))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
@@ -165,17 +175,19 @@ def _sketches(k: int, pct: int):
         seen: set[int] = set()  # classes of this task whose keys have gone out
         none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids, sizes, classes, found = batch.column(0), [], [], []
+            ids, sizes, classes, bits, found = batch.column(0), [], [], [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py(), k)
                 sizes.append(len(h))
+                bits.append(parity_bits(h))
                 classes.append(_class_hash(h))
                 found.append(none if classes[-1] in seen else keys(h, pct).view(np.int64))
                 seen.add(classes[-1])
             ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], ["id", "n", "class", "keys"])
+            columns = [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "class", "bits", "keys"])
 
     return run
 
@@ -188,10 +200,8 @@ def parity_bits(h: np.ndarray) -> bytes:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            sets = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
-            bits = pa.array([parity_bits(h) for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets, pa.array([len(h) for h in found], pa.int64()), bits], ["node", "hashes", "n", "bits"])
+            sets = pa.array([shingle_set(t.as_py(), k).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "hashes"])
 
     return run
 
@@ -274,19 +284,25 @@ def _verify(pct: int):
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, pct: int = PCT) -> DataFrame:
     """Per row with an id: ``id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
-    Texts are read twice: for the sketches, and for the exact sets of classes that have candidates.
+    Texts are read for the sketches, and again for the exact sets of classes that have near candidates. The sketches'
+    keys are removed from the shared folder once they have met.
     """
-    small_batches(docs.sparkSession)
+    spark = small_batches(docs.sparkSession)
     slim = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    made = cut_lineage(slim.mapInArrow(_sketches(shingle, pct), "id long, n long, class long, keys array<long>"), "sketches")
-    slim_rows = made.select("id", "n", "class")
-    nodes = slim_rows.where("n > 0").groupBy("class").agg(F.min("id").alias("node"))
-
+    path = scratch_path(spark, "sketches")
+    schema = "id long, n long, class long, bits binary, keys array<long>"
+    slim.mapInArrow(_sketches(shingle, pct), schema).write.parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    rows = cut_lineage(made.select("id", "n", "class"), "classes")
+    first = made.where("n > 0").groupBy("class").agg(F.min(F.struct("id", "n", "bits")).alias("x"))
+    nodes = cut_lineage(first.select("class", F.col("x.id").alias("node"), "x.n", "x.bits"), "nodes")
     shared = cut_lineage(_shared(made), "shared-keys")
-    edges = _links(slim, shared, nodes, shingle, pct)
+    remove_path(spark, path)
+
+    edges = _links(slim, _distinct_keys(shared.join(nodes.select("class", "node"), "class").select("key", "node")), nodes, shingle, pct)
     merged = components(edges.select("src", "dst"), "jaccard")
     byclass = nodes.join(merged, nodes["node"] == merged["id"], "left").select("class", F.coalesce("component_id", "node").alias("component_id"))
-    out = slim_rows.join(byclass, "class", "left")
+    out = rows.join(byclass, "class", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"))
 
 
@@ -302,36 +318,48 @@ def _shared(made: DataFrame) -> DataFrame:
     return near.where("(next is null or next <> class) and (next is not null or first <> class)").select("key", "class")
 
 
-def _links(slim: DataFrame, shared: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
+def _distinct_keys(named: DataFrame) -> DataFrame:
+    """Members of keys, one key for each set of members: others with the same members say the same."""
+    named = cut_lineage(named, "shared-nodes")
+    h = F.xxhash64("node")
+    kinds = named.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.min("node").alias("a"), F.max("node").alias("b"))
+    chosen = cut_lineage(kinds.groupBy("n", "x", "a", "b").agg(F.min("key").alias("key")).select("key"), "chosen-keys")
+    return cut_lineage(named.join(chosen, "key", "left_semi"), "members")
+
+
+def _links(slim: DataFrame, named: DataFrame, nodes: DataFrame, k: int, pct: int) -> DataFrame:
     """Verified links between the smallest ids of classes, enough to connect every component."""
-    named = cut_lineage(shared.join(nodes, "class").select("key", "node"), "shared-nodes")
-    wanted = named.select(F.col("node").alias("id")).distinct()
-    sets = cut_lineage(slim.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "node long, hashes array<long>, n long, bits binary"), "sets")
     found, tested = None, None
     for turn in ("low", "high", "all"):
         current = named if found is None else _relabel(named, components(found, "jaccard-star"))
         if found is not None and current.isEmpty():
             break
         if turn == "all":
-            pairs = _cross_pairs(current, sets, pct)
+            pairs = _cross_pairs(current, nodes, pct).distinct()
         else:
-            pairs = _star_pairs(current, turn)
-        pairs = pairs.distinct()
+            pairs = _star_pairs(current, turn).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        close = pairs
         if turn != "all":
-            x, y = (sets.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col("bits").alias(f"{n}_bits")) for n in "ab")
-            close = cut_lineage(pairs.join(x, "a").join(y, "b").mapInArrow(_near(pct), "a long, b long"), "near-pairs")
-        x, y = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_h")) for n in "ab")
-        full = close.join(x, "a").join(y, "b").select("a", "b", "a_h", "b_h")
-        good = cut_lineage(full.mapInArrow(_verify(pct), "src long, dst long"), "links")
+            x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+            pairs = pairs.join(x, "a").join(y, "b").mapInArrow(_near(pct), "a long, b long")
+        close = cut_lineage(pairs, "near-pairs")
+        good = _verified(slim, close, k, pct)
         found = good if found is None else found.unionByName(good)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = close if tested is None else tested.unionByName(close)
     return found
 
 
+def _verified(slim: DataFrame, close: DataFrame, k: int, pct: int) -> DataFrame:
+    """The pairs that are links, by the exact sets of their ends."""
+    ends = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut_lineage(ends, "wanted")
+    sets = cut_lineage(slim.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(k), "node long, hashes array<long>"), "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_h")) for c in "ab")
+    full = close.join(x, "a").join(y, "b").select("a", "b", "a_h", "b_h")
+    return cut_lineage(full.mapInArrow(_verify(pct), "src long, dst long"), "links")
+
+
 def _relabel(named: DataFrame, merged: DataFrame) -> DataFrame:
     """Members of keys that still have several components, with their component."""
     named = named.select("key", "node").join(merged, named["node"] == merged["id"], "left").select("key", "node", F.coalesce("component_id", "node").alias("comp"))
@@ -346,13 +374,13 @@ def _star_pairs(members: DataFrame, turn: str) -> DataFrame:
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
 
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
     """Pairs of members of one key in different components that may be links.
 
     A key with more members than a block is dealt over blocks, and every two of them meet in a task of their own.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    full = members.join(sizes, "key").join(sets.select("node", "n", "bits"), "node")
+    full = members.join(sizes, "key").join(nodes.select("node", "n", "bits"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
