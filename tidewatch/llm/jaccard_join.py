@@ -13,7 +13,7 @@ give out all segments.
 
 Equal sets are one class from the start. Pairs of classes that share a segment are tested first against the Hamming
 bound, then exactly on the shingle hashes. Only components are asked for, so each segment's classes are first linked to
-one of them (a star), if their sizes and parity sketches of a fixed number of bits allow it. Segments whose classes are still in different components after two stars with different centres are
+one of them (a star), if their sizes and parity sketches, with some bits per shingle, allow it. Segments whose classes are still in different components after two stars with different centres are
 compared in blocks of bounded size inside tasks: only pairs of different components whose parity sketches are near
 enough become rows. Groups of near copies never come out pair by pair.
 
@@ -39,8 +39,8 @@ from tidewatch.session import cut_lineage, remove_path, scratch_path
 
 RATIO = 2.0
 SHINGLE, PCT = 3, 90
-#: Bits of the parity sketch that is compared in blocks, and members of a segment in a block.
-BITS, BLOCK = 1024, 1024
+#: Least and most bits of a parity sketch, which has two to four for each shingle between them; members of a segment in a block.
+LEAST_BITS, MOST_BITS, BLOCK = 512, 1 << 17, 1024
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -193,8 +193,22 @@ def _sketches(k: int, pct: int):
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """Each shingle flips one of BITS bits: the Hamming distance of two such sketches is at most the sets' difference."""
-    return np.packbits((np.bincount((mix64(h + _M2) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Each shingle flips one bit: the Hamming distance of two such sketches is at most the sets' difference."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(h) - 1).bit_length())) if len(h) else LEAST_BITS
+    return np.packbits((np.bincount((mix64(h + _M2) % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to so many bytes: the halves' XOR is the sketch of half the bits."""
+    out = np.empty((len(bits), size // 8), dtype=np.uint64)
+    lengths = np.array([len(b) for b in bits])
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        x = np.frombuffer(b"".join(bits[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
+        while x.shape[1] > size // 8:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        out[own] = x
+    return out
 
 
 def _sets(k: int):
@@ -208,7 +222,6 @@ def _sets(k: int):
 
 def near_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block in different components whose sizes and sketches allow a link; ``side`` 0 meets 1, or 2 meets itself."""
-    words = bits.view(np.uint64)
     rows, cols = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     out_a, out_b = [], []
     for i in rows.tolist():
@@ -217,7 +230,7 @@ def near_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarr
         low, high = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
         j = j[low * 100 >= high * pct]
         if len(j):
-            far = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+            far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             j = j[far * (100 + pct) <= (n[j] + n[i]) * (100 - pct)]
             out_a.append(np.minimum(node[i], node[j]))
             out_b.append(np.maximum(node[i], node[j]))
@@ -230,7 +243,8 @@ def _blocks(pct: int):
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         col = {c: t[c].to_numpy() for c in ("node", "comp", "n", "side")}
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), dtype=np.uint8).reshape(len(t), BITS // 8)
+        bits = t["bits"].to_pylist()
+        bits = folded(bits, min(map(len, bits)))
         a, b = near_pairs(col["node"], col["comp"], col["n"], bits, col["side"], pct)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -261,8 +275,12 @@ def _near(pct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch[c].to_numpy() for c in ("a_n", "b_n"))
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in ("a_bits", "b_bits"))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = (batch[c].to_pylist() for c in ("a_bits", "b_bits"))
+            size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], dtype=np.int64)
+            far = np.zeros(len(size), dtype=np.int64)
+            for k in np.unique(size).tolist():
+                own = np.flatnonzero(size == k)
+                far[own] = np.bitwise_count(folded([x[i] for i in own], k) ^ folded([y[i] for i in own], k)).sum(axis=1, dtype=np.int64)
             ok = (np.minimum(n, m) * 100 >= np.maximum(n, m) * pct) & (far * (100 + pct) <= (n + m) * (100 - pct))
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
