@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
         for texts in batches:
             some = texts.astype(object).where(texts.notna(), None).tolist()
             langs, scores = judge.predict(some) if judge else ([UNKNOWN] * len(some), [0.0] * len(some))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": np.array(scores, float)})
 
     return docs.withColumn("__judged", judged(F.col(text))).select(*docs.columns, "__judged.lang_pred", "__judged.score")
 

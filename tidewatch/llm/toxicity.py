@@ -130,10 +130,12 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
             both[int(toxic)].update(_features_of(text))
     clean, bad = both
-    names = list(bad)
-    yield pd.DataFrame({"f": names, "t": [bad[x] for x in names], "n": [clean[x] for x in names]})
-    rest = [x for x in clean if x not in bad]
-    yield pd.DataFrame({"f": rest, "t": [0] * len(rest), "n": [clean[x] for x in rest]})
+    yield _counts(clean, bad)
+
+
+def _counts(clean: Counter, bad: Counter) -> pd.DataFrame:
+    names = [*{*clean, *bad}]
+    return pd.DataFrame({"f": pd.Series(names, dtype=object), "t": np.array([bad[x] for x in names], np.int64), "n": np.array([clean[x] for x in names], np.int64)})
 
 
 def _varied(names: set[str]):
@@ -148,7 +150,7 @@ def _varied(names: set[str]):
                     own = (f"{w}.", *(w[:n] for n in range(SHORTEST, min(LONGEST, len(w)) + 1)))
                     seen.update((f, before) for f in own if f in names)
                     before = w
-        yield pd.DataFrame(list(seen), columns=["f", "before"])
+        yield pd.DataFrame(list(seen), columns=["f", "before"], dtype=object)
 
     return run
 
@@ -227,8 +229,7 @@ def _harmless(entries: list):
                 folded = fold(text)
                 if lexicon.weight(folded):
                     both[int(toxic)].update(_contexts(folded, lexicon))
-        names = [*{*both[0], *both[1]}]
-        yield pd.DataFrame({"f": names, "t": [both[1][x] for x in names], "n": [both[0][x] for x in names]})
+        yield _counts(*both)
 
     return run
 
