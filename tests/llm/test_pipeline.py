@@ -45,3 +45,10 @@ def test_empty_documents(spark, sf):
         out = stage(spark, docs, sf)
         assert out.collect() == []
         docs = spark.createDataFrame([], out.schema)
+
+
+def test_small_sites_lose_their_boilerplate(spark):
+    rows = [(i, "small", f"menu\nbody {i}", 0) for i in range(5)] + [(5 + i, "middle", f"menu\nbody {i}" if i < 6 else f"body {i}", 0) for i in range(50)]
+    docs = spark.createDataFrame([*rows, (55, "single", "menu\nbody", 0)], "doc_id long, source string, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in p.lines(spark, docs, "").collect()}
+    assert got == {i: "menu\nbody" if i == 55 else t.removeprefix("menu\n") for i, _, t, _ in docs.collect()}
