@@ -91,3 +91,18 @@ def test_odd_rows(odd, nothing):
 def test_only_builtin_functions(odd):
     plan = m.replace_entities(odd, KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_in_any_case_and_of_any_length(spark):
+    key = "9233a8ec24be64439e3e49cf46b2d7c90f3602a3"
+    hexadecimal = [f'TOKEN = "{key.upper()}"', key.upper(), "Aa" + key, key * 5, key.upper() * 250]
+    assigned = ["Password=Tr0ub4dor", "API_KEY=abcdefgh1234", "Secret: qwertyuiop", "PASSWD = 'AB12CD34'"]
+    got = replaced(spark, [f"see {t}, ok" for t in hexadecimal + assigned] + [f"{key} and {key.upper()}"])
+    for i, t in enumerate(hexadecimal + assigned):
+        new = got[i]["text"].removeprefix("see ").removesuffix(", ok")
+        value = re.search(r"[\w]+'?\"?$", t)[0].strip("'\"")
+        assert value not in new and len(new) == len(t) and got[i]["n"] == 1, t
+        assert i >= len(hexadecimal) or re.fullmatch("(TOKEN = \")?[0-9a-fA-F]+\"?", new)
+        assert [c.isupper() for c in new] == [c.isupper() for c in t]
+    a, b = got[9]["text"].split(" and ")
+    assert a == b.lower() and b == b.upper() and a != key, "one key has one surrogate"

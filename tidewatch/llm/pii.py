@@ -1,9 +1,9 @@
 """PII surrogates: detected entities are replaced by keyed ones of the same kind and form, in DataFrame functions only.
 
 Entities are found by one pattern: e-mail and IPv4 addresses, phone, card, social security and account numbers, secrets
-(access keys, values after words such as token or password, long hexadecimal strings), given names, and family names after
+(access keys, values after words such as token or password in any case, hexadecimal strings of 32 digits or more), given names, and family names after
 a given name or a title. An entity is normalised, so that other spellings of it corefer (case of an address, separators of
-a number). The surrogate of a normalised entity comes from a keyed hash and keeps its form: character classes, length and
+a number, case of a long hexadecimal string). The surrogate of a normalised entity comes from a keyed hash and keeps its form: character classes, length and
 separators; the provider's letter, the top-level domain and a secret's prefix; valid check digits of cards and accounts;
 given names stay in their gender and script, family names in their script.
 
@@ -41,12 +41,13 @@ SECRET_PREFIXES = ("AKIA", "ghp_", "sk-")
 # End of the fixed values.
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
-_ASSIGNED = rf"(?:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\x22']?"
+_ASSIGNED = rf"(?i:{'|'.join(SECRET_WORDS)})\s{{0,3}}[=:]\s{{0,3}}[\x22']?"
 _FAMILY = r"\p{Lu}[\p{L}'-]+(?!\p{L})"
+_HEX = "[0-9a-fA-F]"
 _CALLED = rf"(?:{'|'.join(TITLES)})\.? "
 #: All begin where no word character goes before; the cheap look at the first character comes first.
 _PATTERNS = {
-    "secret": r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|(?=[0-9a-f]{32})[0-9a-f]{32,128})(?![A-Za-z0-9])",
+    "secret": rf"(?:AKIA[0-9A-Z]{{16}}|ghp_[A-Za-z0-9]{{20,}}|sk-[A-Za-z0-9]{{20,}}|(?={_HEX}{{32}}){_HEX}{{32,}}+)(?![A-Za-z0-9])",
     "assigned": rf"{_ASSIGNED}[\w+/=-]{{6,}}",
     "email": r"\w[\w.%+-]{0,63}+@[\w-]{1,63}+(?:\.[\w-]{1,63}+)+",
     "ipv4": r"(?=[0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])",
@@ -80,7 +81,7 @@ def _kind(e: Column) -> Column:
     given = reduce(lambda c, g: c.when(e.isin(*GIVEN[g]), f"given_{g}"), GIVEN, F.when(e.isNull(), None))
     for k in ("email", "ipv4"):
         given = given.when(e.rlike(f"^(?:{alone[k]})$"), k)
-    given = given.when(e.rlike(r"^(?:AKIA|ghp_|sk-)") | e.rlike(r"^[0-9a-f]{32,}$"), "secret")
+    given = given.when(e.rlike(r"^(?:AKIA|ghp_|sk-)") | e.rlike(rf"^{_HEX}{{32,}}$"), "secret")
     for k in ("iban", "card", "ssn", "phone"):
         given = given.when(e.rlike(f"^(?:{alone[k]})$"), k)
     given = given.when(e.rlike(r"^\p{IsCyrillic}[\p{IsCyrillic}'-]+$"), "family_cyrillic")
@@ -91,7 +92,8 @@ def _norm(kind: Column, e: Column) -> Column:
     digits = F.regexp_replace(e, "[^0-9]", "")
     return (
         F.when(kind == "phone", F.when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits)).when(kind.isin("card", "ssn"), digits)
-        .when(kind == "iban", F.upper(F.regexp_replace(e, " ", ""))).when(kind == "email", F.lower(e)).otherwise(e)
+        .when(kind == "iban", F.upper(F.regexp_replace(e, " ", ""))).when(kind == "email", F.lower(e))
+        .when((kind == "secret") & e.rlike(rf"^{_HEX}{{32,}}$"), F.lower(e)).otherwise(e)
     )
 
 
@@ -139,12 +141,16 @@ def _iban_check(country: Column, body: Column) -> Column:
 
 
 def candidate(kind: Column, norm: Column, key: str, attempt: Column) -> Column:
-    """The surrogate that the key gives a normalised entity in an attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
+    """The surrogate that the key gives a normalised entity in an attempt. What is read of the whole entity is bound once."""
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    bound = F.array(F.struct(seed.alias("seed"), norm.rlike(rf"^{_HEX}+$").alias("is_hex")))
+    return F.element_at(F.transform(bound, lambda b: _formed(kind, norm, b["seed"], b["is_hex"])), 1)
+
+
+def _formed(kind: Column, norm: Column, seed: Column, is_hex: Column) -> Column:
     no, never = F.lit(False), lambda i: F.lit(False)
     top = F.length(norm) - F.length(F.substring_index(norm, ".", -1))
     prefix = reduce(lambda c, p: c.when(norm.startswith(p), len(p)), SECRET_PREFIXES, F.when(no, 0)).otherwise(0)
-    is_hex = norm.rlike("^[0-9a-f]+$")
     body = _mapped(F.substr(norm, F.lit(1), F.length(norm) - 1), seed, lambda i: i == 0, no)
     account = _mapped(F.substr(norm, F.lit(5)), seed, never, no)
     country = F.substring(norm, 1, 2)
@@ -194,7 +200,7 @@ def _rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
     same = F.transform(F.arrays_zip(_chars(surface).alias("a"), _chars(surrogate).alias("b")), lambda x: F.when(x["a"].rlike(r"\p{Lu}"), F.upper(x["b"])).otherwise(x["b"]))
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), F.array_join(F.reverse(filled), ""))
-        .when(kind == "email", F.array_join(same, "")).otherwise(surrogate)
+        .when((kind == "email") | ((kind == "secret") & surface.rlike(rf"^{_HEX}{{32,}}$")), F.array_join(same, "")).otherwise(surrogate)
     )
 
 
