@@ -106,3 +106,16 @@ def test_secrets_in_any_case_and_of_any_length(spark):
         assert [c.isupper() for c in new] == [c.isupper() for c in t]
     a, b = got[9]["text"].split(" and ")
     assert a == b.lower() and b == b.upper() and a != key, "one key has one surrogate"
+
+
+def test_lone_mentions_of_found_names_corefer(spark):
+    texts = ["Dear Anna,\nAnna Petrova met us. Anna said that Petrova's car, like Petrova, is old.", "Анна Петрова пришла. Позже Анна и Петрова ушли.", "Dr. Moreno's wife saw Moreno.", "Annabel met Mary Jones in Jonestown.", "dear Anna, no family name"]
+    got = replaced(spark, texts)
+    a = re.fullmatch(r"Dear (\w+),\n(\w+) (\w+) met us\. (\w+) said that (\w+)'s car, like (\w+), is old\.", got[0]["text"])
+    assert a[1] == a[2] == a[4] != "Anna" and a[3] == a[5] == a[6] != "Petrova" and got[0]["n"] == 6
+    a = re.fullmatch(r"(\w+) (\w+) пришла\. Позже (\w+) и (\w+) ушли\.", got[1]["text"])
+    assert a[1] == a[3] != "Анна" and a[2] == a[4] != "Петрова" and got[1]["n"] == 4
+    a = re.fullmatch(r"Dr\. (\w+)'s wife saw (\w+)\.", got[2]["text"])
+    assert a[1] == a[2] != "Moreno"
+    assert got[3]["text"].startswith("Annabel met ") and got[3]["text"].endswith(" in Jonestown.") and got[3]["n"] == 2
+    assert got[4]["text"] == texts[4] and got[4]["n"] == 0

@@ -7,6 +7,10 @@ a number, case of a long hexadecimal string). The surrogate of a normalised enti
 separators; the provider's letter, the top-level domain and a secret's prefix; valid check digits of cards and accounts;
 given names stay in their gender and script, family names in their script.
 
+A second pass looks for the names that were found in a text all over that text, one list a text, and gives their lone
+mentions ("Anna said", a lone family name) the same surrogates. Mentions are compared with case, without a genitive end;
+names that a text never shows next to a given name, title or capitalised word are not found.
+
 Distinctness is checked over the whole corpus: a candidate that another entity of the kind has too, or that is itself an
 entity of the corpus, is drawn again with the next attempt number until none is left. The assignment depends on the key
 and on the set of entities only. Given names are permuted inside their list, so they need no check against each other.
@@ -57,9 +61,24 @@ _PATTERNS = {
     "phone": r"(?=[+(0-9])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?!\w)|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w))",
     "name": rf"(?=\p{{Lu}})(?:(?:{_NAMES}) (?!(?:{_NAMES})\b){_FAMILY}|{_CALLED}(?:(?:{_NAMES}) )?{_FAMILY}|(?:{_NAMES})(?= \p{{Lu}}))",
 }
+#: What may be a lone mention of a name, and the end that is not part of a name.
+_LONE = r"(?<![\w\p{L}])\p{Lu}[\p{L}'-]++(?!\w)"
+_TAIL = r"(?:'s|['-])+$"
 PATTERN = rf"(?<![\w\p{{L}}])(?:{'|'.join(_PATTERNS.values())})"
 
 
+def _is_name(span: Column) -> Column:
+    return span.rlike(rf"^(?:{_PATTERNS['name']})$") | span.rlike(rf"^(?:{_NAMES})$")
+
+
+def _core(e: Column) -> Column:
+    return F.regexp_replace(e, _TAIL, "")
+
+
+def _tail(e: Column) -> Column:
+    return F.regexp_extract(e, _TAIL, 0)
+
+
 def _parts(e: Column) -> Column:
     """A found string as (what stays before it, entity) pairs: names and assigned secrets have parts that stay."""
     pair = lambda before, entity: F.struct(before.alias("before"), entity.alias("e"))
@@ -71,7 +90,7 @@ def _parts(e: Column) -> Column:
     named = F.filter(F.array(pair(title, given), pair(F.when(given == "", title).otherwise(" "), F.when(given == "", rest).otherwise(family))), lambda x: x["e"] != "")
     return (
         F.when(e.rlike(rf"^{_ASSIGNED}[\w+/=-]{{6,}}$"), F.array(pair(assigned, F.substr(e, F.length(assigned) + 1))))
-        .when(e.rlike(rf"^(?:{_PATTERNS['name']})$") | e.rlike(rf"^(?:{_NAMES})$"), named).otherwise(F.array(pair(F.lit(""), e)))
+        .when(_is_name(e), named).otherwise(F.array(pair(F.lit(""), e)))
     )
 
 
@@ -93,7 +112,7 @@ def _norm(kind: Column, e: Column) -> Column:
     return (
         F.when(kind == "phone", F.when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits)).when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.upper(F.regexp_replace(e, " ", ""))).when(kind == "email", F.lower(e))
-        .when((kind == "secret") & e.rlike(rf"^{_HEX}{{32,}}$"), F.lower(e)).otherwise(e)
+        .when((kind == "secret") & e.rlike(rf"^{_HEX}{{32,}}$"), F.lower(e)).when(kind.startswith("family"), _core(e)).otherwise(e)
     )
 
 
@@ -200,28 +219,48 @@ def _rendered(kind: Column, surface: Column, surrogate: Column) -> Column:
     same = F.transform(F.arrays_zip(_chars(surface).alias("a"), _chars(surrogate).alias("b")), lambda x: F.when(x["a"].rlike(r"\p{Lu}"), F.upper(x["b"])).otherwise(x["b"]))
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban"), F.array_join(F.reverse(filled), ""))
-        .when((kind == "email") | ((kind == "secret") & surface.rlike(rf"^{_HEX}{{32,}}$")), F.array_join(same, "")).otherwise(surrogate)
+        .when((kind == "email") | ((kind == "secret") & surface.rlike(rf"^{_HEX}{{32,}}$")), F.array_join(same, ""))
+        .when(kind.startswith("family"), F.concat(surrogate, _tail(surface))).otherwise(surrogate)
     )
 
 
+def _lone(gap: Column, names: Column, surrogates: Column) -> Column:
+    """Text between entities with the lone mentions of names replaced."""
+    words = F.regexp_extract_all(gap, F.lit(_LONE), F.lit(0))
+
+    def one(x: Column) -> Column:
+        word = F.coalesce(x["w"], F.lit(""))
+        core = _core(word)
+        at = (F.array_position(names, core) - 1).cast("int")
+        return F.concat(x["g"], F.when(word == "", "").otherwise(F.concat(F.coalesce(F.get(surrogates, at), core), _tail(word))))
+
+    return F.array_join(F.transform(F.arrays_zip(F.split(gap, _LONE, -1).alias("g"), words.alias("w")), one), "")
+
+
 def replace_entities(docs: DataFrame, key: str, text: str = "text", n_entities: str | None = None) -> DataFrame:
     """Documents with every entity replaced, and the number of entities under the name given."""
-    mark, own, new = (free_name(docs, x) for x in ("mark", "key", "new"))
+    mark, own, new, names, others = (free_name(docs, x) for x in ("mark", "key", "new", "names", "others"))
     has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
     found = docs.where(has).select(F.col(text).alias("t")).select(F.md5("t").alias("k"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)).alias("all"))
     each = found.groupBy("k").agg(F.first("all").alias("all")).select("k", F.posexplode("all").alias("i", "span"))
-    each = each.select("k", "i", F.posexplode(_parts(F.col("span"))).alias("j", "x")).select("k", "i", "j", "x.before", "x.e")
+    each = each.select("k", "i", _is_name(F.col("span")).alias("named"), F.posexplode(_parts(F.col("span"))).alias("j", "x")).select("k", "i", "j", "named", "x.before", "x.e")
     each = cut_lineage(each.withColumn("kind", _kind(F.col("e"))).withColumn("norm", _norm(F.col("kind"), F.col("e"))), "entities")
     pairs = assign(each.select("kind", "norm").distinct(), key)
     shown = F.concat("before", _rendered(F.col("kind"), F.col("e"), F.col("surrogate")))
-    ready = each.join(pairs, ["kind", "norm"]).select("k", F.struct("i", "j", shown.alias("s")).alias("x"))
-    lists = ready.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias(new)).withColumnRenamed("k", own)
+    name = F.when(F.col("named"), F.struct("kind", F.col("norm").alias("name"), "surrogate"))
+    ready = each.join(pairs, ["kind", "norm"]).select("k", F.struct("i", "j", shown.alias("s")).alias("x"), name.alias("name"))
+    lists = ready.groupBy("k").agg(F.sort_array(F.collect_list("x")).alias(new), F.sort_array(F.collect_set("name"), asc=False).alias("names"))
+    lists = lists.select(F.col("k").alias(own), new, F.col("names.name").alias(names), F.col("names.surrogate").alias(others))
     hit = docs.where(has).withColumn(mark, F.md5(F.col(text))).join(lists, F.col(mark) == F.col(own))
     gaps = F.split(F.col(text), PATTERN, -1)
     here = lambda i: F.array_join(F.transform(F.filter(F.col(new), lambda x: x["i"] == i), lambda x: x["s"]), "")
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, here(i))), "")
-    count = {n_entities: F.size(new).cast("long")} if n_entities else {}
-    hit = hit.withColumns({**count, text: joined}).drop(mark, own, new)
+    known = F.size(names) > 0
+    lone = lambda g: F.when(known, _lone(g, F.col(names), F.col(others))).otherwise(g)
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(lone(g), here(i))), "")
+    again = lambda g: F.size(F.filter(F.regexp_extract_all(g, F.lit(_LONE), F.lit(0)), lambda w: F.array_contains(F.col(names), _core(w))))
+    mentions = F.when(known, F.aggregate(F.transform(gaps, again), F.lit(0), lambda a, x: a + x)).otherwise(0)
+    count = {n_entities: (F.size(new) + mentions).cast("long")} if n_entities else {}
+    hit = hit.withColumns({**count, text: joined}).drop(mark, own, new, names, others)
     rest = docs.where(~has)
     return hit.unionByName(rest.withColumn(n_entities, F.lit(0).cast("long")) if n_entities else rest)
 
