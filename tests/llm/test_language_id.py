@@ -60,3 +60,14 @@ def test_odd_rows(spark, odd, nothing):
     digits = spark.createDataFrame([(1, "12 34 !?")], "doc_id long, text string")
     assert m.predict(digits, model).first()["lang_pred"] == "und"
     assert m.predict(nothing, model).collect() == [] and m.training_rows(nothing, "doc_id", "text", "lang") == []
+
+
+def test_rare_languages_and_whole_texts_are_learned_from(spark):
+    """A language far below the bound's share of the rows, and words after a long foreign head."""
+    common = spark.range(20_000).selectExpr("id as doc_id", "concat('the and ', id) as text", "'en' as lang")
+    rare = spark.range(20_000, 20_006).selectExpr("id as doc_id", "concat(repeat('licence ', 1000), repeat('nicht ', 1000)) as text", "'de' as lang")
+    rows = m.training_rows(common.unionByName(rare), "doc_id", "text", "lang", 50)
+    of = {x: [r["t"] for r in rows if r["l"] == x] for x in ("en", "de")}
+    assert len(of["en"]) == 50 and len(of["de"]) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(20_000, 20_006)) > 0
+    assert all(len(t) == m.DOC_WORDS and 20 < sum(bytes(w) == b"nicht" for w in t) < 80 for t in of["de"])
+    assert m.train([r["t"] for r in rows], [r["l"] for r in rows], steps=5)["names"] == ["de", "en"]

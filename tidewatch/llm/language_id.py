@@ -3,8 +3,9 @@
 The network reads the bytes of each word in both directions (long words in parts of bounded length) and gives every
 position a distribution over languages. A document's distribution pools those of all its positions: the mean of their
 logarithms, normalised again. The network is trained in numpy by backpropagation through time, on the driver, from a
-bounded sample of rows: ``TRAIN_DOCS`` documents with the smallest hashes of their ids, of each at most
-``TRAIN_CHARS`` characters. Prediction reads every whole text; equal words of a task are read once and remembered up
+bounded sample of rows: of every language the ``LANG_DOCS`` documents with the smallest hashes, so that a rare language is
+learned on tables of any size, and of each ``DOC_WORDS`` words drawn by hash from the whole text in the task that reads it.
+The sample grows with the number of languages only. Prediction reads every whole text; equal words of a task are read once and remembered up
 to a bound.
 
 Defined cases: ``und`` with score 0 for null texts, texts without a letter, and when nothing could be learned; texts of
@@ -15,16 +16,17 @@ gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_sample, small_batches, table
+from tidewatch.llm.common import small_batches, table
 
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_WORDS = 3000, 2000, 120_000
+LANG_DOCS, DOC_WORDS, TRAIN_WORDS = 400, 100, 120_000
 HIDDEN, STEPS, BATCH, RATE = 20, 1600, 256, 0.01
 PART = 24
 CACHE_WORDS = 400_000
@@ -119,18 +121,28 @@ def parts(text: str) -> list[bytes]:
     return [w[k : k + PART] for w in found for k in range(0, len(w), PART)]
 
 
-def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 7) -> dict | None:
-    """Network weights and the languages they tell apart, from a bounded sample."""
+def drawn_words(text: str) -> list[bytes]:
+    """At most ``DOC_WORDS`` words of a whole text, drawn by a hash of the text."""
+    own = parts(text)
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    return [own[i] for i in rng.choice(len(own), min(len(own), DOC_WORDS), replace=False)] if own else []
+
+
+def train(texts: list[str] | list[list[bytes]], labels: list[str], steps: int = STEPS, seed: int = 7) -> dict | None:
+    """Network weights and the languages they tell apart, from a bounded sample of texts or of their drawn words.
+
+    Each language keeps an equal part of ``TRAIN_WORDS``, or all its words where they are fewer.
+    """
     names = sorted(set(labels))
     if not names:
         return None
     number = {n: i for i, n in enumerate(names)}
     rng = np.random.default_rng(seed)
-    words: list[tuple[bytes, int]] = []
+    of: list[list[bytes]] = [[] for _ in names]
     for text, label in zip(texts, labels, strict=True):
-        own = parts(text)
-        words += [(own[i], number[label]) for i in rng.permutation(len(own))[:100]]
-    words = [words[i] for i in rng.permutation(len(words))[:TRAIN_WORDS]]
+        of[number[label]] += drawn_words(text) if isinstance(text, str) else text
+    most = max(1, TRAIN_WORDS // len(names))
+    words = [(own[i], y) for y, own in enumerate(of) for i in rng.permutation(len(own))[:most]]
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in sorted({len(w) for w, _ in words}):
         own = [w for w in words if len(w[0]) == n]
@@ -203,11 +215,24 @@ class Predictor:
         return langs, scores
 
 
-def training_rows(docs: DataFrame, id: str, text: str, lang: str, bound: int = TRAIN_DOCS) -> list:
-    """A bounded sample of the rows that may be learned from: those whose remainder is not 1."""
+def training_rows(docs: DataFrame, id: str, text: str, lang: str, bound: int = LANG_DOCS) -> list:
+    """Drawn words of a bounded sample per language, of the rows that may be learned from: those whose remainder is not 1.
+
+    Languages are counted first, and only hashes in the range that twice the bound needs are read on; a task sends its
+    smallest hashes of each language and no more.
+    """
     known = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    some = bounded_sample(known, F.xxhash64("i"), bound, "t")
-    return some.select(F.substring("t", 1, TRAIN_CHARS).alias("t"), "l").collect()
+    share = known.groupBy("l").agg(F.least(F.lit(1.0), 2.0 * bound / F.count("*")).alias("share"))
+    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("i", "t"), 1)).join(F.broadcast(share), "l").where(F.col("h") <= F.col("share") * float(2**63))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"h": rows["h"], "l": rows["l"], "t": [drawn_words(t) for t in rows["t"]]})
+
+    small_batches(docs.sparkSession)
+    words = near.select("h", "l", "t").mapInPandas(draw, "h bigint, l string, t array<binary>")
+    ranked = words.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= bound)
+    return ranked.orderBy("l", "n").select("t", "l").collect()
 
 
 def held_out(id: Column) -> Column:
