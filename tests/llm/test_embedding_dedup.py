@@ -74,3 +74,9 @@ def test_odd_rows(spark, vectors):
     assert got[800]["n_links"] == 40 and got[907]["component_id"] == 800 and got[909]["component_id"] == 908
     same = spark.createDataFrame([(5, [1.0, 2.0], 1), (5, [1.0, 2.0], 1), (None, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in m.near_duplicates(same).collect()] == [(5, 1, 5, True)] * 2
+
+
+def test_one_component_links_by_sign(spark):
+    rows = [(1, "a", [2.0]), (2, "a", [3.0]), (3, "a", [-1.0]), (4, "b", [2.0]), (5, "a", [0.0]), (6, "a", [-4.0]), (7, "a", [2.0])]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in m.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 7: (2, 1), 3: (1, 3), 6: (1, 3), 4: (0, 4), 5: (0, 5)}

@@ -13,7 +13,7 @@ double precision; a large cell is split into blocks, and every pair of blocks is
 links of each vector and gives out only links that join components, never all pairs.
 
 Defined cases: rows whose label is null, and vectors that are null, empty, zero, or hold null or non-finite
-components, link with nothing; vectors of different lengths never link; rows without id are left out; repeated rows
+components, link with nothing; vectors of different lengths never link; those of one component link by their sign; rows without id are left out; repeated rows
 count as vectors of their own; an empty table gives an empty result; other columns are not needed.
 """
 
@@ -207,7 +207,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     every = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), v.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = every.where(fine)
+    good = every.where(fine).withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", F.signum)).otherwise(F.col("embedding")))
     classes = cut_lineage(good.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("members")), "classes")
     dims = [(r["d"], r["n"]) for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()]
     empty = spark.createDataFrame([], "node bigint, links bigint, src bigint, dst bigint")
