@@ -7,7 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import embedding_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, token_counts, toxicity
+from tidewatch.llm import (
+    centroid_clustering, embedding_dedup, exact_search, jaccard_join, language_id, line_dedup, merkle_manifest, mixing, packing, pii, quality_rules,
+    token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.query,
@@ -20,11 +23,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.query,
     "op9_mixing": mixing.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_merkle_manifest": merkle_manifest.query,
+    "op12_centroid_clustering": centroid_clustering.query,
+    "op13_exact_search": exact_search.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str | None] = {
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
+    "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_exact_search": exact_search.ORACLE_SQL,
     "pipeline": corpus_pipeline.ORACLE_SQL,
 }
 
