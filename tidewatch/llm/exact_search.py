@@ -144,16 +144,12 @@ def _cell(k: int):
                 keep[own, home] = False
                 a, b = np.nonzero(keep)
                 out.append(pd.DataFrame({"row": part.index.to_numpy()[a], "minus": -s[a, b].astype(np.int64), "id": ids[b]}))
-        if not out:
-            return pd.DataFrame({"tile": [], "place": [], "query": [], "shard": [], "top": []})
-        best = pd.concat(out).sort_values(["row", "minus", "id"], ignore_index=True)
+        best = pd.concat([pd.DataFrame({"row": [], "minus": [], "id": []}, dtype="int64"), *out]).sort_values(["row", "minus", "id"], ignore_index=True)
         best = best[best.groupby("row").cumcount() < k]
         lists = [(row, list(zip(g["minus"].tolist(), g["id"].tolist(), strict=True))) for row, g in best.groupby("row")]
-        at = queries.iloc[[row for row, _ in lists]]
-        return pd.DataFrame({
-            "tile": at["tile"].to_numpy(), "place": at["place"].to_numpy(), "query": at["query"].to_numpy(), "shard": int(tiles["shard"].iloc[0]),
-            "top": [[{"minus": m, "id": i} for m, i in t] for _, t in lists],
-        })
+        shard = tiles["shard"].iloc[0] if len(tiles) else 0
+        found = queries.iloc[[row for row, _ in lists]][["tile", "place", "query"]].assign(shard=shard)
+        return found.assign(top=pd.Series([[{"minus": m, "id": i} for m, i in t] for _, t in lists], index=found.index, dtype=object))
 
     return run
 
