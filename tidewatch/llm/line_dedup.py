@@ -18,7 +18,8 @@ from tidewatch.llm.common import SPACES, free_name, table
 from tidewatch.session import cut_lineage
 
 MAX_RATIO = 0.1
-MIN_PAGES = 10
+#: The ratio decides on sites of any size; a line on one page only is that page's own text.
+MIN_PAGES = 2
 
 
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

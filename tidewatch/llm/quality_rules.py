@@ -2,8 +2,7 @@
 
 Every text gives a vector of transformed statistics. Per (language, source) a minimum-covariance-determinant
 estimate is found by concentration steps from a deterministic start (median and quartile range of every
-statistic): centre and scatter of the most central share of rows, until the share stops to change or the steps
-are used up. The scatter is shrunk towards a diagonal of measurement scales, so that it is regular for groups of
+statistic): centre and scatter of the most central share of rows, ``STEPS`` times. The scatter is shrunk towards a diagonal of measurement scales, so that it is regular for groups of
 any size and for statistics that are constant in most rows. It is scaled by its median distance, re-estimated
 once from the rows inside the 97.5 % ellipsoid, and a row is rejected when its squared Mahalanobis distance
 exceeds ``CUTOFF``.
@@ -46,8 +45,11 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Repeated three-word windows are found by hash: texts whose window hashes are all distinct stop there, the
     others sort (hash, place) and sum up the words that repeated windows cover.
+
+    The statistics are fields of one struct beside a row number. A column that isn't deterministic is neither merged
+    with others nor passed by filters, so a filter on a statistic doesn't compute them inside one another.
     """
-    w, h, s, p = (free_name(docs, x) for x in ("words", "hashes", "sorted", "places"))
+    w, h, s, p, once = (free_name(docs, x) for x in ("words", "hashes", "sorted", "places", "statistics"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     out = docs.withColumn(w, words(F.col(text)))
@@ -57,13 +59,15 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
     out = out.withColumn(p, F.sort_array(F.transform(twice, lambda x: x["i"])))
     steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
-    return out.withColumns({
+    found = {
         "n_words": F.size(w).cast("long"),
         "word_chars": (F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
-    }).drop(w, h, s, p)
+    }
+    out = out.withColumn(once, F.struct(*(e.alias(c) for c, e in found.items()), F.monotonically_increasing_id().alias("row")))
+    return out.withColumns({c: F.col(once)[c] for c in found}).drop(w, h, s, p, once)
 
 
 def base_failed() -> Column:
@@ -188,7 +192,7 @@ def reject_outliers(docs: DataFrame, text: str = "text", lang: str = "lang", sou
     z = vector()
     shapes = estimates(stats.where(~base_failed()).select("g_lang", "g_source", *(z[i].alias(f"z{i}") for i in range(P))))
     whole, fence = free_name(docs, "row"), free_name(docs, "fence")
-    packed = docs.select(F.struct(*docs.columns).alias(whole), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(whole), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     # Filters don't move below a column that isn't deterministic; otherwise the statistics would be computed inside
     # the filter, once for each place that names them.
     judged = judge(statistics(packed).withColumn(fence, F.monotonically_increasing_id()), shapes=shapes)
