@@ -5,7 +5,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidewatch.operators.graph import bitmaps as BM
 from tidewatch.operators.graph import build as GB
+from tidewatch.operators.graph import components as CO
 from tidewatch.operators.graph import governance as V
 from tidewatch.operators.graph import stats as GS
 from tidewatch.operators.graph import traverse as T
@@ -162,3 +164,196 @@ def test_graph_from_records(df):
     assert rows(GB.item_nodes(recs), "item_id", "item_type")[0] == ("a", "Lakehouse")
     stats = {(r["section"], r["name"]): r["count"] for r in GS.lineage_statistics(recs).collect()}
     assert stats[("totals", "internal_edges")] == 2 and stats[("totals", "mirrored_databases")] == 1
+
+
+def brute_components(edges):
+    """Tarjan's algorithm with a stack of its own: members of components of two or more to their least name."""
+    out_edges, names = {}, set()
+    for a, b in edges:
+        out_edges.setdefault(a, []).append(b)
+        names |= {a, b}
+    index, low, stack, held, found = {}, {}, [], set(), {}
+    for root in sorted(names):
+        if root in index:
+            continue
+        todo = [(root, iter(out_edges.get(root, [])))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        held.add(root)
+        while todo:
+            v, rest = todo[-1]
+            w = next((w for w in rest), None)
+            if w is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == index[v]:
+                    at = stack.index(v)
+                    members, stack = stack[at:], stack[:at]
+                    held -= set(members)
+                    found.update({m: min(members) for m in members if len(members) > 1})
+            elif w not in index:
+                index[w] = low[w] = len(index)
+                stack.append(w)
+                held.add(w)
+                todo.append((w, iter(out_edges.get(w, []))))
+            elif w in held:
+                low[v] = min(low[v], index[w])
+    return found
+
+
+def components(df, edges):
+    return {r["node"]: r["component"] for r in CO.strong_components(df(edges, "node string, next string")).collect()}
+
+
+def random_edges(seed, n, m):
+    rnd = random.Random(seed)
+    return [(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)]
+
+
+@pytest.mark.parametrize("soon", [0, 8])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_brute_force(df, monkeypatch, seed, soon):
+    """With no early end (0) all chains are cut short first."""
+    monkeypatch.setattr(CO, "SOON", soon)
+    edges = random_edges(seed, 60, 75) + [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [("r2", "t0"), ("t0", "t1"), ("t1", "r7"), ("n1", "n1"), ("u0", "u1"), ("u1", "r0")]
+    assert components(df, edges) == brute_components(edges)
+
+
+def test_a_component_of_five_thousand_nodes(df):
+    """A dense component inside tails: components and all depth measures end, and equal brute force on the condensed graph."""
+    edges = sorted(set(random_edges(3, 5000, 25_000)) | {(f"a{i}", f"n{i}") for i in range(300)} | {(f"a{i}", f"a{i + 1}") for i in range(0, 300, 3)} | {("n5", "z0"), ("z0", "z1"), ("z1", "z2")})
+    members = brute_components(edges)
+    assert len(members) > 4800 and components(df, edges) == members
+    name = lambda x: members.get(x, x)
+    above = {}
+    for a, b in edges:
+        if name(a) != name(b):
+            above.setdefault(name(a), set()).add(name(b))
+    depth = {}
+
+    def deep(x):
+        if x not in depth:
+            depth[x] = 1 + max(map(deep, above[x])) if x in above else 0
+        return depth[x]
+
+    g = graph(df, edges)
+    got = {r["item_id"]: r["upstream_depth"] for r in T.node_depths(g).collect()}
+    assert got == {x: deep(name(x)) for x in {v for e in edges for v in e}}
+    best = T.dependency_depth(g, 5).collect()
+    assert sorted((-r["dependency_depth"], r["item_id"]) for r in best) == sorted((-d, x) for x, d in got.items())[:5]
+    assert T.chain_stats(g).first()["max_depth"] == max(got.values()) == T.deep_chains(g, 2, k=1).first()["depth"]
+
+
+def test_a_long_ring_takes_few_rounds(df, monkeypatch):
+    edges = [(f"n{i}", f"n{(i + 1) % 1500}") for i in range(1500)] + [("in", "n3"), ("n7", "out"), ("out", "far")]
+    steps = []
+    real = CO.cut_lineage
+    monkeypatch.setattr(CO, "cut_lineage", lambda frame, label="step": (steps.append(label), real(frame, label))[1])
+    assert components(df, edges) == {f"n{i}": "n0" for i in range(1500)}
+    assert len(steps) < 120
+
+
+def test_condensed_edges_are_counted(df):
+    edges = df([("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("c", "d")], "node string, next string")
+    members = CO.strong_components(edges)
+    assert rows(CO.condensed(edges, members), "node", "next", "n") == [("a", "c", 2), ("c", "d", 1)]
+    g = graph(df, [("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("c", "d"), ("x", "b")])
+    assert rows(T.item_components(g), "item_id", "component", "component_size") == [("a", "a", 2), ("b", "a", 2)]
+    # Two starts in the component with two ways out each, and x with one way in: (2 + 2) + 2 of length 2 and 3.
+    assert rows(T.chain_lengths(g)) == [(2, 4), (3, 2)]
+    assert rows(T.node_depths(g), "item_id", "upstream_depth", "downstream_depth") == [("a", 2, 1), ("b", 2, 1), ("c", 1, 2), ("d", 0, 3), ("x", 3, 0)]
+
+
+def test_source_counts_on_cycles_equal_brute_force(df):
+    edges = sorted(set(random_edges(5, 80, 130)))
+    rnd = random.Random(2)
+    direct = sorted({(f"n{rnd.randrange(80)}", f"s{rnd.randrange(700):03d}") for _ in range(900)})
+    below = {}
+    for a, b in edges:
+        below.setdefault(b, set()).add(a)
+
+    def reached(starts):
+        seen, todo = set(), list(starts)
+        while todo:
+            for y in below.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    want = {}
+    for s in {s for _, s in direct}:
+        n = len(reached([i for i, x in direct if x == s]))
+        if n:
+            want[s] = n
+    got = BM.dependents_per_source(df(edges, "node string, next string"), df(direct, "node string, source string"))
+    assert dict(rows(got, "source", "items")) == want
+
+
+def test_source_bits_have_a_row_per_block_not_per_pair(df):
+    """Ten times the edges multiply the pairs, not the rows: those stay below nodes x blocks."""
+    for m in (300, 3000):
+        edges = df([(f"n{b:03d}", f"n{a:03d}") for a, b in {tuple(sorted((random.Random(i).randrange(200), random.Random(-i).randrange(200)))) for i in range(m)} if a < b], "node string, next string")
+        direct = df([(f"n{i % 200:03d}", f"s{i:04d}") for i in range(1000)], "node string, source string")
+        from tidewatch.operators.analysis import encode_labels
+
+        found, _ = BM.reached_bits(edges, BM.source_bits(direct, encode_labels(direct, "source")))
+        assert found.count() <= 200 * 4
+
+
+def test_paths_between_equal_brute_force(df):
+    rnd = random.Random(9)
+    names = [f"v{i:02d}" for i in range(40)]
+    pairs = sorted({tuple(sorted((rnd.choice(names), rnd.choice(names)))) for _ in range(55)})
+    both = {(a, b) for a, b in pairs if a != b} | {(b, a) for a, b in pairs if a != b}
+    near = {}
+    for a, b in both:
+        near.setdefault(a, []).append(b)
+
+    def best(a, b):
+        level = {a: (a,)}
+        seen = {a}
+        while level:
+            if b in level:
+                return level[b]
+            grown = {}
+            for p in level.values():
+                for y in near.get(p[-1], ()):
+                    if y not in seen:
+                        grown[y] = min(grown.get(y, p + (y,)), p + (y,))
+            seen |= set(grown)
+            level = grown
+        return None
+
+    edges = df(sorted(both), "node string, next string")
+    starts, ends = names[:12], names[6:30]
+    every = sorted((len(p) - 1, a, b, p) for a in starts for b in ends if a != b and (p := best(a, b)))
+    one = lambda xs: df([(x,) for x in xs], "id string")
+    for k in (1, 7, 40):
+        got = [(r["path_length"], r["seed"], r["id"], tuple(r["path"])) for r in T.paths_between(edges, one(starts), one(ends), 15, k).collect()]
+        assert sorted(got) == every[:k]
+    far = max(every)
+    got = T.paths_between(edges, one([far[1]]), one([far[2]]), 15, 1).first()
+    assert tuple(got["path"]) == far[3]
+    assert T.paths_between(edges, one([far[1]]), one([far[2]]), far[0] - 1, 1).count() == 0
+    assert T.paths_between(edges, one([]), one(ends), 15, 3).count() == 0
+
+
+def test_two_sided_search_holds_fewer_rows(df, monkeypatch):
+    """On a tree of fan-out 4 the frontiers of both sides stay far below those of a search from one side."""
+    edges = [(f"t{i:05d}", f"t{(i - 1) // 4:05d}") for i in range(1, 5461)]
+    seen = []
+    real = T.cut_lineage
+
+    def spy(frame, label="step"):
+        out = real(frame, label)
+        if label == "path-frontier":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "cut_lineage", spy)
+    g = graph(df, edges)
+    r = T.shortest_path(g, "t01365", "t00000").first()
+    assert r["path_length"] == 6
+    assert sum(seen) < sum(4**k for k in range(1, 7)) / 10, "rows of a search from the root alone"

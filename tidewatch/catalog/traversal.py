@@ -50,14 +50,26 @@ def _(s, d):
     return T.chain(G(s, d), "p100", 5)
 
 
-@query("shortest_path")
+def between(starts, ends, k):
+    """Nodes by their distance to each end, then from each start always to the first node that is one nearer."""
+    return f"""WITH RECURSIVE {GR}, un AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), a AS ({starts}), b AS ({ends}),
+ lv AS (SELECT id AS e, id, 0 AS d FROM b UNION SELECT e, dst, d+1 FROM lv JOIN un ON src=id WHERE d < 15),
+ ds AS MATERIALIZED (SELECT e, id, min(d) AS d FROM lv GROUP BY 1,2),
+ best AS MATERIALIZED (SELECT a.id AS seed, ds.e, ds.d FROM a JOIN ds ON ds.id=a.id WHERE ds.d > 0 ORDER BY ds.d, a.id, ds.e LIMIT {k}),
+ w AS (SELECT seed, e, seed AS id, d, [seed] AS path FROM best
+  UNION ALL SELECT seed, e, nxt, d-1, list_append(path, nxt) FROM (SELECT w.seed, w.e, w.d, w.path, min(un.dst) AS nxt FROM w JOIN un ON un.src=w.id JOIN ds ON ds.e=w.e AND ds.id=un.dst AND ds.d=w.d-1 GROUP BY ALL))"""
+
+
+@query("shortest_path", between("SELECT 'c1' AS id", "SELECT 's7' AS id", 1) + " SELECT len(path)-1 AS path_length, array_to_string(path,'>') AS path FROM w WHERE d=0")
 def _(s, d):
     return T.shortest_path(G(s, d), "c1", "s7").withColumn("path", F.array_join("path", ">"))
 
 
-@query("shortest_between_names")
-def _(s, d):
-    return T.shortest_between_names(G(s, d), "Customer#000000001", "Customer#000000002")
+for _name, _a, _b in (("shortest_between_names", "Customer#000000001", "Customer#000000002"), ("shortest_between_many_names", "#00000000", "red widget")):
+
+    @query(_name, between(*(f"SELECT DISTINCT item_id AS id FROM items WHERE contains(lower(item_name), lower('{x}'))" for x in (_a, _b)), 5) + " SELECT seed, e AS id, len(path)-1 AS path_length, array_to_string(path,'>') AS path FROM w WHERE d=0")
+    def _(s, d, a=_a, b=_b):
+        return T.shortest_between_names(G(s, d), a, b).withColumn("path", F.array_join("path", ">"))
 
 
 @query("removal_impact", f"""WITH RECURSIVE {GR}, w AS (SELECT item_id AS seed, item_id AS id FROM items WHERE item_name='red widget' UNION SELECT seed, src FROM w JOIN dep ON dst=id)
@@ -157,12 +169,82 @@ def loops(s, d):
  v AS (SELECT q AS item_id, max(depth) AS y FROM b GROUP BY 1)
  SELECT 'p'||p_partkey AS item_id, coalesce(x,0) AS upstream_depth, coalesce(y,0) AS downstream_depth FROM part LEFT JOIN u ON u.item_id='p'||p_partkey LEFT JOIN v ON v.item_id='p'||p_partkey""")
 def _(s, d):
-    return T.node_depths(loops(s, d)).select("item_id", "upstream_depth", "downstream_depth")
+    return T.node_depths(loops(s, d), mode="trail").select("item_id", "upstream_depth", "downstream_depth")
 
 
 @query("chain_lengths_cyclic", f"WITH RECURSIVE {LOOPS} SELECT depth, count(*) AS count FROM t WHERE depth >= 2 AND id NOT IN (SELECT src FROM e) GROUP BY 1")
 def _(s, d):
-    return T.chain_lengths(loops(s, d))
+    return T.chain_lengths(loops(s, d), mode="trail")
+
+
+# Parts that follow each other in orders: one strong component with most of the parts, and tails on both sides.
+FOLLOW = """e AS (SELECT DISTINCT 'p'||a.l_partkey AS src, 'p'||b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND b.l_linenumber=a.l_linenumber+1
+  WHERE a.l_orderkey % 8 = 0 AND a.l_partkey<>b.l_partkey),
+ reach AS (SELECT src AS s, dst AS id FROM e UNION SELECT s, dst FROM reach JOIN e ON id=src),
+ comp AS (SELECT a.s AS node, least(a.s, min(a.id)) AS component FROM reach a JOIN reach b ON a.s=b.id AND a.id=b.s WHERE a.s<>a.id GROUP BY a.s),
+ csize AS (SELECT component, count(*) AS component_size FROM comp GROUP BY 1),
+ it AS (SELECT 'p'||p_partkey AS item_id, p_name AS item_name, p_type AS item_type FROM part),
+ rep AS (SELECT item_id, coalesce(component, item_id) AS c, coalesce(component_size, 1) AS size FROM it LEFT JOIN comp ON node=item_id LEFT JOIN csize USING (component)),
+ ce AS (SELECT a.c AS src, b.c AS dst, count(*) AS n FROM e JOIN rep a ON a.item_id=src JOIN rep b ON b.item_id=dst WHERE a.c<>b.c GROUP BY 1,2),
+ up AS (SELECT DISTINCT src AS id, 1 AS d FROM ce UNION SELECT src, d+1 FROM up JOIN ce ON dst=id),
+ dn AS (SELECT DISTINCT dst AS id, 1 AS d FROM ce UNION SELECT dst, d+1 FROM dn JOIN ce ON src=id),
+ du AS (SELECT id AS c, max(d) AS a FROM up GROUP BY 1), dd AS (SELECT id AS c, max(d) AS b FROM dn GROUP BY 1)"""
+
+
+def follow(s, d):
+    line = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").filter("l_orderkey % 8 = 0")
+    after = line.select("l_orderkey", F.col("l_partkey").alias("then"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+    p = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    edges = line.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey <> then").select(p("l_partkey").alias("src"), p("then").alias("dst")).distinct()
+    g = G(s, d)
+    return Graph(g.nodes.filter("label = 'Item' and id like 'p%'"), edges.withColumn("rel", F.lit("DEPENDS_ON")))
+
+
+@query("strong_components", f"WITH RECURSIVE {FOLLOW} SELECT item_id, component, component_size, item_name, item_type FROM comp JOIN csize USING (component) JOIN it ON item_id=node")
+def _(s, d):
+    return T.item_components(follow(s, d))
+
+
+@query("node_depths_components", f"""WITH RECURSIVE {FOLLOW} SELECT it.*, coalesce(a,0) AS upstream_depth, coalesce(b,0) AS downstream_depth, coalesce(a,0)+coalesce(b,0) AS total_chain_depth
+ FROM it JOIN rep USING (item_id) LEFT JOIN du USING (c) LEFT JOIN dd USING (c)""")
+def _(s, d):
+    return T.node_depths(follow(s, d))
+
+
+@query("dependency_depth_components", f"WITH RECURSIVE {FOLLOW} SELECT it.*, a AS dependency_depth FROM it JOIN rep USING (item_id) JOIN du USING (c) ORDER BY a DESC, item_id LIMIT 20")
+def _(s, d):
+    return T.dependency_depth(follow(s, d)).drop("workspace")
+
+
+CW = f"""WITH RECURSIVE {FOLLOW}, w AS (SELECT src AS id, 1 AS depth, CAST(sum(n) AS BIGINT) AS k FROM ce WHERE dst NOT IN (SELECT src FROM ce) GROUP BY 1
+ UNION ALL SELECT src, depth+1, CAST(sum(n*k) AS BIGINT) FROM w JOIN ce ON dst=id GROUP BY src, depth+1),
+ ln AS (SELECT depth, CAST(sum(k*size) AS BIGINT) AS count FROM w JOIN rep ON item_id=id WHERE depth >= 2 GROUP BY 1)"""
+
+
+@query("chain_lengths_components", f"{CW} SELECT * FROM ln")
+def _(s, d):
+    return T.chain_lengths(follow(s, d))
+
+
+@query("chain_stats_components", f"{CW} SELECT max(depth) AS max_depth, CAST(sum(depth*count) AS DOUBLE)/sum(count) AS avg_depth, CAST(sum(count) AS BIGINT) AS chain_count FROM ln")
+def _(s, d):
+    return T.chain_stats(follow(s, d))
+
+
+@query("deep_chains_components", f"""WITH RECURSIVE {FOLLOW}, w AS (SELECT DISTINCT src AS id, [src] AS path FROM ce WHERE src NOT IN (SELECT dst FROM ce) UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN ce ON src=id),
+ b AS (SELECT path[1] AS terminal_id, id AS origin_id, len(path)-1 AS depth, path FROM w WHERE len(path) > 3 ORDER BY len(path) DESC, path LIMIT 50)
+ SELECT terminal_id, origin_id, depth, array_to_string(path,'>') AS path FROM b""")
+def _(s, d):
+    return T.deep_chains(follow(s, d)).select("terminal_id", "origin_id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query("source_reach_components", f"""WITH RECURSIVE {FOLLOW}, con AS (SELECT DISTINCT 's'||l_suppkey AS source, 'p'||l_partkey AS node FROM lineitem WHERE l_linenumber = 1)
+ SELECT source, count(DISTINCT r.s) AS items FROM con JOIN reach r ON r.id=node GROUP BY 1""")
+def _(s, d):
+    from tidewatch.operators.graph.bitmaps import dependents_per_source
+
+    direct = table(s, d, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"))
+    return dependents_per_source(T.steps(follow(s, d), "up"), direct)
 
 
 @query("cycles", """WITH RECURSIVE e AS (SELECT DISTINCT 'n'||c_nationkey AS src, 'n'||((c_nationkey*2+1) % 25) AS dst FROM customer UNION SELECT DISTINCT 'n'||s_nationkey, 'n'||((s_nationkey+7) % 25) FROM supplier),

@@ -290,25 +290,40 @@ def bipartite_weights(df: DataFrame, a: str = "workspace", b: str = "item_type",
     return df.groupBy(a, b).agg(_n("weight")).filter(F.col("weight") > min_w)
 
 
-def error_cooccurrence(df: DataFrame, width: str = "1 hour", k: int = 10) -> DataFrame:
-    """Pairs of different errors of one user in one time window.
+#: Messages among which the bound of the co-occurrence search is found, and messages of a group that one cell pairs.
+LEADING, PAIR_BLOCK = 64, 256
 
-    The group is first reduced to its distinct messages. Messages are the report's labels,
-    few per user and hour, so the pairs grow with distinct labels and not with events.
+
+def error_cooccurrence(df: DataFrame, width: str = "1 hour", k: int = 10, leading: int = LEADING, block: int = PAIR_BLOCK) -> DataFrame:
+    """The k most frequent pairs of different errors of one user in one time window, ties by message.
+
+    A pair is at most as frequent as its rarer message. Pairs among the most frequent messages are counted first; the
+    k-th of them is a bound, and rarer messages can't be in the answer. What is left of a user's window is dealt into
+    blocks, and each two blocks are a group of their own, so that a window with very many messages is spread.
     """
+    group = ["user_name", "w"]
     seen = (
         df.filter("user_name is not null and start_time is not null")
         .select("user_name", F.window("start_time", width)["start"].alias("w"), "error_message")
         .distinct()
     )
-    other = seen.select("user_name", "w", F.col("error_message").alias("other_message"))
-    pairs = (
-        seen.join(other, ["user_name", "w"])
-        .filter(F.col("error_message") < F.col("other_message"))
-        .groupBy("error_message", "other_message")
-        .agg(_n("pair_count"))
-    )
-    return top_k(pairs, [F.desc("pair_count"), "error_message", "other_message"], k)
+    seen = cut_lineage(seen, "seen-errors")
+    counts = seen.groupBy("error_message").agg(_n("n"))
+    first = top_k(counts, [F.desc("n"), "error_message"], leading).select("error_message")
+    bound = top_k(_pairs(seen.join(first, "error_message"), group, block), [F.desc("pair_count")], k).agg(F.count(F.lit(1)).alias("c"), F.min("pair_count").alias("least")).first()
+    kept = seen if bound["c"] < k else seen.join(counts.filter(F.col("n") >= bound["least"]), "error_message", "left_semi")
+    return top_k(_pairs(kept, group, block), [F.desc("pair_count"), "error_message", "other_message"], k)
+
+
+def _pairs(seen: DataFrame, group: list[str], block: int) -> DataFrame:
+    """(error_message, other_message, pair_count): in how many groups two messages are. A cell pairs two blocks of a group."""
+    blocks = seen.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    dealt = seen.join(blocks, group).withColumn("_own", F.pmod(F.xxhash64("error_message"), F.col("_blocks")).cast("int"))
+    left = dealt.select(*group, "error_message", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
+    right = dealt.select(*group, F.col("error_message").alias("other"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    met = left.join(right, [*group, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("error_message") < F.col("other")))
+    named = met.select(F.least("error_message", "other").alias("error_message"), F.greatest("error_message", "other").alias("other_message"))
+    return named.groupBy("error_message", "other_message").agg(_n("pair_count"))
 
 
 def executive_metrics(df: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ given to the one or two cells that it can reach, and a window inside each cell d
 both inputs are read once and meet in one exchange on (key, cell), so a hot key is spread over its
 cells. Left rows without key or time travel in cells of their own, dealt by hash.
 
-Without a tolerance the join is two-level. Each cell keeps only its first and last right row, and a
-window over these summaries (one row per cell, not per event) tells every left cell which right row
+Without a tolerance each cell keeps only its first and last right row. A scan of two levels over these
+summaries, inside blocks of cells and over the blocks of a key, tells every left cell which right row
 precedes it and which follows it. Those two carried rows then enter the cell as ordinary right rows.
 No right row is replicated. All windows only look backwards in their sort order, so each is one
 linear pass.
@@ -24,6 +24,8 @@ from tidewatch.functions.basics import col, epoch_micros
 CELL_SECONDS = 60
 #: Width of a cell in tolerances, and cells for left rows that can't match.
 CELL_TOLERANCES, LOOSE_CELLS = 4, 1 << 20
+#: Cells of a block: of a key, one window holds at most so many of its cells, another its blocks.
+BLOCK_CELLS = 1024
 
 
 def asof_join(
@@ -84,8 +86,19 @@ def asof_join(
     return matched.filter("_side = 1").withColumn("_best", best["_r"]).select("_l.*", "_best.*")
 
 
+def _neighbours(rows: DataFrame, keys: list[str], at: str, last: str, first: str) -> DataFrame:
+    """With the last row before (``_prev``) and the first row after (``_next``) each place, within the keys."""
+    before = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*keys).orderBy(F.desc(at)).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_prev", F.last(last, ignorenulls=True).over(before)).withColumn("_next", F.last(first, ignorenulls=True).over(after))
+
+
 def _carried(r: DataFrame, left_cells: DataFrame) -> DataFrame:
-    """Right rows, and for each cell that is asked for, the last one before it and the first one after it."""
+    """Right rows, and for each cell that is asked for, the last one before it and the first one after it.
+
+    A prefix scan of two levels: neighbours are looked up inside blocks of ``BLOCK_CELLS`` cells, and for cells at the
+    edges of a block among the blocks of the key. The cells of a hot key are so spread over its blocks.
+    """
     hit, order = F.struct("_t", "_tie", "_r"), F.struct("_t", "_tie")
     right_cells = r.groupBy("_k", "_cell").agg(F.max_by(hit, order).alias("_last"), F.min_by(hit, order).alias("_first"))
     empty = F.lit(None).cast(right_cells.schema["_last"].dataType)
@@ -95,13 +108,15 @@ def _carried(r: DataFrame, left_cells: DataFrame) -> DataFrame:
         .groupBy("_k", "_cell")
         .agg(F.max_by("_last", F.col("_last").isNotNull()).alias("_last"), F.max_by("_first", F.col("_first").isNotNull()).alias("_first"), F.bool_or("_asked").alias("_asked"))
     )
-    before = W.partitionBy("_k").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("_k").orderBy(F.desc("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_block", F.floor(F.col("_cell") / BLOCK_CELLS))
+    filled = lambda c: F.when(F.col(c).isNotNull(), F.col("_cell"))
+    blocks = cells.groupBy("_k", "_block").agg(F.max_by("_last", filled("_last")).alias("_blast"), F.min_by("_first", filled("_first")).alias("_bfirst"))
+    blocks = _neighbours(blocks, ["_k"], "_block", "_blast", "_bfirst").select("_k", "_block", F.col("_prev").alias("_bprev"), F.col("_next").alias("_bnext"))
     carried = (
-        cells.withColumn("_prev", F.last("_last", ignorenulls=True).over(before))
-        .withColumn("_next", F.last("_first", ignorenulls=True).over(after))
+        _neighbours(cells, ["_k", "_block"], "_cell", "_last", "_first")
         .filter("_asked")
-        .select("_k", "_cell", F.explode(F.array("_prev", "_next")).alias("_h"))
+        .join(blocks, ["_k", "_block"])
+        .select("_k", "_cell", F.explode(F.array(F.coalesce("_prev", "_bprev"), F.coalesce("_next", "_bnext"))).alias("_h"))
         .filter("_h is not null")
         .select("_k", "_cell", F.col("_h._t").alias("_t"), F.col("_h._tie").alias("_tie"), F.col("_h._r").alias("_r"))
     )

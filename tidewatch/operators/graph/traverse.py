@@ -4,7 +4,12 @@ Seeded traversals expand a frontier step by step; each step is one distributed j
 result is written to the shared checkpoint folder, so plans stay short and a lost executor
 costs one step. Depth and chain measures over all items need no seeds: rounds of joins over
 edges stored once carry one row per item, never one per (item, item) pair, until nothing grows
-any more. Only items that can reach a cycle have their trails followed one by one.
+any more.
+
+Where items depend on each other in circles, these measures are taken between strong components: the
+edges inside one don't count, its items share their depth, and it stands in a chain as its
+least item. A component with nothing above it is a root. ``mode='trail'`` instead follows every trail
+(no edge twice) of items that reach a cycle, of which there can be exponentially many.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.graph.components import condensed, strong_components, turned
 from tidewatch.operators.graph.model import Graph, item_workspace, items, rel, with_workspace
 from tidewatch.operators.ranking import top_k, top_k_per_group
 from tidewatch.session import cut_lineage
@@ -133,31 +139,56 @@ def chain(g: Graph, seed: str, depth: int = 5) -> DataFrame:
     return up.unionByName(down)
 
 
-def shortest_path(g: Graph, a: str, b: str, depth: int = 15) -> DataFrame:
-    """One shortest undirected path over any relation: the alphabetically first of equals.
+def _expanded(frontier: DataFrame, visited: DataFrame, edges: DataFrame, front: bool) -> DataFrame:
+    """One step from (seed, node, path): the nodes that a seed reaches first now, each with the alphabetically first path.
+
+    ``front`` paths grow at their end and begin with the seed, others begin at the node.
+    """
+    grown = F.array_append("path", F.col("next")) if front else F.array_prepend("path", F.col("next"))
+    new = frontier.join(edges, "node").select("seed", F.col("next").alias("node"), grown.alias("path"))
+    return new.join(visited, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
+
+
+def paths_between(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int = 15, k: int = 1) -> DataFrame:
+    """(seed, id, path_length, path) of the k shortest pairs of a start and another node among the ends; both have a column id.
 
-    Breadth first; a node is kept once, with its first path, so a level holds at most one
-    row per node.
+    Breadth first from both sides: each step moves the side with fewer rows, until the frontiers share nodes. A pair's
+    distance is the sum of the two depths at which that first happens, and its path the one of the two halves that
+    is alphabetically first. The search ends when k pairs have met: their distances are the least, and equal ones are
+    settled by id. Where many starts and ends meet in one node, only its first 2k + 1 of each are paired, which is
+    enough for the first k new pairs.
     """
+    sides = []
+    for nodes in (starts, ends):
+        seeds = cut_lineage(nodes.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path")), "path-seeds")
+        sides.append({"frontier": seeds, "visited": seeds.select("seed", "node"), "rows": seeds.count(), "depth": 0})
+    kept: list[DataFrame] = []
+    had = starts.select(F.col("id").alias("seed"), F.col("id").alias("end")).limit(0)
+    n = 0
+    while n < k and sides[0]["depth"] + sides[1]["depth"] < depth and all(s["rows"] for s in sides):
+        front = sides[0]["rows"] <= sides[1]["rows"]
+        side = sides[0 if front else 1]
+        side["frontier"] = cut_lineage(_expanded(side["frontier"], side["visited"], edges, front), "path-frontier")
+        side["visited"] = side["visited"].unionByName(side["frontier"].select("seed", "node"))
+        side["rows"], side["depth"] = side["frontier"].count(), side["depth"] + 1
+        few = [top_k_per_group(s["frontier"], ["node"], ["seed"], 2 * k + 1) for s in sides]
+        meet = few[0].join(few[1].select("node", F.col("seed").alias("end"), F.col("path").alias("tail")), "node").where("seed <> end")
+        meet = meet.join(had, ["seed", "end"], "left_anti")
+        whole = F.concat("path", F.slice("tail", 2, F.greatest(F.size("tail"), F.lit(1))))
+        pairs = meet.select("seed", "end", whole.alias("path")).groupBy("seed", "end").agg(F.min("path").alias("path"))
+        found = cut_lineage(top_k(pairs, ["seed", "end"], k - n).withColumn("path_length", F.size("path") - 1), "path-pairs")
+        kept.append(found)
+        had = had.unionByName(found.select("seed", "end"))
+        n += found.count()
+    empty = had.withColumn("path", F.array("seed")).withColumn("path_length", F.lit(0)).limit(0)
+    return _union(kept or [empty]).select("seed", F.col("end").alias("id"), "path_length", "path")
+
+
+def shortest_path(g: Graph, a: str, b: str, depth: int = 15) -> DataFrame:
+    """One shortest undirected path over any relation: the alphabetically first of equals."""
     edges = cut_lineage(steps(g, "any", ()), "undirected")
-    frontier = g.nodes.filter(F.col("id") == a).select(F.col("id").alias("node"), F.array("id").alias("path"))
-    visited = frontier.select("node")
-    for _ in range(depth):
-        nxt = (
-            frontier.join(edges, "node")
-            .select(F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
-            .join(visited, "node", "left_anti")
-            .groupBy("node")
-            .agg(F.min("path").alias("path"))
-        )
-        frontier = cut_lineage(nxt, "bfs")
-        hit = frontier.filter(F.col("node") == b)
-        if not hit.isEmpty():
-            return hit.select((F.size("path") - 1).alias("path_length"), "path")
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier.select("node"))
-    return frontier.filter(F.lit(False)).select((F.size("path") - 1).alias("path_length"), "path")
+    one = lambda i: g.nodes.filter(F.col("id") == i).select("id").distinct()
+    return paths_between(edges, one(a), one(b), depth).select("path_length", "path")
 
 
 def path_steps(g: Graph, path: DataFrame) -> DataFrame:
@@ -171,13 +202,10 @@ def path_steps(g: Graph, path: DataFrame) -> DataFrame:
 
 
 def shortest_between_names(g: Graph, a: str, b: str, depth: int = 15, k: int = 5) -> DataFrame:
-    """The k shortest pairs among items whose names contain the two texts."""
+    """The k shortest pairs among items whose names contain the two texts, with their paths."""
     edges = cut_lineage(steps(g, "any", ()), "undirected")
-    like = lambda text: items(g).filter(F.lower("item_name").contains(text.lower())).select(F.col("item_id").alias("id"))
-    starts = like(a).select(F.col("id").alias("seed"), F.col("id").alias("node"))
-    ends = like(b)
-    found = reach(edges, starts, depth, "shortest").join(ends, "id", "left_semi").filter("seed <> id")
-    return top_k(found.select("seed", "id", F.col("depth").alias("path_length")), ["path_length", "seed", "id"], k)
+    like = lambda text: items(g).filter(F.lower("item_name").contains(text.lower())).select(F.col("item_id").alias("id")).distinct()
+    return paths_between(edges, like(a), like(b), depth, k)
 
 
 def removal_impact(g: Graph, name: str, samples: int = 10) -> DataFrame:
@@ -192,18 +220,16 @@ def removal_impact(g: Graph, name: str, samples: int = 10) -> DataFrame:
 
 
 def source_failure_reach(g: Graph) -> DataFrame:
-    """Direct consumers and indirect dependents of every external source, in one traversal.
+    """Direct consumers and indirect dependents of every external source, without a row per (source, item).
 
-    Reachable (source, item) pairs are the definition of the count; each pair is expanded
-    once.
+    See :mod:`tidewatch.operators.graph.bitmaps`: an item holds which sources it depends on as bits.
     """
-    direct = rel(g, "CONSUMES").select(F.col("dst").alias("seed"), F.col("src").alias("node"))
-    below = reach(steps(g, "down"), direct, None, "shortest")
-    # A direct consumer below another consumer is an indirect dependent too, so the count is
-    # over everything one step below a consumer or a dependent.
-    reached = direct.unionByName(below.select("seed", F.col("id").alias("node")))
-    indirect = reached.join(steps(g, "down"), "node").select("seed", "next").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("indirect_dependent_count"))
-    counts = direct.groupBy("seed").agg(F.count(F.lit(1)).alias("direct_consumer_count")).join(indirect, "seed", "left").na.fill(0)
+    from tidewatch.operators.graph.bitmaps import dependents_per_source
+
+    direct = rel(g, "CONSUMES").select(F.col("src").alias("node"), F.col("dst").alias("source"))
+    edges = steps(g, "up")
+    indirect = dependents_per_source(edges, direct).select(F.col("source").alias("seed"), F.col("items").alias("indirect_dependent_count"))
+    counts = direct.groupBy(F.col("source").alias("seed")).agg(F.count(F.lit(1)).alias("direct_consumer_count")).join(indirect, "seed", "left").na.fill(0)
     return counts.join(g.nodes.select(F.col("id").alias("seed"), F.col("name").alias("external_source"), F.col("type").alias("source_type")), "seed").withColumnRenamed("seed", "source_id")
 
 
@@ -246,116 +272,173 @@ def walk_depths(edges: DataFrame, depth: int | None = None) -> tuple[DataFrame,
 
     In round k the nodes of depth k are those with a walk of k edges. These sets shrink; once one is
     empty all depths are known, and once one stays as it is, its nodes reach a cycle. ``depth`` cuts
-    walks off, and then every node has one. Nodes without a next one are absent.
+    walks off, and then every node has one. Nodes without a next one are absent. Other columns of ``edges`` keep
+    graphs apart that are walked at once.
     """
     edges = cut_lineage(edges, "depth-edges")
-    d, k = edges.groupBy("node").agg(F.lit(1).alias("d")), 1
+    apart = [c for c in edges.columns if c not in ("node", "next")]
+    d, k = edges.groupBy("node", *apart).agg(F.lit(1).alias("d")), 1
     while True:
         for _ in range(ROUNDS_A_STEP if depth is None else min(ROUNDS_A_STEP, depth - k)):
-            known = d.select(F.col("node").alias("next"), "d")
-            d, k = edges.join(known, "next", "left").groupBy("node").agg((F.max(F.coalesce("d", F.lit(0))) + 1).alias("d")), k + 1
+            known = d.select(F.col("node").alias("next"), *apart, "d")
+            d, k = edges.join(known, ["next", *apart], "left").groupBy("node", *apart).agg((F.max(F.coalesce("d", F.lit(0))) + 1).alias("d")), k + 1
         d = cut_lineage(d, "depths")
         if depth is not None and k >= depth:
-            return d, d.filter(F.lit(False)).select("node")
+            return d, d.filter(F.lit(False)).drop("d")
         growing, ended = d.agg(F.count_if(F.col("d") == k), F.count_if(F.col("d") == k - 1)).first()
         if not growing:
-            return d, d.filter(F.lit(False)).select("node")
+            return d, d.filter(F.lit(False)).drop("d")
         if not ended:
-            return d.filter(F.col("d") < k), d.filter(F.col("d") == k).select("node")
+            return d.filter(F.col("d") < k), d.filter(F.col("d") == k).drop("d")
+
+
+def _components_among(edges: DataFrame, *looped: DataFrame) -> DataFrame:
+    """Strong components among the nodes that are in each of ``looped``."""
+    for nodes in looped:
+        edges = edges.join(nodes.select("node"), "node", "left_semi").join(nodes.select(F.col("node").alias("next")), "next", "left_semi")
+    return strong_components(edges.select("node", "next"))
+
+
+def _to_members(depths: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows named by a component, once for each of its members; others as they are."""
+    of = members.select(F.col("component"), F.col("node").alias("_member"))
+    return depths.join(of, depths["node"] == of["component"], "left").withColumn("node", F.coalesce("_member", "node")).drop("component", "_member")
 
 
 def longest_walks(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, d): the longest chain from each node. Nodes that reach a cycle have their longest trail."""
+    """(node, d): the longest chain from each node, counting edges between strong components."""
     edges = cut_lineage(edges, "chain-edges")
     plain, cyclic = walk_depths(edges, depth)
-    return plain if cyclic.isEmpty() else plain.unionByName(_trail_depths(edges, cyclic))
+    if cyclic.isEmpty():
+        return plain
+    members = _components_among(edges, cyclic)
+    return _to_members(walk_depths(condensed(edges, members).drop("n"))[0], members)
 
 
-def _trail_depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    seeds = starts.select(F.col("node").alias("seed"), "node")
-    return paths(edges, seeds).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("d"))
+def trail_depths(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, d) with the longest trail of nodes that reach a cycle: every trail of theirs is followed."""
+    edges = cut_lineage(edges, "chain-edges")
+    plain, cyclic = walk_depths(edges)
+    plain = plain if depth is None else plain.withColumn("d", F.least("d", F.lit(depth)))
+    seeds = cyclic.select(F.col("node").alias("seed"), "node")
+    return plain.unionByName(paths(edges, seeds, depth).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("d")))
 
 
-def trail_depths(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, d) by following every trail from every node: only for graphs that are all cycles."""
-    seeds = edges.select(F.col("node").alias("seed"), "node").distinct()
-    return paths(edges, seeds, depth).groupBy(F.col("seed").alias("node")).agg(F.max("depth").alias("d"))
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("way", F.lit("up")).unionByName(turned(edges).withColumn("way", F.lit("down")))
 
 
 def node_depths(g: Graph, depth: int | None = None, mode: str = "walk") -> DataFrame:
-    """Longest upstream and downstream chain per item, cycles or not. ``mode='trail'`` follows every trail."""
-    measure = longest_walks if mode == "walk" else trail_depths
-    stored = cut_lineage(steps(g, "up"), "edges")
-    down_edges = stored.select(F.col("next").alias("node"), F.col("node").alias("next"))
-    up = measure(stored, depth).select(F.col("node").alias("item_id"), F.col("d").alias("upstream_depth"))
-    down = measure(down_edges, depth).select(F.col("node").alias("item_id"), F.col("d").alias("downstream_depth"))
-    out = items(g).join(up, "item_id", "left").join(down, "item_id", "left").na.fill(0, ["upstream_depth", "downstream_depth"])
+    """Longest upstream and downstream chain per item, cycles or not. ``mode='trail'`` follows every trail on cycles.
+
+    Both directions are walked in the same rounds.
+    """
+    edges = cut_lineage(steps(g, "up"), "edges")
+    if mode == "trail":
+        d = trail_depths(edges, depth).withColumn("way", F.lit("up")).unionByName(trail_depths(turned(edges), depth).withColumn("way", F.lit("down")))
+    else:
+        d, cyclic = walk_depths(_both_ways(edges), depth)
+        if not cyclic.isEmpty():
+            members = _components_among(edges, *(cyclic.where(F.col("way") == w) for w in ("up", "down")))
+            d = _to_members(walk_depths(_both_ways(condensed(edges, members).drop("n")))[0], members)
+    at = lambda way: F.coalesce(F.max(F.when(F.col("way") == way, F.col("d"))), F.lit(0))
+    found = d.groupBy(F.col("node").alias("item_id")).agg(at("up").alias("upstream_depth"), at("down").alias("downstream_depth"))
+    out = items(g).join(found, "item_id", "left").na.fill(0, ["upstream_depth", "downstream_depth"])
     return out.withColumn("total_chain_depth", F.col("upstream_depth") + F.col("downstream_depth"))
 
 
-def dependency_depth(g: Graph, k: int = 20, depth: int | None = None) -> DataFrame:
+def item_components(g: Graph) -> DataFrame:
+    """Items that depend on each other in circles: item_id, component (its least item) and component_size."""
+    members = strong_components(steps(g, "up"))
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
+    return members.join(size, "component").join(items(g).withColumnRenamed("item_id", "node"), "node").withColumnRenamed("node", "item_id")
+
+
+def dependency_depth(g: Graph, k: int = 20, depth: int | None = None, mode: str = "walk") -> DataFrame:
     """Items by longest chain to a root."""
-    d = longest_walks(steps(g, "up"), depth).select(F.col("node").alias("item_id"), F.col("d").alias("dependency_depth"))
+    found = trail_depths(steps(g, "up"), depth) if mode == "trail" else longest_walks(steps(g, "up"), depth)
+    d = found.select(F.col("node").alias("item_id"), F.col("d").alias("dependency_depth"))
     best = top_k(d, [F.desc("dependency_depth"), "item_id"], k)
     return with_workspace(best.join(items(g), "item_id"), g).drop("workspace_id")
 
 
-def chain_lengths(g: Graph, depth: int | None = None) -> DataFrame:
-    """(depth, count) of chains of two or more edges that end at a root, however long.
+def _chain_rounds(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame | None:
+    """(depth, count) of the chains of two or more edges (node, next, n) that end at a root; None if there is a cycle.
 
-    Chains are counted, not listed: a round has one row per node, its number of chains of that
-    length, the sum over its upstream nodes of theirs in the round before. Trails from nodes that
-    reach a cycle are followed and counted apart.
+    Chains are counted, not listed: a round has one row per node, its longest walk and its number of chains of that
+    length, the sum over its upstream nodes of theirs in the round before. ``weights`` (node, size) count a start repeatedly.
     """
-    edges = cut_lineage(steps(g, "up"), "chain-edges")
-    has_next = edges.select("node").distinct()
-    root_edge = edges.join(has_next.select(F.col("node").alias("next")), "next", "left_anti")
-    _, cyclic = walk_depths(edges)
-    looped = not cyclic.isEmpty()
-    plain = cut_lineage(edges.join(cyclic, "node", "left_anti"), "plain-edges") if looped else edges
-    counts = root_edge.groupBy("node").agg(F.count(F.lit(1)).alias("count"))
-    if looped:
-        counts = counts.join(cyclic, "node", "left_anti")
-    counts, j = counts.withColumn("depth", F.lit(1)), 1
-    found: list[DataFrame] = []
-    while depth is None or j < depth:
-        rounds = [counts]
-        for _ in range(ROUNDS_A_STEP if depth is None else min(ROUNDS_A_STEP, depth - j)):
-            prior, j = rounds[-1].select(F.col("node").alias("next"), "count"), j + 1
-            rounds.append(plain.join(prior, "next").groupBy("node").agg(F.sum("count").alias("count")).withColumn("depth", F.lit(j)))
-        step = cut_lineage(_union(rounds[1:]), "chain-counts")
-        found.append(step.groupBy("depth").agg(F.sum("count").alias("count")))
-        counts = step.filter(F.col("depth") == j)
-        if counts.isEmpty():
+    has_next = edges.select(F.col("node").alias("next"), F.lit(False).alias("root")).distinct()
+    first = edges.join(has_next, "next", "left").groupBy("node").agg(F.lit(1).alias("d"), F.sum(F.when(F.col("root").isNull(), F.col("n")).otherwise(0)).alias("count"))
+    state, j, found = first.withColumn("depth", F.lit(1)), 1, []
+    while True:
+        rounds = [state]
+        for _ in range(ROUNDS_A_STEP):
+            prior, j = rounds[-1].select(F.col("node").alias("next"), "d", "count"), j + 1
+            step = edges.join(prior, "next", "left").groupBy("node").agg(
+                (F.max(F.coalesce("d", F.lit(0))) + 1).alias("d"), F.sum(F.col("n") * F.coalesce("count", F.lit(0))).alias("count")
+            )
+            rounds.append(step.withColumn("depth", F.lit(j)))
+        written = cut_lineage(_union(rounds[1:]), "chain-counts")
+        some = written.where("count > 0")
+        counted = some.select("depth", "count") if weights is None else some.join(weights, "node", "left").select("depth", (F.col("count") * F.coalesce("size", F.lit(1))).alias("count"))
+        found.append(counted.groupBy("depth").agg(F.sum("count").alias("count")))
+        state = written.filter(F.col("depth") == j)
+        growing, ended = state.agg(F.count_if(F.col("d") == j), F.count_if(F.col("d") == j - 1)).first()
+        if not growing:
             break
-    if looped:
-        seeds = cyclic.select(F.col("node").alias("seed"), "node")
-        ends = paths(edges, seeds, depth).join(has_next.select(F.col("node").alias("id")), "id", "left_anti")
-        found.append(ends.filter("depth >= 2").groupBy("depth").agg(F.count(F.lit(1)).alias("count")))
-    if not found:
-        return counts.select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count")).filter(F.lit(False))
+        if not ended:
+            return None
     total = _union(found).groupBy("depth").agg(F.sum("count").alias("count"))
     return total.select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count"))
 
 
-def chain_stats(g: Graph, depth: int | None = None) -> DataFrame:
-    lengths = chain_lengths(g, depth)
+def chain_lengths(g: Graph, depth: int | None = None, mode: str = "walk") -> DataFrame:
+    """(depth, count) of chains of two or more edges that end at a root, however long.
+
+    With cycles a chain is a start and the edges between components that it takes; every item of a component is a
+    start. ``mode='trail'`` lists the trails of starts that reach a cycle.
+    """
+    edges = cut_lineage(steps(g, "up"), "chain-edges")
+    if mode == "trail":
+        _, cyclic = walk_depths(edges)
+        plain = cut_lineage(edges.join(cyclic, "node", "left_anti"), "plain-edges")
+        seeds = cyclic.select(F.col("node").alias("seed"), "node")
+        has_next = edges.select(F.col("node").alias("id")).distinct()
+        trails = paths(edges, seeds, depth).join(has_next, "id", "left_anti").filter("depth >= 2").groupBy("depth").agg(F.count(F.lit(1)).alias("count"))
+        both = _chain_rounds(plain.withColumn("n", F.lit(1))).unionByName(trails)
+        found = both.groupBy("depth").agg(F.sum("count").alias("count")).select(F.col("depth").cast("int").alias("depth"), F.col("count").cast("bigint").alias("count"))
+    else:
+        found = _chain_rounds(edges.withColumn("n", F.lit(1)))
+        if found is None:
+            members = strong_components(edges)
+            sizes = members.groupBy(F.col("component").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+            found = _chain_rounds(cut_lineage(condensed(edges, members), "condensed"), cut_lineage(sizes, "component-sizes"))
+    return found if depth is None else found.where(F.col("depth") <= depth)
+
+
+def chain_stats(g: Graph, depth: int | None = None, mode: str = "walk") -> DataFrame:
+    lengths = chain_lengths(g, depth, mode)
     return lengths.agg(
         F.max("depth").alias("max_depth"), (F.sum(F.col("depth") * F.col("count")) / F.sum("count")).alias("avg_depth"), F.sum("count").alias("chain_count")
     )
 
 
-def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int | None = None) -> DataFrame:
+def deep_chains(g: Graph, min_depth: int = 3, k: int = 50, depth: int | None = None, mode: str = "walk") -> DataFrame:
     """The k deepest upstream chains of items that nothing depends on, ids breaking ties.
 
     Chains are not enumerated. Knowing how far each node still reaches, a prefix is kept
     only if it can be completed to its target length, so the first k prefixes per length
-    hold the first k chains: at most k rows per length at any step. Only starts that reach a
-    cycle have their trails listed.
+    hold the first k chains: at most k rows per length at any step. A strong component is one place of a
+    chain; with ``mode='trail'`` starts that reach a cycle have their trails listed.
     """
     edges = cut_lineage(steps(g, "up"), "chain-edges")
     far, cyclic = walk_depths(edges, depth)
     looped = not cyclic.isEmpty()
+    if looped and mode != "trail":
+        members = _components_among(edges, cyclic)
+        edges, looped = cut_lineage(condensed(edges, members).drop("n"), "condensed"), False
+        far = walk_depths(edges)[0]
     longest = far.agg(F.max("d")).first()[0] or 0
     ahead = edges.join(far.select(F.col("node").alias("next"), F.col("d").alias("far")), "next", "left").na.fill(0, ["far"])
     ahead = cut_lineage(ahead, "ahead").select(F.col("node").alias("at"), "next", "far")
