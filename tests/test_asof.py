@@ -6,6 +6,7 @@ import random
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tidewatch.operators import asof as S
 
@@ -110,6 +111,28 @@ def test_equals_pandas_on_random_data(df, direction, tolerance, cell):
     assert rows(got, "id", "job") == sorted(expected, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+@pytest.mark.parametrize("direction", ["nearest", "backward"])
+def test_unlimited_join_of_a_hot_key(df, monkeypatch, direction):
+    """95 % of the rows share a key, and its cells make many blocks with gaps of whole blocks between right rows."""
+    monkeypatch.setattr(S, "BLOCK_CELLS", 8)
+    rnd = random.Random(11)
+    key = lambda: "hot" if rnd.random() < 0.95 else f"k{rnd.randrange(5)}"
+    left = [(f"a{i}", key(), DAY + dt.timedelta(seconds=rnd.randrange(900_000))) for i in range(1200)]
+    right = [(f"j{i:04d}", key(), DAY + dt.timedelta(seconds=s)) for i, s in enumerate(sorted(rnd.sample(range(200_000, 700_000), 60)))]
+    got = S.asof_join(df(left, "id string, k string, t timestamp"), df(right, "job string, k string, jt timestamp"), "t", "jt", "k", None, direction, "job")
+    a, b = pd.DataFrame(left, columns=["id", "k", "t"]).sort_values("t"), pd.DataFrame(right, columns=["job", "k", "jt"]).sort_values("jt")
+    want = pd.merge_asof(a, b, left_on="t", right_on="jt", by="k", direction=direction)
+    expected = sorted(((r.id, None if pd.isna(r.job) else r.job) for r in want.itertuples()), key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert rows(got, "id", "job") == expected
+
+
+def test_no_window_holds_all_cells_of_a_key(df):
+    """Windows over cells are dealt by block; those over a key alone hold one row per block."""
+    cells = df([("hot", c, c % 3 == 0) for c in range(20_000)], "_k string, _cell bigint, _last boolean")
+    found = S._neighbours(cells.withColumn("_block", F.floor(F.col("_cell") / S.BLOCK_CELLS)), ["_k", "_block"], "_cell", "_last", "_last")
+    assert found.groupBy("_k", "_block").count().agg(F.max("count")).first()[0] == S.BLOCK_CELLS
+
+
 def test_name_clash_gets_suffix(df):
     a = df([("a", "i", at(10), "x")], "id string, k string, t timestamp, note string")
     b = df([("i", at(10), "y")], "k string, jt timestamp, note string")

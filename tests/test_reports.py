@@ -1,6 +1,9 @@
 import datetime as dt
+import itertools
+import random
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -59,47 +62,54 @@ def test_quantiles_equal_numpy_with_a_hot_key(df):
         for p in probs:
             assert abs(got[(name, p)] - np.quantile(values, p)) < 1e-9
     assert len(got) == 12
-    whole = {r["prob"]: r["quantile"] for r in exact_quantiles(df(data, "k string, v double"), [], "v", [0.5], width=1000.0).collect()}
+    whole = {r["prob"]: r["quantile"] for r in exact_quantiles(df(data, "k string, v double"), [], "v", [0.5]).collect()}
     assert abs(whole[0.5] - np.quantile(np.concatenate([hot, cold]), 0.5)) < 1e-9
 
 
-def test_dense_rank_and_peak_hour(df):
-    d = df([("a", 5), ("b", 5), ("c", 2), ("d", 9)], "n string, t bigint")
-    assert rows(RK.dense_rank_desc(d, "t", "r"), "n", "r") == [("a", 2), ("b", 2), ("c", 3), ("d", 1)]
-    assert RK.peak_hour(df([(3, 7), (9, 7), (1, 2)], "h int, n bigint"), "h", "n").first()["peak_hour"] == 9
-
-
-def test_trailing_average_over_calendar_days(df):
-    d = df([("k", dt.date(2024, 1, 1), 10), ("k", dt.date(2024, 1, 7), 20), ("k", dt.date(2024, 1, 8), 30)], "k string, d date, n int")
-    assert [r[0] for r in RK.trailing_avg(d, "k", "n", 7, "d", "a").orderBy("d").select("a").collect()] == [10.0, 15.0, 25.0]
-
-
-def test_first_per_key_prefers_present_times(df):
-    d = df([("k", None, "late"), ("k", 5, "five"), ("k", 3, "three"), (None, 1, "x")], "k string, t int, v string")
-    assert rows(RK.first_per_key(d, "k", "t"), "k", "v") == [("k", "three")]
-
-
-def test_cooccurrence_counts_distinct_pairs_once_per_window(df):
-    d = df([("u", T, "A"), ("u", T, "B"), ("u", T, "B"), ("u", T + dt.timedelta(hours=2), "A"), ("w", T, "A")], "user_name string, start_time timestamp_ntz, error_message string")
-    assert rows(N.error_cooccurrence(d)) == [("A", "B", 1)]
-
-
-def test_label_encoding_is_alphabetical(df):
-    d = df([(x,) for x in ["pear", "apple", "fig", "apricot", "apple", None]], "c string")
-    assert rows(N.encode_labels(d, "c")) == [("apple", 0.0), ("apricot", 1.0), ("fig", 2.0), ("pear", 3.0)]
-
-
-def test_executions_not_events(df):
-    d = df([("r", "1"), ("r", "2"), (None, "3")], "root_activity_id string, event_id string")
-    assert tuple(N.distinct_executions(d).first()) == (3, 2)
-
-
-def test_daily_export_summary(df):
-    raw = df([("u", "w", "A", "ok", 10.0), ("u", "x", "A", None, None)], "UserId string, WorkspaceId string, Activity string, Status string, DurationMs double")
-    got = {(r["summary_type"], r["metric"]): r["value"] for r in R.daily_export_summary(raw, "2024-01-01").collect()}
-    assert got[("overall", "unique_users")] == 1 and got[("by_activity_type", "activity_A")] == 2 and got[("duration_stats", "avg_duration_ms")] == 10.0
-
-
-def test_custom_report(df):
-    d = df([("a", 1.0), ("a", 3.0), (None, 9.0)], "k string, v double")
-    assert rows(N.custom_report(d, ["k"], {"top": F.max("v")})) == [("a", 3.0)]
+@pytest.mark.parametrize("shape", ["uniform", "skewed", "constant", "close", "signed"])
+def test_quantiles_by_refinement(df, shape):
+    """So few values a task that every shape takes rounds of refinement, down to values that differ in their last digits."""
+    rng = np.random.default_rng(7)
+    values = {
+        "uniform": rng.random(3000), "skewed": np.exp(rng.normal(0, 12, 3000)), "constant": np.array([2.5] * 500 + [7.0]),
+        "close": 1e9 + rng.integers(0, 4000, 3000) * 2.0**-22, "signed": np.concatenate([-np.exp(rng.normal(0, 30, 1500)), np.exp(rng.normal(0, 30, 1500)), [0.0, 1e308, -1e308]]),
+    }[shape]
+    probs = [0.0, 0.001, 0.31, 0.5, 0.77, 1.0]
+    frame = df([(float(v), "a" if i % 5 else "b") for i, v in enumerate(values)], "v double, k string")
+    whole = {r["prob"]: r["quantile"] for r in exact_quantiles(frame, [], "v", probs, most=20).collect()}
+    assert np.allclose([whole[p] for p in probs], np.quantile(values, probs), rtol=1e-12, atol=0)
+    keyed = {(r["k"], r["prob"]): r["quantile"] for r in exact_quantiles(frame, ["k"], "v", probs, most=20).collect()}
+    part = np.array([v for i, v in enumerate(values) if i % 5])
+    assert np.allclose([keyed[("a", p)] for p in probs], np.quantile(part, probs), rtol=1e-12, atol=0)
+
+
+def test_quantiles_of_nothing(df):
+    assert exact_quantiles(df([], "v double"), [], "v", [0.5]).collect() == []
+    assert exact_quantiles(df([(None, "a")], "v double, k string"), ["k"], "v", [0.5]).collect() == []
+
+
+def brute_pairs(seen, k):
+    groups, counts = {}, {}
+    for user, hour, message in seen:
+        groups.setdefault((user, hour), set()).add(message)
+    for g in groups.values():
+        for a, b in itertools.combinations(sorted(g), 2):
+            counts[a, b] = counts.get((a, b), 0) + 1
+    return sorted(((-n, a, b) for (a, b), n in counts.items()))[:k]
+
+
+@pytest.mark.parametrize("leading,block", [(64, 256), (3, 2), (1, 1)])
+def test_cooccurrence_equals_brute_force(df, leading, block):
+    rnd = random.Random(5)
+    seen = [(f"u{rnd.randrange(6)}", rnd.randrange(5), f"m{min(rnd.randrange(40), rnd.randrange(40)):02d}") for _ in range(600)]
+    frame = df([(u, dt.datetime(2024, 1, 1, h, 5), m) for u, h, m in seen], "user_name string, start_time timestamp, error_message string")
+    got = [(-r["pair_count"], r["error_message"], r["other_message"]) for r in N.error_cooccurrence(frame, k=12, leading=leading, block=block).collect()]
+    assert got == brute_pairs(seen, 12)
+
+
+def test_cooccurrence_with_a_very_full_hour(spark, df):
+    """One user and hour with 20,000 messages beside ordinary ones: its rare messages are pruned before they are paired."""
+    busy = spark.range(20_000).selectExpr("'hot' as user_name", "timestamp '2024-01-01 01:00:00' as start_time", "concat('x', id) as error_message")
+    rest = df([(f"u{i}", dt.datetime(2024, 1, 1, 2), f"m{(i + j) % 4}") for i in range(30) for j in range(3)], "user_name string, start_time timestamp, error_message string")
+    got = N.error_cooccurrence(busy.unionByName(rest), k=3).collect()
+    assert sorted((-r["pair_count"], r["error_message"], r["other_message"]) for r in got) == [(-16, "m1", "m2"), (-15, "m0", "m1"), (-15, "m0", "m2")]

@@ -87,7 +87,7 @@ def _(s, d):
 
 HFI = f"""SELECT item_id, first(item_name ORDER BY start_time, event_id) AS item_name, first(item_type ORDER BY start_time, event_id) AS item_type,
  {r2(f"CAST({FAILED} AS DOUBLE)/count(status)*100")} AS failure_rate_percent, count(status) AS total_attempts,
- 'Investigate and fix recurring issues' AS recommendation FROM act WHERE item_id IS NOT NULL GROUP BY 1
+ 'Find out why these runs keep failing' AS recommendation FROM act WHERE item_id IS NOT NULL GROUP BY 1
  HAVING {r2(f"CAST({FAILED} AS DOUBLE)/count(status)*100")} > 20"""
 
 
@@ -188,10 +188,10 @@ def _(s, d):
 
 @query("recommendations", act(f""", km AS ({KM}), iss AS (SELECT (SELECT count(*) FROM ({HFI})) + (SELECT count(*) FROM ({PD})) AS n),
  busy AS (SELECT count(*) AS n FROM ({TOPU}) WHERE total_activities > 50), weak AS (SELECT count(*) AS n FROM {DOM} WHERE success_rate < 80)
- SELECT 'reliability' AS category, 'high' AS priority, 'Low Overall Success Rate' AS title, CAST(success_rate_percent AS VARCHAR) AS evidence FROM km WHERE success_rate_percent < 85
- UNION ALL SELECT 'performance','medium','Performance Issues Detected', CAST(n AS VARCHAR) FROM iss WHERE n > 0
- UNION ALL SELECT 'capacity','medium','High User Activity Detected', CAST(n AS VARCHAR) FROM busy WHERE n > 0
- UNION ALL SELECT 'quality','high','Domain Quality Issues', CAST(n AS VARCHAR) FROM weak WHERE n > 0"""))
+ SELECT 'reliability' AS category, 'high' AS priority, 'Too few runs succeed' AS title, CAST(success_rate_percent AS VARCHAR) AS evidence FROM km WHERE success_rate_percent < 85
+ UNION ALL SELECT 'performance','medium','Items or domains fail too often', CAST(n AS VARCHAR) FROM iss WHERE n > 0
+ UNION ALL SELECT 'capacity','medium','Users above the activity limit', CAST(n AS VARCHAR) FROM busy WHERE n > 0
+ UNION ALL SELECT 'quality','high','Domains below the success target', CAST(n AS VARCHAR) FROM weak WHERE n > 0"""))
 def _(s, d):
     a = A(s, d)
     return R.recommendations(R.key_measurables(a), R.high_failure_items(a), R.problem_domains(a), R.user_volume(a)["top"], R.domain_summary(a))

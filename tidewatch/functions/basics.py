@@ -65,6 +65,18 @@ def string_or_null(c: Column | str) -> Column:
     return blank_to_null(F.trim(col(c).cast("string")))
 
 
+#: Values that stand for a null join key.
+NULL_KEYS = 1024
+
+
+def spread_nulls(key: Column | str, row: Column | str) -> Column:
+    """A text join key that matches what ``key`` matches, but whose nulls are many values that match nothing.
+
+    ``row`` tells rows apart. Rows without a key are so dealt evenly where a join shuffles.
+    """
+    return F.coalesce(col(key).cast("string"), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(col(row)), F.lit(NULL_KEYS)).cast("string")))
+
+
 def fill(c: Column | str, value) -> Column:
     return F.coalesce(col(c), F.lit(value))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.functions.basics import percent, round_half_even, surrogate_key
+from tidewatch.functions.basics import percent, round_half_even, spread_nulls, surrogate_key
 from tidewatch.functions.labels import date_time_keys, fact_flags
 from tidewatch.operators import dimensions as D
 from tidewatch.operators.ranking import trailing_avg
@@ -34,10 +35,11 @@ def build_dims(acts: DataFrame, lineage: DataFrame | None = None, as_of=None) ->
 
 def stored(dims: Dims) -> Dims:
     """The growing dimensions as written tables, so that joins to them are planned by their
-    true size: broadcast when small, shuffled otherwise."""
-    return dims._replace(
-        workspace=cut_lineage(dims.workspace, "dim_workspace"), item=cut_lineage(dims.item, "dim_item"), user=cut_lineage(dims.user, "dim_user")
-    )
+    true size: broadcast when small, shuffled otherwise. The three are written at once."""
+    growing = ("workspace", "item", "user")
+    with ThreadPoolExecutor(len(growing)) as pool:
+        written = list(pool.map(lambda name: cut_lineage(getattr(dims, name), f"dim_{name}"), growing))
+    return dims._replace(**dict(zip(growing, written, strict=True)))
 
 
 def _current(dim: DataFrame) -> DataFrame:
@@ -48,22 +50,23 @@ def resolve_keys(df: DataFrame, dims: Dims) -> DataFrame:
     """Add the five dimension keys, with the workspace name as a fallback for its id.
 
     The two reference dimensions are of fixed size and are broadcast. The growing ones are
-    left to the planner, which broadcasts by measured size. A name shared by several
-    workspaces resolves to the greatest key, so no row is multiplied.
+    left to the planner, which broadcasts by measured size. Where it shuffles, rows without a key, and for
+    the name lookup all rows whose id is known, are dealt evenly instead of meeting in one task.
+    A name shared by several workspaces resolves to the greatest key, so no row is multiplied.
     """
     ws = _current(dims.workspace)
-    by_id = ws.groupBy("workspace_id").agg(F.max("workspace_sk").alias("_ws_by_id"))
+    by_id = ws.groupBy(F.col("workspace_id").alias("_id")).agg(F.max("workspace_sk").alias("_ws_by_id"))
     by_name = ws.filter("workspace_name is not null").groupBy("workspace_name").agg(F.max("workspace_sk").alias("_ws_by_name"))
-    item = _current(dims.item).select("item_id", "item_sk")
-    user = _current(dims.user).select(F.col("user_principal_name").alias("submitted_by"), "user_sk")
+    item = _current(dims.item).select(F.col("item_id").alias("_item"), "item_sk")
+    user = _current(dims.user).select(F.col("user_principal_name").alias("_user"), "user_sk")
     kinds = F.broadcast(dims.activity_type.select("activity_type", F.col("activity_type_sk").alias("_type")))
     states = F.broadcast(dims.status.select(F.col("status_code").alias("_code"), F.col("status_sk").alias("_status")))
     unresolved = F.when(F.col("_ws_by_id").isNull(), F.col("workspace_name"))
     joined = (
-        df.join(by_id, "workspace_id", "left")
-        .join(by_name.withColumnRenamed("workspace_name", "_name"), unresolved == F.col("_name"), "left")
-        .join(item, "item_id", "left")
-        .join(user, "submitted_by", "left")
+        df.join(by_id, spread_nulls("workspace_id", "event_id") == F.col("_id"), "left")
+        .join(by_name.withColumnRenamed("workspace_name", "_name"), spread_nulls(unresolved, "event_id") == F.col("_name"), "left")
+        .join(item, spread_nulls("item_id", "event_id") == F.col("_item"), "left")
+        .join(user, spread_nulls("submitted_by", "event_id") == F.col("_user"), "left")
         .join(kinds, "activity_type", "left")
         .join(states, F.coalesce("status", F.lit("Unknown")) == F.col("_code"), "left")
     )
@@ -73,7 +76,7 @@ def resolve_keys(df: DataFrame, dims: Dims) -> DataFrame:
             "activity_type_sk": F.coalesce("_type", F.lit(K.UNKNOWN_ACTIVITY_TYPE_SK)),
             "status_sk": F.coalesce("_status", F.lit(K.UNKNOWN_STATUS_SK)),
         }
-    ).drop("_ws_by_id", "_ws_by_name", "_name", "_type", "_code", "_status")
+    ).drop("_id", "_ws_by_id", "_ws_by_name", "_name", "_item", "_user", "_type", "_code", "_status")
 
 
 def hashed_keys(df: DataFrame, names: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
+from tidewatch.functions.basics import spread_nulls
 from tidewatch.functions.lineage import base_type, parse_connection, source_details, source_id, table_id
 from tidewatch.operators.graph.model import Graph
 from tidewatch.operators.ranking import first_per_key
@@ -68,7 +69,7 @@ def split_dependencies(p: DataFrame, known: DataFrame | None = None) -> DataFram
     rows = p.filter(
         ((F.col("kind") == "OneLake") & F.col("conn").isNotNull()) | F.col("kind").isin(K.EXTERNAL_SOURCE_TYPES)
     ).withColumn("upstream_id", upstream)
-    return rows.join(ids, F.col("upstream_id") == F.col("_known"), "left").withColumn("is_internal", F.col("_known").isNotNull()).drop("_known")
+    return rows.join(ids, spread_nulls("upstream_id", "seq") == F.col("_known"), "left").withColumn("is_internal", F.col("_known").isNotNull()).drop("_known")
 
 
 def dependency_edges(records: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -4,13 +4,15 @@ a hub with a third of all edges costs one partial count per task."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.basics import round_half_even
+from tidewatch.functions.basics import round_half_even, spread_nulls
 from tidewatch.operators.graph.model import Graph, item_workspace, items, label, rel, with_workspace, workspaces
 from tidewatch.operators.ranking import top_k, top_k_per_group
+from tidewatch.session import cut_lineage
 
 
 
@@ -235,23 +237,35 @@ def graph_stats(g: Graph, k: int = 10) -> DataFrame:
     )
 
 
+def classified(records: DataFrame) -> DataFrame:
+    """Parsed records, with ``internal`` and ``external`` and the upstream item of internal ones.
+
+    Unlike the graph's edges these are all records: one that names a known item is internal, one with any other kind
+    of connection is external.
+    """
+    from tidewatch.operators.graph.build import parsed
+
+    p = parsed(records)
+    ids = p.filter("item_id is not null").select(F.col("item_id").alias("_known")).distinct()
+    lake = (F.col("kind") == "OneLake") & F.col("conn").isNotNull()
+    p = p.withColumn("lake", F.coalesce(lake, F.lit(False)))
+    p = p.join(ids, spread_nulls(F.when(lake, F.col("conn.oneLake.itemId")), "seq") == F.col("_known"), "left")
+    named = ~F.coalesce(F.col("kind"), F.lit("")).isin("", "Unknown")
+    internal = F.col("_known").isNotNull()
+    return p.withColumns({"internal": internal, "external": ~internal & (F.col("lake") | named), "named": named}).withColumnRenamed("_known", "upstream_id")
+
+
 def lineage_statistics(records: DataFrame) -> DataFrame:
     """Totals and distributions straight from lineage records, as (section, name, count) rows.
 
     Unlike the graph, edges are counted per record here. Mirrored databases are counted as
     distinct items and, apart, as records.
     """
-    from tidewatch import constants as K
     from tidewatch.functions.lineage import base_type
-    from tidewatch.operators.graph.build import mirrored_tables, parsed
+    from tidewatch.operators.graph.build import mirrored_tables
 
-    p = parsed(records)
-    ids = p.filter("item_id is not null").select(F.col("item_id").alias("_known")).distinct()
-    lake = (F.col("kind") == "OneLake") & F.col("conn").isNotNull()
-    p = p.join(ids, F.when(lake, F.col("conn.oneLake.itemId")) == F.col("_known"), "left")
-    internal = F.col("_known").isNotNull()
-    named = ~F.coalesce(F.col("kind"), F.lit("")).isin("", "Unknown")
-    external = ~internal & (lake | named)
+    p = classified(records)
+    internal, external = F.col("internal"), F.col("external")
     mirror = F.col("raw_type") == "MirroredDatabase"
     totals = p.agg(
         F.countDistinct("workspace_id").alias("workspaces"), F.countDistinct("item_id").alias("items"),
@@ -265,7 +279,7 @@ def lineage_statistics(records: DataFrame) -> DataFrame:
         rows.append(df.groupBy(key.alias("name")).agg(F.count(F.lit(1)).alias("count")).withColumn("section", F.lit(name)))
 
     section(p.filter("item_id is not null"), "items_by_type", base_type("raw_type"))
-    section(p.filter(~lake & named), "sources_by_type", F.col("kind"))
+    section(p.filter(F.col("named") & ~F.col("lake")), "sources_by_type", F.col("kind"))
     section(p.filter(external), "external_edges_by_type", F.col("kind"))
     tables = mirrored_tables(records)[0]
     section(tables, "tables_by_database", F.col("database"))
@@ -274,3 +288,57 @@ def lineage_statistics(records: DataFrame) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out.select("section", "name", "count")
+
+
+class LineageDetails(NamedTuple):
+    """The lists that go with :func:`lineage_statistics`, each a frame of its own."""
+
+    workspaces: DataFrame
+    top_items: DataFrame
+    top_sources: DataFrame
+    orphans: DataFrame
+    workspace_pairs: DataFrame
+    source_names: DataFrame
+
+
+def lineage_details(records: DataFrame, k: int = 10, pairs: int = 20) -> LineageDetails:
+    """Per workspace its items and dependencies, the most used items and kinds of source, items without any dependency,
+    the pairs of workspaces that depend on each other most, and the names of external sources by kind.
+
+    An item's last record describes it. Dependencies are counted per record; ties go to the smaller name or id.
+    """
+    from tidewatch.operators.graph.build import parsed, source_nodes
+    from tidewatch.operators.ranking import first_per_key
+
+    whole = parsed(records)
+    slim = classified(whole).select("seq", "workspace_id", "workspace_name", "item_id", "item_name", "raw_type", "kind", "upstream_id", "internal", "external")
+    p = cut_lineage(slim, "lineage-records")
+    last = lambda key, *cols: first_per_key(p.select(key, *cols, "seq"), key, "seq", cols, last=True)
+    described = cut_lineage(last("item_id", "item_name", "raw_type", "workspace_id").withColumnRenamed("raw_type", "item_type"), "lineage-items")
+    named = last("workspace_id", "workspace_name")
+    sums = p.filter("workspace_id is not null").groupBy("workspace_id").agg(F.count_if("external").alias("external_deps"), F.count_if("internal").alias("internal_deps"))
+    held = p.filter("item_id is not null").select("workspace_id", "item_id").distinct().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("item_count"))
+    spaces = add_counts(named.join(sums, "workspace_id"), "workspace_id", held)
+
+    inner = p.filter("internal")
+    used = count_edges(inner, "upstream_id", "item_id", "connections")
+    top_items = top_k(used, [F.desc("connections"), "item_id"], k).join(described.drop("workspace_id"), "item_id", "left")
+    top_sources = top_k(count_edges(p.filter("external"), "kind", "type", "connections"), [F.desc("connections"), "type"], k)
+
+    touched = inner.select("item_id").unionByName(inner.select(F.col("upstream_id").alias("item_id"))).unionByName(p.filter("external").select("item_id"))
+    orphans = described.drop("workspace_id").join(touched.distinct(), "item_id", "left_anti")
+
+    # Records are counted per pair of items first, and per pair of workspaces before those are named.
+    met = inner.filter("item_id is not null").groupBy("item_id", "upstream_id").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda item, name: described.select(F.col("item_id").alias(item), F.col("workspace_id").alias(name))
+    across = met.join(at("upstream_id", "source_id"), "upstream_id").join(at("item_id", "target_id"), "item_id").filter("source_id <> target_id")
+    counted = across.groupBy("source_id", "target_id").agg(F.sum("n").alias("edges"))
+    name_of = lambda side: named.select(F.col("workspace_id").alias(f"{side}_id"), F.col("workspace_name").alias(f"{side}_workspace"))
+    by_name = counted.join(name_of("source"), "source_id").join(name_of("target"), "target_id").groupBy("source_workspace", "target_workspace").agg(F.sum("edges").alias("edges"))
+    workspace_pairs = top_k(by_name, [F.desc("edges"), "source_workspace", "target_workspace"], pairs)
+
+    # The field that names a source of each kind.
+    name = F.when(F.col("type") == "Snowflake", F.col("database")).when(F.col("type").isin("AdlsGen2", "AzureBlob"), F.col("container"))
+    name = name.when(F.col("type").isin("AmazonS3", "OneDriveSharePoint"), F.col("location"))
+    source_names = source_nodes(whole).select("type", name.alias("name")).filter("name is not null").distinct()
+    return LineageDetails(spaces, top_items, top_sources, orphans, workspace_pairs, source_names)

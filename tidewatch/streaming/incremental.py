@@ -60,10 +60,9 @@ class LoadState:
         return default if value is None else value
 
     def record_load(self, entity: str, hwm, records: int, seconds: float) -> None:
-        row = self.spark.createDataFrame([(entity, hwm, records, round(seconds, 2))], "entity string, high_water_mark timestamp, records_processed bigint, duration_seconds double")
+        row = self.spark.createDataFrame([(entity, hwm, records, float(seconds))], "entity string, high_water_mark timestamp, records_processed bigint, duration_seconds double")
         row.withColumn("loaded_at", F.current_timestamp()).select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(self.path)
 
-    set_hwm = record_load
 
 
 # ---- I3: facts ---------------------------------------------------------------------
