@@ -1,5 +1,7 @@
 """Incremental loads, versioned dimensions and streams."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import act, fact, query
@@ -8,6 +10,7 @@ from tidewatch.operators import dimensions as D
 from tidewatch.operators import facts as FA
 from tidewatch.session import cut_lineage, scratch_path
 from tidewatch.sources.adapters import activities as A, jobs as J, table
+from tidewatch.sources.versions import Store
 from tidewatch.streaming import incremental as I
 
 MID = "2024-01-15 12:00:00"
@@ -63,6 +66,38 @@ def _(s, d):
     return s.read.parquet(f"{path}/daily").select(FA.daily_metrics(facts).columns)
 
 
+def _published(s, d):
+    """Three loads into a store: the first half, everything from the tenth on, and again everything."""
+    store, facts = Store(s, scratch_path(s, "store")), X(s, d)
+    for part in (facts.filter("activity_date < date'2024-01-15'"), facts.filter("activity_date >= date'2024-01-10'"), facts):
+        I.load_facts(store, part)
+    return store
+
+
+@query("published_facts", fact(f"SELECT {FACT_COLS} FROM fact"))
+def _(s, d):
+    return _published(s, d).read("facts")
+
+
+@query("published_daily_metrics", fact(DAILYF))
+def _(s, d):
+    return _published(s, d).read("daily").select(FA.daily_metrics(X(s, d)).columns)
+
+
+@query("published_versions", fact("""SELECT * FROM (VALUES (1, DATE '2024-01-15'), (2, DATE '2999-01-01'), (3, DATE '2999-01-01'), (4, DATE '2999-01-01')) v(version, until),
+ LATERAL (SELECT count(*) AS facts, count(DISTINCT date_sk) FILTER (WHERE workspace_sk IS NOT NULL) AS days FROM fact WHERE activity_date < until AND (version < 4 OR activity_date >= DATE '2024-01-20'))""").replace("SELECT * FROM (VALUES", "SELECT version, facts, days FROM (VALUES"))
+def _(s, d):
+    """Facts and days with a daily row as of each state; the last state has dropped the facts and daily rows of old days."""
+    store = _published(s, d)
+    store.drop_before("facts", "2024-01-20")
+    frames = []
+    for v in store.versions():
+        facts, daily = store.read("facts", v), store.read("daily", min(v, 3))
+        kept = daily.join(facts.select("date_sk").distinct(), "date_sk", "left_semi")
+        frames.append(facts.agg(F.lit(v).alias("version"), F.count("*").alias("facts")).withColumn("days", kept.agg(F.countDistinct("date_sk")).scalar()))
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def _members(s, d, changed):
     bump = "upper(c_mktsegment)" if not changed else "if(c_custkey % 3 = 0, 'MOVED', upper(c_mktsegment))"
     c = table(s, d, "customer").selectExpr("concat('u', c_custkey) as user_principal_name", f"{bump} as department", "c_custkey as k")
@@ -121,6 +156,20 @@ def _(s, d):
     return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "activity_type", "r.*")
 
 
+@query("late_windows", act("SELECT date_trunc('hour', start_time) AS window_start, activity_type, count(*) AS activities, count(*) FILTER (WHERE status='Failed') AS failures FROM act GROUP BY 1,2"))
+def _(s, d):
+    """Every second event lands first; the others are older than what was seen and land in a second run, after a compaction."""
+    path, ckpt = scratch_path(s, "late"), scratch_path(s, "ckpt")
+    a = A(s, d).drop("object_url", "error_message").withColumns({c: F.col(c).cast("timestamp") for c in ("start_time", "end_time")})
+    counts = I.WindowCounts(s, scratch_path(s, "windows"))
+    odd = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 1
+    for part in (a.filter(odd), a.filter(~odd)):
+        part.repartition(2).write.mode("append").parquet(path)
+        counts.run(I.read_stream(s, path, a.schema, 1), ckpt)
+        counts.compact()
+    return counts.read().withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_facts", fact("SELECT event_id, date_sk, workspace_sk, item_sk, is_failed, duration_seconds FROM fact"))
 def _(s, d):
     """Four files in as many batches, latest first; the earliest third of the events lands again at last, a month late."""

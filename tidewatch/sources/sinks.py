@@ -12,20 +12,26 @@ from pyspark.sql import functions as F
 from tidewatch import constants as K
 from tidewatch.functions.basics import coerce_keys, safe_timestamp
 from tidewatch.operators.graph.model import Graph
-from tidewatch.session import scratch_path
+
+
+#: Rows of a snapshot's file.
+FILE_ROWS = 1_000_000
 
 
 def write_snapshot(activities: DataFrame, path: str, stamp: str, workspaces: DataFrame | None = None, items: DataFrame | None = None) -> dict[str, str]:
     """Activities by day, plus the workspace and item lists, as one stamped snapshot.
 
-    Text times are parsed, bad ones become null. Rows are clustered by day before writing,
-    with several tasks per day, so a heavy day is not one task and files stay few.
+    Text times are parsed, bad ones become null. Rows are clustered by day before writing. Days are counted first,
+    and a day is as many tasks as its rows fill files of ``FILE_ROWS``, so a heavy day is spread and files stay few.
     """
     times = {c: safe_timestamp(c) for c in ("start_time", "end_time", "creation_time") if dict(activities.dtypes).get(c) == "string"}
     df = activities.withColumns(times) if times else activities
     out = {"activities": f"{path}/activities_{stamp}"}
     dated = df.withColumn("date", F.to_date("start_time"))
-    dated.repartition("date", F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode("overwrite").partitionBy("date").parquet(out["activities"])
+    # One row per day of the log.
+    sizes = dated.groupBy(F.col("date").alias("_day")).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))
+    dealt = dated.join(F.broadcast(sizes), F.col("date").eqNullSafe(F.col("_day"))).withColumn("_file", F.pmod(F.xxhash64("event_id"), F.col("_files")))
+    dealt.repartition("date", "_file").drop("_day", "_files", "_file").write.mode("overwrite").partitionBy("date").parquet(out["activities"])
     for name, frame in (("workspaces", workspaces), ("items", items)):
         if frame is not None:
             out[name] = f"{path}/{name}_{stamp}"
@@ -102,15 +108,6 @@ def export_jobs(jobs: DataFrame, path: str) -> dict[str, str]:
     return write_reports({"jobs_all": flat, "jobs_failed": flat.filter(F.col("job_status") == "Failed")}, path)
 
 
-def overwrite_safely(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Replace a table that ``df`` itself reads: write aside in the shared folder, then over it."""
-    spark = df.sparkSession
-    aside = scratch_path(spark, "aside")
-    df.write.parquet(aside)
-    writer = spark.read.schema(df.schema).parquet(aside).write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-
 def retained(df: DataFrame, as_of, days: int = K.RETENTION_DAYS, column: str = "date") -> DataFrame:
     """Rows not older than ``days``; rows without a date stay."""
     return df.filter(F.col(column).isNull() | (F.col(column) >= F.date_sub(F.lit(as_of).cast("date"), days)))

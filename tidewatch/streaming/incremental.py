@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewatch.operators.facts import daily_metrics
+from tidewatch.session import remove_path
+from tidewatch.sources.versions import Conflict, Store, append, replace_partitions
 
 HISTORY_LENGTH = 100
 STATE_SCHEMA = "entity string, high_water_mark timestamp, records_processed bigint, duration_seconds double, loaded_at timestamp"
@@ -64,7 +66,6 @@ class LoadState:
         row.withColumn("loaded_at", F.current_timestamp()).select(*[c.split()[0] for c in STATE_SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(self.path)
 
 
-
 # ---- I3: facts ---------------------------------------------------------------------
 def in_days(days: list, column: str = "activity_date") -> Column:
     """Rows of the listed days, null among them: a literal filter that prunes partitions."""
@@ -104,6 +105,29 @@ def append_facts(spark: SparkSession, new: DataFrame, fact_path: str, daily_path
     replace_daily(spark, spark.read.schema(new.schema).parquet(fact_path).filter(touched), daily_path)
 
 
+def load_facts(store: Store, new: DataFrame, tries: int = 3) -> int:
+    """Add unseen facts to a store and compute their days again, as one new state of ``facts`` and ``daily``.
+
+    Readers see the facts and the daily rows of a load together. A stopped load leaves the state as it was; one that
+    another load has overtaken starts again from the newer state. Only the partitions of the load's days are read.
+    """
+    staged = _stage(new)
+    days = days_of(staged)
+    for left in reversed(range(tries)):
+        base = store.snapshot()
+        facts = store.read("facts", base["version"], like=staged)
+        fresh = _stage(new_facts(staged, facts))
+        touched = fresh.unionByName(facts.filter(in_days(days)))
+        daily = daily_metrics(touched)
+        keys = [r[0] for r in touched.select("date_sk").filter("date_sk is not null").distinct().collect()]
+        try:
+            return store.publish({"facts": append(fresh, "activity_date"), "daily": replace_partitions(daily, "date_sk", keys)}, base)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")
+
+
 def replace_daily(spark: SparkSession, facts: DataFrame, daily_path: str) -> None:
     """Replace the partitions of the aggregate for the days that ``facts`` holds completely."""
     daily_metrics(facts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_sk").parquet(daily_path)
@@ -145,7 +169,10 @@ def deduplicated(stream: DataFrame, lateness: str = "2 hours", ts: str = "start_
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", lateness: str = "2 hours", ts: str = "start_time", by: tuple[str, ...] = ("activity_type",)) -> DataFrame:
-    """Activity and failure counts per window, combined before the shuffle."""
+    """Activity and failure counts per window in the stream's state, which drops rows later than ``lateness``.
+
+    :class:`WindowCounts` keeps them.
+    """
     from tidewatch.functions.labels import is_failed
 
     return (
@@ -156,6 +183,66 @@ def windowed_counts(stream: DataFrame, width: str = "1 hour", lateness: str = "2
     )
 
 
+def window_partials(batch: DataFrame, width: str = "1 hour", ts: str = "start_time", by: tuple[str, ...] = ("activity_type",)) -> DataFrame:
+    """Counts of a batch's own rows per window: sums that any number of batches can be folded from."""
+    from tidewatch.functions.labels import is_failed
+
+    counted = batch.groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("activities"), F.count_if(is_failed()).alias("failures"))
+    return counted.select(F.col("window.start").alias("window_start"), *by, "activities", "failures")
+
+
+class WindowCounts:
+    """Windowed counts of a stream, kept as partial sums per batch and folded on reading.
+
+    There is no watermark and no state, so a row counts in its window however late it comes. A batch that runs twice
+    replaces its own sums. ``compact`` folds old batches into one file; readers take the newest complete fold and the
+    batches after it, so stopping anywhere loses and doubles nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: str = "1 hour", ts: str = "start_time", by: tuple[str, ...] = ("activity_type",)):
+        self.spark, self.path, self.width, self.ts, self.by = spark, path.rstrip("/"), width, ts, by
+
+    def sink(self, batch: DataFrame, batch_id: int) -> None:
+        window_partials(batch, self.width, self.ts, self.by).write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id}")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return run_available(stream, self.sink, checkpoint)
+
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        """Numbers of the folders that were written to their end, ascending."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        done = [p.getName() for p in found if p.getName().startswith(prefix) and fs.exists(p.suffix("/_SUCCESS"))]
+        return sorted(int(n.removeprefix(prefix)) for n in done)
+
+    def _parts(self) -> tuple[list[str], int | None]:
+        """Folders whose sums make the counts, and the last batch among them."""
+        folds, batches = self._numbers("folds", "upto="), self._numbers("batches", "batch=")
+        at = folds[-1] if folds else -1
+        later = [b for b in batches if b > at]
+        parts = [f"{self.path}/folds/upto={at}"] * bool(folds) + [f"{self.path}/batches/batch={b}" for b in later]
+        return parts, (later[-1] if later else at) if parts else None
+
+    def read(self) -> DataFrame:
+        parts, _ = self._parts()
+        if not parts:
+            raise FileNotFoundError(f"no batch has been counted in {self.path}")
+        sums = self.spark.read.parquet(*parts)
+        return sums.groupBy("window_start", *self.by).agg(F.sum("activities").alias("activities"), F.sum("failures").alias("failures"))
+
+    def compact(self) -> None:
+        """Fold everything into one; what a complete fold holds is removed, also if an earlier run stopped before that."""
+        parts, last = self._parts()
+        if len(parts) > 1:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/folds/upto={last}")
+        folds = self._numbers("folds", "upto=")
+        held = folds[-1] if folds else -1
+        old = [f"folds/upto={n}" for n in folds[:-1]] + [f"batches/batch={n}" for n in self._numbers("batches", "batch=") if n <= held]
+        for folder in old:
+            remove_path(self.spark, f"{self.path}/{folder}")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process everything that has landed, batch by batch, and stop. Progress is kept in
     ``checkpoint``, a shared folder; the sink must accept a repeated batch."""
