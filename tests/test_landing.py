@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from tidewatch import schemas
 from tidewatch.operators import compliance as C
 from tidewatch.operators import inventory as I
 from tidewatch.operators import quality as Q
+from tidewatch.sources import landed as L
 from tidewatch.sources import readers as RD
 from tidewatch.sources import scan as SC
 from tidewatch.sources import sinks as SK
@@ -80,9 +82,9 @@ def test_lineage_json_and_csv(spark, tmp_path):
     assert RD.load_lineage(spark, f"{tmp_path}/l.csv").first()["Source Connection"].startswith("{'type'")
 
 
-def test_standardise_events(df):
+def test_standardise_events(df, drop_empty=True):
     raw = df([("1", "Op", "2024-01-01T05:00:00Z", "12"), ("2", "Op", "bad", "x")], "Id string, Operation string, Timestamp string, DurationMs string")
-    out = RD.standardise_events(raw)
+    out = RD.standardise_events(raw, drop_empty=True)
     assert set(out.columns) == {"Id", "Activity", "CreationTime", "Duration", "DurationMs"}
     assert rows(out, "Id", "CreationTime", "DurationMs") == [("1", "2024-01-01 05:00:00 UTC", 12.0), ("2", None, None)]
 
@@ -213,3 +215,57 @@ def test_quality(df):
     assert rows(Q.check_config(df([("x", 1)], "a string, b int"), StructType().add("a", "string").add("b", "integer"), ["a"])) == []
     got = rows(Q.check_config(df([(None, 1)], "a string, b int"), StructType().add("a", "string").add("b", "string").add("c", "integer"), ["a"]), "column", "problem")
     assert got == [("a", "null in required column"), ("b", "expected string, got int"), ("c", "missing column")]
+
+
+def test_many_files_of_one_header(spark, tmp_path, monkeypatch):
+    """A thousand files are two scans, rejected files are opened for their first block only, and empty ones are skipped."""
+    for i in range(1000):
+        put(tmp_path, f"a{i:04d}.csv", f"x,y\n{i},1\n")
+    put(tmp_path, "b [1].csv", '\ufeff"x",y\nb,"two\nlines"\n')
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "other.csv", "z\n" + "q\n" * 200_000)
+    files = L.file_catalogue(spark, f"{tmp_path}/*.csv")
+    assert rows(files.groupBy("header").count()) == [('["x", "y"]', 1001), ('["z"]', 1)]
+    got = RD.load_gated_csv(spark, f"{tmp_path}/*.csv", ["x", "y"])
+    assert got.count() == 1001 and rows(got.filter("x = 'b'")) == [("b", "two\nlines")]
+    assert not any("other.csv" in f for f in got.inputFiles()) and len(got.inputFiles()) == 1001
+    union = RD.read_csv_union(spark, f"{tmp_path}/*.csv")
+    assert union.count() == 201_001
+    with pytest.raises(FileNotFoundError):
+        RD.read_csv_union(spark, f"{tmp_path}/none*.csv")
+
+
+def test_headers_longer_than_a_block_and_with_line_ends(tmp_path, monkeypatch):
+    names = [f"column {i}, with a comma" for i in range(500)] + ["two\nlines"]
+    put(tmp_path, "a.csv", ",".join(f'"{n}"' for n in names) + "\n" + "1," * 500 + "1\n")
+    monkeypatch.setattr(L, "BLOCK", 100)
+    path = tmp_path / "a.csv"
+    assert L.header_of(f"file:{path}", path.stat().st_size) == names
+
+
+def test_large_files_are_split_unless_a_field_has_a_line_end(spark, tmp_path):
+    put(tmp_path, "plain.csv", "k,v\n" + "".join(f'{i},"a, b"\n' for i in range(30_000)))
+    put(tmp_path, "broken.csv", "k,v\n" + "".join(f'{i},"a\nb"\n' for i in range(30_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        plain, broken = (RD.load_gated_csv(spark, f"{tmp_path}/{n}.csv", ["k", "v"]) for n in ("plain", "broken"))
+        assert plain.rdd.getNumPartitions() > 3 and broken.rdd.getNumPartitions() == 1
+        assert plain.filter("v = 'a, b'").count() == broken.filter("v = 'a\nb'").count() == 30_000
+        assert RD.load_gated_csv(spark, f"{tmp_path}/broken.csv", ["k", "v"], multi_line=True).count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_places_of_records_follow_file_names(spark, tmp_path):
+    for n in ("b", "a", "c d"):
+        put(tmp_path, f"{n}.json", json.dumps({"lineage": [{"Item ID": f"{n}{i}"} for i in range(3)]}))
+    got = [r["Item ID"] for r in RD.load_lineage(spark, f"{tmp_path}/*.json").orderBy("seq").collect()]
+    assert got == ["a0", "a1", "a2", "b0", "b1", "b2", "c d0", "c d1", "c d2"]
+
+
+def test_events_are_neither_sorted_nor_scanned_by_default(spark, df):
+    frame = df([("e1", "2024-01-02T00:00:00Z"), ("e2", "2024-01-01T00:00:00Z")], "Id string, CreationTime string")
+    plan = RD.standardise_events(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Aggregate" not in plan
+    assert [r["Id"] for r in RD.standardise_events(frame, drop_empty=True, ordered=True).collect()] == ["e2", "e1"]

@@ -57,7 +57,7 @@ def _(s, d):
         F.col("event_id").alias("Id"), F.col("activity_type").alias("Operation"), F.col("workspace_id").alias("GroupId"), F.date_format("start_time", _ISO).alias("ActivityDateTime"),
         (F.col("duration_seconds") * 1000).cast("string").alias("DurationMs"), F.col("status").alias("Status"),
     )
-    return RD.standardise_events(raw)
+    return RD.standardise_events(raw, drop_empty=True)
 
 
 def land_arrays(df, path, rows, wrap="%s"):

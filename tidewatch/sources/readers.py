@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import csv
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tidewatch import constants as K
 from tidewatch.functions.basics import backfill_activity_id, ensure_columns, rename_coalesce, safe_timestamp
+from tidewatch.operators.analysis import encode_labels
+from tidewatch.sources.landed import file_catalogue, scan_csv
 
 FAILURE_REASON = "struct<message: string, errorCode: string, messageParameters: map<string, string>>"
 JOB_JSON = (
@@ -19,31 +21,18 @@ JOB_JSON = (
 )
 
 
-def _file_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, header) per file. Only the first line of each file is kept; the reader
-    splits files, so the line with offset zero is the least position within its file."""
-    lines = spark.read.text(glob).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    first = lines.filter(F.col("start") == 0).withColumn("_n", F.monotonically_increasing_id())
-    return first.groupBy("path").agg(F.min_by("value", "_n").alias("header"))
-
-
-def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
+def read_csv_union(spark: SparkSession, glob: str, multi_line: bool | None = None) -> DataFrame:
     """CSV files with differing headers, as strings, matched by column name.
 
-    The distinct headers (few, whatever the number of files) are looked up first; files of
-    one header are one scan.
+    The first block of each file gives its header; files of one header are one scan, and headers are few, whatever
+    the number of files. See :func:`scan_csv` for ``multi_line``.
     """
-    headers = _file_headers(spark, glob)
-    groups = headers.groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    if not groups:
-        raise FileNotFoundError(f"no CSV file matches {glob}")
+    files = file_catalogue(spark, glob)
     frames = []
-    for g in groups:
-        names = next(csv.reader([g["header"].lstrip("\ufeff")], skipinitialspace=True))
-        schema = StructType([StructField(n, StringType()) for n in names])
-        frames.append(spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(sorted(g["paths"])))
+    for r in files.select("header").distinct().orderBy("header").collect():
+        frames.append(scan_csv(spark, files.filter(F.col("header") == r["header"]), json.loads(r["header"]), multi_line))
+    if not frames:
+        raise FileNotFoundError(f"no CSV file with a header matches {glob}")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -68,10 +57,10 @@ def load_activities(spark: SparkSession, directory: str) -> DataFrame:
     return normalise_activities(read_csv_union(spark, f"{directory}/daily/fabric_activities_*.csv"))
 
 
-def standardise_events(df: DataFrame, drop_empty: bool = True) -> DataFrame:
-    """Raw events to the export columns, with alternate names, UTC text dates and numbers.
+def standardise_events(df: DataFrame, drop_empty: bool = False, ordered: bool = False) -> DataFrame:
+    """Raw events to the export columns, with alternate names, UTC text dates and numbers: a projection.
 
-    ``drop_empty`` removes columns without any value; that takes one aggregate.
+    ``drop_empty`` removes columns without any value, which takes a pass over the log; ``ordered`` sorts it by time.
     """
     present = set(df.columns)
 
@@ -89,7 +78,7 @@ def standardise_events(df: DataFrame, drop_empty: bool = True) -> DataFrame:
     if drop_empty:
         counts = out.agg(*[F.count(c).alias(c) for c in out.columns]).first().asDict()
         out = out.select(*[c for c in out.columns if counts[c]])
-    return out.orderBy("CreationTime") if "CreationTime" in out.columns else out
+    return out.orderBy("CreationTime") if ordered and "CreationTime" in out.columns else out
 
 
 def load_jobs(spark: SparkSession, directory: str, keep_bad: bool = False) -> DataFrame:
@@ -137,17 +126,10 @@ def load_workspaces(spark: SparkSession, path: str) -> DataFrame:
     return normalise_workspaces(spark.read.parquet(path))
 
 
-def load_gated_csv(spark: SparkSession, glob: str, cols: Sequence[str]) -> DataFrame:
-    """Rows of the files whose header is exactly ``cols``; other files are left out.
-
-    Files are read once, as text-typed CSV with the expected columns, and semi-joined to the
-    accepted paths.
-    """
-    wanted = ",".join(cols)
-    accepted = _file_headers(spark, glob).filter(F.replace(F.col("header"), F.lit('"'), F.lit("")) == wanted).select("path")
-    schema = StructType([StructField(c, StringType()) for c in cols])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').csv(glob)
-    return rows.withColumn("path", F.col("_metadata.file_path")).join(accepted, "path", "left_semi").drop("path")
+def load_gated_csv(spark: SparkSession, glob: str, cols: Sequence[str], multi_line: bool | None = None) -> DataFrame:
+    """Rows of the files whose header is exactly ``cols``; of other files only the first block is read."""
+    accepted = file_catalogue(spark, glob).filter(F.col("header") == json.dumps(list(cols)))
+    return scan_csv(spark, accepted, cols, multi_line)
 
 
 def load_lineage(spark: SparkSession, path: str) -> DataFrame:
@@ -160,9 +142,10 @@ def load_lineage(spark: SparkSession, path: str) -> DataFrame:
         return text.withColumn("seq", F.monotonically_increasing_id())
     wrapped = StructType([StructField("lineage", ArrayType(schema))])
     rows = spark.read.schema(wrapped).option("multiLine", True).json(path)
-    # Records keep their order inside a file; files follow each other by a hash of their name, the same in every run.
-    first = F.shiftleft(F.crc32(F.col("_metadata.file_path").cast("binary")), 31)
-    placed = rows.select(first.alias("_first"), "lineage").select("_first", F.posexplode("lineage").alias("_pos", "r"))
+    # Records keep their order inside a file; files follow each other by name.
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
+    places = encode_labels(names, "_file").select("_file", F.shiftleft(F.col("_file_code").cast("bigint"), 31).alias("_first"))
+    placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("lineage").alias("_pos", "r")).join(places, "_file")
     return placed.select("r.*", (F.col("_first") + F.col("_pos")).alias("seq"))
 
 
