@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -9,6 +10,7 @@ from tidewatch.operators.graph import bitmaps as BM
 from tidewatch.operators.graph import build as GB
 from tidewatch.operators.graph import components as CO
 from tidewatch.operators.graph import governance as V
+from tidewatch.operators.graph import search as SE
 from tidewatch.operators.graph import stats as GS
 from tidewatch.operators.graph import traverse as T
 from tidewatch.operators.graph.model import Graph
@@ -357,3 +359,36 @@ def test_two_sided_search_holds_fewer_rows(df, monkeypatch):
     r = T.shortest_path(g, "t01365", "t00000").first()
     assert r["path_length"] == 6
     assert sum(seen) < sum(4**k for k in range(1, 7)) / 10, "rows of a search from the root alone"
+
+
+NAMES = ["Sales Lakehouse", "sales report", "Salesforce", "SALE", "Überblick", "a", "ab", "ab", None, "日本語の表", "x" * 300, "tab\tle", "100% done_x"]
+
+
+def name_rows(df):
+    return df([("item" if i % 2 else "table", f"i{i:02d}", n, "T", f"Tables/{n}/{i}" if i % 3 == 0 else None) for i, n in enumerate(NAMES * 4)], "entity_type string, id string, name string, type string, location string")
+
+
+def test_index_finds_what_a_scan_finds(df, tmp_path, monkeypatch):
+    monkeypatch.setattr(SE, "BLOCK_BITS", 3)
+    frame = name_rows(df)
+    index = SE.NameIndex.build(frame, str(tmp_path / "index"))
+    for q in ("sale", "SALES", "les", "lakehouse", "über", "BLICK", "日本語", "本語の表", "ab", "a", "", "x" * 40, "Tables/", "le\t", "b\tl", "100%", "_x", "nothing here", "sales  report"):
+        for kind, names_only in ((None, False), ("item", True), ("table", False)):
+            hit = SE.matches("name", q) if names_only else SE.matches("name", q) | F.coalesce(SE.matches("location", q), F.lit(False))
+            want = frame.filter(hit if kind is None else hit & (F.col("entity_type") == kind))
+            assert rows(index.find(q, kind, names_only), "entity_type", "id") == rows(want, "entity_type", "id"), (q, kind)
+
+
+def test_index_reads_the_partitions_of_its_trigrams(df, tmp_path):
+    index = SE.NameIndex.build(name_rows(df), str(tmp_path / "index"))
+    spread = index.candidates("lakehouse")
+    pruned = re.findall(r"PartitionFilters: \[([^\]]*)\]", spread._jdf.queryExecution().executedPlan().toString())
+    scans = [x for x in pruned if "bucket" in x]
+    assert len(scans) == len([x for x in pruned if x]) and all("IN" in x for x in scans)
+    assert len({SE._bucket(x) for x in SE.grams("lakehouse")}) <= 7
+    assert rows(SE.NameIndex(df([], "a int").sparkSession, str(tmp_path / "index")).find("lakehouse"), "name") == [("Sales Lakehouse",)] * 4
+
+
+def test_index_of_nothing(df, tmp_path):
+    index = SE.NameIndex.build(name_rows(df).limit(0), str(tmp_path / "index"))
+    assert index.find("sales").count() == 0 and index.find("a").count() == 0

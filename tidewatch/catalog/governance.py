@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.graph import G, reg
+from tidewatch.catalog.base import REGISTRY
+from tidewatch.catalog.graph import G, gr, reg
 from tidewatch.operators.graph import governance as V
+from tidewatch.operators.graph import tables as GT
 from tidewatch.operators.graph.model import items
+from tidewatch.operators.graph.search import NameIndex, entities
+from tidewatch.session import scratch_path
 
 _T = "SELECT src FROM dep UNION SELECT dst FROM dep UNION SELECT item_id FROM con"
 reg("orphan_items", f"SELECT items.*, workspace FROM items LEFT JOIN home USING (item_id) WHERE item_id NOT IN ({_T})", lambda s, d: V.orphans(G(s, d)))
@@ -30,6 +34,22 @@ reg("flow_summary", """SELECT 'consumers' AS section, source_type AS name, count
 reg("entity_search", """SELECT * FROM (SELECT 'item' AS entity_type, item_id AS id, item_name AS name, item_type AS type, NULL::VARCHAR AS location FROM items WHERE contains(lower(item_name),'0012')
  UNION SELECT 'source', source_id, source_name, source_type, location FROM srcs WHERE contains(lower(source_name),'0012') OR contains(lower(location),'0012')
  UNION SELECT 'table', table_id, table_name, 'Table', full_path FROM tabs WHERE contains(lower(table_name),'0012') OR contains(lower(full_path),'0012')) ORDER BY entity_type, id LIMIT 20""", lambda s, d: V.search(G(s, d), "0012"))
+
+
+def found(q, k=20):
+    return f"""SELECT * FROM (SELECT 'item' AS entity_type, item_id AS id, item_name AS name, item_type AS type, NULL::VARCHAR AS location FROM items WHERE contains(lower(item_name),'{q}')
+ UNION SELECT 'source', source_id, source_name, source_type, location FROM srcs WHERE contains(lower(source_name),'{q}') OR contains(lower(location),'{q}')
+ UNION SELECT 'table', table_id, table_name, 'Table', full_path FROM tabs WHERE contains(lower(table_name),'{q}') OR contains(lower(full_path),'{q}')) ORDER BY entity_type, id LIMIT {k}"""
+
+
+def index(s, d):
+    return NameIndex.build(entities(G(s, d)), scratch_path(s, "names"))
+
+
+for _name, _q in (("indexed_entity_search", "nation_1"), ("indexed_path_search", "/tbl_4"), ("indexed_short_search", "_4"), ("indexed_absent_search", "no such name")):
+    reg(_name, found(_q, 1000), lambda s, d, q=_q: V.search(G(s, d), q.upper(), 1000, index(s, d)))
+reg("indexed_search_items", REGISTRY["search_items"].oracle.removeprefix(gr("")), lambda s, d: GT.search_items(G(s, d), "ring", index=index(s, d)))
+reg("indexed_search_tables", REGISTRY["search_tables"].oracle.removeprefix(gr("")), lambda s, d: GT.search_tables(G(s, d), "tbl_4", index=index(s, d)))
 _C = "(SELECT {k} AS item_id, count(*) AS n FROM edges WHERE rel='{r}' GROUP BY 1)"
 reg("items_of_type", f"""SELECT items.*, coalesce(a.n,0) AS depends_on_count, coalesce(b.n,0) AS depended_by_count, coalesce(c.n,0) AS uses_table_count, coalesce(e.n,0) AS provides_table_count, coalesce(f.n,0) AS external_source_count,
  coalesce(a.n,0)+coalesce(b.n,0)+coalesce(f.n,0) AS total_connections, workspace FROM items LEFT JOIN {_C.format(k='src', r='DEPENDS_ON')} a USING (item_id) LEFT JOIN {_C.format(k='dst', r='DEPENDS_ON')} b USING (item_id)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.graph.model import Graph, item_workspace, items, label, rel, with_workspace
+from tidewatch.operators.graph.search import NameIndex, entities, matches
 from tidewatch.operators.graph.stats import count_related, lacks_edge
-from tidewatch.operators.graph.tables import consumption, matches, sources, tables
+from tidewatch.operators.graph.tables import consumption, sources
 from tidewatch.operators.ranking import top_k, top_k_per_group
 
 
@@ -140,13 +141,12 @@ def union_samples(dfs: list[DataFrame], n: int = 3, key: str = "id") -> DataFram
     return out
 
 
-def search(g: Graph, q: str, k: int = 20) -> DataFrame:
-    """Items, sources and tables whose name or place contains the text."""
-    null = F.lit(None).cast("string")
-    it = items(g).filter(matches("item_name", q)).select(F.lit("item").alias("entity_type"), F.col("item_id").alias("id"), F.col("item_name").alias("name"), F.col("item_type").alias("type"), null.alias("location"))
-    so = sources(g).filter(matches("source_name", q) | matches("location", q)).select(F.lit("source"), "source_id", "source_name", "source_type", "location")
-    ta = tables(g).filter(matches("table_name", q) | matches("full_path", q)).select(F.lit("table"), "table_id", "table_name", F.lit("Table"), "full_path")
-    return top_k(union_distinct(it, so, ta), ["entity_type", "id"], k)
+def search(g: Graph, q: str, k: int = 20, index: NameIndex | None = None) -> DataFrame:
+    """Items, sources and tables whose name or place contains the text; with an index only part of the names are read."""
+    if index is not None:
+        return top_k(index.find(q), ["entity_type", "id"], k)
+    hit = matches("name", q) | matches("location", q)
+    return top_k(entities(g).filter(hit), ["entity_type", "id"], k)
 
 
 ITEM_RELATIONS = {

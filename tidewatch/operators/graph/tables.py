@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.graph.model import Graph, item_workspace, items, label, rel, with_workspace
+from tidewatch.operators.graph.search import NameIndex, matches
 from tidewatch.operators.graph.stats import add_counts, count_edges, sample_names
 from tidewatch.operators.ranking import page, top_k
 
@@ -33,10 +34,6 @@ def table_edges(g: Graph, *rels: str) -> DataFrame:
     return g.edges.filter(F.col("rel").isin(*chosen)).select(F.col("src").alias("item_id"), F.col("dst").alias("table_id"), "rel")
 
 
-def matches(c: str, text: str):
-    return F.lower(c).contains(text.lower())
-
-
 def source_usage(g: Graph, view: str = "summary", k: int = 20, samples: int = 5) -> DataFrame:
     """``summary``, ``most_used``, ``unused``, ``by_workspace`` or ``by_item``."""
     used = consumption(g)
@@ -157,14 +154,18 @@ def schema_coverage(g: Graph) -> DataFrame:
     return joined.groupBy("database", "schema").agg(F.countDistinct("table_id").alias("table_count"), F.countDistinct("item_id").alias("consumer_count"))
 
 
-def search_tables(g: Graph, q: str, k: int = 50) -> DataFrame:
-    hit = tables(g).filter(matches("table_name", q))
+def search_tables(g: Graph, q: str, k: int = 50, index: NameIndex | None = None) -> DataFrame:
+    """Tables whose name contains the text, most used first."""
+    found = tables(g)
+    hit = found.filter(matches("table_name", q)) if index is None else found.join(index.find(q, "table", True).select(F.col("id").alias("table_id")), "table_id", "left_semi")
     counts = table_edges(g, "MIRRORS", "USES_TABLE").groupBy("table_id").agg(F.countDistinct("item_id").alias("consumer_count"))
     return top_k(add_counts(hit, "table_id", counts), [F.desc("consumer_count"), "table_id"], k)
 
 
-def search_items(g: Graph, q: str, k: int = 50) -> DataFrame:
-    hit = items(g).filter(matches("item_name", q))
+def search_items(g: Graph, q: str, k: int = 50, index: NameIndex | None = None) -> DataFrame:
+    """Items whose name contains the text, those with most tables first."""
+    found = items(g)
+    hit = found.filter(matches("item_name", q)) if index is None else found.join(index.find(q, "item", True).select(F.col("id").alias("item_id")), "item_id", "left_semi")
     counts = table_edges(g, "USES_TABLE", "PROVIDES_TABLE").groupBy("item_id").agg(F.countDistinct("table_id").alias("table_count"))
     best = top_k(add_counts(hit, "item_id", counts), [F.desc("table_count"), "item_name", "item_id"], k)
     return with_workspace(best, g).drop("workspace_id")

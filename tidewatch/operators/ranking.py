@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut_lineage
 
 def top_k(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
     """Planned as a per-partition top-k and one merge; ``order`` should end in a unique key."""
@@ -20,6 +21,20 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.withColumn("_rn", rank).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "n", label: str = "numbered") -> DataFrame:
+    """The rows, written, with their place in the order from 0 on.
+
+    They are sorted by ranges and written with the number of their range and their place in it; ranges are counted, one
+    row each, and a range starts where those before it end.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), label)
+    placed = placed.withColumns({"_range": F.shiftright("_id", 33), "_i": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_i")).drop("_range", "_i", "_id", "_before")
+
+
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: str, columns: Sequence[str] | None = None, last: bool = False) -> DataFrame:
     """The row of the least (or greatest) ``order`` per key; null keys are dropped, a null
     order comes last, and equal orders are settled by the columns themselves.
