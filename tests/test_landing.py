@@ -191,6 +191,8 @@ def test_audit_and_limits(df):
     found = C.assess_access(spaces(df), [*REQ, *many], people(df))
     assert found.count() == spaces(df).count() * (len(REQ) + 3000)
     assert found.filter("current_role is not null").count() == C.assess_access(spaces(df), REQ, people(df)).filter("current_role is not null").count()
+    table = df([(r["objectId"], r.get("displayName"), r.get("role")) for r in [*REQ, *many]], "objectId string, displayName string, role string")
+    assert rows(C.assess_access(spaces(df).select("id"), table, people(df))) == rows(found.select("id", *[c for c in found.columns if c in ("principal", "group", "target_role", "current_role")]), *C.assess_access(spaces(df).select("id"), table, people(df)).columns)
 
 
 def test_merge_inventory(df):

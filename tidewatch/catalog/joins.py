@@ -54,7 +54,7 @@ def _(s, d):
 
 @query("asof_rank", f"WITH {ASOF} SELECT event_id, jid AS job_instance_id FROM near")
 def _(s, d):
-    return S.asof_rank(A(s, d), J(s, d), "event_id", ("start_time", "job_start_time"), "item_id", "job_instance_id").select("event_id", "job_instance_id")
+    return S.asof_rank(A(s, d), J(s, d), ("start_time", "job_start_time"), "item_id", "job_instance_id").select("event_id", "job_instance_id")
 
 
 @query("merged_daily_metrics", f"""WITH {merged_cte()} SELECT CAST(start_time AS DATE) AS date, workspace_name, count(*) AS total_activities, count(*) FILTER (WHERE status='Failed') AS failed_activities,

@@ -243,7 +243,7 @@ def _(s, d):
 
 def views(s, d):
     a = A(s, d)
-    M.register_views(FA.fact_from_log(a), FA.build_dims(a, as_of=DAY), D.dim_date_for(a), D.dim_time(s))
+    M.register_views(FA.fact_from_log(a), FA.build_dims(a, as_of=DAY), D.dim_date_for(a), D.dim_time(s), replace=True)
 
 
 @query("failure_rate_sql", fact("""SELECT workspace_name, CAST(sum(is_failed) AS BIGINT) AS failures, CAST(sum(record_count) AS BIGINT) AS total,

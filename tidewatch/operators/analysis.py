@@ -171,14 +171,17 @@ def item_type_performance(df: DataFrame, probs: Sequence[float] = (0.5, 0.95)) -
     return base.join(quantile_columns(kept, keys, "duration_seconds", names), keys, "left")
 
 
-def heatmap(df: DataFrame, rows: Sequence[str], cols: str, values: Sequence | None = None) -> DataFrame:
-    """Zero-filled pivot of counts. Pass ``values`` to fix the columns and save a job."""
-    kept = _drop_null(df, *rows, cols)
-    grouped = kept.groupBy(*rows).pivot(cols, list(values)) if values is not None else kept.groupBy(*rows).pivot(cols)
-    return grouped.agg(F.count(F.lit(1))).na.fill(0)
+def heatmap_rows(df: DataFrame, rows: Sequence[str], cols: str) -> DataFrame:
+    """Counts per cell as rows, for any number of columns; empty cells have no row."""
+    return _drop_null(df, *rows, cols).groupBy(*rows, cols).agg(_n("count"))
 
 
-def hourly_pivot(df: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+def heatmap(df: DataFrame, rows: Sequence[str], cols: str, values: Sequence) -> DataFrame:
+    """Zero-filled pivot of counts over the given values; :func:`heatmap_rows` where they aren't known."""
+    return _drop_null(df, *rows, cols).groupBy(*rows).pivot(cols, list(values)).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def hourly_pivot(df: DataFrame, types: Sequence[str]) -> DataFrame:
     return heatmap(df.withColumn("hour", F.hour("start_time")), ["hour"], "item_type", types)
 
 

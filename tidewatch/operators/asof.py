@@ -131,11 +131,10 @@ def asof_backward(l: DataFrame, r: DataFrame, on: tuple[str, str], by: str, tol:
     return asof_join(l, r, on[0], on[1], by, tol, "backward", tie)
 
 
-def asof_rank(l: DataFrame, r: DataFrame, key: str, on: tuple[str, str], by: str, tie: str) -> DataFrame:  # noqa: E741
+def asof_rank(l: DataFrame, r: DataFrame, on: tuple[str, str], by: str, tie: str) -> DataFrame:  # noqa: E741
     """Nearest right row with no tolerance, by distance, earlier row first.
 
     Same answer as ranking every (left, right) pair of a key, without building the pairs.
-    ``key`` is kept for callers that identify rows by it.
     """
     return asof_join(l, r, on[0], on[1], by, None, "nearest", tie)
 

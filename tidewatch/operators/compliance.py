@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
@@ -61,42 +61,56 @@ def principal_of(members: DataFrame) -> Column:
     return F.lower(first_non_empty(fields))
 
 
-def member_roles(members: DataFrame, principals: Sequence[str] | None = None, order: str = "seq") -> DataFrame:
+def member_roles(members: DataFrame, principals: DataFrame | None = None, order: str = "seq") -> DataFrame:
     """The first listed role per workspace and principal, combined on the map side.
 
-    With ``principals`` only their rows are shuffled."""
+    With ``principals`` (a column of that name, lower case) only their rows count."""
     who = members.withColumn("principal", principal_of(members))
     if principals is not None:
-        who = who.filter(F.col("principal").isin([p.lower() for p in principals]))
+        who = who.join(principals.select("principal").distinct(), "principal", "left_semi")
     role = first_non_empty(["groupUserAccessRight", "role"])
     named = who.filter("principal is not null and workspace_id is not null").select("workspace_id", "principal", role.alias("current_role"), order)
     return first_per_key(named, ["workspace_id", "principal"], order, ["current_role"])
 
 
-def assess_access(ws: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:
+Requirements = Sequence[dict] | DataFrame
+
+#: Requirements that a workspace row meets at once.
+REQUIREMENT_BLOCK = 1000
+
+
+def requirement_rows(spark: SparkSession, requirements: Requirements) -> DataFrame:
+    """(group, principal, target_role) of a configuration, or of a frame with objectId and optionally displayName and role."""
+    if not isinstance(requirements, DataFrame):
+        fields = ("objectId", "displayName", "role")
+        requirements = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in requirements], "objectId string, displayName string, role string")
+    given = lambda c, default: F.coalesce(c, default) if c in requirements.columns else default
+    return requirements.select(
+        given("displayName", F.col("objectId")).alias("group"), F.lower("objectId").alias("principal"), given("role", F.lit("Admin")).alias("target_role")
+    )
+
+
+def assess_access(ws: DataFrame, requirements: Requirements, members: DataFrame) -> DataFrame:
     """One row per workspace and requirement, with the current role if any.
 
-    Requirements are configuration (``objectId``, ``displayName``, ``role``), of any number;
-    the answer has a row for each of them and workspace. They travel as one JSON literal that
-    each workspace row is expanded by, so there is no join until memberships, restricted to
-    the required principals, are looked up by (workspace, principal).
+    Requirements (``objectId``, ``displayName``, ``role``) are configuration or a table, of any number; the answer has a
+    row for each of them and workspace. They are dealt into blocks, and a workspace meets each block by an equal key.
     """
-    listed = [
-        {"group": r.get("displayName", r["objectId"]), "principal": r["objectId"].lower(), "target_role": r.get("role", "Admin")} for r in requirements
-    ]
-    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<group: string, principal: string, target_role: string>>")
-    wanted = ws.select("*", F.inline(literal))
-    roles = member_roles(members, sorted({r["objectId"] for r in requirements})).withColumnRenamed("workspace_id", "id")
-    return wanted.join(roles, ["id", "principal"], "left")
+    wanted = requirement_rows(ws.sparkSession, requirements)
+    blocks = max(1, math.ceil(wanted.count() / REQUIREMENT_BLOCK))
+    dealt = wanted.withColumn("_block", F.pmod(F.xxhash64("principal", "target_role"), F.lit(blocks)))
+    every = ws.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+    roles = member_roles(members, wanted).withColumnRenamed("workspace_id", "id")
+    return every.join(roles, ["id", "principal"], "left")
 
 
-def requirement_status(ws: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:
+def requirement_status(ws: DataFrame, requirements: Requirements, members: DataFrame) -> DataFrame:
     role, target = F.lower("current_role"), F.lower("target_role")
     action = F.when(role == target, "already_compliant").when(role.isNotNull(), "role_mismatch").otherwise("dry_run")
     return assess_access(ws, requirements, members).withColumn("action", action)
 
 
-def access_summary(ws: DataFrame, rules: DataFrame, requirements: Sequence[dict], members: DataFrame) -> DataFrame:
+def access_summary(ws: DataFrame, rules: DataFrame, requirements: Requirements, members: DataFrame) -> DataFrame:
     """One row per workspace: status, whether action is needed, and the joined action text.
 
     The text gathers one entry per requirement of the configuration.
@@ -128,7 +142,8 @@ def access_metrics(summary: DataFrame) -> DataFrame:
 
 def principal_audit(ws: DataFrame, members: DataFrame, principal: str) -> DataFrame:
     """Membership and role of one principal in every premium workspace."""
-    roles = member_roles(members, [principal]).select(F.col("workspace_id").alias("id"), "current_role", F.lit(True).alias("_member"))
+    one = ws.sparkSession.createDataFrame([(principal.lower(),)], "principal string")
+    roles = member_roles(members, one).select(F.col("workspace_id").alias("id"), "current_role", F.lit(True).alias("_member"))
     return ws.filter(is_premium()).join(roles, "id", "left").select(
         F.col("id").alias("workspace_id"), F.col("name").alias("workspace_name"),
         F.coalesce("_member", F.lit(False)).alias("is_member"),

@@ -79,10 +79,9 @@ def trailing_avg(df: DataFrame, key: str, c: str, days: int = 7, date: str = "ac
 
 
 def dense_rank_desc(df: DataFrame, c: str, alias: str) -> DataFrame:
-    """Dense rank over all rows. Only the distinct totals are ranked in one task; a total of
-    N events has at most sqrt(2N) different ones. The ranks are then joined back."""
-    ranks = df.select(c).distinct().withColumn(alias, F.dense_rank().over(W.orderBy(F.desc(c))))
-    return df.join(ranks, c)
+    """Dense rank over all rows: the place of each distinct total, numbered by ranges and joined back."""
+    ranks = numbered(df.select(c).filter(F.col(c).isNotNull()).distinct(), [F.desc(c)], alias, "dense-ranks")
+    return df.join(ranks.withColumn(alias, (F.col(alias) + 1).cast("int")), c)
 
 
 def peak_hour(counts: DataFrame, hour: str = "hour_24", n: str = "total_activities", by: Sequence[str] = ()) -> DataFrame:

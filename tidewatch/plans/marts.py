@@ -146,13 +146,14 @@ def monthly(fact: DataFrame, dim_date: DataFrame, k: int = 12) -> DataFrame:
 
 
 # ---- SQL samples over registered views ---------------------------------------------
-def register_views(fact: DataFrame, dims: Dims, dim_date: DataFrame, dim_time: DataFrame) -> None:
+def register_views(fact: DataFrame, dims: Dims, dim_date: DataFrame, dim_time: DataFrame, replace: bool = False) -> None:
+    """Name the frames for SQL. Views of these names that the session has already are only replaced if told so."""
     views = {
         "fact_activity": fact, "dim_workspace": dims.workspace, "dim_item": dims.item, "dim_user": dims.user,
         "dim_activity_type": dims.activity_type, "dim_status": dims.status, "dim_date": dim_date, "dim_time": dim_time,
     }
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(name) if replace else df.createTempView(name)
 
 
 def failure_rate_sql(spark: SparkSession, as_of: str, days: int = 7) -> DataFrame:
