@@ -333,12 +333,14 @@ def node_depths(g: Graph, depth: int | None = None, mode: str = "walk") -> DataF
 
     Both directions are walked in the same rounds.
     """
-    edges = cut_lineage(steps(g, "up"), "edges")
+    edges = steps(g, "up")
     if mode == "trail":
+        edges = cut_lineage(edges, "edges")
         d = trail_depths(edges, depth).withColumn("way", F.lit("up")).unionByName(trail_depths(turned(edges), depth).withColumn("way", F.lit("down")))
     else:
         d, cyclic = walk_depths(_both_ways(edges), depth)
         if not cyclic.isEmpty():
+            edges = cut_lineage(edges, "edges")
             members = _components_among(edges, *(cyclic.where(F.col("way") == w) for w in ("up", "down")))
             d = _to_members(walk_depths(_both_ways(condensed(edges, members).drop("n")))[0], members)
     at = lambda way: F.coalesce(F.max(F.when(F.col("way") == way, F.col("d"))), F.lit(0))
