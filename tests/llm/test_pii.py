@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,9 +57,9 @@ def test_other_spellings_corefer_and_the_key_decides(spark):
 
 
 def test_surrogates_stay_distinct_when_candidates_collide(spark):
-    """Three-letter names leave so few candidates that many collide and must be drawn again."""
-    norms = [f"{a}{b}" for a in "ABCDEFGHIJKLMNOPQRST" for b in "abcdefghijklmnopq"][:300]
-    frame = spark.createDataFrame([("family_latin", n) for n in norms], "kind string, norm string")
+    """There are 676 names of two letters: with 650 of them no candidate of that form is left, and forms are widened."""
+    norms = [f"{a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXY" for b in "abcdefghijklmnopqrstuvwxyz"]
+    frame = spark.createDataFrame([("family", n) for n in norms], "kind string, norm string")
     rows = m.assign(frame, KEY).collect()
     assert sorted(r["norm"] for r in rows) == sorted(norms)
     made = [r["surrogate"] for r in rows]
@@ -119,3 +120,55 @@ def test_lone_mentions_of_found_names_corefer(spark):
     assert a[1] == a[2] != "Moreno"
     assert got[3]["text"].startswith("Annabel met ") and got[3]["text"].endswith(" in Jonestown.") and got[3]["n"] == 2
     assert got[4]["text"] == texts[4] and got[4]["n"] == 0
+
+
+def test_forms_of_every_kind_can_be_widened(spark):
+    norms = {"family": "Li", "email": "a@b.cd", "ipv4": "1.2.3.4", "phone": "5551234567", "ssn": "123456789", "card": "4111111111111111", "iban": "DE89370400440532013000", "secret": "sk-abcdefghij0123456789"}
+    frame = spark.createDataFrame([(k, n, a) for k, n in norms.items() for a in (0, 9)], "kind string, norm string, attempt int")
+    got = {(r["kind"], r["attempt"]): r["s"] for r in frame.withColumn("s", m.candidate(F.col("kind"), F.col("norm"), KEY, F.col("attempt"))).collect()}
+    for k in norms:
+        assert k == "ipv4" or len(got[k, 9]) == len(got[k, 0]) + 2, k
+        assert got[k, 9] != got[k, 0]
+    assert re.fullmatch(r"(\d+\.){3}\d+:\d\d", got["ipv4", 9])
+    rendered = spark.range(1).select(m._rendered(F.lit("phone"), F.lit("(555) 123-4567"), F.lit("889990001111")).alias("s")).first()["s"]
+    assert rendered == "88(999) 000-1111"
+
+
+def test_many_entities_in_one_text(spark):
+    """Each found string is placed by its number and each name by halving a list, so work grows with the text."""
+    text = "".join(f"u{i}@x{i % 97}.org or {i % 255}.1.2.{i // 255 % 250}\n" for i in range(25_000))
+    names = "".join(f"Mr. Q{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} and Q{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} left. " for i in range(5000))
+    begun = time.time()
+    got = replaced(spark, [text, names])
+    assert time.time() - begun < 60
+    assert got[0]["n"] == 50_000 and got[0]["text"].count("\n") == 25_000
+    assert not set(re.split(r" or |\n", got[0]["text"])) & set(re.split(r" or |\n", text)) - {""}, "no entity of the text is left"
+    pairs = re.findall(r"Mr\. (\w+) and (\w+) left", got[1]["text"])
+    assert len(pairs) == 5000 and all(a == b for a, b in pairs) and len({a for a, _ in pairs}) == 5000 and got[1]["n"] == 10_000
+
+
+def test_names_by_context_and_in_any_case_and_script(spark):
+    texts = [
+        "Name: Priya Sharma\nlater PRIYA and Sharma came", "Contact: Wei Chen, office", "Kofi Mensah <kofi@x.org> wrote; Mensah agreed", "Mr SMITH met Mr Smith and smith", "Dr. Παπαδόπουλος", "Frau Müller-Lüdenscheidt's dog",
+        "The name of the Great River is old. Contact us: Monday Morning.",
+    ]
+    got = {i: r["text"] for i, r in replaced(spark, texts).items()}
+    a = re.fullmatch(r"Name: (\w+) (\w+)\nlater (\w+) and (\w+) came", got[0])
+    assert a[1] != "Priya" and a[3] == a[1].upper() and a[2] == a[4] != "Sharma"
+    assert re.fullmatch(r"Contact: [A-Z][a-z]{2} [A-Z][a-z]{3}, office", got[1]) and "Wei" not in got[1] and "Chen" not in got[1]
+    a = re.fullmatch(r"(\w+) (\w+) <\w+@\w\.org> wrote; (\w+) agreed", got[2])
+    assert a[2] == a[3] != "Mensah" and a[1] != "Kofi"
+    a = re.fullmatch(r"Mr (\w+) met Mr (\w+) and smith", got[3])
+    assert a[1] == a[2].upper() and a[2] != "Smith"
+    assert re.fullmatch(r"Dr\. [Α-Ω][α-ω]{11}", got[4]) and "Παπαδόπουλος" not in got[4]
+    assert re.fullmatch(r"Frau [\w-]+'s dog", got[5]) and "Müller" not in got[5]
+    assert got[6] == texts[6]
+
+
+def test_key_of_the_session(spark, sf):
+    assert m.session_key(spark) != m.session_key(spark), "without one a key is drawn"
+    spark.conf.set("spark.tidewatch.pii.key", "k")
+    try:
+        assert m.session_key(spark) == "k"
+    finally:
+        spark.conf.unset("spark.tidewatch.pii.key")
