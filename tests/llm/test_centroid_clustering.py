@@ -42,12 +42,12 @@ def test_query_equals_sql_and_brute_force(spark, sf):
 def test_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, [0.5, -0.25, 0.0, -0.0]) for i in range(40)]
-    rows += [(None, [1.0] * 4), (3, [1.0] * 4), (200, None), (201, []), (202, [1.0] * 5), (203, [None, 1.0, 1.0, 1.0]), (204, [float("nan")] + [1.0] * 3), (205, [float("inf")] * 4)]
+    rows += [(None, [1.0] * 4), (2**62 + 1, [2.0] * 4), (3, [1.0] * 4), (200, None), (201, []), (202, [1.0] * 5), (203, [None, 1.0, 1.0, 1.0]), (204, [float("nan")] + [1.0] * 3), (205, [float("inf")] * 4)]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, cluster string, `a.b` int").repartition(3)
     assert result(frame, width=4) == by_hand(rows, width=4)
     few = frame.where("vec_id in (1, 2, 200)")
     assert result(few, width=4) == by_hand([r for r in rows if r[0] in (1, 2, 200)], width=4)
-    assert result(frame.where("false"), width=4) == [] and result(frame.where("vec_id > 199"), width=4) == []
+    assert result(frame.where("false"), width=4) == [] and result(frame.where("vec_id between 200 and 205"), width=4) == []
     named = frame.withColumnsRenamed({"vec_id": "my.id", "embedding": "my.v"})
     assert result(named, id="my.id", embedding="my.v", width=4) == by_hand(rows, width=4)
 

@@ -88,6 +88,7 @@ def test_sparse_and_negative_ids_need_a_deep_directory(spark):
 
 def test_repeated_and_null_ids(spark):
     rows = some(range(40), langs=("en", None)) + [(7, "s", "en", 1, f"other {k}") for k in range(90)] + [(7, "s", "en", 1, "same Text")] * 700
+    rows += [(2**62 + k, "s", "en", 1, "far") for k in (1, 1, 2, 3)] + [(-(2**61) - 1, "s", None, 1, "far")] * 2
     rows += [(None, "s", "en", 1, f"t{k % 300}") for k in range(620)] + [(None, None, None, None, None)] * 3
     assert result(spark, rows) == by_hand(rows)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import need_integers, table
 from tidewatch.session import cut_lineage
 
 CHUNK = 16_384
@@ -37,7 +37,7 @@ WIDTHS = (1, 2, 4, 8)
 #: Components stay below this, so that 64 squared differences fit 63 bits.
 LARGEST = 1 << 27
 
-CHUNK_SCHEMA = "ids array<bigint>, dims array<int>, sizes array<int>, entries binary, codes binary"
+CHUNK_SCHEMA = "ids binary, known binary, dims array<int>, sizes array<int>, entries binary, codes binary"
 
 
 def integers(embedding: Column, scale: int) -> Column:
@@ -79,7 +79,7 @@ def encode(x: np.ndarray) -> tuple[list[int], list[np.ndarray], list[np.ndarray]
 
 def decode(row) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Dictionaries and codes of a chunk's row."""
-    n, books, codes, at = len(row.ids), [], [], 0
+    n, books, codes, at = len(row.known), [], [], 0
     entries = np.frombuffer(row.entries, "<i4").astype(np.int64)
     held = np.frombuffer(row.codes, "<u2").reshape(len(row.dims), n)
     for k, (d, size) in enumerate(zip(row.dims, row.sizes, strict=True)):
@@ -90,7 +90,7 @@ def decode(row) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of (id, v) as encoded chunks; several may come from one task, the last one being smaller."""
+    """Rows of (id, known, v) as encoded chunks; several may come from one task, the last one being smaller."""
     held: list[pd.DataFrame] = []
 
     def flush() -> pd.DataFrame:
@@ -98,9 +98,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held.clear()
         x = np.stack(rows["v"].to_numpy()).astype("<i4")
         dims, books, codes = encode(x)
-        ids = [None if pd.isna(i) else int(i) for i in rows["id"]]
         return pd.DataFrame({
-            "ids": [ids], "dims": [dims], "sizes": [[len(b) for b in books]], "entries": [b"".join(b.tobytes() for b in books)], "codes": [b"".join(c.tobytes() for c in codes)],
+            "ids": [rows["id"].to_numpy("<i8").tobytes()], "known": [rows["known"].to_numpy(bool).tobytes()], "dims": [dims], "sizes": [[len(b) for b in books]], "entries": [b"".join(b.tobytes() for b in books)], "codes": [b"".join(c.tobytes() for c in codes)],
         })
 
     for batch in batches:
@@ -148,7 +147,8 @@ def _assign(centroids: np.ndarray):
             for r in rows.itertuples(index=False):
                 d = distances(*decode(r), centroids)
                 near = d.argmin(axis=1)
-                ids = pd.array([None if pd.isna(i) else int(i) for i in r.ids], dtype="Int64")
+                ids = pd.array(np.frombuffer(r.ids, "<i8"), dtype="Int64")
+                ids[~np.frombuffer(r.known, bool)] = pd.NA
                 yield pd.DataFrame({"id": ids, "cluster": near.astype("int32"), "distance": d[np.arange(len(d)), near]})
 
     return run
@@ -182,13 +182,14 @@ def cluster(
     vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", k: int = 8, rounds: int = 10, width: int = 64, scale: int = 1024, seed: str = "3",
 ) -> DataFrame:
     """Per vector: id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    need_integers(vectors, id)
     spark = vectors.sparkSession
     points = clean(vectors, id, embedding, width, scale)
     centroids = first_centroids(points, k, seed)
     schema = "id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
     if not len(centroids):
         return spark.createDataFrame([], schema)
-    chunks = cut_lineage(points.select(F.col("id").cast("long"), "v").mapInPandas(_chunks, CHUNK_SCHEMA), "cluster-chunks")
+    chunks = cut_lineage(points.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "v").mapInPandas(_chunks, CHUNK_SCHEMA), "cluster-chunks")
     centroids = fit(chunks, centroids, rounds)
     placed = cut_lineage(chunks.mapInPandas(_assign(centroids), "id bigint, cluster int, distance bigint"), "cluster-assigned")
     found = {r["cluster"]: int(r["d"]) for r in placed.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.session import cut_lineage
 
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def need_integers(df: DataFrame, id: str) -> None:
+    """Refuse ids of other types: cast to numbers, texts would all become one null."""
+    if not isinstance(df.schema[id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id} must be an integer column")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_sample, components, small_batches, table
+from tidewatch.llm.common import bounded_sample, components, need_integers, small_batches, table
 from tidewatch.session import cut_lineage
 
 THRESHOLD = 0.93
@@ -201,10 +201,11 @@ def _pairs(classes: DataFrame, dim: int, rows: int, threshold: float) -> DataFra
 
 
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row with an id: ``id``, ``n_links``, ``component_id`` and ``kept``."""
+    """Per row with an id, an integer: ``id``, ``n_links``, ``component_id`` and ``kept``."""
+    need_integers(vectors, id)
     spark = small_batches(vectors.sparkSession, 2000)
-    v = F.col(embedding).cast("array<double>")
-    every = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), v.alias("embedding"))
+    v, i, y = F.col(f"`{embedding}`").cast("array<double>"), F.col(f"`{id}`"), F.col(f"`{label}`")
+    every = vectors.where(i.isNotNull()).select(i.cast("long").alias("id"), F.when(y.isNotNull(), F.xxhash64(y)).alias("label"), v.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = every.where(fine).withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", F.signum)).otherwise(F.col("embedding")))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import need_integers, table
 from tidewatch.session import cut_lineage
 
 K = 10
@@ -160,6 +160,7 @@ def _best(lists: Column, k: int) -> Column:
 
 def search(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", k: int = K, every: int = 100, scale: int = 1024) -> DataFrame:
     """(query_id, rank, id, score): the k best of all rows for each row whose id is divisible by ``every``."""
+    need_integers(vectors, id)
     v = F.col(f"`{embedding}`")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     ints = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("bigint"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewatch.llm.common import components, free_name, small_batches, table
+from tidewatch.llm.common import components, free_name, need_integers, small_batches, table
 from tidewatch.session import cut_lineage, remove_path, scratch_path
 
 RATIO = 2.0
@@ -303,10 +303,14 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     """Per row with an id: ``id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Texts are read for the sketches, and again for the exact sets of classes that have near candidates. The sketches'
-    keys are removed from the shared folder once they have met.
+    keys are removed from the shared folder once they have met. Ids must be integers, and ``pct`` 50 or more: sets of less
+    similarity may lie further apart than the bands that are joined.
     """
+    if not 50 <= pct <= 100:
+        raise ValueError("pct must be from 50 to 100")
+    need_integers(docs, id)
     spark = small_batches(docs.sparkSession)
-    slim = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    slim = docs.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     path = scratch_path(spark, "sketches")
     schema = "id long, n long, class long, bits binary, keys array<long>"
     slim.mapInArrow(_sketches(shingle, pct), schema).write.parquet(path)
@@ -411,7 +415,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     found = jaccard_components(docs, id, text, shingle, pct)
     gone = free_name(docs, "gone")
     losers = found.where("component_id <> id").select(F.col("id").alias(gone)).distinct()
-    return docs.join(losers, docs[id].cast("long") == losers[gone], "left_anti")
+    return docs.join(losers, docs[f"`{id}`"].cast("long") == losers[gone], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

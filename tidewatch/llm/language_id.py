@@ -15,22 +15,25 @@ gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_batches, table
+from tidewatch.llm.common import free_name, small_batches, table
 
 LANG_DOCS, DOC_WORDS, TRAIN_WORDS = 400, 100, 120_000
+#: Languages that are learned at most: the most frequent, as a dirty column may hold any number of values.
+LANGUAGES = 500
 HIDDEN, STEPS, BATCH, RATE = 20, 1600, 256, 0.01
 PART = 24
 CACHE_WORDS = 400_000
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script, by its Unicode category; numbers such as ½ or ² are none.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
@@ -218,12 +221,13 @@ class Predictor:
 def training_rows(docs: DataFrame, id: str, text: str, lang: str, bound: int = LANG_DOCS) -> list:
     """Drawn words of a bounded sample per language, of the rows that may be learned from: those whose remainder is not 1.
 
-    Languages are counted first, and only hashes in the range that twice the bound needs are read on; a task sends its
+    Languages are counted first, at most the ``LANGUAGES`` most frequent are learned, and only hashes in the range that twice the bound needs are read on; a task sends its
     smallest hashes of each language and no more.
     """
     known = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    share = known.groupBy("l").agg(F.least(F.lit(1.0), 2.0 * bound / F.count("*")).alias("share"))
-    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("i", "t"), 1)).join(F.broadcast(share), "l").where(F.col("h") <= F.col("share") * float(2**63))
+    counts = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    share = counts.select("l", F.least(F.lit(1.0), 2.0 * bound / F.col("n")).alias("share"))
+    near = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("i", "t"), 1)).join(share, "l").where(F.col("h") <= F.col("share") * float(2**63))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -240,7 +244,7 @@ def held_out(id: Column) -> Column:
 
 
 def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score. One pass over whole texts without a shuffle."""
+    """Adds lang_pred and score, in the place of columns of these names. One pass over whole texts without a shuffle."""
     spark = small_batches(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
@@ -252,7 +256,9 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
             langs, scores = judge.predict(some) if judge else ([UNKNOWN] * len(some), [0.0] * len(some))
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": np.array(scores, float)})
 
-    return docs.withColumn("__judged", judged(F.col(text))).select(*docs.columns, "__judged.lang_pred", "__judged.score")
+    name = free_name(docs, "judged")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"lang_pred", "score"}]
+    return docs.withColumn(name, judged(F.col(f"`{text}`"))).select(*kept, f"{name}.lang_pred", f"{name}.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

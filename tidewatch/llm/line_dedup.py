@@ -31,7 +31,7 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", max_
     """
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     hashed = F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(SPACES)))))
-    slim = pages.select(F.col(site).alias("site"), F.col(text).alias("t")).select("site", F.xxhash64("t").alias("page"), "t")
+    slim = pages.select(F.col(f"`{site}`").alias("site"), F.col(f"`{text}`").alias("t")).select("site", F.xxhash64("t").alias("page"), "t")
     totals = slim.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
     seen = slim.select("site", "page", F.explode(hashed).alias("line")).distinct()
     counts = seen.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)

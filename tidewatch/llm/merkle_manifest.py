@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import small_batches, table
+from tidewatch.llm.common import need_integers, small_batches, table
 from tidewatch.session import cut_lineage
 
 #: Nodes that one digest joins, and levels that one task reduces.
@@ -151,10 +151,9 @@ def _part(c: Column) -> Column:
 
 
 def leaves(docs: DataFrame, columns: Columns = Columns()) -> DataFrame:  # noqa: B008
-    """Rows (uid, g, bucket, low, id, leaf, changed), written once: the digests are binary, ``changed`` is that after tampering or null."""
+    """Rows (uid, g, bucket, low, id, known, leaf, changed), written once: the digests are binary, ``changed`` is that after tampering or null."""
     plain = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(Columns._fields, columns, strict=True)))
-    if not isinstance(plain.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        raise TypeError(f"{columns.id} must be an integer column")
+    need_integers(docs, columns.id)
     digest = lambda text: F.unhex(F.sha2(F.concat(*(_part(text if k == "text" else F.col(k)) for k in Columns._fields)), 256))
     hit = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 0, F.lit(False))
     out = plain.select(
@@ -162,7 +161,8 @@ def leaves(docs: DataFrame, columns: Columns = Columns()) -> DataFrame:  # noqa:
         F.when(F.col("group").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("group").cast("string"))).alias("g"),
         F.coalesce(F.shiftright(F.col("id").cast("long"), SPAN_BITS), F.lit(NULL_BUCKET)).alias("bucket"),
         F.coalesce(F.col("id").cast("long").bitwiseAND(F.lit(SPAN - 1)), F.lit(0)).cast("int").alias("low"),
-        F.col("id").cast("long").alias("id"),
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"),
+        F.col("id").isNotNull().alias("known"),
         digest(F.col("text").cast("string")).alias("leaf"),
         F.when(hit & F.col("text").isNotNull(), digest(F.translate(F.col("text").cast("string"), UPPER, LOWER))).alias("changed"),
     )
@@ -205,8 +205,8 @@ def coordinates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = held.groupBy("g").agg(F.sum("n").alias("total"))
     held = held.join(directory(held), KEY)
     full = held.where(F.col("n") > F.col("distinct")).select(*KEY)
-    out = ["g", "id", "leaf", "changed", "at"]
-    once = rows.select("g", "bucket", "low", "id", "leaf", "changed")
+    out = ["g", "id", "known", "leaf", "changed", "at"]
+    once = rows.select("g", "bucket", "low", "id", "known", "leaf", "changed")
     if full.isEmpty():
         placed = once.groupBy(*KEY).cogroup(held.withColumn("again", F.lit(None).cast("array<struct<low:int,n:bigint>>")).groupBy(*KEY))
         return placed.applyInPandas(_ranked, _with_at(once)).select(*out), totals
@@ -214,7 +214,7 @@ def coordinates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeats = cut_lineage(repeats, "manifest-repeats")
     listed = repeats.groupBy(*KEY).agg(F.collect_list(F.struct("low", "n")).alias("again"))
     # One row stands for the rows of a repeated id where ranks are looked up.
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", "bigint"), ("leaf", "binary"), ("changed", "binary"))]
+    nothing = [F.lit(0).cast("long").alias("id"), F.lit(False).alias("known"), F.lit(None).cast("binary").alias("leaf"), F.lit(None).cast("binary").alias("changed")]
     asked = once.join(repeats, [*KEY, "low"], "left_anti").withColumn("many", F.lit(False))
     asked = asked.unionByName(repeats.select("g", "bucket", "low", *nothing, F.lit(True).alias("many")))
     placed = asked.groupBy(*KEY).cogroup(held.join(listed, KEY, "left").groupBy(*KEY)).applyInPandas(_ranked, _with_at(asked))
@@ -267,15 +267,13 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
     changed = [b"" if x is None else x for x in own["changed"]]
     whole = bool(own["total"].iloc[0] <= BLOCK)
     top = climb([x.hex() for x in own["leaf"]], whole)[-1][0]
-    known = own["id"].notna().to_numpy()
-    ids = own["id"].fillna(0).astype("int64").to_numpy()
     return pd.DataFrame({
-        "g": own["g"].iloc[:1].to_numpy(), "block": [int(own["at"].iloc[0]) // BLOCK], "whole": [whole], "node": [top], "ids": [ids.tolist()],
-        "known": [known.tolist()], "leaves": [b"".join(own["leaf"])], "changed": [changed],
+        "g": own["g"].iloc[:1].to_numpy(), "block": [int(own["at"].iloc[0]) // BLOCK], "whole": [whole], "node": [top], "ids": [own["id"].to_numpy("<i8").tobytes()],
+        "known": [own["known"].to_numpy(bool).tobytes()], "leaves": [b"".join(own["leaf"])], "changed": [changed],
     })
 
 
-BLOCK_SCHEMA = "g string, block bigint, whole boolean, node string, ids array<bigint>, known array<boolean>, leaves binary, changed array<binary>"
+BLOCK_SCHEMA = "g string, block bigint, whole boolean, node string, ids binary, known binary, leaves binary, changed array<binary>"
 NODE_SCHEMA = "g string, at bigint, up bigint, top string, place array<int>, others array<string>"
 
 
@@ -337,7 +335,8 @@ def _proofs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 path = path_of(levels, i)
                 out["proof_sha256"].append(digest("".join(o for _, o in path) + tail))
                 out["folded_root"].append(fold(r.changed[i].hex() or leaf, path + above))
-            ids = pd.array([int(x) if k else None for x, k in zip(r.ids, r.known, strict=True)], dtype="Int64")
+            ids = pd.array(np.frombuffer(r.ids, "<i8"), dtype="Int64")
+            ids[~np.frombuffer(r.known, bool)] = pd.NA
             yield pd.DataFrame({"id": ids, "leaf": slots, "subroot": r.subroot, "root": r.root, **out})
 
 

@@ -8,11 +8,14 @@ the hash of its id, read as a number in [0, 1), is below its probability: the dr
 
 Defined cases: nulls of a marginal are a level of their own; null texts have no tokens, and documents in cells without
 tokens get probability one, as they cost nothing; documents without id are drawn by the hash of their text; equal ids
-are drawn alike; an empty table gives an empty result; other columns pass through.
+are drawn alike; an empty table gives an empty result; other columns pass through, whatever their names are. Raking that
+has not converged when its rounds are used up is told by a warning and by the ``residual`` of the cells.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +53,7 @@ def tempered(cells: DataFrame, dim: str, power: float = TEMPERATURE) -> DataFram
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``weight``, the share of tokens that meets every marginal's targets.
+    """Cells with ``weight``, the share of tokens that meets every marginal's targets, and ``residual``, how far the last round missed one.
 
     Targets name levels that have tokens; levels without a target keep weight zero, and targets of levels without
     tokens are shared out by scaling. Only one number a round, the largest move, comes to the driver.
@@ -59,6 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     now = cut_lineage(now, "rake")
     known = {d: cut_lineage(t.join(now.select(F.col(d).alias("x")).distinct(), F.col("level").eqNullSafe(F.col("x")), "left_semi"), "targets") for d, t in targets.items()}
     scaled = {d: _scaled(t) for d, t in known.items()}
+    worst = None
     for _ in range(rounds):
         moves = []
         for dim, target in scaled.items():
@@ -72,7 +76,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         now = now.drop(*moves)
         if worst is None or worst <= tolerance:
             break
-    return now
+    if worst is not None and worst > tolerance:
+        warnings.warn(f"raking stopped after {rounds} rounds with a residual of {worst:.2g}", stacklevel=2)
+    return now.withColumn("residual", F.lit(float(worst or 0.0)))
 
 
 def _scaled(target: DataFrame) -> DataFrame:
@@ -98,17 +104,20 @@ def calibrate(weights: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 def mix(
     docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", lang: str = "lang", topic: Column | None = None,
-    targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = SEED,
+    targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = SEED, tokens: Column | None = None, into: str = "mix",
 ) -> DataFrame:
-    """Every document with ``topic``, ``n_tokens``, ``probability`` and ``sampled`` in a struct column ``mix``.
+    """Every document with ``topic``, ``n_tokens``, ``probability`` and ``sampled`` in a struct column, named ``into``.
+
+    ``tokens`` is the weight of a document, such as the count of a tokenizer; words between white space are counted without it.
+    A column of the documents that is named ``into`` is replaced.
 
     Two passes over the texts, neither of which shuffles them: cells are counted in each task first, and cell
     probabilities, written before, are joined back by the planner's choice of their real size.
     """
     whole = free_name(docs, "row")
     keyed = docs.select(
-        F.struct(*docs.columns).alias(whole), F.col(source).alias("source"), F.col(lang).alias("lang"),
-        (topic_of(F.col(text)) if topic is None else topic).alias("topic"), F.size(words(F.col(text))).cast("long").alias("tokens"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower())).alias(whole), F.col(source).alias("source"), F.col(lang).alias("lang"),
+        (topic_of(F.col(text)) if topic is None else topic).alias("topic"), (F.size(words(F.col(text))) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens"),
         F.coalesce(F.xxhash64(F.lit(seed), F.col(id).cast("string")), F.lit(0)).alias("by_id"), F.col(id).isNull().alias("no_id"), F.xxhash64(F.lit(seed), F.col(text)).alias("by_text"),
     )
     cells = cut_lineage(_cells(keyed), "cells")
@@ -118,13 +127,14 @@ def mix(
     p = F.coalesce(F.col("probability"), F.lit(1.0))
     draw = F.shiftrightunsigned(F.when(F.col("no_id"), F.col("by_text")).otherwise(F.col("by_id")), 11) / F.lit(float(2**53))
     found = keyed.join(rates, same, "left")
-    return found.select(f"{whole}.*", F.struct(F.col("topic"), F.col("tokens").alias("n_tokens"), p.alias("probability"), (draw < p).alias("sampled")).alias("mix"))
+    return found.select(f"{whole}.*", F.struct(F.col("topic"), F.col("tokens").alias("n_tokens"), p.alias("probability"), (draw < p).alias("sampled")).alias(into))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with the columns they came with."""
-    marked = mix(docs, **options)
-    return marked.where("mix.sampled").drop("mix")
+    into = free_name(docs, "mix")
+    marked = mix(docs, into=into, **options)
+    return marked.where(F.col(into)["sampled"]).drop(into)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
