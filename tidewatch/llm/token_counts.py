@@ -9,9 +9,10 @@ them and kept by the worker, up to a bound on the table after which it begins an
 
 No token has a space mark after another character, and characters outside the vocabulary become their UTF-8 bytes,
 so the state after either does not depend on what came before. Texts are laid out in chunks of equal length that
-step through the table side by side. From the first such place on, a chunk's state map is constant; chunks without one
-map their entry state on. Composing the maps from left to right gives every chunk's entry state, and a second pass
-counts the chunks' heads.
+step through the table side by side. From the first such place on, a chunk's state map is constant. Of chunks without one
+(scripts without spaces, encoded data) maps are built for the entry states that may be reached, and composed by a parallel
+prefix scan in doubling steps, so that long runs of them take passes in the number of their reachable states and not of
+chunks. With every chunk's entry state known, a last pass counts the chunks' heads.
 
 Defined cases: null and empty texts have no tokens; text of any length is read in blocks of bounded size; strings
 of special tokens are ordinary text, as the library treats them; repeated rows are each counted; an empty table
@@ -34,6 +35,9 @@ from tidewatch.llm.common import small_batches, table
 LIMIT = 4096
 SPACE = "▁"
 CHUNK = 256
+#: Characters at the end of the chunk before that an entry state is guessed from, and passes in which all exits are tried as entries;
+#: so many states at most are tried in all chunks at once.
+WARM, GUESSES, SPREAD = 64, 4, 64
 BLOCK = 2_000_000
 MAX_CELLS = 32_000_000
 #: Classes of characters: padding, a space mark that follows another character, then 1 to 4 bytes outside the vocabulary.
@@ -178,23 +182,82 @@ class Transducer:
         for k in range(CHUNK):
             state, out[k] = self._step(state, grid[k])
             state = state.astype(np.int64)
-        known = head < CHUNK
-        last = np.concatenate(([entry], np.where(known, state, -1)))  # exit states: constant maps, the rest follow
+        last = np.concatenate(([entry], state))  # exit states: constant maps of chunks with a sure place
+        free = np.flatnonzero(head == CHUNK)
+        if len(free):
+            last[free + 1] = self._composed(grid, free, last)
         todo = np.flatnonzero(head > 0)
-        while len(todo):
-            ready = todo[last[todo] >= 0]
-            todo = todo[last[todo] < 0]
-            state, n = last[ready], head[ready]
-            order = np.argsort(-n, kind="stable")
-            ready, state, n = ready[order], state[order], n[order]
-            for k in range(int(n[0])):
-                live = int(np.searchsorted(-n, -k, side="left"))
-                to, out[k, ready[:live]] = self._step(state[:live], grid[k, ready[:live]])
-                state[:live] = to
-            whole = n == CHUNK
-            last[ready[whole] + 1] = state[whole]
+        order = np.argsort(-head[todo], kind="stable")
+        todo = todo[order]
+        state, n = last[todo], head[todo]
+        for k in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -k, side="left"))
+            state[:live], out[k, todo[:live]] = self._step(state[:live], grid[k, todo[:live]])
         return out.T.ravel()[: len(cls)], int(last[-1])
 
+    def _exits(self, grid: np.ndarray, lanes: np.ndarray, entries: np.ndarray, first: int = 0) -> np.ndarray:
+        """States after chunks that are entered in the given states, all side by side."""
+        state = entries.astype(np.int64)
+        for k in range(first, CHUNK):
+            state = self._step(state, grid[k, lanes])[0].astype(np.int64)
+        return state
+
+    def _composed(self, grid: np.ndarray, free: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Exit states of the chunks without a sure place, by composing their state maps in a parallel prefix scan.
+
+        A map is built for the entry states that may be reached: the state that the end of the chunk before leads to, and
+        exits of that chunk's own map. What the scan reaches and no map has yet is added, and it scans again.
+        """
+        is_free = np.zeros(grid.shape[1] + 1, dtype=bool)
+        is_free[free] = True
+        after_known = ~is_free[free - 1] | (free == 0)
+        entry = np.empty(len(free), dtype=np.int64)
+        entry[after_known] = last[free[after_known]]
+        guess = free[~after_known]
+        entry[~after_known] = self._exits(grid, guess - 1, np.full(len(guess), _ROOT), CHUNK - WARM)
+        lane, sure = free, after_known
+        lanes, entries, exits = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        starts = np.zeros(0, dtype=bool)
+        self.passes = 0
+        while True:
+            lanes, entries, starts = np.concatenate([lanes, lane]), np.concatenate([entries, entry]), np.concatenate([starts, sure])
+            exits = np.concatenate([exits, self._exits(grid, lane, entry)])
+            self.passes += 1
+            order = np.lexsort((entries, lanes))
+            lanes, entries, exits, starts = lanes[order], entries[order], exits[order], starts[order]
+            span = int(max(entries.max(), exits.max())) + 1
+            key, wanted = lanes * span + entries, (lanes + 1) * span + exits
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            there, goes_on = key[at] == wanted, is_free[lanes + 1]
+            reached = self._scan(starts, np.where(there & goes_on, at, -1))
+            wanting = reached & goes_on & ~there
+            if not wanting.any():
+                break
+            # At first any exit may be an entry; then what the scan came to, in the next chunk and, as repeated text leads
+            # back to few states, in all chunks where these are few.
+            new = wanted[goes_on & ~there] if self.passes <= GUESSES else wanted[wanting]
+            few = np.unique(exits[wanting])
+            if self.passes > GUESSES and len(few) <= SPREAD:
+                new = np.concatenate([new, (guess[:, None] * span + few).ravel()])
+            new = np.setdiff1d(new, key)
+            lane, entry = np.divmod(new, span)
+            sure = np.zeros(len(new), dtype=bool)
+        found = np.empty(grid.shape[1], dtype=np.int64)
+        found[lanes[reached]] = exits[reached]
+        return found[free]
+
+    @staticmethod
+    def _scan(starts: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """What is reached from the starts when each place leads to the one it names (-1: none), in doubling steps."""
+        reached, jump = starts.copy(), np.append(follows, -1)
+        step = 1
+        while step <= len(starts):
+            to = jump[np.flatnonzero(reached)]
+            reached[to[to >= 0]] = True
+            jump = jump[jump]  # -1 names the last place, which leads nowhere
+            step *= 2
+        return reached
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text."""
         total = np.zeros(len(texts), dtype=np.int64)
