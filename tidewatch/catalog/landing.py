@@ -1,6 +1,7 @@
 """Round trips: benchmark tables are landed as files in the shared folder and read back."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch.catalog.base import act, query
 from tidewatch.catalog.graph import GR, rc
@@ -138,6 +139,36 @@ def _(s, d):
     return flat.groupBy("item_type").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("item_id").alias("items"), F.sum(F.coalesce("upstream_count", "table_count")).alias("nested"))
 
 
+@query("flatten_scan_all_kinds", """SELECT 'Warehouse' AS item_type, 'w'||s_suppkey AS item_id, s_name AS item_name, 'Scanner API' AS source_type, NULL::VARCHAR AS source_connection, NULL::VARCHAR AS shortcut_path, CAST(s_suppkey % 3 AS INTEGER) AS datasource_count FROM supplier
+ UNION ALL SELECT 'Mirroreddatabase', 'm'||s_suppkey, 'Unknown', 'Scanner API', NULL, NULL, 0 FROM supplier UNION ALL SELECT 'Kqldatabase', 'k'||s_suppkey, s_name, 'Scanner API', NULL, NULL, 0 FROM supplier
+ UNION ALL SELECT 'Lakehouse Shortcut', 'l'||s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'AmazonS3' ELSE 'Unknown' END, CASE WHEN s_suppkey % 2 = 0 THEN 's3://b'||s_nationkey ELSE 'Tables/x' END, 'Files/'||s_suppkey, NULL FROM supplier
+ UNION ALL SELECT 'Dataflow', 'f'||s_suppkey, s_name, 'Dataflow', NULL, NULL, CAST(s_suppkey % 3 AS INTEGER) FROM supplier WHERE s_suppkey % 4 <> 0""")
+def _(s, d):
+    some = "transform(slice(sequence(0, 2), 1, cast(s_suppkey % 3 as int)), i -> named_struct('id', cast(i as string), 'targetDatasetId', cast(null as string)))"
+    none = "cast(null as array<struct<id:string,targetDatasetId:string>>)"
+    thing = lambda prefix, name, sources: f"array(named_struct('id', concat('{prefix}', s_suppkey), 'name', {name}, 'upstreamDataflows', {none}, 'downstreamDataflows', {none}, 'datasourceUsages', {sources}))"
+    target = "named_struct('type', if(s_suppkey % 2 = 0, 'AmazonS3', null), 'location', if(s_suppkey % 2 = 0, concat('s3://b', s_nationkey), null), 'path', 'Tables/x', 'connectionId', 'c')"
+    rows = table(s, d, "supplier").selectExpr(
+        "cast(s_nationkey as string) as id", "cast(null as string) as name", f"{thing('w', 's_name', some)} as warehouses", f"{thing('m', 'cast(null as string)', none)} as mirroredDatabases",
+        f"{thing('k', 's_name', none)} as kqlDatabases", f"array(named_struct('itemId', concat('l', s_suppkey), 'itemName', s_name, 'name', 'sc', 'path', concat('Files/', s_suppkey), 'target', {target})) as shortcuts",
+        f"if(s_suppkey % 4 = 0, null, array(named_struct('objectId', concat('f', s_suppkey), 'name', s_name, 'datasourceUsages', {some}))) as dataflows",
+    )
+    schema = StructType.fromDDL(SC.SCAN_SCHEMA)
+    whole = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return SC.flatten_scan(whole).select("item_type", "item_id", "item_name", "source_type", "source_connection", "shortcut_path", "datasource_count")
+
+
+@query("lineage_record_flows", """SELECT 'Dataflow' AS kind, 'f'||s_suppkey AS item_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Sql, Web' ELSE 'Dataflow' END AS source_type, NULL::VARCHAR AS connection FROM supplier
+ UNION ALL SELECT 'KQLDatabase Shortcut', 'k'||s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Unknown' ELSE 'AmazonS3' END, CASE s_suppkey % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 's3://b' ELSE 'p/q' END FROM supplier""")
+def _(s, d):
+    base = "cast(s_nationkey as string) as workspace_id", "s_name as workspace_name"
+    flows = table(s, d, "supplier").selectExpr(*base, "concat('f', s_suppkey) as item_id", "s_name as item_name", "if(s_suppkey % 2 = 0, array('Sql', 'Web'), cast(array() as array<string>)) as source_types", "cast(null as string) as connections")
+    target = """case s_suppkey % 3 when 0 then 'plain' when 1 then '{"type":"AmazonS3","location":"s3://b"}' else '{"type":"AmazonS3","path":"p/q","location":"s3://b"}' end as target"""
+    cuts = table(s, d, "supplier").selectExpr(*base, "concat('k', s_suppkey) as item_id", "s_name as item_name", "'KQLDatabase' as item_kind", "'sc' as name", "'Tables' as path", target)
+    rec = SC.build_lineage_records(shortcuts=cuts, dataflows=flows)
+    return rec.select(F.col("`Item Type`").alias("kind"), F.col("`Item ID`").alias("item_id"), F.col("`Source Type`").alias("source_type"), F.col("`Source Connection`").alias("connection"))
+
+
 @query("lineage_record_kinds", """SELECT 'Report' AS kind, count(*) AS records, count(*) FILTER (WHERE c_nationkey % 5 <> c_nationkey % 3) AS crossing FROM customer
  UNION ALL SELECT 'MirroredDatabase', count(*), 0 FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'Lakehouse Shortcut', count(*), 0 FROM part UNION ALL SELECT 'SemanticModel', count(*), 0 FROM part""")
 def _(s, d):

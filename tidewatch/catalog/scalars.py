@@ -154,3 +154,42 @@ def _(s, d):
 def _(s, d):
     r = lineage_records(s, d).filter("`Source Type` = 'OneLake'").select(F.col("`Item ID`").alias("item_id"), X.parse_connection("`Source Connection`").alias("conn"))
     return r.select("item_id", F.explode(X.tables_from_connection("conn")).alias("t")).select("item_id", "t.table_name", "t.schema_name", "t.full_path", "t.table_type")
+
+
+# Every kind of connection by the supplier's number: as JSON or as a Python literal, with and without optional fields, one of
+# a kind without rules, and one text that does not parse.
+KINDS = ["AdlsGen2", "AzureBlob", "AmazonS3", "OneDriveSharePoint", "OneDriveSharePoint", "Snowflake", "Dataverse", "AmazonS3"]
+
+
+def connections(s, d):
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    forms = [
+        F.format_string('{"type":"AdlsGen2","adlsGen2":{"location":"https://a%s","container":"box%s","path":"raw/t%s.parquet"}}', n, k, k),
+        F.format_string('{"type":"AzureBlob","azureBlob":{"location":"https://b%s","subpath":"sub%s","name":"only%s.csv"}}', n, k, k),
+        F.format_string("{'type': 'AmazonS3', 'amazonS3': {'location': 's3://bucket%s', 'subpath': None, 'bucket': 'bucket%s', 'key': 'in/sales/day%s.csv'}}", n, n, k),
+        F.format_string('{"type":"OneDriveSharePoint","oneDriveSharePoint":{"location":"https://site%s","driveId":"d%s","subpath":"docs"}}', n, k),
+        F.format_string('[{"type":"OneDriveSharePoint","oneDriveSharePoint":{"location":"https://site%s","driveId":""}}, {"type":"AmazonS3"}]', n),
+        F.format_string('{"type":"Snowflake","typeProperties":{"connection":"c%s","database":"DB%s"}}', n, k),
+        F.format_string('{"type":"Dataverse","environment":"x%s"}', k),
+        F.lit("not a connection"),
+    ]
+    at = (F.col("s_suppkey") % 8).cast("int")
+    return table(s, d, "supplier").select("s_suppkey", F.get(F.array(*map(F.lit, KINDS)), at).alias("kind"), X.parse_connection(F.get(F.array(*forms), at)).alias("conn"))
+
+
+@query("connection_kinds", f"""SELECT s_suppkey, kind, 'src_'||CASE WHEN m = 7 THEN kind||'_unknown' ELSE substr(md5(concat_ws('|', kind, a, b)),1,12) END AS source_id,
+ CASE m WHEN 0 THEN 'ADLS: box'||s_suppkey WHEN 1 THEN 'ADLS: sub'||s_suppkey WHEN 2 THEN 'S3: '||a WHEN 3 THEN 'SharePoint: docs' WHEN 4 THEN 'SharePoint: '||a WHEN 5 THEN 'Snowflake: '||b ELSE kind END AS display_name,
+ CASE WHEN m IN (0,1,2,3,4) THEN a END AS location, CASE m WHEN 0 THEN b WHEN 1 THEN b WHEN 2 THEN '' END AS container, CASE WHEN m = 5 THEN b END AS database
+ FROM (SELECT s_suppkey, s_suppkey % 8 AS m, ({KINDS!r})[s_suppkey % 8 + 1] AS kind,
+  CASE s_suppkey % 8 WHEN 0 THEN 'https://a'||s_nationkey WHEN 1 THEN 'https://b'||s_nationkey WHEN 2 THEN 's3://bucket'||s_nationkey WHEN 3 THEN 'https://site'||s_nationkey WHEN 4 THEN 'https://site'||s_nationkey WHEN 5 THEN 'c'||s_nationkey END AS a,
+  CASE s_suppkey % 8 WHEN 0 THEN 'box'||s_suppkey WHEN 1 THEN 'sub'||s_suppkey WHEN 3 THEN 'd'||s_suppkey WHEN 5 THEN 'DB'||s_suppkey END AS b FROM supplier)""")
+def _(s, d):
+    return connections(s, d).select("s_suppkey", "kind", X.source_id("kind", "conn").alias("source_id"), X.source_details("kind", "conn").alias("d")).select("s_suppkey", "kind", "source_id", "d.*")
+
+
+@query("external_tables", """SELECT s_suppkey, CASE m WHEN 0 THEN 't'||s_suppkey WHEN 1 THEN 'only'||s_suppkey ELSE 'day'||s_suppkey END AS table_name, CASE m WHEN 0 THEN 'raw' WHEN 2 THEN 'sales' END AS schema_name,
+ CASE m WHEN 0 THEN 'box'||s_suppkey WHEN 2 THEN 'bucket'||s_nationkey END AS database, CASE m WHEN 0 THEN 'box'||s_suppkey||'/raw/t'||s_suppkey||'.parquet' WHEN 2 THEN 'bucket'||s_nationkey||'/in/sales/day'||s_suppkey||'.csv' END AS full_path,
+ 'external' AS table_type FROM (SELECT *, s_suppkey % 8 AS m FROM supplier) WHERE m IN (0, 2)""")
+def _(s, d):
+    found = connections(s, d).select("s_suppkey", F.explode(X.tables_from_connection("conn")).alias("t"))
+    return found.select("s_suppkey", "t.table_name", "t.schema_name", "t.database", "t.full_path", "t.table_type")
