@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import bounded_sample, components, need_integers, small_batches, table
 from tidewatch.session import cut_lineage
@@ -35,7 +36,8 @@ THRESHOLD = 0.93
 FIT_ROWS, FIT_QUERIES = 8000, 1500
 TARGET = 0.99
 #: Rows that a cell has on average over all labels; the codebooks grow with the square root of the number of cells.
-CELL_ROWS, MOST_CENTROIDS = 600, 512
+#: With this many centroids a half, cells have that size up to 2.5 billion vectors; beyond it cells grow.
+CELL_ROWS, MOST_CENTROIDS = 600, 2048
 BLOCK = 1024
 
 
@@ -187,7 +189,7 @@ def _pairs(classes: DataFrame, dim: int, rows: int, threshold: float) -> DataFra
     some = bounded_sample(own, F.xxhash64("node"), FIT_ROWS, "node").select("label", "embedding").toPandas()
     index = Index(_normalised(_matrix(some["embedding"])), some["label"].to_numpy(), rows, threshold)
     shared = spark.sparkContext.broadcast(index)
-    schema = "label bigint, cell bigint, home bigint, resident boolean, node bigint, members bigint, embedding array<double>"
+    schema = f"label bigint, cell bigint, home bigint, resident boolean, node bigint, members bigint, embedding {classes.schema['embedding'].dataType.simpleString()}"
     spread = cut_lineage(own.mapInPandas(_spread(shared), schema), "cells")
     sizes = spread.groupBy("label", "cell").agg(F.count_if("resident").alias("r"), F.count_if(~F.col("resident")).alias("v")).where("r > 0")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -204,11 +206,14 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", embedding: str = "em
     """Per row with an id, an integer: ``id``, ``n_links``, ``component_id`` and ``kept``."""
     need_integers(vectors, id)
     spark = small_batches(vectors.sparkSession, 2000)
-    v, i, y = F.col(f"`{embedding}`").cast("array<double>"), F.col(f"`{id}`"), F.col(f"`{label}`")
+    # Single precision is shipped as it is; all arithmetic on it is in double precision.
+    single = isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), T.FloatType)
+    kind = "array<float>" if single else "array<double>"
+    v, i, y = F.col(f"`{embedding}`").cast(kind), F.col(f"`{id}`"), F.col(f"`{label}`")
     every = vectors.where(i.isNotNull()).select(i.cast("long").alias("id"), F.when(y.isNotNull(), F.xxhash64(y)).alias("label"), v.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = every.where(fine).withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", F.signum)).otherwise(F.col("embedding")))
+    good = every.where(fine).withColumn("embedding", F.when(F.size("embedding") == 1, F.transform("embedding", F.signum).cast(kind)).otherwise(F.col("embedding")))
     classes = cut_lineage(good.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("members")), "classes")
     dims = [(r["d"], r["n"]) for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()]
     empty = spark.createDataFrame([], "node bigint, links bigint, src bigint, dst bigint")
