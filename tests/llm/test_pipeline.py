@@ -1,4 +1,5 @@
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 
 from tidewatch.llm import jaccard_join, packing, registry
 
@@ -52,3 +53,16 @@ def test_small_sites_lose_their_boilerplate(spark):
     docs = spark.createDataFrame([*rows, (55, "single", "menu\nbody", 0)], "doc_id long, source string, text string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in p.lines(spark, docs, "").collect()}
     assert got == {i: "menu\nbody" if i == 55 else t.removeprefix("menu\n") for i, _, t, _ in docs.collect()}
+
+
+def test_stages_pass_other_columns(spark, sf):
+    """Columns with clashing and dotted names go through every stage that returns documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    for name in ("a.b", "mix", "key", "site", "class", "__row", "id"):
+        docs = docs.withColumn(name, F.lit(f"<{name}>"))
+    columns = docs.columns
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r["a.b"] == "<a.b>" and r["mix"] == "<mix>" for r in rows)
