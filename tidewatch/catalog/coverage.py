@@ -1,5 +1,7 @@
 """Queries for operators that the other modules do not run: key fallbacks, small conversions, tables and schemas."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
@@ -66,8 +68,10 @@ def _(s, d):
 @query("published_tables", "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY 1")
 def _(s, d):
     path = scratch_path(s, "publish")
-    table(s, d, "customer").select("c_custkey", "c_mktsegment").write.parquet(f"{path}/tidewatch_customers")
-    (name,) = SK.publish_folder(s, path, ["tidewatch_customers"])
+    # A name of its own, as the warehouse may hold the table of an application that is gone.
+    own = f"tidewatch_customers_{uuid.uuid4().hex}"
+    table(s, d, "customer").select("c_custkey", "c_mktsegment").write.parquet(f"{path}/{own}")
+    (name,) = SK.publish_folder(s, path, [own])
     return s.table(name).groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 
