@@ -61,15 +61,18 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
     now = cut_lineage(now, "rake")
     known = {d: cut_lineage(t.join(now.select(F.col(d).alias("x")).distinct(), F.col("level").eqNullSafe(F.col("x")), "left_semi"), "targets") for d, t in targets.items()}
-    scaled = {d: _scaled(t) for d, t in known.items()}
-    worst = None
+    # Every cell carries its targets, so that a round only joins sums.
+    for dim, t in known.items():
+        named = _scaled(t).select(F.col("level").alias("g"), F.col("target").alias(f"target_{dim}"))
+        now = now.join(named, now[dim].eqNullSafe(named["g"]), "left").drop("g").withColumn(f"target_{dim}", F.coalesce(f"target_{dim}", F.lit(0.0)))
+    now, worst = cut_lineage(now, "rake"), None
     for _ in range(rounds):
         moves = []
-        for dim, target in scaled.items():
-            got = now.groupBy(F.col(dim).alias("g")).agg(F.sum("weight").alias("got"))
-            factor = got.join(target, F.col("g").eqNullSafe(F.col("level")), "left").select("g", F.coalesce(F.col("target"), F.lit(0.0)).alias("t"), "got")
-            factor = factor.select("g", F.when(F.col("got") > 0, F.col("t") / F.col("got")).otherwise(0.0).alias("f"), F.abs(F.col("t") - F.col("got")).alias(f"move_{dim}"))
-            now = now.join(factor, now[dim].eqNullSafe(factor["g"])).withColumn("weight", F.col("weight") * F.col("f")).drop("g", "f")
+        for dim in known:
+            sums = now.groupBy(F.col(dim).alias("g")).agg(F.sum("weight").alias("got"))
+            t, got = F.col(f"target_{dim}"), F.col("got")
+            factor = F.when(got > 0, t / got).otherwise(0.0)
+            now = now.join(sums, now[dim].eqNullSafe(sums["g"])).withColumns({"weight": F.col("weight") * factor, f"move_{dim}": F.abs(t - got)}).drop("g", "got")
             moves.append(f"move_{dim}")
         now = cut_lineage(now, "rake")
         worst = now.agg(F.max(F.greatest(*moves)) if len(moves) > 1 else F.max(moves[0])).first()[0]
@@ -78,7 +81,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             break
     if worst is not None and worst > tolerance:
         warnings.warn(f"raking stopped after {rounds} rounds with a residual of {worst:.2g}", stacklevel=2)
-    return now.withColumn("residual", F.lit(float(worst or 0.0)))
+    return now.drop(*(f"target_{d}" for d in known)).withColumn("residual", F.lit(float(worst or 0.0)))
 
 
 def _scaled(target: DataFrame) -> DataFrame:
