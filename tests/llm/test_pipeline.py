@@ -36,7 +36,7 @@ def test_run_and_registry(spark, sf):
     rows = p.run(spark, sf).collect()
     assert check(rows) and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
     names = registry.queries().keys()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert registry.oracle_sql().keys() <= names
 
 
