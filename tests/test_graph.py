@@ -392,3 +392,25 @@ def test_index_reads_the_partitions_of_its_trigrams(df, tmp_path):
 def test_index_of_nothing(df, tmp_path):
     index = SE.NameIndex.build(name_rows(df).limit(0), str(tmp_path / "index"))
     assert index.find("sales").count() == 0 and index.find("a").count() == 0
+
+
+def test_connections_are_parsed_once_a_record(df):
+    from tidewatch.operators.graph import build as GB
+
+    lake = '{"type": "OneLake", "oneLake": {"workspaceId": "w", "itemId": "%s", "path": "Tables/s/t"}}'
+    text = [("a", lake % "b"), ("b", lake % "gone"), ("b", "{'type': 'Snowflake', 'snowflake': {'connection': 'x', 'database': None}}"), ("c", "broken"), (None, lake % "a"), ("c", lake % "a")]
+    raw = df([(i, "w", "W", item, item, "Lakehouse", "Unknown", t) for i, (item, t) in enumerate(text)], "seq bigint, `Workspace ID` string, `Workspace Name` string, `Item ID` string, `Item Name` string, `Item Type` string, `Source Type` string, `Source Connection` string")
+    edges = GB.dependency_edges(raw)
+    assert [(r.src, r.rel) for r in edges.orderBy("src", "rel").collect()] == [("a", "DEPENDS_ON"), ("b", "CONSUMES"), ("b", "CONSUMES"), ("c", "DEPENDS_ON")]
+    for frame in (edges, GB.shortcut_tables(raw)[1]):
+        assert str(frame._jdf.queryExecution().optimizedPlan()).count("from_json(") == 1
+    assert "from_json(" not in str(GB.item_ids(raw)._jdf.queryExecution().optimizedPlan())
+
+
+def test_alike_records_are_counted_together(df):
+    from tidewatch.operators.graph import stats as GS
+
+    raw = df([(i, "w", "W", "a", "A", "Report", "Snowflake", "{'type': 'Snowflake'}") for i in range(3)], "seq bigint, `Workspace ID` string, `Workspace Name` string, `Item ID` string, `Item Name` string, `Item Type` string, `Source Type` string, `Source Connection` string")
+    assert [tuple(r) for r in GS.classified(raw, ["item_id"]).select("item_id", "kind", "n", "internal", "external").collect()] == [("a", "Snowflake", 3, False, True)]
+    found = {(r.section, r.name): r["count"] for r in GS.lineage_statistics(raw).collect()}
+    assert found["totals", "external_edges"] == 3 and found["totals", "internal_edges"] == 0 and found["items_by_type", "Report"] == 3
