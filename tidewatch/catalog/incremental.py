@@ -136,17 +136,24 @@ def _(s, d):
     return I.hourly_window(A(s, d)).groupBy("window_start", "activity_type").agg(F.count(F.lit(1)).alias("activities"))
 
 
+def _files(rows):
+    """Landed files for so many rows, each of which one task can hold."""
+    return rows // I.ROWS_A_TASK + 1
+
+
 def _landed(s, d):
+    """Four quarters by time, each of one file or more; (path, schema, files of a quarter)."""
     path = scratch_path(s, "landed")
     a = A(s, d).drop("object_url", "error_message").withColumn("start_time", F.col("start_time").cast("timestamp")).withColumn("end_time", F.col("end_time").cast("timestamp"))
-    a.repartitionByRange(4, "start_time").write.parquet(path)
-    return path, s.read.parquet(path).schema
+    files = _files(table(s, d, "events").count() // 4)
+    a.repartitionByRange(4 * files, "start_time").write.parquet(path)
+    return path, s.read.parquet(path).schema, files
 
 
 @query("stream_windows", act("SELECT date_trunc('hour', start_time) AS window_start, activity_type, count(*) AS activities, count(*) FILTER (WHERE status='Failed') AS failures FROM act GROUP BY 1,2"))
 def _(s, d):
     """Hourly counts as a stream; update mode rewrites a window, so the last batch wins."""
-    path, schema = _landed(s, d)
+    path, schema, _ = _landed(s, d)
     out, ckpt = scratch_path(s, "windows"), scratch_path(s, "ckpt")
     counts = I.windowed_counts(I.read_stream(s, path, schema), lateness="60 days")
     write = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)
@@ -172,12 +179,13 @@ def _(s, d):
 
 @query("stream_facts", fact("SELECT event_id, date_sk, workspace_sk, item_sk, is_failed, duration_seconds FROM fact"))
 def _(s, d):
-    """Four files in as many batches, latest first; the earliest third of the events lands again at last, a month late."""
-    path, schema = _landed(s, d)
-    s.read.parquet(path).filter("start_time < timestamp'2024-01-10'").coalesce(1).write.mode("append").parquet(path)
+    """Four quarters in as many batches; the earliest third of the events lands again at last, a month late."""
+    path, schema, files = _landed(s, d)
+    early = s.read.parquet(path).filter("start_time < timestamp'2024-01-10'")
+    early.repartition(_files(early.count())).write.mode("append").parquet(path)
     out, ckpt = scratch_path(s, "stream"), scratch_path(s, "ckpt")
     names = cut_lineage(FA.workspace_names(A(s, d)), "names")
-    I.stream_facts(s, path, schema, lambda batch: FA.fact_from_log(batch, names=names), out, ckpt, files_per_trigger=1)
+    I.stream_facts(s, path, schema, lambda batch: FA.fact_from_log(batch, names=names), out, ckpt, files_per_trigger=files)
     return s.read.parquet(out).select("event_id", "date_sk", "workspace_sk", "item_sk", "is_failed", "duration_seconds")
 
 
@@ -189,7 +197,7 @@ def _(s, d):
     odd = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 1
     names = cut_lineage(FA.workspace_names(A(s, d)), "names")
     for part in (a.filter(odd), a.filter(~odd)):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(_files(part.count())).write.mode("append").parquet(path)
         I.stream_facts(s, path, a.schema, lambda batch: FA.fact_from_log(batch, names=names), out, ckpt)
     return s.read.parquet(out).select("event_id")
 

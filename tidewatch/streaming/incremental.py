@@ -13,6 +13,8 @@ from tidewatch.session import remove_path
 from tidewatch.sources.versions import Conflict, Store, append, replace_partitions
 
 HISTORY_LENGTH = 100
+#: Rows of a batch that one task compares by id.
+ROWS_A_TASK = 250_000
 STATE_SCHEMA = "entity string, high_water_mark timestamp, records_processed bigint, duration_seconds double, loaded_at timestamp"
 
 
@@ -264,12 +266,14 @@ def unseen_sink(path: str, to_fact: Callable[[DataFrame], DataFrame], key: str =
     """Facts of a batch that no other batch holds, in the batch's own folder.
 
     Rows are compared with the stored ones of their days, so nothing is late: there is no watermark and
-    no state. A batch that runs twice leaves itself out of the comparison and replaces its folder.
+    no state. A batch that runs twice leaves itself out of the comparison and replaces its folder. A batch is
+    dealt to as many tasks as its rows need, since a stream's plan keeps its number of partitions.
     """
     sink = batch_overwriting_sink(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        facts = _stage(to_fact(batch).dropDuplicates([key]))
+        dealt = to_fact(batch).repartition(batch.count() // ROWS_A_TASK + 1, key)
+        facts = _stage(dealt.dropDuplicates([key]))
         if batch_id:
             stored = batch.sparkSession.read.option("basePath", path).schema(f"{key} string, activity_date date, batch_id int").parquet(path)
             near = stored.filter((F.col("batch_id") != batch_id) & in_days(days_of(facts))).select(key)
