@@ -414,3 +414,16 @@ def test_alike_records_are_counted_together(df):
     assert [tuple(r) for r in GS.classified(raw, ["item_id"]).select("item_id", "kind", "n", "internal", "external").collect()] == [("a", "Snowflake", 3, False, True)]
     found = {(r.section, r.name): r["count"] for r in GS.lineage_statistics(raw).collect()}
     assert found["totals", "external_edges"] == 3 and found["totals", "internal_edges"] == 0 and found["items_by_type", "Report"] == 3
+
+
+def test_sources_are_counted_in_passes_that_leave_nothing(spark, df):
+    import glob
+
+    from tidewatch.session import _scratch_root
+
+    edges = df([("a", "b"), ("b", "c")], "node string, next string")
+    direct = df([(n, f"{n}{i:03}") for n in "bc" for i in range(200)], "node string, source string")
+    found = BM.dependents_per_source(edges, direct, rows_a_pass=1)
+    assert rows(found, "source", "items") == [(f"{n}{i:03}", 1 if n == "b" else 2) for n in "bc" for i in range(200)]
+    root = _scratch_root(spark).removeprefix("file:")
+    assert glob.glob(f"{root}/bit-counts*") and not glob.glob(f"{root}/bit-pass*")
