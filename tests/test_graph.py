@@ -427,3 +427,28 @@ def test_sources_are_counted_in_passes_that_leave_nothing(spark, df):
     assert rows(found, "source", "items") == [(f"{n}{i:03}", 1 if n == "b" else 2) for n in "bc" for i in range(200)]
     root = _scratch_root(spark).removeprefix("file:")
     assert glob.glob(f"{root}/bit-counts*") and not glob.glob(f"{root}/bit-pass*")
+
+
+def written(monkeypatch, module, label):
+    """Rows of each frame that is written under the label from now on."""
+    seen, cut = [], module.cut_lineage
+
+    def counted(df, name="step", *rest):
+        out = cut(df, name, *rest)
+        if name == label:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", counted)
+    return seen
+
+
+def test_a_node_passes_on_the_nearest_starts(df, monkeypatch):
+    one = lambda ids: df([(i,) for i in ids], "id string")
+    starts, ends = [f"a{i:02d}" for i in range(30)], [f"b{i:02d}" for i in range(30)]
+    links = [(s, "h") for s in starts] + [(e, "t") for e in ends] + [("h", "m"), ("m", "t"), ("h", "m")]
+    edges = df(links + [(b, a) for a, b in links], "node string, next string")
+    held = written(monkeypatch, T, "path-frontier")
+    got = rows(T.paths_between(edges, one(starts), one(ends), 15, 2), "seed", "id", "path_length", "path")
+    assert got == [("a00", "b00", 4, ["a00", "h", "m", "t", "b00"]), ("a00", "b01", 4, ["a00", "h", "m", "t", "b01"])]
+    assert max(held) <= 33
