@@ -271,3 +271,13 @@ def test_events_are_neither_sorted_nor_scanned_by_default(spark, df):
     plan = RD.standardise_events(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert "Sort" not in plan and "Aggregate" not in plan
     assert [r["Id"] for r in RD.standardise_events(frame, drop_empty=True, ordered=True).collect()] == ["e2", "e1"]
+
+
+def test_arrays_are_landed_compressed_without_a_shuffle(spark, tmp_path):
+    from tidewatch.catalog.landing import land_arrays
+
+    glob = land_arrays(spark.range(25).selectExpr("id", "concat('n', id) as name"), str(tmp_path / "arrays"), 4, '{"lineage": %s}')
+    files = list((tmp_path / "arrays").glob("part-*"))
+    assert all(f.name.endswith(".gz") for f in files)
+    sizes = [len(r[0]) for r in spark.read.schema("lineage array<struct<id: bigint, name: string>>").option("multiLine", True).json(glob).collect()]
+    assert len(sizes) == len(files) and sum(sizes) == 25 and max(sizes) <= 4

@@ -1,5 +1,6 @@
 """Round trips: benchmark tables are landed as files in the shared folder and read back."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,11 +63,16 @@ def _(s, d):
 
 
 def land_arrays(df, path, rows, wrap="%s"):
-    """JSON files of one array each, with a bounded number of rows a file."""
-    whole = df.withColumn("_f", F.pmod(F.xxhash64(*df.columns), F.lit(max(1, df.count() // rows))))
-    body = whole.groupBy("_f").agg(F.format_string(wrap, F.to_json(F.collect_list(F.struct(*df.columns)))).alias("value"), F.first("_f").alias("file"))
-    body.select("value", "file").write.partitionBy("file").text(path)
-    return f"{path}/*"
+    """Compressed JSON files of one array each, with a bounded number of rows a file; rows stay in the task that has them."""
+
+    def arrays(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays([pa.array([wrap % f"[{','.join(batch.column(0).slice(i, rows).to_pylist())}]"])], ["value"])
+
+    body = df.select(F.to_json(F.struct(*df.columns)).alias("record")).mapInArrow(arrays, "value string")
+    body.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    return f"{path}/part-*"
 
 
 @query("load_jobs_json", """SELECT CASE WHEN event_id % 9 <> 4 THEN 'job_'||event_id END AS job_instance_id, ts + to_seconds(CAST((event_id*37) % 800 - 400 AS BIGINT)) AS job_start_time, CASE WHEN event_id % 5 = 0 THEN 'Job failed: '||(event_id % 4) END AS reason FROM events WHERE event_type IN ('purchase','error')""")
@@ -77,7 +83,7 @@ def _(s, d):
         F.col("job_status").alias("status"), F.when(F.col("job_failure_reason").isNotNull(), F.to_json(F.struct(F.col("job_failure_reason").alias("message"), F.lit("E1").alias("errorCode")))).alias("failureReason"),
     )
     # One JSON array per file, as the job history is landed. Some jobs have no id.
-    folders = land_arrays(j, path, 500).replace("/*", "/file=*")
+    folders = land_arrays(j, path, 500)
     back = RD.load_jobs(s, folders)
     return ntz(back.select("job_instance_id", "job_start_time", F.col("job_failure_reason.message").alias("reason")))
 
@@ -104,7 +110,7 @@ def _lineage(s, d, fmt):
     if fmt == "csv":
         records.write.option("header", True).option("escape", '"').csv(f"{path}/lineage.csv")
         return RD.load_lineage(s, f"{path}/lineage.csv")
-    folders = land_arrays(records, path, 2000, '{"lineage": %s}').replace("/*", "/file=*")
+    folders = land_arrays(records, path, 2000, '{"lineage": %s}')
     back = RD.load_lineage(s, folders)
     if back.groupBy("seq").count().filter("count > 1").isEmpty():
         return back

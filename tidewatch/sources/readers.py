@@ -142,10 +142,10 @@ def load_lineage(spark: SparkSession, path: str) -> DataFrame:
         return text.withColumn("seq", F.monotonically_increasing_id())
     wrapped = StructType([StructField("lineage", ArrayType(schema))])
     rows = spark.read.schema(wrapped).option("multiLine", True).json(path)
-    # Records keep their order inside a file; files follow each other by name.
+    # Records keep their order inside a file; files follow each other by name. Their list is sent to the records.
     names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"))
     places = encode_labels(names, "_file").select("_file", F.shiftleft(F.col("_file_code").cast("bigint"), 31).alias("_first"))
-    placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("lineage").alias("_pos", "r")).join(places, "_file")
+    placed = rows.select(F.col("_metadata.file_path").alias("_file"), F.posexplode("lineage").alias("_pos", "r")).join(F.broadcast(places), "_file")
     return placed.select("r.*", (F.col("_first") + F.col("_pos")).alias("seq"))
 
 
