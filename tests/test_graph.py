@@ -452,3 +452,93 @@ def test_a_node_passes_on_the_nearest_starts(df, monkeypatch):
     got = rows(T.paths_between(edges, one(starts), one(ends), 15, 2), "seed", "id", "path_length", "path")
     assert got == [("a00", "b00", 4, ["a00", "h", "m", "t", "b00"]), ("a00", "b01", 4, ["a00", "h", "m", "t", "b01"])]
     assert max(held) <= 3 * 63, "more than k + 1 starts at a node"
+
+
+def brute_trails(deps, start):
+    """Every trail from a node: no edge, known by its ends, is used twice; equal edges count apart."""
+    out, todo = [], [(start, ())]
+    while todo:
+        at, used = todo.pop()
+        for a, b in deps:
+            if a == at and (a, b) not in used:
+                out.append((b, len(used) + 1))
+                todo.append((b, (*used, (a, b))))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "depth", "few"), [(1, None, 0), (3, 3, 1000)])
+def test_trails_equal_brute_force(df, monkeypatch, seed, depth, few):
+    """Circles in a row, an edge of an item to itself, equal edges and tails on both sides; many rows (few = 0) or few."""
+    monkeypatch.setattr(T, "FEW", few)
+    rnd = random.Random(seed)
+    deps = [("a", "b"), ("b", "a"), ("b", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "f"), ("d", "f"), ("f", "g"), ("g", "g"), ("g", "h"), ("h", "i"), ("s", "t"), ("t", "a"), ("s", "c"), ("u", "v"), ("v", "i")]
+    deps += [(x, y) for x, y in zip(rnd.choices("stuab", k=3), rnd.choices("cfhiv", k=3), strict=True)]
+    deps = deps if seed < 3 else [*deps, ("i", "z"), ("z", "z"), ("z", "i")]
+    g = graph(df, deps)
+    names = sorted({x for e in deps for x in e})
+    every = {x: brute_trails(deps, x) for x in names}
+    back = {x: brute_trails([(b, a) for a, b in deps], x) for x in names}
+    longest = lambda ts: max([k for _, k in ts], default=0)
+    cut = lambda n: n if depth is None else min(n, depth)
+    assert rows(T.node_depths(g, depth, "trail"), "item_id", "upstream_depth", "downstream_depth") == [(x, cut(longest(every[x])), cut(longest(back[x]))) for x in names]
+    has_out = {a for a, _ in deps}
+    ends = [k for ts in every.values() for b, k in ts if b not in has_out and k >= 2]
+    assert dict(rows(T.chain_lengths(g, depth, "trail"))) == {k: ends.count(k) for k in set(ends) if k == cut(k)}
+
+
+def landed(monkeypatch):
+    """The folders and files that frames are written to, in order."""
+    from pyspark.sql import DataFrameWriter
+
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: (write(self, path, *a, **b), seen.append(path))[0])
+    return seen
+
+
+def test_trails_outside_components_are_not_listed(spark, df, monkeypatch):
+    """Of a chain with a pair in its middle, only the trails inside the pair are listed."""
+    n = 24
+    g = graph(df, [(f"x{i:02d}", f"x{i + 1:02d}") for i in range(n)] + [("x13", "x12")])
+    seen = landed(monkeypatch)
+    got = {r["item_id"]: (r["upstream_depth"], r["downstream_depth"]) for r in T.node_depths(g, mode="trail").collect()}
+    assert got["x00"] == (n + 2, 0) and got["x12"] == (n - 12 + 2, 14) and got[f"x{n}"] == (0, n + 2)
+    lists = [spark.read.parquet(p) for p in seen]
+    assert sum(x.count() for x in lists if "used" in x.columns) <= 20
+    seen.clear()
+    assert dict(rows(T.chain_lengths(g, mode="trail")))[n + 2] == 1
+    assert sum(x.count() for x in map(spark.read.parquet, seen) if "used" in x.columns) <= 20
+
+
+def test_rounds_of_depths_hold_each_item_once(spark, df, monkeypatch):
+    """A binary tree: the rounds of depths hold an item once a way, and those of chain counts fewer items each time."""
+    monkeypatch.setattr(T, "FEW", 30)
+    n = 255
+    g = graph(df, [(f"x{i}", f"x{i // 2}") for i in range(1, n + 1)])
+    seen = landed(monkeypatch)
+    got = {r["item_id"]: (r["upstream_depth"], r["downstream_depth"]) for r in T.node_depths(g).collect()}
+    assert got["x0"] == (0, 8) and got["x255"] == (8, 0) and got["x1"] == (1, 7)
+    states = [x for x in map(spark.read.parquet, seen) if "d" in x.columns]
+    assert sum(x.count() for x in states) <= 2 * 2 * (n + 1)
+    seen.clear()
+    assert dict(rows(T.chain_lengths(g))) == {k: 2 ** (k - 1) for k in range(2, 9)}
+    states = [x for x in map(spark.read.parquet, seen) if "count" in x.columns]
+    assert sum(x.count() for x in states) <= 2 * (n + 1)
+
+
+def test_depths_with_null_ends(df):
+    """A null end is a root, and edges of a null item are chains of one that no item depends on."""
+    edges = df([("a", None), ("a", "b"), ("b", None), (None, "a"), (None, "c"), ("c", "c"), ("d", "c")], "node string, next string")
+    plain, cyclic = T.walk_depths(edges)
+    assert rows(plain) == [("a", 2), ("b", 1)]
+    assert rows(cyclic) == [("c",), ("d",), (None,)]
+    assert rows(T.walk_depths(edges, 2)[0], "node", "d") == [("a", 2), ("b", 1), ("c", 2), ("d", 2), (None, 2)]
+    assert rows(T.walk_depths(edges.where("coalesce(next, '') <> 'c'"))[0]) == [("a", 2), ("b", 1), (None, 3)]
+
+
+def test_report_counts_its_chains_once(df, monkeypatch):
+    calls, count = [], T.chain_lengths
+    monkeypatch.setattr(T, "chain_lengths", lambda *a, **b: (calls.append(a), count(*a, **b))[1])
+    report = V.chain_report(graph(df, DIAMOND), 2)
+    assert len(calls) == 1
+    assert rows(report["distribution"]) == [(2, 2), (3, 2)] and rows(report["stats"]) == [(3, 2.5, 4)]
+    assert report["nodes"].count() == 5 and report["chains"].count() == 4
