@@ -501,11 +501,11 @@ def test_trails_outside_components_are_not_listed(spark, df, monkeypatch):
     g = graph(df, [(f"x{i:02d}", f"x{i + 1:02d}") for i in range(n)] + [("x13", "x12")])
     seen = landed(monkeypatch)
     got = {r["item_id"]: (r["upstream_depth"], r["downstream_depth"]) for r in T.node_depths(g, mode="trail").collect()}
-    assert got["x00"] == (n + 2, 0) and got["x12"] == (n - 12 + 2, 14) and got[f"x{n}"] == (0, n + 2)
+    assert got["x00"] == (n, 0) and got["x12"] == (n - 12, 14) and got["x13"] == (n - 11, 13) and got[f"x{n}"] == (0, n)
     lists = [spark.read.parquet(p) for p in seen]
     assert sum(x.count() for x in lists if "used" in x.columns) <= 20
     seen.clear()
-    assert dict(rows(T.chain_lengths(g, mode="trail")))[n + 2] == 1
+    assert dict(rows(T.chain_lengths(g, mode="trail")))[n] == 1
     assert sum(x.count() for x in map(spark.read.parquet, seen) if "used" in x.columns) <= 20
 
 
