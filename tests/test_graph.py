@@ -542,3 +542,12 @@ def test_report_counts_its_chains_once(df, monkeypatch):
     assert len(calls) == 1
     assert rows(report["distribution"]) == [(2, 2), (3, 2)] and rows(report["stats"]) == [(3, 2.5, 4)]
     assert report["nodes"].count() == 5 and report["chains"].count() == 4
+
+
+def test_component_rounds_move_numbers_of_changed_nodes(df, monkeypatch):
+    seen, real = {}, CO.cut_lineage
+    monkeypatch.setattr(CO, "cut_lineage", lambda frame, label="step": seen.setdefault(label, []).append(kept := real(frame, label)) or kept)
+    edges = [(f"n{i}", f"n{(i + 1) % 12}") for i in range(12)] + [("in", "n3"), ("n7", "out"), ("m0", "m1"), ("m1", "m0"), ("m1", "m1"), (None, "n1"), ("n2", None)]
+    assert components(df, edges) == {f"n{i}": "n0" for i in range(12)} | {"m0": "m0", "m1": "m0"}
+    for label in ("core", "colours", "colour-edges", "colour-members"):
+        assert seen[label] and all(t in ("bigint", "int") for frame in seen[label] for _, t in frame.dtypes)
