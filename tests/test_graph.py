@@ -551,3 +551,29 @@ def test_component_rounds_move_numbers_of_changed_nodes(df, monkeypatch):
     assert components(df, edges) == {f"n{i}": "n0" for i in range(12)} | {"m0": "m0", "m1": "m0"}
     for label in ("core", "colours", "colour-edges", "colour-members"):
         assert seen[label] and all(t in ("bigint", "int") for frame in seen[label] for _, t in frame.dtypes)
+
+
+def test_report_walks_its_depths_once(df, monkeypatch):
+    """And a length keeps as many starts as chains are asked for, not a row per start and length."""
+    walks, starts, walk, cut = [], [], T.walk_depths, T.cut_lineage
+    monkeypatch.setattr(T, "walk_depths", lambda *a, **b: (walks.append(a), walk(*a, **b))[1])
+
+    def spy(frame, label="step"):
+        kept = cut(frame, label)
+        if label == "chain-starts":
+            starts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(T, "cut_lineage", spy)
+    edges = [(f"a{i}", "b") for i in range(9)] + [("b", "c"), ("c", "d"), ("e0", "c"), ("e1", "c")]
+    report = V.chain_report(graph(df, edges), 2, k=3)
+    assert len(walks) == 1 and starts == [3 + 2]
+    assert rows(report["chains"], "terminal_id", "origin_id", "depth") == [("a0", "d", 3), ("a1", "d", 3), ("a2", "d", 3)]
+    assert rows(report["nodes"].where("item_id = 'c'"), "upstream_depth", "downstream_depth") == [(1, 2)]
+
+
+def test_shared_depths_equal_own_ones_on_cycles(df):
+    g = graph(df, random_edges(7, 40, 60) + [("x0", "x1"), ("x1", "n3"), ("n5", "x9")])
+    known = T.both_depths(g)
+    assert rows(T.node_depths(g, known=known)) == rows(T.node_depths(g))
+    assert rows(T.deep_chains(g, 2, 20, known=known)) == rows(T.deep_chains(g, 2, 20))
