@@ -166,3 +166,21 @@ def test_a_stopped_compaction_changes_nothing(spark, df, tmp_path, monkeypatch):
     assert rows(counts.read()) == want, "an incomplete fold is not read"
     counts.compact()
     assert rows(counts.read()) == want and list((tmp_path / "batches").iterdir()) == []
+
+
+def test_only_repeated_ids_are_compared_as_rows(spark, df, tmp_path):
+    """A load without repeated ids is not aggregated by row; with them each id comes once, and a null id once a load."""
+    plain = df([fact(i, 1 + i % 2) for i in range(9)], FACT)
+    known = df([fact(i, 1) for i in (2, 5)], FACT)
+    plan = I.new_facts(plain, known)._jdf.queryExecution().executedPlan().toString()
+    assert "first(" not in plan and "Sort" not in plan.replace("SortMergeJoin", "").replace("Sort [event_id", "")
+    assert rows(I.new_facts(plain, known), "event_id") == [(f"e{i}",) for i in range(9) if i not in (2, 5)]
+    assert rows(I.new_facts(plain, known.limit(0))) == rows(plain)
+    assert I.new_facts(plain, plain).count() == 0
+    none = (None, *fact(3, 1)[1:])
+    odd = df([fact(1, 1), fact(1, 1), fact(2, 1), fact(2, 2), fact(4, 2), none, none], FACT)
+    assert rows(I.new_facts(odd, df([fact(2, 1), none], FACT)), "event_id") == [("e1",), ("e4",), (None,)]
+    store = V.Store(spark, str(tmp_path))
+    for part in (plain, odd, plain):
+        I.load_facts(store, part)
+    assert rows(store.read("facts"), "event_id") == [*((f"e{i}",) for i in range(9)), (None,)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewatch.operators.facts import daily_metrics
-from tidewatch.session import remove_path
+from tidewatch.session import cut_lineage, remove_path
 from tidewatch.sources.versions import Conflict, Store, append, replace_partitions
 
 HISTORY_LENGTH = 100
@@ -83,8 +83,30 @@ def days_of(df: DataFrame, column: str = "activity_date") -> list:
 
 def new_facts(new: DataFrame, existing: DataFrame, key: str = "event_id") -> DataFrame:
     """Facts whose event is not loaded yet, each once. Only the partitions of their days are read."""
+    return _unseen(new, existing, key)[0]
+
+
+def _unseen(new: DataFrame, existing: DataFrame, key: str = "event_id") -> tuple[DataFrame, int]:
+    """The rows of :func:`new_facts` and the number of their ids.
+
+    Ids are counted and compared alone. Rows only meet them where some of the load's ids go and others stay, and only rows
+    whose id repeats are compared with each other. A null id matches none that is loaded.
+    """
     near = existing.filter(in_days(days_of(new))).select(key)
-    return new.dropDuplicates([key]).join(near, key, "left_anti")
+    counted = new.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    fresh = cut_lineage(counted.join(near, key, "left_anti"), "fresh-ids")
+    sums = fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col(key).isNull()), F.count_if(F.col(key).isNotNull() & (F.col("_n") > 1)))
+    ids, rows, unnamed, repeated = sums.first()
+    if not ids:
+        return new.join(near, key, "left_anti"), 0
+    if ids == rows == new.count():
+        return new, ids
+    hit = new.join(fresh, key)
+    found = hit.where("_n = 1")
+    if repeated:
+        found = found.unionByName(hit.where("_n > 1").dropDuplicates([key]))
+    found = found.select(*new.columns)
+    return (found.unionByName(new.where(F.col(key).isNull()).limit(1)) if unnamed else found), ids
 
 
 def recompute_daily(facts: DataFrame, daily: DataFrame, touched: DataFrame) -> DataFrame:
@@ -118,7 +140,8 @@ def load_facts(store: Store, new: DataFrame, tries: int = 3) -> int:
     for left in reversed(range(tries)):
         base = store.snapshot()
         facts = store.read("facts", base["version"], like=staged)
-        fresh = _stage(new_facts(staged, facts))
+        fresh, ids = _unseen(staged, facts)
+        fresh = (fresh if fresh is staged else _stage(fresh)) if ids else staged.limit(0)
         touched = fresh.unionByName(facts.filter(in_days(days)))
         daily = daily_metrics(touched)
         keys = [r[0] for r in touched.select("date_sk").filter("date_sk is not null").distinct().collect()]
@@ -136,8 +159,6 @@ def replace_daily(spark: SparkSession, facts: DataFrame, daily_path: str) -> Non
 
 
 def _stage(df: DataFrame) -> DataFrame:
-    from tidewatch.session import cut_lineage
-
     return cut_lineage(df, "facts")
 
 
