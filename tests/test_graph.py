@@ -570,3 +570,63 @@ def test_report_walks_its_depths_once(df, monkeypatch):
     assert len(walks) == 1 and starts == [3 + 2]
     assert rows(report["chains"], "terminal_id", "origin_id", "depth") == [("a0", "d", 3), ("a1", "d", 3), ("a2", "d", 3)]
     assert rows(report["nodes"].where("item_id = 'c'"), "upstream_depth", "downstream_depth") == [(1, 2)]
+
+
+def test_sources_are_counted_without_rows_of_bits(df, monkeypatch):
+    """Within the bound of edges no frame of bits is written; beyond it, and with a bound of rows, passes give the same."""
+    labels, cut = [], BM.cut_lineage
+    monkeypatch.setattr(BM, "cut_lineage", lambda frame, label="step": (labels.append(label), cut(frame, label))[1])
+    rnd = random.Random(4)
+    edges = df([*{(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(75)}, ("n1", None), (None, "n2")], "node string, next string")
+    direct = df([*((f"n{rnd.randrange(70)}", f"s{rnd.randrange(300):03d}") for _ in range(400)), ("n3", None), (None, "s001"), ("n4", "s004"), ("n4", "s004")], "node string, source string")
+    found = rows(BM.dependents_per_source(edges, direct), "source", "items")
+    assert len(found) > 100 and not [x for x in labels if x == "bit-sources" or x.endswith("-layer")]
+    monkeypatch.setattr(BM, "IN_TASK", 10)
+    assert rows(BM.dependents_per_source(edges, direct), "source", "items") == found
+    assert "bit-sources" in labels
+
+
+def test_slices_of_a_graph_equal_brute_force():
+    """Layers are cut into pieces, one node has more edges than are joined at once, and some nodes stand for several."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewatch.operators.graph.slices import EDGES, TRIPS, _Graph
+
+    rnd, ends, kept, n = np.random.default_rng(3), [40, 70, 90], 90, 150
+    starts, pairs = [0, *ends], set()
+    for node in range(40, n):
+        layer = min(sum(node >= e for e in ends), 3)
+        pairs |= {(node, int(rnd.integers(starts[layer - 1], starts[layer])))} | {(node, int(x)) for x in rnd.integers(0, starts[layer], 60 if node in (75, 140) else rnd.integers(0, 3))}
+    src, to = np.array(sorted(pairs), np.int32).T
+    trips = {5: 1, 50: 6, 88: 3}
+    consumers = [(int(rnd.integers(0, kept)), int(rnd.integers(0, 128))) for _ in range(90)]
+    graph = _Graph(len(src), np.array(ends), 2)
+    graph.at_once = 7
+    buffers = lambda a, b, kind: (pa.py_buffer(np.ascontiguousarray(a, np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(b, kind).tobytes()))
+    graph.add(EDGES, *buffers(src, to, np.int32))
+    graph.add(TRIPS, *buffers([*trips], [*trips.values()], np.int64))
+    for _ in range(2):  # the second slice starts from no bits
+        graph.begin()
+        graph.consume(*(np.array(x, np.int32) for x in zip(*consumers, strict=True)))
+        got = graph.counts().reshape(-1)
+        has = [set() for _ in range(n)]
+        for node, s in consumers:
+            has[node].add(s)
+        want = np.zeros(128, int)
+        for node in range(n):
+            reached = set().union(*(has[b] for a, b in pairs if a == node)) | (has[node] if node in trips else set())
+            has[node] |= reached
+            for s in reached:
+                want[s] += trips.get(node, 1)
+        assert (got == want).all() and want.max() > 20
+
+
+def test_counts_per_bit_equal_unpacked_bits():
+    import numpy as np
+
+    from tidewatch.operators.graph.slices import _per_bit
+
+    for n in (0, 1, 254, 255, 256, 1000):
+        words = np.random.default_rng(n).integers(0, 2**64, (n, 3), dtype=np.uint64)
+        assert (_per_bit(words) == np.unpackbits(words.view(np.uint8).reshape(n, 24), axis=1, bitorder="little").sum(axis=0).reshape(3, 64)).all()
