@@ -630,3 +630,27 @@ def test_counts_per_bit_equal_unpacked_bits():
     for n in (0, 1, 254, 255, 256, 1000):
         words = np.random.default_rng(n).integers(0, 2**64, (n, 3), dtype=np.uint64)
         assert (_per_bit(words) == np.unpackbits(words.view(np.uint8).reshape(n, 24), axis=1, bitorder="little").sum(axis=0).reshape(3, 64)).all()
+
+
+def test_parts_of_records_are_not_broadcast(spark, tmp_path):
+    """However small the file, its rows may be millions: the planner's estimate is the file's size."""
+    from tidewatch.sources import adapters as AD
+
+    spark.range(50).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(100).selectExpr("id % 60 as l_partkey", "id % 7 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    records = AD.lineage_records(spark, str(tmp_path))
+    assert "Broadcast" not in records._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in GB.item_ids(records)._jdf.queryExecution().sparkPlan().toString()
+    made = GB.source_nodes(records)
+    assert records.count() == 50 + len({(i % 60, i % 7) for i in range(100) if i % 60 < 50}) and made.where("type <> 'OneLake'").count() == 7
+
+
+def test_equal_connections_are_parsed_once(df):
+    """The first of the records that are alike describes the source; null texts, types and orders are kept apart."""
+    ddl = "seq bigint, `Workspace ID` string, `Workspace Name` string, `Item ID` string, `Item Name` string, `Item Type` string, `Source Type` string, `Source Connection` string"
+    snow, blob = "{'type': 'Snowflake', 'snowflake': {'database': 'D', 'schema': %r}}", "[{'type': 'AzureBlob', 'azureBlob': {'location': 'L', 'container': None, 'subpath': %r}}]"
+    texts = [snow % "a", snow % "b", blob % "x", blob % "y", None, "broken", '{"type": "OneLake", "oneLake": {"itemId": "i1"}}', '{"type": "OneLake", "oneLake": {"itemId": "gone", "path": "Tables/T%d"}}']
+    data = [(None if i % 11 == 3 else 100 - i, "w", "W", f"i{i % 9}", "I", "Report", ("Snowflake", None, "PowerBI")[i % 3], (texts[i % 8] or "").replace("%d", str(i % 5)) or None) for i in range(80)]
+    raw = df(data, ddl)
+    assert rows(GB.source_nodes(raw)) == rows(GB.source_nodes(GB.parsed(raw))) and GB.source_nodes(raw).count() > 4
+    assert GB._connections(raw).count() == len({(r[6], r[7]) for r in data}) < 80
